@@ -52,7 +52,7 @@ class ShardStore:
     def manifest(self, version: int | None = None) -> DataFrame:
         version = self.version() if version is None else version
         if not version:
-            return self.spark.createDataFrame([], MANIFEST)
+            return self.spark.range(0).select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in MANIFEST])
         name = self.spark.read.text(f"{self.root}/versions/{version:08d}").first()[0]
         return self.spark.read.schema(MANIFEST).parquet(f"{self.root}/manifests/{name}")
 

@@ -66,7 +66,8 @@ def digest(text: Column) -> Column:
 
 def known_digests(spark: SparkSession, known: Sequence[tuple[str, str]] = KNOWN) -> DataFrame:
     """(known_digest, license_id) of known texts."""
-    texts = spark.createDataFrame(list(known), "license_id string, license_text string")
+    rows = F.array(*[F.struct(F.lit(i).alias("license_id"), F.lit(t).alias("license_text")) for i, t in known])
+    texts = spark.range(1).select(F.explode(rows).alias("k")).select("k.license_id", "k.license_text")
     return texts.groupBy(digest(F.col("license_text")).alias("known_digest")).agg(F.min("license_id").alias("license_id"))
 
 
