@@ -1,10 +1,555 @@
-"""Registered queries over the road-network operators, and their SQL twins."""
+"""Registered queries over the road-network operators, and their SQL twins. Every query covers its whole tables."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
+
+from waygrid.config import AREA_E7, MATCH_M, PLAZA_KM, SNAP_M
+from waygrid.functions import geo, strings
+from waygrid.operators import analytics, graph, ingest, instructions, profile, routing, search, spatial, tracking
+from waygrid.plans import sql
+from waygrid.sources import projection as road
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+
+
+def query(twin: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if twin:
+            ORACLES[f.__name__] = twin
+        return f
+
+    return add
+
+
+def _shapes(spark, sf_dir):
+    return road.shapes(road.edges(spark, sf_dir))
+
+
+# --- spatial joins ---------------------------------------------------------------------------------------------
+
+
+@query(f"WITH {sql.EDGE}, {sql.FIX}, {sql.near(SNAP_M)} SELECT fix_id, edge_id, round(t, 6) AS fraction, round(distance_m, 4) AS distance_m FROM v_near QUALIFY row_number() OVER (PARTITION BY fix_id ORDER BY distance_m, edge_id) = 1")
+def snap_nearest(spark, sf_dir):
+    best = spatial.nearest(road.fixes(spark, sf_dir), _shapes(spark, sf_dir), SNAP_M, "fix_id", "edge_id")
+    return best.select("fix_id", "edge_id", F.round("t", 6).alias("fraction"), F.round("distance_m", 4).alias("distance_m"))
+
+
+@query(f"WITH {sql.EDGE}, {sql.FIX}, {sql.near(MATCH_M)} SELECT fix_id, edge_id, round(distance_m, 4) AS distance_m, rank FROM (SELECT *, row_number() OVER (PARTITION BY fix_id ORDER BY distance_m, edge_id) AS rank FROM v_near) WHERE rank <= 8")
+def snap_candidates(spark, sf_dir):
+    found = spatial.candidates(road.fixes(spark, sf_dir), _shapes(spark, sf_dir), MATCH_M, 8, "fix_id", "edge_id")
+    return found.select("fix_id", "edge_id", F.round("distance_m", 4).alias("distance_m"), F.col("rank").cast("long").alias("rank"))
+
+
+@query(
+    f"WITH {sql.EDGE}, {sql.FIX}, {sql.near(SNAP_M)}, b AS (SELECT fix_id, distance_m FROM v_near QUALIFY row_number() OVER (PARTITION BY fix_id ORDER BY distance_m, edge_id) = 1), "
+    "d AS (SELECT f.device_id, b.distance_m FROM b JOIN v_fix f USING (fix_id)) SELECT device_id, count(*) AS n, round(quantile_cont(distance_m, 0.5), 4) AS p50, round(quantile_cont(distance_m, 0.95), 4) AS p95, round(quantile_cont(distance_m, 0.99), 4) AS p99, round(max(distance_m), 4) AS max FROM d GROUP BY device_id"
+)
+def snap_distribution(spark, sf_dir):
+    fixes = road.fixes(spark, sf_dir)
+    best = spatial.nearest(fixes, _shapes(spark, sf_dir), SNAP_M, "fix_id", "edge_id").join(fixes.select("fix_id", "device_id"), "fix_id")
+    s = analytics.summary(best, ["device_id"], "distance_m")
+    return s.select("device_id", "n", *[F.round(c, 4).alias(c) for c in ("p50", "p95", "p99", "max")])
+
+
+@query(
+    f"WITH {sql.EDGE}, {sql.FIX}, {sql.near(SNAP_M)}, e AS (SELECT shape_id, bool_and(private) AS private FROM v_edge GROUP BY shape_id), n AS (SELECT v_near.*, private FROM v_near JOIN e USING (shape_id)) "
+    "SELECT fix_id, edge_id, private, round(distance_m, 4) AS distance_m FROM n QUALIFY row_number() OVER (PARTITION BY fix_id ORDER BY private, distance_m, edge_id) = 1"
+)
+def snap_prefer_public(spark, sf_dir):
+    edges = road.edges(spark, sf_dir)
+    kind = edges.groupBy("shape_id").agg(F.bool_and("private").alias("private"))
+    shapes, fixes = road.shapes(edges).join(kind, "shape_id"), road.fixes(spark, sf_dir)
+    public, private = (spatial.nearest(fixes, shapes.filter(F.col("private") == p), SNAP_M, "fix_id", "edge_id").withColumn("private", F.lit(p)) for p in (False, True))
+    return spatial.prefer(public, private, "fix_id").select("fix_id", "edge_id", "private", F.round("distance_m", 4).alias("distance_m"))
+
+
+@query(
+    f"WITH {sql.EDGE}, r AS (SELECT shape_id, unnest(range(floor(least(alat, blat) / 0.0045)::BIGINT, floor(greatest(alat, blat) / 0.0045)::BIGINT + 1)) AS i, alon, blon FROM v_seg), "
+    "c AS (SELECT shape_id, i, unnest(range(floor(least(alon, blon) / 0.0045)::BIGINT, floor(greatest(alon, blon) / 0.0045)::BIGINT + 1)) AS j FROM r), n AS (SELECT i, j, count(*) AS held FROM c GROUP BY i, j) SELECT count(*) AS cells, max(held) AS most, sum(held)::BIGINT AS registered FROM n"
+)
+def cell_occupancy(spark, sf_dir):
+    cells = spatial.register(_shapes(spark, sf_dir), 0.0045).groupBy("cell").agg(F.count(F.lit(1)).alias("held"))
+    return cells.agg(F.count(F.lit(1)).alias("cells"), F.max("held").alias("most"), F.sum("held").alias("registered"))
+
+
+# --- edges, costs, turns -----------------------------------------------------------------------------------------
+
+
+@query(f"WITH {sql.EDGE} SELECT edge_id, edge_from, edge_to, shape_id, reversed, class_rank, speed_kmh, toll_road, private, round(length_m, 5) AS length_m, round(secs, 5) AS secs FROM v_edge")
+def edge_costs(spark, sf_dir):
+    e = graph.costs(road.edges(spark, sf_dir))
+    return e.select("edge_id", "edge_from", "edge_to", "shape_id", "reversed", "class_rank", "speed_kmh", "toll_road", "private", F.round("length_m", 5).alias("length_m"), F.round("secs", 5).alias("secs"))
+
+
+@query(f"WITH {sql.EDGE}, {sql.TURN} SELECT edge_in, edge_out, round(seconds::DOUBLE, 3) AS seconds, is_uturn FROM v_turn")
+def turn_costs(spark, sf_dir):
+    return graph.turn_costs(road.edges(spark, sf_dir)).withColumn("seconds", F.round(F.col("seconds").cast("double"), 3))
+
+
+@query(f"WITH {sql.EDGE}, {sql.TURN} SELECT count(*) AS pairs, count(*) FILTER (seconds = 0) AS free, count(*) FILTER (is_uturn) AS uturns, round(avg(seconds::DOUBLE), 5) AS mean_s, round(max(seconds::DOUBLE), 5) AS max_s FROM v_turn")
+def turn_stats(spark, sf_dir):
+    return graph.turn_stats(graph.turn_costs(road.edges(spark, sf_dir)))
+
+
+@query(f"WITH {sql.EDGE} SELECT toll_road, class_rank, count(*) AS edges, round(sum(length_m) / 1000, 5) AS km, round(sum(drive_s), 3) AS drive_s, round(sum(distance_s), 3) AS distance_s, round(sum(toll_s), 3) AS toll_s FROM v_edge GROUP BY ALL")
+def cost_parts(spark, sf_dir):
+    e = graph.costs(road.edges(spark, sf_dir)).groupBy("toll_road", "class_rank")
+    return e.agg(F.count(F.lit(1)).alias("edges"), F.round(F.sum("length_m") / 1000, 5).alias("km"), *[F.round(F.sum(c), 3).alias(c) for c in ("drive_s", "distance_s", "toll_s")])
+
+
+@query(f"WITH {sql.EDGE} SELECT directions, count(*) AS shapes FROM v_shape GROUP BY directions")
+def carriageway_census(spark, sf_dir):
+    return _shapes(spark, sf_dir).groupBy("directions").agg(F.count(F.lit(1)).alias("shapes"))
+
+
+BANNED = "v_ban AS (SELECT a.edge_id AS from_edge, b.edge_id AS to_edge FROM v_edge a JOIN v_edge b ON a.edge_to = b.edge_from WHERE (a.edge_id * 17 + b.edge_id * 3) % 97 = 0)"
+
+
+def _bans(edges):
+    pairs = graph.adjacency(edges, "edge_id", "edge_from", "edge_to").filter((F.col("edge_id_in") * 17 + F.col("edge_id_out") * 3) % 97 == 0)
+    return pairs.select(F.col("edge_id_in").alias("from_edge"), F.col("edge_id_out").alias("to_edge"))
+
+
+def _triples(edges):
+    pairs = graph.adjacency(edges, "edge_id", "edge_from", "edge_to").select(F.col("edge_id_in").alias("a"), F.col("edge_id_out").alias("b"), F.col("edge_to_out").alias("at"))
+    third = edges.select(F.col("edge_id").alias("c"), F.col("edge_from").alias("starts"))
+    return pairs.join(third, F.col("at") == F.col("starts")).filter((F.col("a") + F.col("b") * 5 + F.col("c") * 11) % 997 == 0).select(F.col("a").alias("from_edge"), F.col("b").alias("via_edge"), F.col("c").alias("to_edge"))
+
+
+@query(f"WITH {sql.EDGE}, {BANNED}, p AS (SELECT a.edge_id AS i, b.edge_id AS o, a.class_rank FROM v_edge a JOIN v_edge b ON a.edge_to = b.edge_from) SELECT class_rank, count(*) AS manoeuvres FROM p WHERE NOT EXISTS (SELECT 1 FROM v_ban WHERE from_edge = i AND to_edge = o) GROUP BY class_rank")
+def legal_manoeuvres(spark, sf_dir):
+    edges = road.edges(spark, sf_dir)
+    pairs = graph.adjacency(edges, "edge_id", "edge_from", "edge_to", "class_rank").select(F.col("edge_id_in").alias("edge_in"), F.col("edge_id_out").alias("edge_out"), F.col("class_rank_in").alias("class_rank"))
+    return graph.legal(pairs, _bans(edges)).groupBy("class_rank").agg(F.count(F.lit(1)).alias("manoeuvres"))
+
+
+TRIPLES = "v_tri AS (SELECT a.edge_id AS x, b.edge_id AS y, c.edge_id AS z FROM v_edge a JOIN v_edge b ON a.edge_to = b.edge_from JOIN v_edge c ON b.edge_to = c.edge_from WHERE (a.edge_id + b.edge_id * 5 + c.edge_id * 11) % 997 = 0)"
+
+
+@query(f"WITH {sql.EDGE}, {TRIPLES} SELECT count(*) AS triples, count(*) FILTER (NOT EXISTS (SELECT 1 FROM v_tri r WHERE r.x = t.z AND r.y = t.y AND r.z = t.x)) AS asymmetric FROM v_tri t")
+def asymmetric_triples(spark, sf_dir):
+    t = _triples(road.edges(spark, sf_dir))
+    turned = t.select(F.col("to_edge").alias("from_edge"), "via_edge", F.col("from_edge").alias("to_edge"), F.lit(1).alias("back")).distinct()
+    return t.join(turned, ["from_edge", "via_edge", "to_edge"], "left").agg(F.count(F.lit(1)).alias("triples"), F.count_if(F.col("back").isNull()).alias("asymmetric"))
+
+
+# --- ingest -----------------------------------------------------------------------------------------------------
+
+RAW = """
+v_li AS (SELECT l_orderkey AS way_id, l_linenumber AS pos, l_suppkey * 13 % 40 + (l_partkey // 25) % 30 * 40 AS node_id FROM lineitem),
+v_raw AS (SELECT way_id, pos, node_id, unnest(CASE WHEN way_id % 7 = 0 THEN [0, 1] ELSE [(way_id % 2)::INT] END) AS extract FROM v_li),
+v_way AS (SELECT DISTINCT way_id, pos, node_id FROM v_raw)
+"""
+_BOX = {"lat": (281000000, 281200000), "lon": (774000000, 774250000)}
+NODES = f"v_node AS (SELECT c_custkey AS node_id, {sql.lat('c_custkey')} AS lat_e7, {sql.lon('c_custkey')} AS lon_e7 FROM customer)"
+IN_BOX = "v_in AS (SELECT node_id FROM v_node WHERE lat_e7 BETWEEN 281000000 AND 281200000 AND lon_e7 BETWEEN 774000000 AND 774250000)"
+
+
+def _way_nodes(spark, sf_dir):
+    """References of each way once, whatever extracts they came in."""
+    return road.raw_ways(spark, sf_dir).select("way_id", "pos", "node_id").distinct()
+
+
+def _nodes(spark, sf_dir):
+    return road.vertices(spark, sf_dir).select(F.col("vertex_id").alias("node_id"), "lat_e7", "lon_e7")
+
+
+def _in_box(spark, sf_dir):
+    return _nodes(spark, sf_dir).filter(geo.in_area(F.col("lat_e7"), F.col("lon_e7"), _BOX)).select("node_id")
+
+
+@query(f"WITH {RAW}, w AS (SELECT way_id, min(extract) AS extract, count(DISTINCT extract) AS copies FROM v_raw GROUP BY way_id) SELECT way_id, extract, copies FROM w")
+def union_extracts(spark, sf_dir):
+    ways = road.raw_ways(spark, sf_dir).select("way_id", "extract").distinct()
+    return ingest.first_written(ways, "way_id", ["extract"]).select("way_id", "extract", "copies")
+
+
+@query(f"WITH {RAW}, k AS (SELECT way_id, count(DISTINCT extract) AS extracts, count(*) AS copies FROM v_raw GROUP BY way_id) SELECT sum(copies)::BIGINT AS summed, count(*) AS united, count(*) FILTER (extracts > 1) AS shared FROM k")
+def seam_statistics(spark, sf_dir):
+    return ingest.seam(road.raw_ways(spark, sf_dir), "way_id")
+
+
+@query(f"WITH {RAW}, {NODES}, {IN_BOX} SELECT DISTINCT way_id FROM v_way WHERE node_id IN (SELECT node_id FROM v_in)")
+def clip_ways(spark, sf_dir):
+    return ingest.ways_in_area(_way_nodes(spark, sf_dir), _in_box(spark, sf_dir))
+
+
+@query(f"WITH {RAW}, {NODES}, {IN_BOX}, k AS (SELECT DISTINCT way_id FROM v_way WHERE node_id IN (SELECT node_id FROM v_in)) SELECT DISTINCT node_id FROM v_way WHERE way_id IN (SELECT way_id FROM k) AND node_id NOT IN (SELECT node_id FROM v_in)")
+def complete_ways(spark, sf_dir):
+    nodes, ways = _in_box(spark, sf_dir), _way_nodes(spark, sf_dir)
+    return ingest.complete_nodes(ways, ingest.ways_in_area(ways, nodes), nodes)
+
+
+RESOLVED = """
+v_r0 AS (SELECT v_way.*, lag(node_id) OVER (PARTITION BY way_id ORDER BY pos, node_id) AS before FROM v_way JOIN v_node USING (node_id)),
+v_r1 AS (SELECT way_id, pos, node_id FROM v_r0 WHERE before IS NULL OR before <> node_id),
+v_res AS (SELECT *, count(*) OVER (PARTITION BY way_id) AS n FROM v_r1 QUALIFY n >= 2)
+"""
+
+
+@query(f"WITH {RAW}, {NODES}, {RESOLVED} SELECT way_id, count(*) AS refs, min(pos) AS first_pos, sum(node_id)::BIGINT AS id_sum FROM v_res GROUP BY way_id")
+def resolve_references(spark, sf_dir):
+    r = ingest.resolve(_way_nodes(spark, sf_dir), _nodes(spark, sf_dir))
+    return r.groupBy("way_id").agg(F.count(F.lit(1)).alias("refs"), F.min("pos").alias("first_pos"), F.sum("node_id").alias("id_sum"))
+
+
+VERTEX = """
+v_m AS (SELECT *, pos = min(pos) OVER (PARTITION BY way_id) OR pos = max(pos) OVER (PARTITION BY way_id) AS tip FROM v_res),
+v_vx AS (SELECT node_id, count(*) AS uses, bool_or(tip) AS tip FROM v_m GROUP BY node_id HAVING tip OR uses >= 2)
+"""
+
+
+@query(f"WITH {RAW}, {NODES}, {RESOLVED}, {VERTEX} SELECT node_id, uses, tip AS is_end FROM v_vx")
+def way_vertices(spark, sf_dir):
+    v = graph.vertex_nodes(ingest.resolve(_way_nodes(spark, sf_dir), _nodes(spark, sf_dir)))
+    return v.select("node_id", "uses", F.col("end").alias("is_end"))
+
+
+@query(
+    f"WITH {RAW}, {NODES}, {RESOLVED}, {VERTEX}, f AS (SELECT way_id, pos, r.node_id, sum(CASE WHEN x.node_id IS NULL THEN 0 ELSE 1 END) OVER (PARTITION BY way_id ORDER BY pos, r.node_id ROWS UNBOUNDED PRECEDING) AS piece FROM v_res r LEFT JOIN v_vx x ON r.node_id = x.node_id), "
+    "h AS (SELECT way_id, piece, min({'pos': pos, 'node_id': node_id}) AS head, count(*) AS held FROM f GROUP BY way_id, piece), n AS (SELECT way_id, piece, head.node_id AS node_from, lead(head.node_id) OVER (PARTITION BY way_id ORDER BY piece) AS node_to, held FROM h) "
+    "SELECT way_id, piece::BIGINT AS piece, node_from, node_to, held + 1 AS n_nodes FROM n WHERE node_to IS NOT NULL AND piece > 0 AND node_from <> node_to"
+)
+def split_ways(spark, sf_dir):
+    r = ingest.resolve(_way_nodes(spark, sf_dir), _nodes(spark, sf_dir)).select("way_id", "pos", "node_id")
+    return graph.split_ways(r, graph.vertex_nodes(r))
+
+
+@query(f"WITH v AS (SELECT {sql.lat('c_custkey')} AS a, {sql.lon('c_custkey')} AS o FROM customer) SELECT count(*) AS nodes, count(*) FILTER (a BETWEEN {AREA_E7['lat'][0]} AND {AREA_E7['lat'][1]} AND o BETWEEN {AREA_E7['lon'][0]} AND {AREA_E7['lon'][1]}) AS inside FROM v")
+def area_census(spark, sf_dir):
+    inside = geo.in_area(F.col("lat_e7"), F.col("lon_e7"), AREA_E7)
+    return road.vertices(spark, sf_dir).agg(F.count(F.lit(1)).alias("nodes"), F.count_if(inside).alias("inside"))
+
+
+@query(
+    f"WITH v AS (SELECT {sql.lat('c_custkey')} AS a, {sql.lon('c_custkey')} AS o FROM customer), w AS (SELECT *, a BETWEEN 281000000 AND 281200000 AND o BETWEEN 774000000 AND 774250000 AS exact, a / 1e7 BETWEEN 28.1 AND 28.12 AND o / 1e7 BETWEEN 77.4 AND 77.425 AS float FROM v) "
+    "SELECT exact, count(*) AS nodes, count(*) FILTER (exact <> float) AS disagree FROM w GROUP BY exact"
+)
+def boundary_disagreement(spark, sf_dir):
+    v = road.vertices(spark, sf_dir).select(geo.in_area(F.col("lat_e7"), F.col("lon_e7"), _BOX).alias("exact"), geo.in_area_deg(F.col("lat"), F.col("lon"), _BOX).alias("float"))
+    return v.groupBy("exact").agg(F.count(F.lit(1)).alias("nodes"), F.count_if(F.col("exact") != F.col("float")).alias("disagree"))
+
+
+# --- profile ----------------------------------------------------------------------------------------------------
+
+_K = "p_partkey"
+TAGS = f"""
+v_tag AS (SELECT {_K} AS way_id, {list(road._HIGHWAYS)}[{_K} % 16 + 1] AS highway, CASE WHEN {_K} % 3 <> 0 THEN {list(road._SPEEDS)}[({_K} // 3) % 6 + 1] END AS maxspeed,
+  CASE WHEN {_K} % 5 < 3 THEN ['yes', '-1', 'no', 'reverse', '1'][({_K} // 5) % 5 + 1] END AS oneway, CASE WHEN {_K} % 23 = 0 THEN 'roundabout' END AS junction,
+  CASE WHEN {_K} % 11 = 0 THEN ['no', 'private', 'yes', 'destination', 'permissive'][({_K} // 11) % 5 + 1] END AS access, CASE WHEN {_K} % 29 = 0 THEN ['no', 'yes', 'private'][({_K} // 29) % 3 + 1] END AS motorcar,
+  CASE WHEN {_K} % 7 = 0 THEN ['yes', 'no', 'true', '1'][({_K} // 7) % 4 + 1] END AS toll, CASE WHEN {_K} % 13 = 0 THEN 'yes' END AS toll_motorcar, CASE WHEN {_K} % 4 <> 0 THEN p_name END AS name, CASE WHEN {_K} % 6 = 0 THEN ['NE2', 'NH 24; SH 1', 'yamuna', ' '][({_K} // 6) % 4 + 1] END AS ref FROM part),
+v_p0 AS (SELECT *, CASE highway WHEN 'motorway' THEN 90 WHEN 'trunk' THEN 70 WHEN 'primary' THEN 50 WHEN 'secondary' THEN 40 WHEN 'tertiary' THEN 35 WHEN 'unclassified' THEN 30 WHEN 'residential' THEN 25 WHEN 'living_street' THEN 10 WHEN 'service' THEN 15 WHEN 'road' THEN 25 WHEN 'motorway_link' THEN 45 WHEN 'trunk_link' THEN 40 END AS def,
+  CASE highway WHEN 'motorway' THEN 0 WHEN 'trunk' THEN 1 WHEN 'primary' THEN 2 WHEN 'secondary' THEN 3 WHEN 'tertiary' THEN 4 WHEN 'unclassified' THEN 5 WHEN 'residential' THEN 6 WHEN 'living_street' THEN 7 WHEN 'service' THEN 7 WHEN 'road' THEN 5 WHEN 'motorway_link' THEN 0 WHEN 'trunk_link' THEN 1 END AS class_rank,
+  CASE maxspeed WHEN '50' THEN 50 WHEN '30 mph' THEN 30 * 1.609344 WHEN '80 km/h' THEN 80 END AS posted, coalesce(motorcar, access) AS acc, coalesce(toll, toll_motorcar) IN ('yes', 'true', '1') AS is_toll, coalesce(junction, '') = 'roundabout' OR highway IN ('motorway', 'motorway_link') AS implied FROM v_tag),
+v_prof AS (SELECT way_id, highway, class_rank, CASE WHEN acc IN ('no', 'false') THEN 'denied' WHEN acc IN ('private', 'destination') THEN 'private' ELSE 'allowed' END AS access, def IS NOT NULL AND coalesce(acc, '') NOT IN ('no', 'false') AS drivable,
+  coalesce(oneway NOT IN ('-1', 'reverse'), true) AS forward, coalesce(oneway IN ('-1', 'reverse'), false) OR NOT coalesce(oneway IN ('yes', '1') OR (oneway IS NULL AND implied), false) AS backward, greatest(1, least(255, floor(coalesce(posted, def) + 0.5)))::INT AS speed_kmh,
+  coalesce(is_toll, false) AS toll, CASE WHEN NOT coalesce(is_toll, false) THEN 0 WHEN contains(lower(concat_ws(' ', name, ref)), 'yamuna') THEN 1 WHEN ref = 'NE2' THEN 2 ELSE 3 END AS toll_road, nullif(trim(split_part(coalesce(name, ref), ';', 1)), '') AS road_name, name, ref FROM v_p0)
+"""
+
+
+@query(f"WITH {TAGS} SELECT way_id, access, drivable, forward, backward, CASE WHEN drivable THEN speed_kmh END AS speed_kmh, class_rank, toll, toll_road, road_name FROM v_prof")
+def classify_ways(spark, sf_dir):
+    c = profile.classify(road.tagged_ways(spark, sf_dir))
+    return c.select("way_id", "access", "drivable", "forward", "backward", F.when(F.col("drivable"), F.col("speed_kmh")).alias("speed_kmh"), "class_rank", "toll", "toll_road", "road_name")
+
+
+@query(f"WITH {TAGS} SELECT highway, count(*) AS ways, count(*) FILTER (drivable) AS drivable, count(*) FILTER (toll) AS tolled, round(quantile_cont(speed_kmh, 0.5) FILTER (drivable), 3) AS median_kmh, round(quantile_cont(speed_kmh, 0.25) FILTER (drivable), 3) AS p25, round(quantile_cont(speed_kmh, 0.75) FILTER (drivable), 3) AS p75 FROM v_prof GROUP BY highway")
+def speed_calibration(spark, sf_dir):
+    c = profile.classify(road.tagged_ways(spark, sf_dir)).withColumn("highway", profile.tag("highway"))
+    s = F.when(F.col("drivable"), F.col("speed_kmh"))
+    return c.groupBy("highway").agg(F.count(F.lit(1)).alias("ways"), F.count_if("drivable").alias("drivable"), F.count_if("toll").alias("tolled"), *[F.round(analytics.quantile(s, q), 3).alias(n) for n, q in (("median_kmh", 0.5), ("p25", 0.25), ("p75", 0.75))])
+
+
+@query(f"WITH {TAGS}, k AS (SELECT class_rank, way_id % 97 AS metres, unnest([CASE WHEN name IS NOT NULL THEN 'name' END, CASE WHEN ref IS NOT NULL THEN 'ref' END]) AS key FROM v_prof) SELECT key, class_rank AS rank, count(*) AS ways, sum(metres)::BIGINT AS metres, grouping(class_rank) AS overall FROM k WHERE key IS NOT NULL GROUP BY GROUPING SETS ((key), (key, class_rank))")
+def tag_coverage(spark, sf_dir):
+    c = profile.classify(road.tagged_ways(spark, sf_dir)).withColumn("metres", F.col("way_id") % 97)
+    return analytics.tag_coverage(c, ["name", "ref"], "class_rank", "metres").withColumn("overall", F.col("overall").cast("long"))
+
+
+@query(f"WITH {TAGS} SELECT coalesce(road_name, 'unnamed:' || highway) AS road, toll_road, count(*) AS ways, count(DISTINCT highway) AS classes FROM v_prof WHERE toll GROUP BY ALL")
+def tolled_roads(spark, sf_dir):
+    c = profile.classify(road.tagged_ways(spark, sf_dir)).filter("toll").withColumn("highway", profile.tag("highway"))
+    return c.groupBy(F.coalesce("road_name", F.concat(F.lit("unnamed:"), F.col("highway"))).alias("road"), "toll_road").agg(F.count(F.lit(1)).alias("ways"), F.countDistinct("highway").alias("classes"))
+
+
+# --- routing ----------------------------------------------------------------------------------------------------
+
+_ROUNDS = 4
+_ARCS = f"v_arc AS (SELECT edge_in, edge_out, seconds::DOUBLE + e.secs AS step FROM v_turn JOIN v_edge e ON e.edge_id = edge_out WHERE NOT EXISTS (SELECT 1 FROM v_ban WHERE from_edge = edge_in AND to_edge = edge_out))"
+_DEPOTS = "v_depot AS (SELECT c_nationkey::BIGINT AS search, min(c_custkey) AS vertex FROM customer GROUP BY c_nationkey)"
+_CHAIN = "".join(f", d{k} AS (SELECT search, edge_id, min(cost) AS cost FROM (SELECT * FROM d{k - 1} UNION ALL SELECT search, edge_out, cost + step FROM d{k - 1} JOIN v_arc ON edge_id = edge_in) GROUP BY search, edge_id)" for k in range(1, _ROUNDS + 1))
+
+
+@query(f"WITH {sql.EDGE}, {sql.TURN}, {BANNED}, {_ARCS}, {_DEPOTS}, d0 AS (SELECT search, edge_id, secs AS cost FROM v_edge JOIN v_depot ON edge_from = vertex){_CHAIN} SELECT search, edge_id, round(cost, 5) AS cost FROM d{_ROUNDS}")
+def depot_costs(spark, sf_dir):
+    """Least cost of edges around one depot a nation, with turn costs and bans, within a number of turns."""
+    edges = graph.costs(road.edges(spark, sf_dir))
+    depots = road.read(spark, sf_dir, "customer").groupBy(F.col("c_nationkey").cast("long").alias("search")).agg(F.min("c_custkey").alias("vertex"))
+    seeds = edges.join(depots, F.col("edge_from") == F.col("vertex")).select("search", "edge_id", F.col("secs").alias("cost"))
+    best = routing.relax(edges, graph.turn_costs(edges), seeds, _ROUNDS, _bans(edges))
+    return best.select("search", "edge_id", F.round("cost", 5).alias("cost"))
+
+
+_HOPS = 12
+
+
+@query(f"WITH RECURSIVE {sql.EDGE}, arcs AS (SELECT DISTINCT edge_from, edge_to FROM v_edge), r(v, h) AS (SELECT 0::BIGINT, 0 UNION SELECT edge_to, h + 1 FROM r JOIN arcs ON v = edge_from WHERE h < {_HOPS}) SELECT v AS vertex_id, min(h) AS hops FROM r GROUP BY v")
+def reachable_vertices(spark, sf_dir):
+    edges = road.edges(spark, sf_dir)
+    return graph.reachable(edges, spark.range(1).select(F.col("id").alias("vertex_id")), most_rounds=_HOPS)
+
+
+@query()
+def strong_components(spark, sf_dir):
+    """Strongly connected components of the network of motorways and trunk roads."""
+    return graph.strong_components(road.edges(spark, sf_dir).filter("class_rank <= 1"))
+
+
+@query()
+def best_routes(spark, sf_dir):
+    """A route for every vertex, to the vertex two rows and two columns on, with its cost parts."""
+    edges = graph.costs(road.edges(spark, sf_dir))
+    turns = graph.turn_costs(edges)
+    last = road.read(spark, sf_dir, "customer").agg((F.count(F.lit(1)) - 1).alias("last"))
+    k = F.col("c_custkey")
+    pairs = road.read(spark, sf_dir, "customer").crossJoin(F.broadcast(last)).select(k.alias("query_id"), k.alias("origin"), F.when(k + 82 <= F.col("last"), k + 82).otherwise(F.greatest(k - 82, F.lit(0))).alias("target")).filter("origin <> target")
+    found = routing.routes(pairs, edges, turns, _bans(edges), _triples(edges))
+    return routing.assemble(found, edges, turns).select("query_id", "n_edges", *[F.round(c, 4).alias(c) for c in ("seconds", "length_m", "drive_s", "distance_s", "toll_s", "turn_s")])
+
+
+_STEPS = "v_step AS (SELECT edge_from AS query_id, row_number() OVER (PARTITION BY edge_from ORDER BY edge_id) AS i, toll_road, length_m FROM v_edge)"
+
+
+@query(
+    f"WITH {sql.EDGE}, {_STEPS}, m AS (SELECT *, CASE WHEN lag(toll_road) OVER w = toll_road THEN 0 ELSE 1 END AS fresh FROM v_step WINDOW w AS (PARTITION BY query_id ORDER BY i)), n AS (SELECT *, sum(fresh) OVER (PARTITION BY query_id ORDER BY i) AS run FROM m), "
+    "r AS (SELECT query_id, run, toll_road, sum(length_m) AS metres, min(i) AS first, max(i) AS last FROM n WHERE toll_road <> 0 GROUP BY ALL) SELECT query_id, toll_road, first, last, round(metres, 4) AS metres, round(CASE WHEN toll_road = 2 THEN 5 * floor(metres / 1000 * 1.95::DOUBLE / 5 + 0.5) WHEN toll_road = 1 THEN metres / 1000 * 2.95::DOUBLE ELSE metres / 1000 * 1.95::DOUBLE END, 4) AS fare FROM r"
+)
+def toll_fares(spark, sf_dir):
+    w = W.partitionBy("query_id").orderBy("edge_id")
+    steps = road.edges(spark, sf_dir).withColumn("query_id", F.col("edge_from")).withColumn("i", F.row_number().over(w).cast("long"))
+    priced = routing.price_runs(routing.toll_runs(steps), {1: 2.95, 2: 1.95, 3: 1.95})
+    return priced.select("query_id", "toll_road", "first", "last", F.round("metres", 4).alias("metres"), F.round("fare", 4).alias("fare"))
+
+
+_PB = "fmod(degrees(atan2((lon2 - lon1) * cos(radians((lat1 + lat2) / 2)), lat2 - lat1)), 360)"
+
+
+@query(
+    f"WITH {sql.EDGE}, b AS (SELECT edge_id, edge_from, edge_to, class_rank, {_PB} AS bearing FROM v_edge), p AS (SELECT a.class_rank, fmod(b.bearing - a.bearing, 360) AS d0 FROM b a JOIN b ON a.edge_to = b.edge_from), q AS (SELECT class_rank, CASE WHEN d0 > 180 THEN d0 - 360 WHEN d0 <= -180 THEN d0 + 360 ELSE d0 END AS d FROM p), "
+    "t AS (SELECT class_rank, CASE WHEN abs(d) < 20 THEN 'straight' WHEN abs(d) >= 160 THEN 'u-turn' ELSE CASE WHEN abs(d) < 45 THEN 'slight-' WHEN abs(d) >= 120 THEN 'sharp-' ELSE 'turn-' END || CASE WHEN d > 0 THEN 'right' ELSE 'left' END END AS maneuver FROM q) SELECT class_rank, maneuver, count(*) AS n FROM t GROUP BY ALL"
+)
+def maneuver_census(spark, sf_dir):
+    e = road.edges(spark, sf_dir).withColumn("bearing", geo.planar_bearing(F.col("lat1"), F.col("lon1"), F.col("lat2"), F.col("lon2")))
+    pairs = graph.adjacency(e, "edge_from", "edge_to", "class_rank", "bearing")
+    kind = instructions.maneuver(geo.bearing_delta(F.col("bearing_in"), F.col("bearing_out")))
+    return pairs.groupBy(F.col("class_rank_in").alias("class_rank"), kind.alias("maneuver")).agg(F.count(F.lit(1)).alias("n"))
+
+
+# --- search -----------------------------------------------------------------------------------------------------
+
+_NORM = "trim(regexp_replace(regexp_replace(lower(name), '[^a-z0-9 ]', ' ', 'g'), ' +', ' ', 'g'))"
+_ASKED = f"v_n AS (SELECT *, {_NORM} AS norm, string_split({_NORM}, ' ') AS toks FROM v_place), v_asked AS (SELECT row_number() OVER (ORDER BY q) AS query_id, q FROM (SELECT norm AS q FROM v_n UNION SELECT left(norm, 4) FROM v_n))"
+
+
+def _index_and_queries(spark, sf_dir):
+    index = search.build_index(road.places(spark, sf_dir), strings.normalise_ascii(F.col("name")))
+    asked = index.select(F.col("norm").alias("q")).distinct().union(index.select(F.trim(F.substring("norm", 1, 4))).distinct()).distinct()
+    asked = asked.withColumn("query_id", F.xxhash64("q")).withColumns({"qlat": F.lit(None).cast("double"), "qlon": F.lit(None).cast("double")})
+    return index, asked
+
+
+@query(
+    f"WITH {sql.PLACE}, {_ASKED.replace('left(norm, 4)', 'trim(left(norm, 4))')}, m AS (SELECT q, place_id, name, importance, CASE WHEN norm = q THEN 40.0 WHEN starts_with(norm, q) THEN 25.0 WHEN len(list_filter(toks, lambda t: starts_with(t, q))) > 0 THEN 15.0 "
+    "WHEN len(list_filter(string_split(q, ' '), lambda x: len(list_filter(toks, lambda t: starts_with(t, x))) = 0)) = 0 THEN 5.0 END AS bonus FROM v_asked, v_n), r AS (SELECT q, place_id, name, (importance + bonus)::DOUBLE AS score, row_number() OVER (PARTITION BY q ORDER BY importance + bonus DESC, name, place_id) AS rank FROM m WHERE bonus IS NOT NULL) SELECT q, rank, place_id, name, score FROM r WHERE rank <= 10"
+)
+def place_search(spark, sf_dir):
+    index, asked = _index_and_queries(spark, sf_dir)
+    hits = search.search(index, asked, fuzzy=False).join(asked.select("query_id", "q"), "query_id")
+    return hits.select("q", F.col("rank").cast("long").alias("rank"), "place_id", "name", F.col("score").cast("double").alias("score"))
+
+
+@query()
+def place_search_fuzzy(spark, sf_dir):
+    """Every name with its first two letters swapped, near the place that is first of that name."""
+    index, _ = _index_and_queries(spark, sf_dir)
+    named = index.groupBy("norm").agg(F.min(F.struct("place_id", "lat", "lon")).alias("p"))
+    q = F.concat(F.substring("norm", 2, 1), F.substring("norm", 1, 1), F.expr("substring(norm, 3)"))
+    asked = named.select(F.xxhash64("norm").alias("query_id"), q.alias("q"), F.col("p.lat").alias("qlat"), F.col("p.lon").alias("qlon"))
+    hits = search.search(index, asked).join(asked.select("query_id", "q"), "query_id")
+    return hits.select("q", "rank", "place_id", "name", F.round("score", 6).alias("score"))
+
+
+@query("SELECT doc_id, array_to_string(regexp_extract_all(text, '[0-9]+'), ',') AS digits, regexp_matches(text, '[ऀ-ॿ]') AS devanagari FROM documents")
+def text_digits(spark, sf_dir):
+    d = road.read(spark, sf_dir, "documents")
+    return d.select("doc_id", strings.digits_of(F.col("text")).alias("digits"), strings.has_devanagari(F.col("text")).alias("devanagari"))
+
+
+@query(f"WITH {sql.PLACE}, {_ASKED}, t AS (SELECT unnest(toks) AS token, place_id FROM v_n) SELECT token, count(*) AS places, least(2, greatest(1, floor(length(token) * 0.25)))::INT AS budget FROM t GROUP BY token")
+def place_tokens(spark, sf_dir):
+    index, _ = _index_and_queries(spark, sf_dir)
+    t = index.select(F.explode("toks").alias("token"))
+    return t.groupBy("token").agg(F.count(F.lit(1)).alias("places")).withColumn("budget", strings.fuzzy_budget(F.length("token"), 2))
+
+
+@query(f"WITH {sql.PLACE}, c AS (SELECT unnest(string_split(name, '')) AS ch FROM v_place UNION ALL SELECT unnest(string_split(name, '')) FROM (SELECT n_name AS name FROM nation)) SELECT ch, count(*) AS uses FROM c WHERE ch <> '' GROUP BY ch")
+def glyph_coverage(spark, sf_dir):
+    names = road.places(spark, sf_dir).select("name").union(road.read(spark, sf_dir, "nation").select("n_name"))
+    return names.select(F.explode(F.split("name", "")).alias("ch")).filter("ch <> ''").groupBy("ch").agg(F.count(F.lit(1)).alias("uses"))
+
+
+# --- tracking ---------------------------------------------------------------------------------------------------
+
+_RN = f"{sql.FIX}, f AS (SELECT *, (epoch_us(ts) // 1000) AS t_ms, row_number() OVER (PARTITION BY device_id ORDER BY (epoch_us(ts) // 1000), fix_id) AS rn FROM v_fix)"
+_LATE = "f.t_ms <= r.last_t"
+_FAST = f"greatest(0, {sql.haversine('r.la', 'r.lo', 'f.lat', 'f.lon')} - (r.acc + f.accuracy_m)) / ((f.t_ms - r.last_t) / 1000) * 3.6::DOUBLE > 150"
+_VERDICT = f"CASE WHEN r.last_t IS NOT NULL AND {_LATE} THEN 'out-of-order' WHEN NOT f.accuracy_m <= 40 THEN 'inaccurate' WHEN r.last_t IS NOT NULL AND {_FAST} THEN 'implausible-speed' ELSE 'ok' END"
+
+
+@query(
+    f"WITH RECURSIVE {_RN}, r AS (SELECT device_id, fix_id, rn, v AS verdict, CASE WHEN v = 'ok' THEN t_ms END AS last_t, CASE WHEN v = 'ok' THEN lat END AS la, CASE WHEN v = 'ok' THEN lon END AS lo, CASE WHEN v = 'ok' THEN accuracy_m END AS acc FROM (SELECT *, CASE WHEN accuracy_m <= 40 THEN 'ok' ELSE 'inaccurate' END AS v FROM f WHERE rn = 1) "
+    f"UNION ALL SELECT device_id, fix_id, rn, v, CASE WHEN v = 'ok' THEN t_ms ELSE last_t END, CASE WHEN v = 'ok' THEN lat ELSE la END, CASE WHEN v = 'ok' THEN lon ELSE lo END, CASE WHEN v = 'ok' THEN accuracy_m ELSE acc END FROM (SELECT f.*, r.last_t, r.la, r.lo, r.acc, {_VERDICT} AS v FROM r JOIN f ON f.device_id = r.device_id AND f.rn = r.rn + 1)) SELECT device_id, fix_id, verdict FROM r"
+)
+def judge_fixes(spark, sf_dir):
+    return tracking.judge_fixes(road.fixes(spark, sf_dir)).select("device_id", "fix_id", "verdict")
+
+
+@query(f"WITH {_RN}, g AS (SELECT a.device_id, a.fix_id, max(b.rn) AS rn FROM f a JOIN f b ON a.device_id = b.device_id AND b.rn BETWEEN a.rn - 15 AND a.rn - 1 AND {sql.haversine('b.lat', 'b.lon', 'a.lat', 'a.lon')} >= 25 GROUP BY ALL) SELECT f.device_id, f.fix_id, o.fix_id AS from_fix FROM f LEFT JOIN g ON f.fix_id = g.fix_id LEFT JOIN f o ON o.device_id = g.device_id AND o.rn = g.rn")
+def heading_origins(spark, sf_dir):
+    return tracking.headings(road.fixes(spark, sf_dir)).select("device_id", "fix_id", "from_fix")
+
+
+@query(f"WITH RECURSIVE {_RN}, r AS (SELECT device_id, fix_id, rn, speed_mps AS speed FROM f WHERE rn = 1 UNION ALL SELECT f.device_id, f.fix_id, f.rn, r.speed * 0.7::DOUBLE + f.speed_mps * (1 - 0.7::DOUBLE) FROM r JOIN f ON f.device_id = r.device_id AND f.rn = r.rn + 1) SELECT device_id, fix_id, round(speed, 6) AS speed FROM r")
+def smoothed_speed(spark, sf_dir):
+    return tracking.smoothed_speed(road.fixes(spark, sf_dir)).withColumn("speed", F.round("speed", 6))
+
+
+@query(f"WITH {_RN}, s AS (SELECT *, coalesce({sql.haversine('lag(lat) OVER w', 'lag(lon) OVER w', 'lat', 'lon')}, 0) AS step_m FROM f WINDOW w AS (PARTITION BY device_id ORDER BY rn)) SELECT device_id, fix_id, round(step_m, 4) AS step_m, round(sum(step_m) OVER (PARTITION BY device_id ORDER BY rn ROWS UNBOUNDED PRECEDING), 3) AS travelled_m FROM s")
+def travelled_metres(spark, sf_dir):
+    return tracking.cumulative(road.fixes(spark, sf_dir)).select("device_id", "fix_id", F.round("step_m", 4).alias("step_m"), F.round("travelled_m", 3).alias("travelled_m"))
+
+
+@query(
+    f"WITH {sql.FIX}, s AS (SELECT device_id, (epoch_us(ts) // 1000) AS t_ms, fix_id * 7 % 61 AS offset_m FROM v_fix), o AS (SELECT *, offset_m > 30 AS away, sum(CASE WHEN offset_m > 30 THEN 0 ELSE 1 END) OVER (PARTITION BY device_id ORDER BY t_ms) AS stay FROM s), q AS (SELECT *, min(t_ms) OVER (PARTITION BY device_id, stay) AS since FROM o WHERE away) SELECT device_id, min(t_ms) AS alarm_ms FROM q WHERE t_ms - since >= 3000 GROUP BY device_id, stay"
+)
+def off_route_alarms(spark, sf_dir):
+    f = road.fixes(spark, sf_dir).select("device_id", F.unix_millis(F.col("ts").cast("timestamp")).alias("t_ms"), (F.col("fix_id") * 7 % 61).alias("offset_m"))
+    return tracking.off_route(f)
+
+
+@query()
+def match_traces(spark, sf_dir):
+    fixes, edges = road.fixes(spark, sf_dir), road.edges(spark, sf_dir)
+    shapes = road.shapes(edges).withColumn("edge_bearing", geo.bearing(F.col("alat"), F.col("alon"), F.col("blat"), F.col("blon")))
+    near = spatial.candidates(fixes, shapes, MATCH_M, 8, "fix_id", "edge_id").select("fix_id", "edge_id", "distance_m", (F.col("alat") + F.col("t") * (F.col("blat") - F.col("alat"))).alias("flat"), (F.col("alon") + F.col("t") * (F.col("blon") - F.col("alon"))).alias("flon"), "edge_bearing")
+    return tracking.match_traces(fixes, near).withColumn("probability", F.round("probability", 6))
+
+
+@query(
+    "WITH i AS (SELECT l_suppkey AS supplier, epoch_us(l_shipdate) // 86400000000 AS day, epoch_us(l_shipdate) // 86400000000 + floor(l_quantity / 4)::BIGINT AS until FROM lineitem), m AS (SELECT *, max(until) OVER (PARTITION BY supplier ORDER BY day, until ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM i), "
+    "n AS (SELECT *, sum(CASE WHEN reach IS NULL OR day > reach THEN 1 ELSE 0 END) OVER (PARTITION BY supplier ORDER BY day, until ROWS UNBOUNDED PRECEDING) AS run FROM m) SELECT supplier, min(day) AS day, max(until) AS until FROM n GROUP BY supplier, run"
+)
+def merged_intervals(spark, sf_dir):
+    day = F.floor(F.unix_millis(F.col("l_shipdate").cast("timestamp")) / 86400000).cast("long")
+    rows = road.read(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("supplier"), day.alias("day"), (day + F.floor(F.col("l_quantity") / 4).cast("long")).alias("until"))
+    return tracking.merged_intervals(rows, "supplier", "day", "until")
+
+
+# --- analytics --------------------------------------------------------------------------------------------------
+
+
+@query(f"WITH {sql.EDGE}, l AS (SELECT class_rank, list_sort(list(length_m)) AS v FROM v_edge GROUP BY class_rank) SELECT class_rank, " + ", ".join(f"round(v[least(len(v) - 1, floor({q} * len(v))::BIGINT) + 1], 4) AS q{int(q * 100)}" for q in (0.1, 0.5, 0.9)) + " FROM l")
+def length_quantiles(spark, sf_dir):
+    q = analytics.quantile_floor(road.edges(spark, sf_dir), ["class_rank"], "length_m", (0.1, 0.5, 0.9))
+    return q.select("class_rank", *[F.round(c, 4).alias(c) for c in ("q10", "q50", "q90")])
+
+
+@query(f"WITH {sql.EDGE} SELECT count(*) AS n, round(quantile_cont(secs / drive_s, 0.5), 6) AS median_ratio, round(sum(secs) / sum(drive_s), 6) AS total_ratio FROM v_edge")
+def cost_ratios(spark, sf_dir):
+    r = analytics.paired_ratios(graph.costs(road.edges(spark, sf_dir)), "edge_id", "drive_s", "secs")
+    return r.select("n", F.round("median_ratio", 6).alias("median_ratio"), F.round("total_ratio", 6).alias("total_ratio"))
+
+
+@query(f"WITH {sql.EDGE}, r AS (SELECT class_rank, secs, row_number() OVER (PARTITION BY class_rank ORDER BY length_m, edge_id) - 1 AS i, count(*) OVER (PARTITION BY class_rank) AS n FROM v_edge) SELECT class_rank, least(3, i // greatest(1, n // 4))::INT AS quarter, count(*) AS n, round(avg(secs), 5) AS mean FROM r GROUP BY ALL")
+def cost_quarters(spark, sf_dir):
+    return analytics.quarters(graph.costs(road.edges(spark, sf_dir)), ["class_rank"], "length_m", "secs", "edge_id").withColumn("mean", F.round("mean", 5))
+
+
+@query(f"WITH {sql.EDGE}, s AS (SELECT toll_road, class_rank, sum(length_m) AS amount FROM v_edge GROUP BY ALL) SELECT toll_road, class_rank, round(amount, 3) AS amount, round(amount / sum(amount) OVER (PARTITION BY toll_road), 7) AS share FROM s")
+def class_shares(spark, sf_dir):
+    s = analytics.shares(road.edges(spark, sf_dir), ["toll_road"], "class_rank", "length_m")
+    return s.select("toll_road", "class_rank", F.round("amount", 3).alias("amount"), F.round("share", 7).alias("share"))
+
+
+_KM = list(PLAZA_KM)
+
+
+@query(f"WITH e AS (SELECT (o_orderkey * 13 % 140000) / 1000 AS km FROM orders), s AS (SELECT km, list_min(list_filter(range({len(_KM) - 1}), lambda i: km >= ({_KM}::DOUBLE[])[i + 1] AND km <= ({_KM}::DOUBLE[])[i + 2]))::INT AS span FROM e) SELECT span, count(*) AS n, round(min(km), 3) AS lo, round(max(km), 3) AS hi FROM s GROUP BY span")
+def chainage_spans(spark, sf_dir):
+    e = road.read(spark, sf_dir, "orders").select((F.col("o_orderkey") * 13 % 140000 / 1000).alias("km"))
+    return analytics.spans(e, _KM, "km").groupBy("span").agg(F.count(F.lit(1)).alias("n"), F.round(F.min("km"), 3).alias("lo"), F.round(F.max("km"), 3).alias("hi"))
+
+
+@query("SELECT user_id, arg_max(value, (ts, event_id)) AS value FROM events GROUP BY user_id")
+def newest_values(spark, sf_dir):
+    return analytics.newest(road.read(spark, sf_dir, "events"), "user_id", ["ts", "event_id"], "value")
+
+
+@query("WITH o AS (SELECT user_id, ts, CASE WHEN ts >= lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 2 HOUR THEN 1 ELSE 0 END AS fresh FROM events), s AS (SELECT user_id, ts, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS run FROM o) SELECT user_id, count(*) AS events, max(ts) AS last FROM s GROUP BY user_id, run")
+def quiet_sessions(spark, sf_dir):
+    return analytics.quiet_sessions(road.read(spark, sf_dir, "events"), "user_id", "ts", "2 hours").select("user_id", "events", "last")
+
+
+@query(f"WITH {RAW}, a AS (SELECT DISTINCT node_id FROM v_raw WHERE extract = 0), b AS (SELECT DISTINCT node_id FROM v_raw WHERE extract = 1) SELECT node_id, 'left' AS side FROM a WHERE node_id NOT IN (SELECT node_id FROM b) UNION ALL SELECT node_id, 'right' FROM b WHERE node_id NOT IN (SELECT node_id FROM a)")
+def extract_difference(spark, sf_dir):
+    raw = road.raw_ways(spark, sf_dir)
+    a, b = (raw.filter(F.col("extract") == x).select("node_id").distinct() for x in (0, 1))
+    return analytics.set_difference(a, b)
+
+
+@query(f"WITH {sql.EDGE} SELECT edge_from AS vertex_id FROM v_edge WHERE toll_road <> 0 INTERSECT SELECT edge_from FROM v_edge WHERE toll_road = 0")
+def toll_boundary(spark, sf_dir):
+    e = road.edges(spark, sf_dir)
+    return e.filter("toll_road <> 0").select(F.col("edge_from").alias("vertex_id")).intersect(e.filter("toll_road = 0").select("edge_from"))
+
+
+@query(f"WITH v AS (SELECT c_custkey AS vertex_id, c_custkey % 40 AS line, {sql.lat('c_custkey')} / 1e7 AS lat, {sql.lon('c_custkey')} / 1e7 AS lon FROM customer), s AS (SELECT *, coalesce({sql.haversine('lag(lat) OVER w', 'lag(lon) OVER w', 'lat', 'lon')}, 0) AS step FROM v WINDOW w AS (PARTITION BY line ORDER BY lat, vertex_id)) SELECT vertex_id, line, round(step, 4) AS step_m, round(sum(step) OVER (PARTITION BY line ORDER BY lat, vertex_id ROWS UNBOUNDED PRECEDING), 3) AS along_m FROM s")
+def chord_spacing(spark, sf_dir):
+    w = W.partitionBy("line").orderBy("lat", "vertex_id")
+    v = road.vertices(spark, sf_dir).withColumn("line", F.col("vertex_id") % 40)
+    v = v.withColumn("step", F.coalesce(geo.haversine(F.lag("lat").over(w), F.lag("lon").over(w), F.col("lat"), F.col("lon")), F.lit(0.0)))
+    return v.select("vertex_id", "line", F.round("step", 4).alias("step_m"), F.round(F.sum("step").over(w.rowsBetween(W.unboundedPreceding, 0)), 3).alias("along_m"))
+
+
+@query(f"WITH {sql.EDGE} SELECT class_rank, edge_id, round(secs, 5) AS secs FROM v_edge QUALIFY row_number() OVER (PARTITION BY class_rank ORDER BY secs DESC, edge_id) <= 5")
+def costliest_edges(spark, sf_dir):
+    w = W.partitionBy("class_rank").orderBy(F.desc("secs"), "edge_id")
+    e = graph.costs(road.edges(spark, sf_dir)).withColumn("turn", F.row_number().over(w)).filter("turn <= 5")
+    return e.select("class_rank", "edge_id", F.round("secs", 5).alias("secs"))
+
+
+@query(f"WITH {RAW}, l AS (SELECT l_orderkey AS way_id, l_linenumber AS pos, l_partkey, l_suppkey, l_linestatus AS kind, l_returnflag AS flag FROM lineitem), o AS (SELECT *, lag(kind) OVER (PARTITION BY way_id ORDER BY pos, l_partkey, l_suppkey, flag, kind) AS before FROM l) SELECT way_id, count(*) AS changes FROM o WHERE before <> kind GROUP BY way_id")
+def file_order(spark, sf_dir):
+    li = road.read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("way_id"), F.col("l_linenumber").alias("pos"), "l_partkey", "l_suppkey", F.col("l_returnflag").alias("flag"), F.col("l_linestatus").alias("kind"))
+    return ingest.out_of_order(li, "way_id", ["pos", "l_partkey", "l_suppkey", "flag", "kind"], "kind").groupBy("way_id").agg(F.count(F.lit(1)).alias("changes"))
+
+
+_SWEEP = {"base": 1.0, "slow": 0.9, "fast": 1.25}
+
+
+@query(
+    f"WITH {sql.EDGE}, s AS (SELECT edge_id, scenario, length_m / (greatest(1, least(255, floor(speed_kmh * factor + 0.5))) / 3.6::DOUBLE) AS secs FROM v_edge, (VALUES " + ", ".join(f"('{k}', {v}::DOUBLE)" for k, v in _SWEEP.items()) + ") AS c(scenario, factor)), "
+    "j AS (SELECT s.scenario, s.secs - b.secs AS d FROM s JOIN s b ON s.edge_id = b.edge_id AND b.scenario = 'base' WHERE s.scenario <> 'base') SELECT scenario, count(*) AS pairs, count(*) FILTER (abs(d) > 1) AS moved, count(*) FILTER (d < -1) AS better, count(*) FILTER (d > 1) AS worse, round(avg(d), 6) AS mean_delta FROM j GROUP BY scenario"
+)
+def speed_sweep(spark, sf_dir):
+    factors = F.explode(F.create_map(*[F.lit(x) for p in _SWEEP.items() for x in p])).alias("scenario", "factor")
+    e = road.edges(spark, sf_dir).select("edge_id", "length_m", "speed_kmh", factors)
+    e = e.withColumn("secs", F.col("length_m") / (F.greatest(F.lit(1), F.least(F.lit(255), F.floor(F.col("speed_kmh") * F.col("factor") + 0.5))) / F.lit(3.6)))
+    return analytics.scenario_deltas(e, "base", "scenario", "edge_id", "secs", 1.0).withColumn("mean_delta", F.round("mean_delta", 6))
