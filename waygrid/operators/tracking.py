@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from itertools import groupby
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -101,23 +102,27 @@ def match_traces(fixes: DataFrame, candidates: DataFrame, cfg: Tracking = Tracki
     rows = fixes.select("device_id", "fix_id", "ts", "lat", "lon", "accuracy_m", "heading_deg").join(candidates, "fix_id")
 
     def viterbi(f: pd.DataFrame) -> pd.DataFrame:
-        before, score = None, {}
-        for _, layer in f.sort_values(["ts", "fix_id", "distance_m", "edge_id"]).groupby(["ts", "fix_id"], sort=True):
-            gap = (layer["heading_deg"] - layer["edge_bearing"]).abs() % 360
-            layer = layer[layer["heading_deg"].isna() | (gap.where(gap <= 180, 360 - gap) <= cfg.heading_gate_deg)]
-            if layer.empty:
-                continue
-            now = {}
-            for r in layer.itertuples():
-                log_p = -0.5 * (r.distance_m / max(cfg.sigma_floor_m, r.accuracy_m)) ** 2
-                if before is not None:
-                    fix_m = metres(before.lat.iat[0], before.lon.iat[0], r.lat, r.lon)
-                    log_p += max(score[p.edge_id] - abs(metres(p.flat, p.flon, r.flat, r.flon) - fix_m) / cfg.transition_m for p in before.itertuples())
-                now[r.edge_id] = log_p
-            before, score = layer, now
-        if not score:
+        f = f.sort_values(["ts", "fix_id", "distance_m", "edge_id"])
+        columns = [f[c].tolist() for c in ("fix_id", "lat", "lon", "accuracy_m", "heading_deg", "edge_id", "distance_m", "flat", "flon", "edge_bearing")]
+        before, at = [], None  # the last layer's (edge, log probability, foot), and its fix
+        for _, layer in groupby(zip(*columns), key=lambda r: r[0]):
+            now = []
+            for _, lat, lon, accuracy, heading, edge, distance, flat, flon, edge_bearing in layer:
+                if heading is not None and not math.isnan(heading):
+                    gap = abs(heading - edge_bearing) % 360
+                    if min(gap, 360 - gap) > cfg.heading_gate_deg:
+                        continue
+                log_p = -0.5 * (distance / max(cfg.sigma_floor_m, accuracy)) ** 2
+                if before:
+                    moved = metres(*at, lat, lon)
+                    log_p += max(p - abs(metres(x, y, flat, flon) - moved) / cfg.transition_m for _, p, x, y in before)
+                now.append((edge, log_p, flat, flon))
+                here = lat, lon
+            if now:
+                before, at = now, here
+        if not before:
             return pd.DataFrame({"device_id": [], "edge_id": [], "probability": []})
-        edge = max(score, key=score.get)
-        return pd.DataFrame({"device_id": [f["device_id"].iat[0]], "edge_id": [edge], "probability": [1 / sum(math.exp(s - score[edge]) for s in score.values())]})
+        edge, best = max(((e, p) for e, p, _, _ in before), key=lambda x: x[1])
+        return pd.DataFrame({"device_id": [f["device_id"].iat[0]], "edge_id": [edge], "probability": [1 / sum(math.exp(p - best) for _, p, _, _ in before)]})
 
     return rows.groupBy("device_id").applyInPandas(viterbi, "device_id bigint, edge_id bigint, probability double")

@@ -426,9 +426,9 @@ def heading_origins(spark, sf_dir):
     return tracking.headings(road.fixes(spark, sf_dir)).select("device_id", "fix_id", "from_fix")
 
 
-@query(f"WITH RECURSIVE {_RN}, r AS (SELECT device_id, fix_id, rn, speed_mps AS speed FROM f WHERE rn = 1 UNION ALL SELECT f.device_id, f.fix_id, f.rn, r.speed * 0.7::DOUBLE + f.speed_mps * (1 - 0.7::DOUBLE) FROM r JOIN f ON f.device_id = r.device_id AND f.rn = r.rn + 1) SELECT device_id, fix_id, round(speed, 6) AS speed FROM r")
+@query(f"WITH RECURSIVE {_RN}, r AS (SELECT device_id, fix_id, rn, speed_mps AS speed FROM f WHERE rn = 1 UNION ALL SELECT f.device_id, f.fix_id, f.rn, r.speed * 0.7::DOUBLE + f.speed_mps * (1 - 0.7::DOUBLE) FROM r JOIN f ON f.device_id = r.device_id AND f.rn = r.rn + 1) SELECT device_id, fix_id, floor(speed * 10000) / 10000 AS speed FROM r")
 def smoothed_speed(spark, sf_dir):
-    return tracking.smoothed_speed(road.fixes(spark, sf_dir)).withColumn("speed", F.round("speed", 6))
+    return tracking.smoothed_speed(road.fixes(spark, sf_dir)).withColumn("speed", F.floor(F.col("speed") * 10000) / 10000)
 
 
 @query(f"WITH {_RN}, s AS (SELECT *, coalesce({sql.haversine('lag(lat) OVER w', 'lag(lon) OVER w', 'lat', 'lon')}, 0) AS step_m FROM f WINDOW w AS (PARTITION BY device_id ORDER BY rn)) SELECT device_id, fix_id, round(step_m, 4) AS step_m, round(sum(step_m) OVER (PARTITION BY device_id ORDER BY rn ROWS UNBOUNDED PRECEDING), 3) AS travelled_m FROM s")
