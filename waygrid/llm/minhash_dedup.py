@@ -6,16 +6,17 @@ words (with fewer words: all of them as one). Documents link where 100 * interse
 1. One pass gives each document a 128-bit fingerprint of its set and the minima of HASHES universal hashes. Documents
    of one set form a class and go on as one row, so thousands of copies cost as much as one.
 2. BANDS bands of ROWS minima give bucket keys. Each bucket links its classes with one pivot, a different one in each
-   band: never all pairs. Signatures that are too far apart and sizes that rule a link out drop a pair; the rest are
-   confirmed on full sets, rebuilt from the texts of the classes that have such a pair.
+   band: never all pairs. Sizes that rule a link out drop a pair; the rest are confirmed on full sets, which are
+   rebuilt once, from one text of each class that shares a bucket.
 3. Components of the confirmed links come from alternating large-star and small-star.
 4. A pivot may miss links between the others of its bucket. So buckets that still hold several components are compared
-   in blocks of at most BLOCK classes: signatures of classes in different components, then full sets as before, then
-   components again. A pair of one component is not compared, as nothing can change. No link that shares a bucket is
-   lost; a link of similarity 0.75 shares none with a chance of (1 - 0.75^ROWS)^BANDS, 2e-6.
+   in pairs of blocks of at most about BLOCK classes and BLOCK_SHINGLES shingles: classes of different components whose
+   sizes allow a link and whose signatures agree, then their full sets; then components again. A pair of one component
+   is not compared, as nothing can change. No link that shares a bucket is lost; a link of similarity 0.75 shares none
+   with a chance of (1 - 0.75^ROWS)^BANDS, 2e-6.
 
-Signatures estimate similarity with a deviation of at most 0.055, and estimates under MARGIN below the threshold (four
-deviations) are dropped before full sets are read.
+Signatures estimate similarity with a deviation of at most 0.055; estimates MARGIN (four deviations) below the
+threshold or lower are not looked at further.
 
 A document without words (null, empty or blank text) has no set and links with nothing. Repeated rows and null
 doc_ids are members like others; the component's id is its smallest doc_id that is not null.
@@ -38,7 +39,7 @@ SHINGLE, PERCENT = 5, 75
 ROWS, BANDS = 3, 24
 HASHES = ROWS * BANDS
 MARGIN = 0.22
-BLOCK = 512
+BLOCK, BLOCK_SHINGLES = 512, 1 << 21
 
 _A, _B = keyed(HASHES, 11) | np.uint64(1), keyed(HASHES, 12)
 
@@ -113,96 +114,103 @@ def _bands(classes: DataFrame) -> DataFrame:
     return classes.select(F.explode(keys).alias("band"), F.col("set_id").alias("node"), "n")
 
 
-def confirm(pairs: DataFrame, classes: DataFrame, docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """The pairs (u, v) of sets that reach the threshold on their full sets, which are rebuilt from one text each."""
-    used = pairs.select(F.col("u").alias("set_id")).union(pairs.select(F.col("v").alias("set_id"))).distinct()
-    wanted = classes.join(used, "set_id").select("set_id", "any_id")
+def _shared_buckets(classes: DataFrame) -> DataFrame:
+    """Memberships of buckets that hold two classes or more, with the bucket's pivot: (band, node, n, pivot, pn).
+
+    The pivot comes first in the band's own order, so different bands have different pivots."""
+    bands = _bands(classes)
+    first = F.min(F.struct(F.xxhash64("band", "node").alias("turn"), F.col("node").alias("pivot"), F.col("n").alias("pn"))).alias("p")
+    held = bands.groupBy("band").agg(F.count(F.lit(1)).alias("held"), first).filter("held > 1").select(F.col("band").alias("in_band"), "p.pivot", "p.pn")
+    return bands.join(held, F.col("band") == F.col("in_band")).select("band", "node", "n", "pivot", "pn")
+
+
+def _full_sets(nodes: DataFrame, classes: DataFrame, docs: DataFrame, *, text: str, doc_id: str) -> DataFrame:
+    """(node, members) for the classes that share a bucket, rebuilt from one text each."""
+    wanted = classes.join(nodes, F.col("set_id") == F.col("node")).select("set_id", "any_id")
     texts = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
     found = texts.join(wanted, F.col("doc_id").eqNullSafe(F.col("any_id"))).select("set_id", "text")
 
     def build(batch, _):
         grams, first = shingle_sets(batch.column(1))
         ids = fingerprints(grams, first)
-        wanted = batch.column(2).to_pylist()
-        mine = np.array([ids[i].tobytes() == w for i, w in enumerate(wanted)], bool)  # another row may share the doc_id
-        data = grams.tobytes()
-        return [pa.array(mine), pa.array([data[8 * first[i] : 8 * first[i + 1]] for i in range(len(mine))], pa.binary())]
-
-    sets = map_texts(found, build, "mine boolean, members binary", keep=["set_id"], more=[F.col("set_id")]).filter("mine").select("doc.set_id", "members")
-    sets = cut(sets.groupBy("set_id").agg(F.first("members").alias("members")))
-
-    def test(batches):
-        for batch in batches:
-            a, b = batch.column(2).to_pylist(), batch.column(3).to_pylist()
-            keep = []
-            for x, y in zip(a, b):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                at = np.minimum(np.searchsorted(x, y), len(x) - 1)
-                shared = int((x[at] == y).sum())
-                keep.append(100 * shared >= PERCENT * (len(x) + len(y) - shared))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(keep, pa.bool_())], ["u", "v", "linked"])
-
-    left, right = sets.select(F.col("set_id").alias("u"), F.col("members").alias("a")), sets.select(F.col("set_id").alias("v"), F.col("members").alias("b"))
-    both = pairs.select("u", "v").join(left, "u").join(right, "v").select("u", "v", "a", "b")
-    return both.mapInArrow(test, "u binary, v binary, linked boolean").filter("linked").select("u", "v")
-
-
-def _pivot_pairs(bands: DataFrame) -> DataFrame:
-    """Each bucket's classes with its pivot, the one that comes first in the band's own order."""
-    pivots = bands.groupBy("band").agg(F.count(F.lit(1)).alias("held"), F.min(F.struct(F.xxhash64("band", "node").alias("turn"), F.col("node").alias("pivot"), F.col("n").alias("pn"))).alias("p")).filter("held > 1")
-    pairs = bands.join(pivots.select(F.col("band").alias("in_band"), "p.pivot", "p.pn"), F.col("band") == F.col("in_band")).filter(F.col("node") != F.col("pivot")).filter(_may_link("n", "pn"))
-    return pairs.select(F.greatest("node", "pivot").alias("u"), F.least("node", "pivot").alias("v")).distinct()
-
-
-def _similar_across(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Pairs of two blocks of one bucket in different components whose sizes and signatures allow a link."""
+        mine = [ids[i].tobytes() == w for i, w in enumerate(batch.column(2).to_pylist())]  # another row may share the doc_id
+        return [pa.array(mine, pa.bool_()), pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(grams.view(np.int64)))]
+
+    sets = map_texts(found, build, "mine boolean, members array<bigint>", keep=["set_id"], more=[F.col("set_id")]).filter("mine")
+    return sets.groupBy(F.col("doc.set_id").alias("of")).agg(F.first("members").alias("members"))
+
+
+def _pivot_links(shared: DataFrame, sets: DataFrame) -> DataFrame:
+    """Confirmed links (u, v) of each bucket's classes with its pivot."""
+    pairs = shared.filter(F.col("node") != F.col("pivot")).filter(_may_link("n", "pn")).select(F.greatest("node", "pivot").alias("u"), F.least("node", "pivot").alias("v")).distinct()
+    a, b = sets.select(F.col("of").alias("u"), F.col("members").alias("a")), sets.select(F.col("of").alias("v"), F.col("members").alias("b"))
+    both = pairs.join(a, "u").join(b, "v").withColumn("shared", F.size(F.array_intersect("a", "b")))
+    return both.filter(100 * F.col("shared") >= PERCENT * (F.size("a") + F.size("b") - F.col("shared"))).select("u", "v")
+
+
+def _links_across(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Confirmed links between different components of two blocks of one bucket. Components that a link has joined
+    are not compared again, so a block returns fewer links than it has classes."""
     both = bool(pdf["i"].iat[0] == pdf["j"].iat[0])
     left = pdf if both else pdf[pdf["mine"] == pdf["i"]]
     right = pdf if both else pdf[pdf["mine"] == pdf["j"]]
     sig = [np.frombuffer(b"".join(x["signature"]), np.uint32).reshape(-1, HASHES) for x in (left, right)]
     n = [x["n"].to_numpy() for x in (left, right)]
-    root = pd.factorize(pd.concat([left["root"], right["root"]]))[0]
-    root = root[: len(left)], root[len(left) :]
+    members = [[np.sort(m) for m in x["members"]] for x in (left, right)]
     node = left["node"].to_numpy(), right["node"].to_numpy()
+    root = pd.factorize(pd.concat([left["root"], right["root"]]))[0].copy()
+    mine, others = root[: len(left)], root[len(left) :]  # views, so that a join shows in both
+    if both:
+        others = mine
     u, v = [], []
     for k in range(len(left)):
-        ok = (root[1] != root[0][k]) & (100 * np.minimum(n[1], n[0][k]) >= PERCENT * np.maximum(n[1], n[0][k]))
+        ok = (others != mine[k]) & (100 * np.minimum(n[1], n[0][k]) >= PERCENT * np.maximum(n[1], n[0][k]))
         if both:
             ok[: k + 1] = False
         at = np.flatnonzero(ok)
-        if len(at):
-            at = at[(sig[1][at] == sig[0][k]).mean(1) >= PERCENT / 100 - MARGIN]
-            u += [node[0][k]] * len(at)
-            v += list(node[1][at])
-    return pd.DataFrame({"u": [max(x) for x in zip(u, v)], "v": [min(x) for x in zip(u, v)]})
-
-
-def _cross_pairs(bands: DataFrame, classes: DataFrame, roots: DataFrame) -> DataFrame:
-    """Candidates between different components of a bucket, from blocks of bounded size."""
-    placed = bands.join(roots, F.col("node") == F.col("of"), "left").select("band", "node", "n", F.coalesce("root", "node").alias("root"))
-    mixed = placed.groupBy("band").agg(F.count(F.lit(1)).alias("held"), F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi")
-    mixed = mixed.select(F.col("band").alias("in_band"), F.ceil(F.col("held") / BLOCK).cast("int").alias("blocks"))
-    members = placed.join(mixed, F.col("band") == F.col("in_band"))
-    members = members.join(classes.select(F.col("set_id").alias("sid"), "signature"), F.col("node") == F.col("sid"))
-    mine = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    blocks = F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: F.struct(F.least(x, F.col("mine")).alias("i"), F.greatest(x, F.col("mine")).alias("j")))).alias("pair")
-    dealt = members.withColumn("mine", mine).select("band", "node", "n", "root", "signature", "mine", blocks).select("band", "node", "n", "root", "signature", "mine", "pair.i", "pair.j")
-    return dealt.groupBy("band", "i", "j").applyInPandas(_similar_across, "u binary, v binary").distinct()
+        if not len(at):
+            continue
+        alike = (sig[1][at] == sig[0][k]).mean(1)
+        x = members[0][k]
+        for i in at[np.argsort(-alike, kind="stable")[: int((alike >= PERCENT / 100 - MARGIN).sum())]]:
+            if others[i] == mine[k]:
+                continue
+            y = members[1][i]
+            place = np.minimum(np.searchsorted(x, y), len(x) - 1)
+            common = int((x[place] == y).sum())
+            if 100 * common >= PERCENT * (len(x) + len(y) - common):
+                u.append(max(node[0][k], node[1][i]))
+                v.append(min(node[0][k], node[1][i]))
+                root[root == others[i]] = mine[k]
+    return pd.DataFrame({"u": u, "v": v})
+
+
+def _cross_links(shared: DataFrame, classes: DataFrame, sets: DataFrame, roots: DataFrame) -> DataFrame:
+    """Confirmed links between different components of a bucket, from blocks of bounded numbers and bytes."""
+    placed = shared.join(roots, F.col("node") == F.col("in_root"), "left").select("band", "node", "n", F.coalesce("root", "node").alias("root"))
+    mixed = placed.groupBy("band").agg(F.count(F.lit(1)).alias("held"), F.sum("n").alias("total"), F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi")
+    blocks = F.greatest(F.ceil(F.col("held") / BLOCK), F.ceil(F.col("total") / BLOCK_SHINGLES)).cast("int")
+    members = placed.join(mixed.select(F.col("band").alias("in_band"), blocks.alias("blocks")), F.col("band") == F.col("in_band"))
+    members = members.withColumn("mine", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    pair = F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: F.struct(F.least(x, F.col("mine")).alias("i"), F.greatest(x, F.col("mine")).alias("j")))).alias("pair")
+    full = classes.select(F.col("set_id").alias("sid"), "signature").join(sets, F.col("sid") == F.col("of"))
+    dealt = members.join(full, F.col("node") == F.col("sid")).select("band", "node", "n", "root", "signature", "members", "mine", pair)
+    dealt = dealt.select("band", "node", "n", "root", "signature", "members", "mine", "pair.i", "pair.j")
+    return dealt.groupBy("band", "i", "j").applyInPandas(_links_across, "u binary, v binary").distinct()
 
 
 def near_duplicates(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """One row a document: doc_id, n_shingles, component_id (the smallest doc_id reachable by links) and kept."""
     base = cut(sketches(docs, text=text, doc_id=doc_id))
     classes = cut(base.filter("set_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("any_id"), F.first("n_shingles").alias("n"), F.first("signature").alias("signature")))
-    bands = _bands(classes)
-    first = confirm(_pivot_pairs(bands), classes, docs, text=text, doc_id=doc_id)
-    first = cut(first)
-    roots = cut(components(first)).select(F.col("node").alias("of"), "root")
-    crossed = cut(_cross_pairs(bands, classes, roots))
-    links = first.union(cut(confirm(crossed, classes, docs, text=text, doc_id=doc_id))) if crossed.take(1) else first
-    if links is not first:
-        roots = components(links).select(F.col("node").alias("of"), "root")
-    named = classes.select("set_id", "any_id").join(roots, F.col("set_id") == F.col("of"), "left").select("set_id", "any_id", F.coalesce("root", "set_id").alias("root"))
+    shared = cut(_shared_buckets(classes))
+    sets = cut(_full_sets(shared.select("node").distinct(), classes, docs, text=text, doc_id=doc_id))
+    links = cut(_pivot_links(shared, sets))
+    roots = cut(components(links))
+    across = cut(_cross_links(shared, classes, sets, roots.select(F.col("node").alias("in_root"), "root")))
+    if across.take(1):
+        roots = components(links.union(across))
+    named = classes.select("set_id", "any_id").join(roots, F.col("set_id") == F.col("node"), "left").select("set_id", "any_id", F.coalesce("root", "set_id").alias("root"))
     names = named.groupBy(F.col("root").alias("r")).agg(F.min("any_id").alias("component_id"))
     labels = cut(named.join(names, F.col("root") == F.col("r")).select(F.col("set_id").alias("of_set"), "component_id"))
     out = base.select("doc_id", "n_shingles", "set_id").join(labels, F.col("set_id") == F.col("of_set"), "left")
