@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
-MANIFEST = T.StructType.fromDDL("shard string, bytes bigint, rows bigint, level int, added bigint")
+MANIFEST = T.StructType([T.StructField(n, t) for n, t in (("shard", T.StringType()), ("bytes", T.LongType()), ("rows", T.LongType()), ("level", T.IntegerType()), ("added", T.LongType()))])
 
 
 @dataclass(frozen=True)

@@ -173,9 +173,9 @@ def train(docs: DataFrame, labels: DataFrame, m: Machine = Machine(), *, text: s
                 )
 
     def fit_all(batches):
-        table = pa.Table.from_batches(batches)
-        if table.num_rows:
-            table = table.sort_by("labelled").combine_chunks()
+        held = [b for b in batches if len(b)]
+        if held:
+            table = pa.Table.from_batches(held).sort_by("labelled").combine_chunks()
             lists = [table.column(c).combine_chunks() for c in ("number", "value")]
             lists = [x.chunk(0) if isinstance(x, pa.ChunkedArray) else x for x in lists]
             first = np.concatenate([[0], np.cumsum([len(x) for x in lists[0]])])
