@@ -10,7 +10,7 @@ from pyspark.sql.window import Window as W
 
 from waygrid.config import AREA_E7, MATCH_M, PLAZA_KM, SNAP_M
 from waygrid.functions import geo, strings
-from waygrid.operators import analytics, graph, ingest, instructions, profile, routing, search, spatial, tracking
+from waygrid.operators import analytics, graph, ingest, instructions, profile, restrictions, routing, search, spatial, tracking
 from waygrid.plans import sql
 from waygrid.sources import projection as road
 
@@ -553,3 +553,54 @@ def speed_sweep(spark, sf_dir):
     e = road.edges(spark, sf_dir).select("edge_id", "length_m", "speed_kmh", factors)
     e = e.withColumn("secs", F.col("length_m") / (F.greatest(F.lit(1), F.least(F.lit(255), F.floor(F.col("speed_kmh") * F.col("factor") + 0.5))) / F.lit(3.6)))
     return analytics.scenario_deltas(e, "base", "scenario", "edge_id", "secs", 1.0).withColumn("mean_delta", F.round("mean_delta", 6))
+
+
+# --- restrictions -----------------------------------------------------------------------------------------------
+
+_ALL_KINDS = [*restrictions.KINDS, "", "no_parking"]
+RELATIONS = f"""
+v_we AS (SELECT edge_id, edge_id // 2 AS way_id, edge_from, edge_to FROM v_edge), v_first AS (SELECT edge_from AS v, min(edge_id) // 2 AS next_way FROM v_edge GROUP BY edge_from),
+v_rel AS (SELECT edge_id AS rel_id, {_ALL_KINDS}[edge_id % 12 + 1] AS kind, edge_id % 17 = 0 AS conditional, way_id AS from_way, next_way AS to_way, CASE WHEN edge_id % 13 <> 0 THEN edge_to + CASE WHEN edge_id % 19 = 0 THEN 1000000 ELSE 0 END END AS via_node FROM v_we LEFT JOIN v_first ON v = edge_to),
+v_rj AS (SELECT r.*, CASE WHEN conditional THEN 'conditional' WHEN kind = '' THEN 'malformed' WHEN kind = 'no_parking' THEN 'unknown-kind' WHEN to_way IS NULL OR via_node IS NULL THEN 'malformed' WHEN via_node NOT IN (SELECT c_custkey FROM customer) THEN 'not-an-intersection' END AS why FROM v_rel r),
+v_rb AS (SELECT DISTINCT rel_id, i.edge_id AS from_edge, o.edge_id AS to_edge FROM v_rj r JOIN v_we i ON i.way_id = from_way AND i.edge_to = via_node JOIN v_we o ON o.edge_from = via_node
+  AND CASE WHEN starts_with(kind, 'no_') THEN o.way_id = to_way ELSE o.way_id <> to_way AND o.way_id <> from_way END WHERE why IS NULL)
+"""
+
+
+def _relations(spark, sf_dir):
+    edges = road.edges(spark, sf_dir).select("edge_id", F.floor(F.col("edge_id") / 2).alias("way_id"), "edge_from", "edge_to")
+    first = edges.groupBy(F.col("edge_from").alias("v")).agg(F.floor(F.min("edge_id") / 2).alias("next_way"))
+    e = F.col("edge_id")
+    rel = edges.join(first, F.col("edge_to") == F.col("v"), "left").select(
+        e.alias("rel_id"), F.element_at(F.array(*map(F.lit, _ALL_KINDS)), (e % 12 + 1).cast("int")).alias("kind"), (e % 17 == 0).alias("conditional"), F.col("way_id").alias("from_way"), F.col("next_way").alias("to_way"),
+        F.when(e % 13 != 0, F.col("edge_to") + F.when(e % 19 == 0, 1000000).otherwise(0)).alias("via_node"), F.lit(None).cast("long").alias("via_way"),
+    )
+    return rel, edges
+
+
+@query(f"WITH {sql.EDGE}, {RELATIONS} SELECT DISTINCT from_edge, to_edge FROM v_rb")
+def restriction_pairs(spark, sf_dir):
+    rel, edges = _relations(spark, sf_dir)
+    return restrictions.resolve(rel, edges, road.vertices(spark, sf_dir))[1]
+
+
+@query(
+    f"WITH {sql.EDGE}, {RELATIONS}, a AS (SELECT DISTINCT rel_id FROM v_rj JOIN v_we i ON i.way_id = from_way AND i.edge_to = via_node WHERE why IS NULL), v AS (SELECT coalesce(why, CASE WHEN r.rel_id NOT IN (SELECT rel_id FROM a) THEN 'no-arriving-edge' WHEN r.rel_id NOT IN (SELECT rel_id FROM v_rb) THEN 'nothing-to-ban' END) AS reason, why FROM v_rj r), "
+    "w AS (SELECT CASE WHEN reason IS NULL THEN 'enforced' WHEN why IN ('conditional', 'unknown-kind') THEN 'ignored' ELSE 'not-honoured' END AS verdict, reason FROM v) SELECT verdict, reason, count(*) AS relations, grouping(reason) AS overall FROM w GROUP BY GROUPING SETS ((verdict), (verdict, reason))"
+)
+def restriction_verdicts(spark, sf_dir):
+    rel, edges = _relations(spark, sf_dir)
+    return restrictions.verdict_report(restrictions.resolve(rel, edges, road.vertices(spark, sf_dir))[0])
+
+
+_CLAIM = "".join(
+    f", h{k} AS (SELECT DISTINCT node_id, road FROM t JOIN c{k - 1} USING (way_id)), c{k} AS (SELECT * FROM c{k - 1} UNION ALL (SELECT way_id, road FROM (SELECT way_id, road, count(*) AS n FROM t JOIN h{k} USING (node_id) WHERE way_id NOT IN (SELECT way_id FROM c{k - 1}) GROUP BY way_id, road) QUALIFY row_number() OVER (PARTITION BY way_id ORDER BY n DESC, road) = 1))"
+    for k in (1, 2)
+)
+
+
+@query(f"WITH {RAW}, t AS (SELECT DISTINCT way_id, node_id FROM v_way), c0 AS (SELECT DISTINCT way_id, way_id % 3 + 1 AS road FROM t WHERE way_id % 500 < 3){_CLAIM} SELECT way_id, road FROM c2")
+def ramp_roads(spark, sf_dir):
+    ways = _way_nodes(spark, sf_dir)
+    seeds = ways.select("way_id").distinct().filter("way_id % 500 < 3").withColumn("road", F.col("way_id") % 3 + 1)
+    return restrictions.attribute_ramps(ways, seeds, rounds=2)
