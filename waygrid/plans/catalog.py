@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from waygrid.config import AREA_E7, MATCH_M, PLAZA_KM, SNAP_M
-from waygrid.functions import geo, strings
+from waygrid.functions import geo, strings, tiles
 from waygrid.operators import analytics, graph, ingest, instructions, profile, restrictions, routing, search, spatial, tracking
 from waygrid.plans import sql
 from waygrid.sources import projection as road
@@ -604,3 +604,90 @@ def ramp_roads(spark, sf_dir):
     ways = _way_nodes(spark, sf_dir)
     seeds = ways.select("way_id").distinct().filter("way_id % 500 < 3").withColumn("road", F.col("way_id") % 3 + 1)
     return restrictions.attribute_ramps(ways, seeds, rounds=2)
+
+
+# --- audits -----------------------------------------------------------------------------------------------------
+
+_PLACE_NEAR = sql.near(SNAP_M).replace("f.fix_id, f.lat, f.lon", "f.place_id AS fix_id, f.lat, f.lon").replace("FROM v_fix f", "FROM v_place f")
+
+
+@query(f"WITH {sql.EDGE}, {sql.PLACE}, {_PLACE_NEAR}, n AS (SELECT DISTINCT shape_id, name FROM v_edge), m AS (SELECT fix_id AS place_id, name AS road, min(distance_m) AS d FROM v_near JOIN n USING (shape_id) GROUP BY ALL) SELECT place_id, road, round(d, 4) AS distance_m FROM m QUALIFY row_number() OVER (PARTITION BY place_id ORDER BY d, road) <= 4")
+def nearby_roads(spark, sf_dir):
+    """The four nearest road names around each place."""
+    edges = road.edges(spark, sf_dir)
+    places = road.places(spark, sf_dir).select("place_id", "lat", "lon")
+    near = spatial.pairs_within(places, road.shapes(edges), SNAP_M, "place_id", "edge_id").select("place_id", "shape_id", "distance_m")
+    named = near.join(edges.select("shape_id", F.col("name").alias("road")).distinct(), "shape_id").groupBy("place_id", "road").agg(F.min("distance_m").alias("d"))
+    ranked = named.withColumn("turn", F.row_number().over(W.partitionBy("place_id").orderBy("d", "road"))).filter("turn <= 4")
+    return ranked.select("place_id", "road", F.round("d", 4).alias("distance_m"))
+
+
+@query(
+    f"WITH {sql.EDGE}, b AS (SELECT shape_id, (alat + blat) / 2 AS lat, (alon + blon) / 2 AS lon, {sql.bearing('alat', 'alon', 'blat', 'blon')} AS bearing FROM v_seg), p AS (SELECT x.shape_id, y.shape_id AS other, {sql.haversine('x.lat', 'x.lon', 'y.lat', 'y.lon')} AS d, fmod(abs(x.bearing - y.bearing), 360) AS g FROM b x JOIN b y ON x.shape_id <> y.shape_id AND abs(x.lat - y.lat) < 0.002 AND abs(x.lon - y.lon) < 0.002) "
+    "SELECT shape_id, other, round(d, 4) AS distance_m FROM p WHERE d <= 120 AND CASE WHEN g > 180 THEN 360 - g ELSE g END <= 30 QUALIFY row_number() OVER (PARTITION BY shape_id ORDER BY d, other) = 1"
+)
+def parallel_roads(spark, sf_dir):
+    """The nearest other segment with about the same direction: a band join on cells, then a minimum."""
+    b = _shapes(spark, sf_dir).select("shape_id", ((F.col("alat") + F.col("blat")) / 2).alias("lat"), ((F.col("alon") + F.col("blon")) / 2).alias("lon"), geo.bearing(F.col("alat"), F.col("alon"), F.col("blat"), F.col("blon")).alias("bearing"))
+    size = spatial.cell_size(120)
+    other = b.select(F.col("shape_id").alias("other"), F.col("lat").alias("olat"), F.col("lon").alias("olon"), F.col("bearing").alias("obearing")).withColumn("cell", spatial.cell_key(spatial.cell_of(F.col("olat"), size), spatial.cell_of(F.col("olon"), size)))
+    pairs = spatial.around(b, size).join(other, "cell").filter("shape_id <> other").withColumn("d", geo.haversine(F.col("lat"), F.col("lon"), F.col("olat"), F.col("olon")))
+    near = pairs.filter((F.col("d") <= 120) & (geo.bearing_gap(F.col("bearing"), F.col("obearing")) <= 30))
+    best = near.groupBy("shape_id").agg(F.min(F.struct("d", "other")).alias("best"))
+    return best.select("shape_id", "best.other", F.round("best.d", 4).alias("distance_m"))
+
+
+_TOLLED_NEAR = sql.near(150).replace("f.fix_id, f.lat, f.lon", "f.shape_id AS fix_id, f.lat, f.lon").replace("FROM v_fix f JOIN v_seg s", "FROM v_mid f JOIN v_free s")
+
+
+@query(
+    f"WITH {sql.EDGE}, k AS (SELECT shape_id, max(toll_road) AS toll_road, max(length_m) AS length_m FROM v_edge GROUP BY shape_id), v_mid AS (SELECT s.shape_id, (alat + blat) / 2 AS lat, (alon + blon) / 2 AS lon FROM v_seg s JOIN k USING (shape_id) WHERE toll_road > 0), v_free AS (SELECT s.* FROM v_seg s JOIN k USING (shape_id) WHERE toll_road = 0), {_TOLLED_NEAR} "
+    "SELECT toll_road, count(*) AS segments, round(sum(CASE WHEN shape_id IN (SELECT fix_id FROM v_near) THEN length_m ELSE 0 END) / sum(length_m), 7) AS covered FROM k WHERE toll_road > 0 GROUP BY toll_road"
+)
+def free_road_coverage(spark, sf_dir):
+    """Share of each toll road's length with a free road beside it: a range join of midpoints, then a conditional sum."""
+    edges = road.edges(spark, sf_dir)
+    shapes = road.shapes(edges).join(edges.groupBy("shape_id").agg(F.max("toll_road").alias("toll_road"), F.max("length_m").alias("length_m")), "shape_id")
+    middles = shapes.filter("toll_road > 0").select(F.col("shape_id").alias("mid"), "toll_road", "length_m", ((F.col("alat") + F.col("blat")) / 2).alias("lat"), ((F.col("alon") + F.col("blon")) / 2).alias("lon"))
+    beside = spatial.nearest(middles, shapes.filter("toll_road = 0").select("edge_id", "alat", "alon", "blat", "blon"), 150, "mid", "edge_id").select("mid", F.lit(1).alias("beside"))
+    joined = middles.join(beside, "mid", "left").groupBy("toll_road")
+    return joined.agg(F.count(F.lit(1)).alias("segments"), F.round(F.sum(F.when(F.col("beside") == 1, F.col("length_m")).otherwise(0.0)) / F.sum("length_m"), 7).alias("covered"))
+
+
+@query(f"WITH {RAW}, {NODES}, j AS (SELECT way_id, node_id, lat_e7, lon_e7 FROM v_way JOIN v_node USING (node_id)) SELECT way_id, min(lat_e7) AS south, max(lat_e7) AS north, min(lon_e7) AS west, max(lon_e7) AS east, arg_max(node_id, (lat_e7, node_id)) AS northmost FROM j GROUP BY way_id")
+def way_boxes(spark, sf_dir):
+    j = _way_nodes(spark, sf_dir).join(_nodes(spark, sf_dir), "node_id")
+    return j.groupBy("way_id").agg(F.min("lat_e7").alias("south"), F.max("lat_e7").alias("north"), F.min("lon_e7").alias("west"), F.max("lon_e7").alias("east"), F.max(F.struct("lat_e7", "node_id"))["node_id"].alias("northmost"))
+
+
+_PAIRS = "SELECT DISTINCT way_id, least(node_id, nxt) AS a, greatest(node_id, nxt) AS b FROM (SELECT way_id, node_id, lead(node_id) OVER (PARTITION BY way_id ORDER BY pos, node_id) AS nxt FROM {0}) WHERE nxt IS NOT NULL"
+
+
+@query(f"WITH {RAW}, {NODES}, {RESOLVED}, p AS ({_PAIRS.format('v_res')}) SELECT DISTINCT x.way_id, y.way_id AS driven FROM p x JOIN p y ON x.a = y.a AND x.b = y.b AND x.way_id <> y.way_id")
+def driven_ways(spark, sf_dir):
+    """Ways that hold two nodes which are neighbours on another way too, whatever the direction."""
+    w = W.partitionBy("way_id").orderBy("pos", "node_id")
+    r = ingest.resolve(_way_nodes(spark, sf_dir), _nodes(spark, sf_dir)).withColumn("next", F.lead("node_id").over(w)).filter("next is not null")
+    pairs = r.select("way_id", F.least("node_id", "next").alias("a"), F.greatest("node_id", "next").alias("b")).distinct()
+    return pairs.join(pairs.withColumnRenamed("way_id", "driven"), ["a", "b"]).filter("way_id <> driven").select("way_id", "driven").distinct()
+
+
+_N = float(1 << 14)
+
+
+@query(f"WITH {sql.FIX} SELECT floor((lon + 180) / 360 * {_N})::BIGINT AS x, floor((1 - ln(tan(radians(lat)) + 1 / cos(radians(lat))) / pi()) / 2 * {_N})::BIGINT AS y, count(*) AS fixes FROM v_fix GROUP BY ALL")
+def tile_census(spark, sf_dir):
+    x, y = tiles.tile_xy(F.col("lat"), F.col("lon"), 14)
+    return road.fixes(spark, sf_dir).groupBy(x.alias("x"), y.alias("y")).agg(F.count(F.lit(1)).alias("fixes"))
+
+
+@query()
+def tile_order(spark, sf_dir):
+    """Tiles that hold fixes, along the curve, with the first tile of the same content."""
+    held = tile_census(spark, sf_dir).withColumn("tile_id", tiles.tile_id(F.lit(14), "x", "y")).withColumn("body", F.col("fixes").cast("string").cast("binary"))
+    return tiles.stored_once(held).select("tile_id", "content", "stored_as")
+
+
+@query(f"WITH {sql.EDGE} SELECT CASE WHEN length_m < 950 THEN (floor(length_m / 10 + 0.5) * 10)::INT::VARCHAR || ' m' ELSE printf('%.1f km', length_m / 1000) END AS spoken, count(*) AS edges FROM v_edge GROUP BY ALL")
+def spoken_distances(spark, sf_dir):
+    return road.edges(spark, sf_dir).groupBy(instructions.spoken_distance(F.col("length_m")).alias("spoken")).agg(F.count(F.lit(1)).alias("edges"))
