@@ -1,8 +1,8 @@
 """Connected components by alternating large-star and small-star steps on an edge table.
 
 Each step replaces a node's edges by edges to its smallest neighbour, so hubs are never expanded into pairs: the
-number of edges does not grow. Minima are pre-aggregated before they are shuffled, and the join back to the edges has
-an exchange of its own on both sides, so that Spark can split a hub's rows over tasks. Every round ends in a
+number of edges does not grow. Minima are pre-aggregated before they are shuffled, and the join back to the edges has an
+exchange of its own on both sides, so that Spark can split a hub's rows over tasks. Every round ends in a
 checkpoint in the shared folder; the driver sees two numbers a round.
 """
 
@@ -16,18 +16,23 @@ from waygrid.llm.shared import cut
 MOST_ROUNDS = 60
 
 
+def _to_least(edges: DataFrame, least: DataFrame) -> DataFrame:
+    """Edges (u, v) with the least neighbour m of u. The hash is part of the key so that the minima, which lie dealt
+    out by x, are dealt out anew: then both sides have an exchange of the join's own, and a hub's rows can be split."""
+    return edges.join(least, (F.col("u") == F.col("x")) & (F.xxhash64("u") == F.xxhash64("x")))
+
+
 def _large_star(edges: DataFrame) -> DataFrame:
     """Every larger neighbour of u goes to the smallest of u and its neighbours."""
     both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = both.groupBy(F.col("u").alias("x")).agg(F.min("v").alias("m")).select("x", F.least("x", "m").alias("m"))
-    least = least.repartition(F.col("m"))
-    return both.filter("v > u").join(least, F.col("u") == F.col("x")).select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
+    return _to_least(both.filter("v > u"), least).select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """u and its smaller neighbours go to the smallest of them. Edges run from the larger node u to the smaller v."""
-    least = edges.groupBy(F.col("u").alias("x")).agg(F.min("v").alias("m")).repartition(F.col("m"))
-    moved = edges.join(least, F.col("u") == F.col("x")).select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
+    least = edges.groupBy(F.col("u").alias("x")).agg(F.min("v").alias("m"))
+    moved = _to_least(edges, least).select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
     return moved.union(least.select(F.col("x").alias("u"), F.col("m").alias("v")))
 
 
@@ -37,7 +42,7 @@ def components(links: DataFrame) -> DataFrame:
     edges = links.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     edges, state = cut(edges), None
     for _ in range(MOST_ROUNDS):
-        edges = cut(_small_star(_large_star(edges).distinct()).distinct())
+        edges = cut(_small_star(_large_star(edges)).distinct())
         now = tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first())
         if now == state:
             break

@@ -11,7 +11,7 @@ words (with fewer words: all of them as one). Documents link where 100 * interse
 3. Components of the confirmed links come from alternating large-star and small-star.
 4. A pivot may miss links between the others of its bucket. So buckets that still hold several components are compared
    in pairs of blocks of at most about BLOCK classes and BLOCK_SHINGLES shingles: classes of different components whose
-   sizes allow a link and whose signatures agree, then their full sets; then components again. A pair of one component
+   sizes allow a link and whose signatures agree, then their full sets; then components of the components. A pair of one component
    is not compared, as nothing can change. No link that shares a bucket is lost; a link of similarity 0.75 shares none
    with a chance of (1 - 0.75^ROWS)^BANDS, 2e-6.
 
@@ -149,15 +149,15 @@ def _pivot_links(shared: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def _links_across(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Confirmed links between different components of two blocks of one bucket. Components that a link has joined
-    are not compared again, so a block returns fewer links than it has classes."""
+    """Pairs of components that a confirmed link joins, from two blocks of one bucket. Components that are joined are
+    not compared again, so a block returns fewer pairs than it has classes."""
     both = bool(pdf["i"].iat[0] == pdf["j"].iat[0])
     left = pdf if both else pdf[pdf["mine"] == pdf["i"]]
     right = pdf if both else pdf[pdf["mine"] == pdf["j"]]
     sig = [np.frombuffer(b"".join(x["signature"]), np.uint32).reshape(-1, HASHES) for x in (left, right)]
     n = [x["n"].to_numpy() for x in (left, right)]
     members = [[np.sort(m) for m in x["members"]] for x in (left, right)]
-    node = left["node"].to_numpy(), right["node"].to_numpy()
+    name = left["root"].to_numpy(), right["root"].to_numpy()
     root = pd.factorize(pd.concat([left["root"], right["root"]]))[0].copy()
     mine, others = root[: len(left)], root[len(left) :]  # views, so that a join shows in both
     if both:
@@ -179,14 +179,14 @@ def _links_across(pdf: pd.DataFrame) -> pd.DataFrame:
             place = np.minimum(np.searchsorted(x, y), len(x) - 1)
             common = int((x[place] == y).sum())
             if 100 * common >= PERCENT * (len(x) + len(y) - common):
-                u.append(max(node[0][k], node[1][i]))
-                v.append(min(node[0][k], node[1][i]))
+                u.append(max(name[0][k], name[1][i]))
+                v.append(min(name[0][k], name[1][i]))
                 root[root == others[i]] = mine[k]
     return pd.DataFrame({"u": u, "v": v})
 
 
 def _cross_links(shared: DataFrame, classes: DataFrame, sets: DataFrame, roots: DataFrame) -> DataFrame:
-    """Confirmed links between different components of a bucket, from blocks of bounded numbers and bytes."""
+    """Pairs of components with a confirmed link between them, from blocks of bounded numbers and bytes."""
     placed = shared.join(roots, F.col("node") == F.col("in_root"), "left").select("band", "node", "n", F.coalesce("root", "node").alias("root"))
     mixed = placed.groupBy("band").agg(F.count(F.lit(1)).alias("held"), F.sum("n").alias("total"), F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi")
     blocks = F.greatest(F.ceil(F.col("held") / BLOCK), F.ceil(F.col("total") / BLOCK_SHINGLES)).cast("int")
@@ -208,9 +208,10 @@ def near_duplicates(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_i
     links = cut(_pivot_links(shared, sets))
     roots = cut(components(links))
     across = cut(_cross_links(shared, classes, sets, roots.select(F.col("node").alias("in_root"), "root")))
-    if across.take(1):
-        roots = components(links.union(across))
     named = classes.select("set_id", "any_id").join(roots, F.col("set_id") == F.col("node"), "left").select("set_id", "any_id", F.coalesce("root", "set_id").alias("root"))
+    if across.take(1):
+        joined = components(across).select(F.col("node").alias("was"), F.col("root").alias("now"))
+        named = named.join(joined, F.col("root") == F.col("was"), "left").select("set_id", "any_id", F.coalesce("now", "root").alias("root"))
     names = named.groupBy(F.col("root").alias("r")).agg(F.min("any_id").alias("component_id"))
     labels = cut(named.join(names, F.col("root") == F.col("r")).select(F.col("set_id").alias("of_set"), "component_id"))
     out = base.select("doc_id", "n_shingles", "set_id").join(labels, F.col("set_id") == F.col("of_set"), "left")
