@@ -131,6 +131,15 @@ def test_quality_rules_keep_clean_and_drop_junk(spark, sf_dir):
     assert all(r["kept"] for r in rows if r["quality"] == 1)
 
 
+def test_quality_rules_drop_junk_by_words(spark, sf_dir):
+    folder = sf_dir.replace("0.001", "0.01")
+    rules = quality_rules.Rules()
+    rows = QUERIES["op9_quality_rules"](spark, folder).join(spark.read.parquet(f"{folder}/labels.parquet"), "doc_id").filter("not base_failed and quality = 0").collect()
+    assert sum(not r["kept"] for r in rows) > 0.8 * len(rows)
+    by_words = [r for r in rows if not r["kept"] and not (r["class_distance"] or 0) > rules.most_class_distance]
+    assert len(by_words) > 0.2 * len(rows)
+
+
 def test_quality_classifier_holds_out(spark, sf_dir):
     folder = sf_dir.replace("0.001", "0.01")
     rows = QUERIES["op2_quality_classifier"](spark, folder).join(spark.read.parquet(f"{folder}/labels.parquet"), "doc_id").collect()

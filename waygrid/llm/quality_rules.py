@@ -4,6 +4,10 @@ Each document's histograms of character classes and of common words are compared
 references of its language, which are sums over the whole corpus. Minimum-length guards leave short texts and
 languages with little text alone.
 
+The square of a clean text's word distance is about a constant over its words, as few words hit few bins; so the word
+rule's limit falls with the number of words. A text in two languages is far from its own language's words and no junk,
+so the rule takes the nearest of its language and the languages of COMMON.
+
 Two passes over the texts and no shuffle of them: the first adds up one histogram per language and task, the
 second scores. A null or empty text has no words and fails the base rules; a null language is a language of its
 own. Repeated rows are judged alike. An empty table gives an empty result.
@@ -62,7 +66,8 @@ class Rules:
     guard_reference_words: int = 2_000  # a language with fewer words is compared with nothing
     reference_share: float = 0.001  # nor one with less of the corpus, so there are at most 1,000 references
     most_class_distance: float = 0.30
-    most_word_distance: float = 0.55
+    most_word_distance: float = 0.25  # of a text without end
+    word_noise: float = 6.0  # over the number of words: what the square of the word distance may have besides
 
 
 def _common_table() -> tuple[np.ndarray, np.ndarray]:
@@ -160,6 +165,7 @@ def quality_rules(docs: DataFrame, rules: Rules = Rules(), *, text: str = "text"
         chars, words = histograms(t)
         names = batch.column(2).to_pylist()
         far = {"class": np.full(t.n, np.nan), "word": np.full(t.n, np.nan)}
+        nearest = np.min([np.ones(t.n), *(distance(words, refs[x][None, N_CLASSES:]) for x in COMMON if x in refs)], axis=0)
         for name in set(names):
             if (ref := refs.get(name or "")) is not None:
                 mine = np.array([x == name for x in names])
@@ -168,7 +174,8 @@ def quality_rules(docs: DataFrame, rules: Rules = Rules(), *, text: str = "text"
         far["class"][chars.sum(1) < rules.guard_chars] = np.nan
         far["word"][t.n_words < rules.guard_words] = np.nan
         failed = (base["n_words"] < rules.min_words) | (100 * base["n_repeat_words"] > rules.most_repeat_pct * base["n_words"])
-        odd = (far["class"] > rules.most_class_distance) | (far["word"] > rules.most_word_distance)
+        most_word = np.sqrt(rules.most_word_distance**2 + rules.word_noise / np.maximum(t.n_words, 1))
+        odd = (far["class"] > rules.most_class_distance) | (np.minimum(far["word"], nearest) > most_word)
         return [*(pa.array(x, pa.int64()) for x in base.values()), *(pa.array(x, pa.float64(), mask=np.isnan(x)) for x in far.values()), pa.array(failed), pa.array(~failed & ~odd)]
 
     return map_texts(docs, judge, "n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, class_distance double, word_distance double, base_failed boolean, kept boolean", keep=keep, text=text, more=[F.col(lang).cast("string").alias("lang")])
