@@ -140,6 +140,15 @@ def test_quality_rules_drop_junk_by_words(spark, sf_dir):
     assert len(by_words) > 0.2 * len(rows)
 
 
+def test_quality_rules_judge_rare_languages(spark, sf_dir, odd):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").withColumn("lang", F.when(F.col("lang") != "en", F.concat("lang", F.lit("-x"))))
+    few, many = (sorted(map(str, quality_rules.quality_rules(docs, quality_rules.Rules(reference_share=share), keep=["doc_id", "lang"]).collect())) for share in (0.5, 0.0))
+    assert few == many
+    far = quality_rules.quality_rules(docs, quality_rules.Rules(reference_share=0.5)).filter("n_words >= 50 and doc.lang is not null")
+    assert far.count() > 0 and far.filter("word_distance is null").count() == 0
+    assert quality_rules.quality_rules(odd, quality_rules.Rules(reference_share=2.0, guard_reference_words=1)).count() == len(ODD)
+
+
 def test_quality_classifier_holds_out(spark, sf_dir):
     folder = sf_dir.replace("0.001", "0.01")
     rows = QUERIES["op2_quality_classifier"](spark, folder).join(spark.read.parquet(f"{folder}/labels.parquet"), "doc_id").collect()

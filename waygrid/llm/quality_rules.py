@@ -8,8 +8,9 @@ The square of a clean text's word distance is about a constant over its words, a
 rule's limit falls with the number of words. A text in two languages is far from its own language's words and no junk,
 so the rule takes the nearest of its language and the languages of COMMON.
 
-Two passes over the texts and no shuffle of them: the first adds up one histogram per language and task, the
-second scores. A null or empty text has no words and fails the base rules; a null language is a language of its
+Two passes over the texts: the first adds up one histogram per language and task, the second scores. References of
+languages with a share of the corpus are sent to all tasks, and their texts stay where they are; only texts of rare
+languages, whose number of references has no bound, are joined with them. Both ways give the same results. A null or empty text has no words and fails the base rules; a null language is a language of its
 own. Repeated rows are judged alike. An empty table gives an empty result.
 """
 
@@ -22,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from waygrid.llm.shared import cut, map_texts
+from waygrid.llm.shared import cut, map_rows, whole_row
 from waygrid.llm.text import Texts, keyed, mix, runs, windows
 
 #: Very common words of the languages that the histograms tell apart.
@@ -64,7 +65,7 @@ class Rules:
     guard_chars: int = 200  # fewer characters: no verdict from the character histogram
     guard_words: int = 50  # fewer words: no verdict from the word histogram
     guard_reference_words: int = 2_000  # a language with fewer words is compared with nothing
-    reference_share: float = 0.001  # nor one with less of the corpus, so there are at most 1,000 references
+    reference_share: float = 0.001  # of the corpus's words: references from here on, at most 1,000, are sent to all tasks; others are joined
     most_class_distance: float = 0.30
     most_word_distance: float = 0.25  # of a text without end
     word_noise: float = 6.0  # over the number of words: what the square of the word distance may have besides
@@ -131,8 +132,9 @@ def base_counts(t: Texts) -> dict[str, np.ndarray]:
     }
 
 
-def references(docs: DataFrame, rules: Rules = Rules(), *, text: str = "text", lang: str = "lang") -> dict:
-    """Histogram sums of each language over all documents: at most 1 / reference_share of them, whatever the corpus."""
+def references(docs: DataFrame, rules: Rules = Rules(), *, text: str = "text", lang: str = "lang") -> tuple[dict, DataFrame | None]:
+    """Histogram sums of each language over all documents: those of COMMON and at most 1 / reference_share others here,
+    and a table (lang, bins) of the rest, if any."""
 
     def sums(batches):
         for batch in batches:
@@ -149,25 +151,31 @@ def references(docs: DataFrame, rules: Rules = Rules(), *, text: str = "text", l
     by_lang = parts.groupBy("lang").agg(F.array(*[F.sum(F.col("bins")[i]) for i in range(N_CLASSES + N_COMMON)]).alias("bins"), F.sum(F.aggregate(F.slice("bins", N_CLASSES + 1, N_COMMON), F.lit(0).cast("long"), lambda a, b: a + b)).alias("words"))
     by_lang = cut(by_lang)
     total = by_lang.agg(F.sum("words")).first()[0] or 0
-    kept = by_lang.filter((F.col("words") >= rules.guard_reference_words) & (F.col("words") >= rules.reference_share * total))
-    return {r["lang"]: np.array(r["bins"], float) for r in kept.collect()}
+    enough = by_lang.filter(F.col("words") >= rules.guard_reference_words)
+    sent = (F.col("words") >= rules.reference_share * total) | F.col("lang").isin(*COMMON)
+    rare = enough.filter(~sent).select("lang", "bins")
+    return {r["lang"]: np.array(r["bins"], float) for r in enough.filter(sent).collect()}, rare if rare.take(1) else None
 
 
 def quality_rules(docs: DataFrame, rules: Rules = Rules(), *, text: str = "text", lang: str = "lang", keep: list[str] | None = None) -> DataFrame:
     """Counts, distances and verdict of each document: the columns ``keep`` (None: all) in the struct doc, then
     n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, class_distance and word_distance (null where a
     guard holds), base_failed and kept."""
-    refs = references(docs, rules, text=text, lang=lang)
+    refs, rare = references(docs, rules, text=text, lang=lang)
 
     def judge(batch, state):
         t = Texts(batch.column(1))
         base = base_counts(t)
         chars, words = histograms(t)
         names = batch.column(2).to_pylist()
+        own = refs
+        if batch.num_columns > 3:  # a rare language's rows bring its reference
+            have = batch.column(3).is_valid().to_pylist()
+            own = {names[i]: np.array(batch.column(3)[i].as_py(), float) for i in {x: i for i, x in enumerate(names) if have[i]}.values()}
         far = {"class": np.full(t.n, np.nan), "word": np.full(t.n, np.nan)}
         nearest = np.min([np.ones(t.n), *(distance(words, refs[x][None, N_CLASSES:]) for x in COMMON if x in refs)], axis=0)
         for name in set(names):
-            if (ref := refs.get(name or "")) is not None:
+            if (ref := own.get(name or "")) is not None:
                 mine = np.array([x == name for x in names])
                 far["class"][mine] = distance(chars[mine], ref[None, :N_CLASSES])
                 far["word"][mine] = distance(words[mine], ref[None, N_CLASSES:])
@@ -178,4 +186,10 @@ def quality_rules(docs: DataFrame, rules: Rules = Rules(), *, text: str = "text"
         odd = (far["class"] > rules.most_class_distance) | (np.minimum(far["word"], nearest) > most_word)
         return [*(pa.array(x, pa.int64()) for x in base.values()), *(pa.array(x, pa.float64(), mask=np.isnan(x)) for x in far.values()), pa.array(failed), pa.array(~failed & ~odd)]
 
-    return map_texts(docs, judge, "n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, class_distance double, word_distance double, base_failed boolean, kept boolean", keep=keep, text=text, more=[F.col(lang).cast("string").alias("lang")])
+    fields = "n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, class_distance double, word_distance double, base_failed boolean, kept boolean"
+    rows = docs.select(whole_row(keep), F.col(text).cast("string").alias("text"), F.coalesce(F.col(lang).cast("string"), F.lit("")).alias("lang"))
+    if rare is None:
+        return map_rows(rows, judge, fields)
+    here = F.col("lang").isin(*refs) if refs else F.lit(False)
+    joined = rows.filter(~here).join(rare, "lang", "left").select("doc", "text", "lang", "bins")
+    return map_rows(rows.filter(here), judge, fields).unionByName(map_rows(joined, judge, fields))

@@ -50,7 +50,11 @@ def map_texts(df: DataFrame, compute: Callable[[pa.RecordBatch, dict], list], fi
     one array for each of ``fields`` (a DDL list). state is a dict of the task's own. The result has the columns
     ``keep`` (None: all) in the struct ``doc``, then the fields.
     """
-    rows = df.select(whole_row(keep), F.col(text).cast("string").alias("text"), *more)
+    return map_rows(df.select(whole_row(keep), F.col(text).cast("string").alias("text"), *more), compute, fields)
+
+
+def map_rows(rows: DataFrame, compute: Callable[[pa.RecordBatch, dict], list], fields: str) -> DataFrame:
+    """map_texts of rows that have the columns ``doc`` and ``text`` first and then any others."""
     added = T.StructType.fromDDL(fields)
     schema = T.StructType([rows.schema["doc"], *added.fields])
     names = schema.names
