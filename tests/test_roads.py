@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from waygrid.config import Tracking
 from waygrid.functions import geo, strings, tiles
 from waygrid.operators import analytics, graph, ingest, instructions, places, profile, routing, search, spatial, tracking
+from waygrid.plans import catalog
 from waygrid.sources import projection
 
 
@@ -25,6 +26,35 @@ def test_strong_components(spark):
     assert got == want
 
 
+@pytest.mark.parametrize("arcs", [[(1, 1)], [(i, i + 1) for i in range(6)], [(i, i + 1) for i in range(30)] + [(i + 1, i) for i in range(30)] + [(30, 31), (31, 32), (32, 7), (5, 99)]])
+def test_strong_components_of_chains(spark, arcs):
+    got = {r["vertex_id"]: r["component"] for r in graph.strong_components(spark.createDataFrame(arcs, "edge_from long, edge_to long")).collect()}
+    assert got == ({} if arcs == [(1, 1)] else {v: v for v in range(7)} if len(arcs) == 6 else {**dict.fromkeys(range(33), 0), 99: 99})
+
+
+def test_strong_components_cover_the_network(spark, sf_dir):
+    out = {}
+    for r in projection.edges(spark, sf_dir).select("edge_from", "edge_to").collect():
+        if r[0] != r[1]:
+            out.setdefault(r[0], set()).add(r[1])
+            out.setdefault(r[1], set())
+
+    def reach(v):
+        seen, todo = {v}, [v]
+        while todo:
+            for w in out[todo.pop()] - seen:
+                seen.add(w)
+                todo.append(w)
+        return seen
+
+    seen = {v: reach(v) for v in out}
+    want = {v: min(w for w in seen[v] if v in seen[w]) for v in out}
+    got = {r["vertex_id"]: r["component"] for r in catalog.QUERIES["strong_components"](spark, sf_dir).collect()}
+    assert got == want
+    most = max(set(want.values()), key=lambda c: (list(want.values()).count(c), -c))
+    assert {r["vertex_id"] for r in catalog.QUERIES["largest_component"](spark, sf_dir).collect()} == {v for v in want if want[v] == most}
+
+
 @pytest.fixture(scope="module")
 def network(spark, sf_dir):
     edges = graph.costs(projection.edges(spark, sf_dir)).cache()

@@ -97,15 +97,56 @@ def reachable(edges: DataFrame, seeds: DataFrame, forward: bool = True, most_rou
     return seen
 
 
+def mutual_groups(arcs: DataFrame) -> DataFrame:
+    """(v, root) of vertices that arcs in both directions connect, root being the smallest vertex; others are left out.
+
+    Such vertices are strongly connected. Alternating stars: the rounds grow with the logarithm of a group, not with
+    its diameter."""
+    back = arcs.select(F.col("b").alias("a"), F.col("a").alias("b"))
+    pairs = cut(arcs.join(back, ["a", "b"], "left_semi").filter("a > b").select("a", "b"))
+    while True:
+        both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        least = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"))
+        large = both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        least = large.groupBy("a").agg(F.min("b").alias("m"))
+        small = large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").unionByName(least.withColumnRenamed("m", "b")).distinct()
+        pairs = cut(small)
+        if not pairs.join(pairs.select(F.col("a").alias("b")), "b", "left_semi").take(1) and not pairs.groupBy("a").count().filter("count > 1").take(1):
+            return pairs.select(F.col("a").alias("v"), F.col("b").alias("root"))
+
+
 def strong_components(edges: DataFrame, most_rounds: int = 1000) -> DataFrame:
     """(vertex_id, component) of a directed graph, component being the smallest vertex of it.
 
-    Rounds of colouring: the largest vertex that reaches a vertex is its colour; those of a colour that reach its
-    root backwards inside the colour form a component and leave. Each step is a join and a minimum or maximum."""
+    Vertices joined by arcs in both directions become one first, so that long two-way networks take few rounds. Then
+    rounds of colouring: vertices without arcs in or out are components of their own; the largest vertex that reaches a
+    vertex is its colour; those of a colour that reach its root backwards inside the colour form a component and leave.
+    Each step is a join and a minimum or maximum."""
     arcs = cut(edges.select(F.col("edge_from").alias("a"), F.col("edge_to").alias("b")).filter("a <> b").distinct())
-    left = cut(arcs.select(F.col("a").alias("v")).union(arcs.select(F.col("b").alias("v"))).distinct())
-    done = None
+    vertices = cut(arcs.select(F.col("a").alias("v")).union(arcs.select(F.col("b").alias("v"))).distinct())
+    roots = cut(vertices.join(mutual_groups(arcs), "v", "left").select("v", F.coalesce("root", "v").alias("root")))
+    ends = roots.select(F.col("v").alias("a"), F.col("root").alias("ra")), roots.select(F.col("v").alias("b"), F.col("root").alias("rb"))
+    arcs = cut(arcs.join(ends[0], "a").join(ends[1], "b").filter("ra <> rb").select(F.col("ra").alias("a"), F.col("rb").alias("b")).distinct())
+    named = _components(arcs, roots.select(F.col("root").alias("v")).distinct(), most_rounds)
+    return roots.join(named, "root").select(F.col("v").alias("vertex_id"), "component")
+
+
+def _components(arcs: DataFrame, vertices: DataFrame, most_rounds: int) -> DataFrame:
+    """(root, component) of the vertices by rounds of trimming and colouring."""
+    left, done = cut(vertices), None
     for _ in range(most_rounds):
+        while True:
+            inside = left.join(arcs.select(F.col("a").alias("v")), "v", "left_semi").join(arcs.select(F.col("b").alias("v")), "v", "left_semi")
+            stay = cut(inside)
+            alone = cut(left.join(stay, "v", "left_anti"))
+            if not alone.take(1):
+                break
+            named = alone.select(F.col("v").alias("root"), F.col("v").alias("component"))
+            done = named if done is None else done.unionByName(named)
+            left = stay
+            arcs = cut(arcs.join(left.select(F.col("v").alias("a")), "a", "left_semi").join(left.select(F.col("v").alias("b")), "b", "left_semi"))
+        if not left.take(1):
+            return done if done is not None else left.select(F.col("v").alias("root"), F.col("v").alias("component"))
         colour = left.withColumn("c", F.col("v"))
         while True:
             pushed = colour.join(arcs, F.col("v") == F.col("a")).select(F.col("b").alias("v"), "c")
@@ -122,10 +163,15 @@ def strong_components(edges: DataFrame, most_rounds: int = 1000) -> DataFrame:
             if not frontier.take(1):
                 break
             found = cut(found.unionByName(frontier))
-        named = found.join(found.groupBy("c").agg(F.min("v").alias("component")), "c").select(F.col("v").alias("vertex_id"), "component")
+        named = found.join(found.groupBy("c").agg(F.min("v").alias("component")), "c").select(F.col("v").alias("root"), "component")
         done = named if done is None else done.unionByName(named)
         left = cut(left.join(found.select("v"), "v", "left_anti"))
-        if not left.take(1):
-            return done
         arcs = cut(arcs.join(left.select(F.col("v").alias("a")), "a", "left_semi").join(left.select(F.col("v").alias("b")), "b", "left_semi"))
     raise RuntimeError("strong components did not settle")
+
+
+def largest_component(components: DataFrame) -> DataFrame:
+    """The vertices (vertex_id) of the largest component; of equals the one with the smallest vertex."""
+    size = components.groupBy("component").agg(F.count(F.lit(1)).alias("n"))
+    largest = size.agg(F.max(F.struct("n", (-F.col("component")).alias("low"))).alias("top")).select((-F.col("top.low")).alias("component"))
+    return components.join(F.broadcast(largest), "component").select("vertex_id")

@@ -308,8 +308,14 @@ def reachable_vertices(spark, sf_dir):
 
 @query()
 def strong_components(spark, sf_dir):
-    """Strongly connected components of the network of motorways and trunk roads."""
-    return graph.strong_components(road.edges(spark, sf_dir).filter("class_rank <= 1"))
+    """Strongly connected components of the whole network."""
+    return graph.strong_components(road.edges(spark, sf_dir))
+
+
+@query()
+def largest_component(spark, sf_dir):
+    """Vertices of the network's largest strongly connected component."""
+    return graph.largest_component(graph.strong_components(road.edges(spark, sf_dir)))
 
 
 @query()
