@@ -92,6 +92,27 @@ def test_pii_disguises(text, kind, found):
     assert found not in pii.redact(text, added)
 
 
+@pytest.mark.parametrize(
+    ("text", "kind", "found"),
+    [
+        ("host one nine two dot one six eight dot zero dot one up", "ip", "one nine two dot one six eight dot zero dot one"),
+        ("host one nine two (dot) one six eight (dot) 0 [.] one up", "ip", "one nine two (dot) one six eight (dot) 0 [.] one"),
+        ("192 dot one six eight dot 1 dot nine", "ip", "192 dot one six eight dot 1 dot nine"),
+        ("plus one five five five - one two three - four five six seven.", "phone", "plus one five five five - one two three - four five six seven"),
+        ("call plus 44 20 7946 0958 now", "phone", "plus 44 20 7946 0958"),
+        *((f"write jane at firm dot {end} ok", "email", f"jane at firm dot {end}") for end in ("it", "in", "be", "ie", "dk", "no", "ai", "me", "xyz", "museum")),
+    ],
+)
+def test_pii_spelled_groups_and_endings(text, kind, found):
+    base, added = pii.find(text)
+    assert [(k, text[b:e]) for k, b, e in added] == [(kind, found)] and not base
+
+
+@pytest.mark.parametrize("text", ["two plus 3 is five", "in 2020 - 2021 - 2022 - 2023", "take one dot two dot three", "look at vector dot product", "met at the dot in it"])
+def test_pii_leaves_near_misses(text):
+    assert pii.find(text) == ([], [])
+
+
 @pytest.mark.parametrize("text", ["we look at this dot product", "met at home", "one two three four five six seven", "", "plain (at) last", "un deux un deux"])
 def test_pii_leaves_clean_texts(text):
     assert pii.find(text) == ([], [])

@@ -48,16 +48,20 @@ def _char_table() -> dict[int, str]:
 _CHARS = _char_table()
 _odd_char = re.compile("[" + "".join(map(re.escape, map(chr, _CHARS))) + "]").search
 _WORD = "(?:" + "|".join(sorted(_VALUE, key=len, reverse=True)) + ")"
-_spelled = re.compile(rf"(?i)\b{_WORD}(?:[\s,.-]{{1,2}}(?:{_WORD}|[0-9])\b){{3,}}")
-_one_digit = re.compile(rf"(?i){_WORD}|[0-9]").findall
 _plus = re.compile(r"(?i)\bplus\s{1,2}(?=[0-9])")
 _OPEN, _CLOSE = r"\s{0,3}[(\[{<]\s{0,3}", r"\s{0,3}[)\]}>]\s{0,3}"
+#: Between groups of spelled digits: a spelled or bracketed dot, or a dash between blanks.
+_SPELLED_DOT, _SPACED_DASH = rf"(?:\s{{1,3}}dot\s{{1,3}}|{_OPEN}(?:dot|\.){_CLOSE})", r"\s{1,2}-\s{1,2}"
+_JOIN = rf"(?:{_SPELLED_DOT}|{_SPACED_DASH})"
+_spelled = re.compile(rf"(?i)\b(?:{_WORD}|[0-9]{{1,4}}(?={_JOIN}))(?:(?:[\s,.-]{{1,2}}(?:{_WORD}|[0-9])\b)|{_JOIN}(?:{_WORD}|[0-9]{{1,4}})\b){{3,}}")
+_spelled_part = re.compile(rf"(?i)(?P<digit>{_WORD})|(?P<number>[0-9]+)|(?P<dot>{_SPELLED_DOT})|(?P<dash>{_SPACED_DASH})|[\s,.-]{{1,2}}").finditer
 _disguised = re.compile(
     rf"(?i)(?P<at>{_OPEN}(?:at|@){_CLOSE}|(?<=[A-Za-z0-9])\s{{1,3}}at\s{{1,3}}(?=[A-Za-z0-9-]+(?:\s{{1,3}}dot\s{{1,3}}|{_OPEN}dot{_CLOSE})[A-Za-z0-9]))"
     rf"|(?P<dot>{_OPEN}(?:dot|\.){_CLOSE}|(?<=[A-Za-z0-9])\s{{1,3}}dot\s{{1,3}}(?=[A-Za-z0-9]))"
 )
-#: Last labels that a disguise without brackets must end in.
-_LAST_LABELS = frozenset("com org net edu gov mil int info io dev app biz eu uk de fr es us ca au ch nl jp cn ru br pl se".split())
+#: Words that start no domain and end none where plain words "at" and "dot" were read as signs.
+_NO_DOMAIN = frozenset("the this that these those a an each every any one its his her their our your my which what some no another".split())
+_NO_LAST_LABEL = frozenset("product products plot plots matrix notation size".split())
 _hint = re.compile(r"(?i)[(\[{<]\s{0,3}(?:at|dot|[@.])\s{0,3}[)\]}>]|\sdot\s").search
 
 
@@ -143,28 +147,38 @@ class Rewritten:
         self.begin, self.end, self.changed = [*begin, *self.begin[at:]], [*end, *self.end[at:]], bytes([*changed, *was[at:]])
 
 
+def _digits(run: re.Match) -> list[tuple[int, int, str]]:
+    """Edits that write a run's spelled digits as digits, its spelled dots and spaced dashes as signs, and take out other separators."""
+    parts = list(_spelled_part(run[0]))
+    if not any(m["digit"] for m in parts):
+        return []
+    at = run.start()
+    return [(at + m.start(), at + m.end(), _VALUE[m[0].lower()] if m["digit"] else "." if m["dot"] else "-" if m["dash"] else "") for m in parts if not m["number"]]
+
+
 def rewrite(text: str) -> Rewritten | None:
     """Runs the transducers; None where none of them has anything to do."""
     low = text.lower()
     data = low.encode("utf-8", "replace")
     odd = not text.isascii() and (_odd_lead(data) and _odd_char(text))
     hint = "dot" in low or any(c in low for c in "([{<")
-    if not (odd or hint and _hint(text) or _has_digit_words(data) and _spelled.search(text)):
+    if not (odd or hint and _hint(text) or "plus" in low and _plus.search(text) or _has_digit_words(data) and _spelled.search(text)):
         return None
     r = Rewritten(text)
     if odd:
         r.apply([(i, i + 1, _CHARS[ord(c)]) for i, c in enumerate(text) if ord(c) in _CHARS])
-    r.apply([(*m.span(), "".join(_VALUE.get(w.lower(), w) for w in _one_digit(m[0]))) for m in _spelled.finditer(r.text)])
+    r.apply([edit for m in _spelled.finditer(r.text) for edit in _digits(m)])
     r.apply([(*m.span(), "+") for m in _plus.finditer(r.text)])
     r.apply([(*m.span(), "@" if m["at"] else ".") for m in _disguised.finditer(r.text)])
     return r if r.changed else None
 
 
 def _plausible(email: str, source: str) -> bool:
-    """An added email ends in letters, and in a common last label where plain words "at" and "dot" were read as signs."""
+    """An added email ends in letters; where plain words "at" and "dot" were read as signs, its domain has no words of plain sentences."""
     last = email.rpartition(".")[2]
     bare = re.search(r"(?i)\s(at|dot)\s", source) and not re.search(r"[(\[{<]", source)
-    return len(last) > 1 and last.isalpha() and (not bare or last.lower() in _LAST_LABELS)
+    first = email.partition("@")[2].partition(".")[0]
+    return len(last) > 1 and last.isalpha() and not (bare and (first.lower() in _NO_DOMAIN or last.lower() in _NO_LAST_LABEL))
 
 
 def find(text: str) -> tuple[list[Span], list[Span]]:
@@ -173,13 +187,14 @@ def find(text: str) -> tuple[list[Span], list[Span]]:
     r = rewrite(text)
     if r is None:
         return base, []
-    added = []
+    added, ends = [], dict.fromkeys(KINDS, 0)
     for kind, b, e in detect(r.text):
         begin, end = r.begin[b], r.end[e - 1]
         if not any(r.changed[b:e]) or kind == "email" and not _plausible(r.text[b:e], text[begin:end]):
             continue
-        if not any(k == kind and begin < y and x < end for k, x, y in base) and not any(k == kind and begin < y for k, _, y in added):
+        if begin >= ends[kind] and not any(k == kind and begin < y and x < end for k, x, y in base):
             added.append((kind, begin, end))
+            ends[kind] = end
     return base, added
 
 
