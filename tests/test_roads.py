@@ -61,6 +61,48 @@ def network(spark, sf_dir):
     return edges, graph.turn_costs(edges).cache()
 
 
+def test_whole_searches(spark, sf_dir, network):
+    edges, turns = network
+    rows = [tuple(r) for r in edges.select("edge_id", "edge_from", "edge_to", "secs").collect()]
+
+    def hops(arcs):
+        seen, layer = {0: 0}, {0}
+        while layer:
+            layer = {b for a, b in arcs if a in layer} - set(seen)
+            seen.update(dict.fromkeys(layer, max(seen.values()) + 1))
+        return seen
+
+    there, back = hops({(a, b) for _, a, b, _ in rows}), hops({(b, a) for _, a, b, _ in rows})
+    got = {r["vertex_id"]: (r["hops"], r["hops_back"]) for r in catalog.QUERIES["reachable_vertices_all"](spark, sf_dir).collect()}
+    assert max(there.values()) > catalog._HOPS and got == {v: (there.get(v), back.get(v)) for v in {*there, *back}}
+    banned = {tuple(r) for r in catalog._bans(edges).select("from_edge", "to_edge").collect()}
+    secs, after = {e: s for e, _, _, s in rows}, {}
+    for a, b, s in turns.select("edge_in", "edge_out", F.col("seconds").cast("double")).collect():
+        if (a, b) not in banned:
+            after.setdefault(a, []).append((b, s + secs[b]))
+    depots = {r[0]: r[1] for r in projection.read(spark, sf_dir, "customer").groupBy("c_nationkey").agg(F.min("c_custkey")).collect()}
+    got = {(r["search"], r["edge_id"]): r["cost"] for r in catalog.QUERIES["depot_costs_all"](spark, sf_dir).collect()}
+    want = {}
+    for search, depot in depots.items():
+        todo, best = [(s, e) for e, a, _, s in rows if a == depot], {}
+        heapq.heapify(todo)
+        while todo:
+            c, e = heapq.heappop(todo)
+            if e not in best:
+                best[e] = c
+                for b, s in after.get(e, ()):
+                    heapq.heappush(todo, (c + s, b))
+        want |= {(search, e): c for e, c in best.items()}
+    assert set(got) == set(want) and all(abs(got[k] - want[k]) < 1e-4 for k in want)
+
+
+def test_ramps_of_a_long_chain(spark, monkeypatch):
+    chain = spark.createDataFrame([(w, n) for w in range(9) for n in (w, w + 1)], "way_id long, node_id long")
+    monkeypatch.setattr(catalog, "_way_nodes", lambda *_: chain)
+    few, whole = ({r["way_id"] for r in catalog.QUERIES[q](spark, "").collect()} for q in ("ramp_roads", "ramp_roads_all"))
+    assert few == set(range(5)) and whole == set(range(9))
+
+
 def test_both_routers_agree(spark, network):
     edges, turns = network
     pairs = spark.createDataFrame([(i, i * 7 % 150, i * 31 % 150) for i in range(20)], "query_id long, origin long, target long").filter("origin <> target")

@@ -77,15 +77,15 @@ def illegal_steps(paths: DataFrame, pairs: DataFrame, triples: DataFrame) -> Dat
     return by_pair.unionByName(by_triple).groupBy("path_id").agg(F.min("i").alias("first_illegal"))
 
 
-def reachable(edges: DataFrame, seeds: DataFrame, forward: bool = True, most_rounds: int = 10_000) -> DataFrame:
+def reachable(edges: DataFrame, seeds: DataFrame, forward: bool = True, most_rounds: int | None = 10_000) -> DataFrame:
     """Vertices that the seeds reach (or that reach them), with their distance in edges. One join a round, on the
-    frontier alone; each round ends in the shared folder."""
+    frontier alone; each round ends in the shared folder. most_rounds None: until nothing is new."""
     here, there = ("edge_from", "edge_to") if forward else ("edge_to", "edge_from")
     arcs = edges.select(F.col(here).alias("here"), F.col(there).alias("there")).distinct()
     arcs = cut(arcs)
     seen = cut(seeds.select(F.col("vertex_id"), F.lit(0).alias("hops")).distinct())
     frontier, hops = seen, 0
-    while hops < most_rounds:
+    while most_rounds is None or hops < most_rounds:
         hops += 1
         fresh = frontier.join(arcs, F.col("vertex_id") == F.col("here")).select(F.col("there").alias("vertex_id")).distinct().join(seen.select("vertex_id"), "vertex_id", "left_anti").withColumn("hops", F.lit(hops))
         frontier = cut(fresh)

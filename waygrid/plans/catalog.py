@@ -289,11 +289,21 @@ _CHAIN = "".join(f", d{k} AS (SELECT search, edge_id, min(cost) AS cost FROM (SE
 
 @query(f"WITH {sql.EDGE}, {sql.TURN}, {BANNED}, {_ARCS}, {_DEPOTS}, d0 AS (SELECT search, edge_id, secs AS cost FROM v_edge JOIN v_depot ON edge_from = vertex){_CHAIN} SELECT search, edge_id, round(cost, 5) AS cost FROM d{_ROUNDS}")
 def depot_costs(spark, sf_dir):
-    """Least cost of edges around one depot a nation, with turn costs and bans, within a number of turns."""
+    """Least cost of edges around one depot a nation, with turn costs and bans, within as many turns as the twin unrolls."""
+    return _depot_costs(spark, sf_dir, _ROUNDS)
+
+
+@query()
+def depot_costs_all(spark, sf_dir):
+    """The same until no cost improves: least costs of all edges that a depot reaches."""
+    return _depot_costs(spark, sf_dir, None)
+
+
+def _depot_costs(spark, sf_dir, rounds):
     edges = graph.costs(road.edges(spark, sf_dir))
     depots = road.read(spark, sf_dir, "customer").groupBy(F.col("c_nationkey").cast("long").alias("search")).agg(F.min("c_custkey").alias("vertex"))
     seeds = edges.join(depots, F.col("edge_from") == F.col("vertex")).select("search", "edge_id", F.col("secs").alias("cost"))
-    best = routing.relax(edges, graph.turn_costs(edges), seeds, _ROUNDS, _bans(edges))
+    best = routing.relax(edges, graph.turn_costs(edges), seeds, rounds, _bans(edges))
     return best.select("search", "edge_id", F.round("cost", 5).alias("cost"))
 
 
@@ -306,6 +316,15 @@ def reachable_vertices(spark, sf_dir):
     return graph.reachable(edges, spark.range(1).select(F.col("id").alias("vertex_id")), most_rounds=_HOPS)
 
 
+@query()
+def reachable_vertices_all(spark, sf_dir):
+    """All vertices that vertex 0 reaches (hops) or that reach it (hops_back); null: not in that direction."""
+    edges = road.edges(spark, sf_dir)
+    seed = spark.range(1).select(F.col("id").alias("vertex_id"))
+    there, back = graph.reachable(edges, seed, most_rounds=None), graph.reachable(edges, seed, forward=False, most_rounds=None)
+    return there.join(back.withColumnRenamed("hops", "hops_back"), "vertex_id", "full")
+
+
 @query()
 def strong_components(spark, sf_dir):
     """Strongly connected components of the whole network."""
@@ -607,9 +626,20 @@ _CLAIM = "".join(
 
 @query(f"WITH {RAW}, t AS (SELECT DISTINCT way_id, node_id FROM v_way), c0 AS (SELECT DISTINCT way_id, way_id % 3 + 1 AS road FROM t WHERE way_id % 500 < 3){_CLAIM} SELECT way_id, road FROM c2")
 def ramp_roads(spark, sf_dir):
+    """Roads of ramps after as many rounds as the twin unrolls."""
+    return _ramp_roads(spark, sf_dir, 2)
+
+
+@query()
+def ramp_roads_all(spark, sf_dir):
+    """The same until nothing is claimed, at most 8 rounds as in the reference."""
+    return _ramp_roads(spark, sf_dir, 8)
+
+
+def _ramp_roads(spark, sf_dir, rounds):
     ways = _way_nodes(spark, sf_dir)
     seeds = ways.select("way_id").distinct().filter("way_id % 500 < 3").withColumn("road", F.col("way_id") % 3 + 1)
-    return restrictions.attribute_ramps(ways, seeds, rounds=2)
+    return restrictions.attribute_ramps(ways, seeds, rounds=rounds)
 
 
 # --- audits -----------------------------------------------------------------------------------------------------
