@@ -79,6 +79,38 @@ def test_keep_one_with_odd_rows(spark):
     assert minhash_dedup.near_duplicates(docs.limit(0)).count() == 0
 
 
+def test_keep_one_loses_no_unlike_text(spark):
+    """One id with two texts, null ids and clashing column names: rows are told apart, not ids."""
+    one, two, three = (" ".join(f"{x}{i}" for i in range(40)) for x in "abc")
+    rows = [(3, one), (7, one), (7, two), (None, one), (None, three), (None, three + " z"), (8, three), (9, ""), (9, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for c in ("gone", "in_row", "row_key", "set_id", "turn"):
+        docs = docs.withColumn(c, F.lit("clash"))
+    got = minhash_dedup.keep_one(docs)
+    assert got.columns == docs.columns
+    assert sorted(((r["doc_id"], r["text"]) for r in got.collect()), key=str) == sorted([(3, one), (7, two), (8, three), (9, ""), (9, None)], key=str)
+
+
+def test_near_duplicates_recall(spark, sf_dir):
+    """Every document of sf0.01 against brute force: links found, out of all there are."""
+    folder = sf_dir.replace("0.001", "0.01")
+    rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{folder}/documents.parquet").collect()]
+    want = brute_duplicates(rows)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in QUERIES["op8_minhash"](spark, folder).collect()}
+    linked = [i for i, (_, c) in want.items() if c != i]
+    print("recall", sum(got[i] == want[i] for i in linked) / len(linked), "of", len(linked))
+    assert got == want
+
+
+def test_components_both_ways(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    links = [(int(a), int(b)) for a, b in rng.integers(0, 300, (260, 2))] + [(500, 500 + i) for i in range(1, 60)]
+    df = spark.createDataFrame(links, "u long, v long")
+    sent = {r["node"]: r["root"] for r in components.components(df).collect()}
+    monkeypatch.setattr(components, "SENT_ROWS", 0)
+    assert sent == {r["node"]: r["root"] for r in components.components(df).collect()}
+
+
 def test_components(spark):
     rng = np.random.default_rng(7)
     links = [(int(a), int(b)) for a, b in rng.integers(0, 200, (150, 2))] + [(i, i + 1) for i in range(300, 360)] + [(400, 400 + i) for i in range(1, 50)]

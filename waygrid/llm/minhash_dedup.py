@@ -3,20 +3,21 @@
 Words are lower-cased in A-Z and cut at \\x20 and \\x09-\\x0D; a document's set holds its distinct shingles of five
 words (with fewer words: all of them as one). Documents link where 100 * intersection >= 75 * union.
 
-1. One pass gives each document a 128-bit fingerprint of its set and the minima of HASHES universal hashes. Documents
-   of one set form a class and go on as one row, so thousands of copies cost as much as one.
-2. BANDS bands of ROWS minima give bucket keys. Each bucket links its classes with one pivot, a different one in each
-   band: never all pairs. Sizes that rule a link out drop a pair; the rest are confirmed on full sets, which are
-   rebuilt once, from one text of each class that shares a bucket.
+1. One pass gives each document a 128-bit fingerprint of its set and BANDS bucket keys, each of ROWS minima of
+   universal hashes. Documents of one set form a class and go on as one row, so thousands of copies cost as much as one.
+2. Each bucket links its classes with one pivot, of TURNS orders of pivots that the buckets take turns with: never all
+   pairs. Sizes that rule a link out drop a pair; the rest are confirmed on full sets, which are rebuilt once, from one
+   text of each class that shares a bucket.
 3. Components of the confirmed links come from alternating large-star and small-star.
 4. A pivot may miss links between the others of its bucket. So buckets that still hold several components are compared
-   in pairs of blocks of at most about BLOCK classes and BLOCK_SHINGLES shingles: classes of different components whose
-   sizes allow a link and whose signatures agree, then their full sets; then components of the components. A pair of one component
-   is not compared, as nothing can change. No link that shares a bucket is lost; a link of similarity 0.75 shares none
-   with a chance of (1 - 0.75^ROWS)^BANDS, 2e-6.
+   in pairs of blocks of at most about BLOCK classes: first signatures alone, which tell the classes that may have a
+   link to another component; full sets are fetched for these only, and confirm links. Then components of the
+   components. A pair of one component is not compared, as nothing can change. No link that shares a bucket is lost.
 
-Signatures estimate similarity with a deviation of at most 0.055; estimates MARGIN (four deviations) below the
-threshold or lower are not looked at further.
+What can be lost: a link of similarity 0.75 shares no bucket with a chance of (1 - 0.75^ROWS)^BANDS, 5e-6, and one of
+0.8 with 2e-8. Signatures estimate similarity with a deviation of at most 0.029 near the threshold; pairs MARGIN (five
+and a half deviations, a chance of 2e-8) below it are not looked at further. Documents of similarity 0.2 share a bucket
+with a chance of 1.4 %, of 0.1 with 0.05 %.
 
 A document without words (null, empty or blank text) has no set and links with nothing. Repeated rows and null
 doc_ids are members like others; the component's id is its smallest doc_id that is not null.
@@ -27,21 +28,22 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
 
-from waygrid.llm.components import components
-from waygrid.llm.shared import cut, map_texts
+from waygrid.llm.components import components, named
+from waygrid.llm.shared import arrow_batches, cut, map_texts, small
 from waygrid.llm.text import Texts, keyed, mix, windows
 
 SHINGLE, PERCENT = 5, 75
-ROWS, BANDS = 3, 24
+ROWS, BANDS = 5, 45
 HASHES = ROWS * BANDS
-MARGIN = 0.22
+MARGIN = 0.16
+TURNS = 4
 BLOCK, BLOCK_SHINGLES = 512, 1 << 21
 
 _A, _B = keyed(HASHES, 11) | np.uint64(1), keyed(HASHES, 12)
+_PER_BAND = keyed(BANDS, 14)
 
 
 def shingle_sets(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -85,21 +87,42 @@ def minima(grams: np.ndarray, first: np.ndarray) -> np.ndarray:
     out = np.zeros((len(first) - 1, HASHES), np.uint32)
     has = np.flatnonzero(np.diff(first))
     if len(has):
+        hashed, starts = np.empty_like(grams), first[has]
         for i in range(HASHES):
-            out[has, i] = np.minimum.reduceat(((grams * _A[i] + _B[i]) >> np.uint64(32)).astype(np.uint32), first[has])
+            np.multiply(grams, _A[i], out=hashed)
+            np.add(hashed, _B[i], out=hashed)
+            out[has, i] = np.minimum.reduceat(hashed, starts) >> np.uint64(32)
     return out
 
 
+def band_keys(signatures: np.ndarray) -> np.ndarray:
+    """A 64-bit key of each band's minima."""
+    out = np.zeros((len(signatures), BANDS), np.uint64)
+    for k, c in enumerate(keyed(ROWS, 15)):
+        out += mix(signatures[:, k::ROWS].astype(np.uint64) + c)
+    return mix(out + _PER_BAND[None, :])
+
+
+def row_key(doc_id: str, text: str) -> Column:
+    """128 bits of a row's id and text: rows that agree in both have one key."""
+    null = F.lit("-")
+    given = F.concat(F.coalesce(F.concat(F.lit("+"), F.col(doc_id).cast("string")), null), F.lit(chr(0)), F.coalesce(F.concat(F.lit("+"), F.col(text).cast("string")), null))
+    return F.unhex(F.md5(given))
+
+
 def sketches(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """(doc_id, n_shingles, set_id, signature) of every document; set_id and signature are null without words."""
+    """(doc_id, row_key, n_shingles, set_id, bands) of every document; set_id and bands are null without words."""
 
     def compute(batch, _):
         grams, first = shingle_sets(batch.column(1))
         n = np.diff(first)
-        return [pa.array(n, pa.int64()), _binary(fingerprints(grams, first), 16, n > 0), _binary(minima(grams, first), 4 * HASHES, n > 0)]
+        keys = band_keys(minima(grams, first)).view(np.int64)
+        bands = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1) * BANDS, pa.int32()), pa.array(keys.ravel()), mask=pa.array(n == 0))
+        return [batch.column(2), pa.array(n, pa.int64()), _binary(fingerprints(grams, first), 16, n > 0), bands]
 
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    return map_texts(rows, compute, "n_shingles bigint, set_id binary, signature binary", keep=["doc_id"]).select("doc.doc_id", "n_shingles", "set_id", "signature")
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"), row_key(doc_id, text).alias("row_key"))
+    out = map_texts(rows, compute, "row_key binary, n_shingles bigint, set_id binary, bands array<bigint>", keep=["doc_id"], more=[F.col("row_key")])
+    return out.select("doc.doc_id", "row_key", "n_shingles", "set_id", "bands")
 
 
 def _may_link(a: str, b: str):
@@ -107,37 +130,32 @@ def _may_link(a: str, b: str):
     return 100 * F.least(a, b) >= PERCENT * F.greatest(a, b)
 
 
-def _bands(classes: DataFrame) -> DataFrame:
-    """(band, node, n): the buckets of each class."""
-    width = 4 * ROWS
-    keys = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.xxhash64(i, F.substring(F.col("signature"), i * width + 1, F.lit(width))))
-    return classes.select(F.explode(keys).alias("band"), F.col("set_id").alias("node"), "n")
-
-
 def _shared_buckets(classes: DataFrame) -> DataFrame:
     """Memberships of buckets that hold two classes or more, with the bucket's pivot: (band, node, n, pivot, pn).
 
-    The pivot comes first in the band's own order, so different bands have different pivots."""
-    bands = _bands(classes)
-    first = F.min(F.struct(F.xxhash64("band", "node").alias("turn"), F.col("node").alias("pivot"), F.col("n").alias("pn"))).alias("p")
+    The pivot comes first in the bucket's order of nodes. There are TURNS orders: few, so that the buckets of one group
+    mostly agree in their pivots and a class has few pairs."""
+    bands = classes.select(F.explode("bands").alias("band"), F.col("set_id").alias("node"), "n")
+    turn = F.xxhash64(F.pmod("band", F.lit(TURNS)), "node")
+    first = F.min(F.struct(turn.alias("turn"), F.col("node").alias("pivot"), F.col("n").alias("pn"))).alias("p")
     held = bands.groupBy("band").agg(F.count(F.lit(1)).alias("held"), first).filter("held > 1").select(F.col("band").alias("in_band"), "p.pivot", "p.pn")
-    return bands.join(held, F.col("band") == F.col("in_band")).select("band", "node", "n", "pivot", "pn")
+    return bands.join(small(cut(held)), F.col("band") == F.col("in_band")).select("band", "node", "n", "pivot", "pn")
 
 
 def _full_sets(nodes: DataFrame, classes: DataFrame, docs: DataFrame, *, text: str, doc_id: str) -> DataFrame:
-    """(node, members) for the classes that share a bucket, rebuilt from one text each."""
-    wanted = classes.join(nodes, F.col("set_id") == F.col("node")).select("set_id", "any_id")
-    texts = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
-    found = texts.join(wanted, F.col("doc_id").eqNullSafe(F.col("any_id"))).select("set_id", "text")
+    """(of, n, signature, members) for the classes that share a bucket, rebuilt from one text each."""
+    wanted = small(cut(classes.join(nodes, F.col("set_id") == F.col("node")).select(F.col("any_row").alias("in_row"))))
+    texts = docs.select(F.col(text).cast("string").alias("text"), row_key(doc_id, text).alias("row_key"))
+    found = texts.join(wanted, F.col("row_key") == F.col("in_row"), "left_semi")
 
     def build(batch, _):
         grams, first = shingle_sets(batch.column(1))
-        ids = fingerprints(grams, first)
-        mine = [ids[i].tobytes() == w for i, w in enumerate(batch.column(2).to_pylist())]  # another row may share the doc_id
-        return [pa.array(mine, pa.bool_()), pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(grams.view(np.int64)))]
+        n = np.diff(first)
+        members = pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(grams.view(np.int64)))
+        return [_binary(fingerprints(grams, first), 16, n > 0), pa.array(n, pa.int64()), _binary(minima(grams, first), 4 * HASHES, n > 0), members]
 
-    sets = map_texts(found, build, "mine boolean, members array<bigint>", keep=["set_id"], more=[F.col("set_id")]).filter("mine")
-    return sets.groupBy(F.col("doc.set_id").alias("of")).agg(F.first("members").alias("members"))
+    sets = map_texts(found, build, "of binary, n bigint, signature binary, members array<bigint>", keep=["row_key"])
+    return sets.groupBy("of").agg(F.first("n").alias("n"), F.first("signature").alias("signature"), F.first("members").alias("members"))
 
 
 def _pivot_links(shared: DataFrame, sets: DataFrame) -> DataFrame:
@@ -148,14 +166,37 @@ def _pivot_links(shared: DataFrame, sets: DataFrame) -> DataFrame:
     return both.filter(100 * F.col("shared") >= PERCENT * (F.size("a") + F.size("b") - F.col("shared"))).select("u", "v")
 
 
+def _signatures(rows: pd.DataFrame) -> np.ndarray:
+    return np.frombuffer(b"".join(rows["signature"]), np.uint32).reshape(-1, HASHES)
+
+
+def _sides(pdf: pd.DataFrame) -> tuple[pd.DataFrame, pd.DataFrame, bool]:
+    """The two blocks of a group, which are one block on the diagonal."""
+    both = bool(pdf["i"].iat[0] == pdf["j"].iat[0])
+    return (pdf, pdf, both) if both else (pdf[pdf["mine"] == pdf["i"]], pdf[pdf["mine"] == pdf["j"]], both)
+
+
+def _may_link_across(pdf: pd.DataFrame) -> pd.DataFrame:
+    """The classes of two blocks of one bucket that may have a link to another component, by size and signature."""
+    left, right, _ = _sides(pdf)
+    sig, n = [_signatures(x) for x in (left, right)], [x["n"].to_numpy() for x in (left, right)]
+    root = pd.factorize(pd.concat([left["root"], right["root"]]))[0]
+    mine, others = root[: len(left)], root[len(left) :]
+    found = np.zeros(len(left), bool), np.zeros(len(right), bool)
+    for k in range(len(left)):
+        at = np.flatnonzero((others != mine[k]) & (100 * np.minimum(n[1], n[0][k]) >= PERCENT * np.maximum(n[1], n[0][k])))
+        at = at[(sig[1][at] == sig[0][k]).mean(1) >= PERCENT / 100 - MARGIN] if len(at) else at
+        found[0][k] |= len(at) > 0
+        found[1][at] = True
+    keep = pd.concat([left[found[0]], right[found[1]]]).drop_duplicates("node")
+    return keep[["band", "i", "j", "mine", "node", "root"]]
+
+
 def _links_across(pdf: pd.DataFrame) -> pd.DataFrame:
     """Pairs of components that a confirmed link joins, from two blocks of one bucket. Components that are joined are
     not compared again, so a block returns fewer pairs than it has classes."""
-    both = bool(pdf["i"].iat[0] == pdf["j"].iat[0])
-    left = pdf if both else pdf[pdf["mine"] == pdf["i"]]
-    right = pdf if both else pdf[pdf["mine"] == pdf["j"]]
-    sig = [np.frombuffer(b"".join(x["signature"]), np.uint32).reshape(-1, HASHES) for x in (left, right)]
-    n = [x["n"].to_numpy() for x in (left, right)]
+    left, right, both = _sides(pdf)
+    sig, n = [_signatures(x) for x in (left, right)], [x["n"].to_numpy() for x in (left, right)]
     members = [[np.sort(m) for m in x["members"]] for x in (left, right)]
     name = left["root"].to_numpy(), right["root"].to_numpy()
     root = pd.factorize(pd.concat([left["root"], right["root"]]))[0].copy()
@@ -185,47 +226,66 @@ def _links_across(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"u": u, "v": v})
 
 
-def _cross_links(shared: DataFrame, classes: DataFrame, sets: DataFrame, roots: DataFrame) -> DataFrame:
+def _cross_links(shared: DataFrame, sets: DataFrame, roots: DataFrame) -> DataFrame:
     """Pairs of components with a confirmed link between them, from blocks of bounded numbers and bytes."""
-    placed = shared.join(roots, F.col("node") == F.col("in_root"), "left").select("band", "node", "n", F.coalesce("root", "node").alias("root"))
+    arrow_batches(shared.sparkSession)
+    placed = cut(shared.join(roots, F.col("node") == F.col("in_root"), "left").select("band", "node", "n", F.coalesce("root", "node").alias("root")))
     mixed = placed.groupBy("band").agg(F.count(F.lit(1)).alias("held"), F.sum("n").alias("total"), F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi")
     blocks = F.greatest(F.ceil(F.col("held") / BLOCK), F.ceil(F.col("total") / BLOCK_SHINGLES)).cast("int")
-    members = placed.join(mixed.select(F.col("band").alias("in_band"), blocks.alias("blocks")), F.col("band") == F.col("in_band"))
-    members = members.withColumn("mine", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    mixed = small(cut(mixed.select(F.col("band").alias("in_band"), blocks.alias("blocks"))))
+    members = placed.join(mixed, F.col("band") == F.col("in_band")).withColumn("mine", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     pair = F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: F.struct(F.least(x, F.col("mine")).alias("i"), F.greatest(x, F.col("mine")).alias("j")))).alias("pair")
-    full = classes.select(F.col("set_id").alias("sid"), "signature").join(sets, F.col("sid") == F.col("of"))
-    dealt = members.join(full, F.col("node") == F.col("sid")).select("band", "node", "n", "root", "signature", "members", "mine", pair)
-    dealt = dealt.select("band", "node", "n", "root", "signature", "members", "mine", "pair.i", "pair.j")
-    return dealt.groupBy("band", "i", "j").applyInPandas(_links_across, "u binary, v binary").distinct()
-
-
-def near_duplicates(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """One row a document: doc_id, n_shingles, component_id (the smallest doc_id reachable by links) and kept."""
+    signed = members.join(sets.select("of", "signature"), F.col("node") == F.col("of")).select("band", "mine", "node", "n", "root", "signature", pair)
+    signed = signed.select("band", "pair.i", "pair.j", "mine", "node", "n", "root", "signature")
+    kind = dict(signed.dtypes)
+    found = ", ".join(f"{c} {kind[c]}" for c in ("band", "i", "j", "mine", "node", "root"))
+    alike = cut(signed.groupBy("band", "i", "j").applyInPandas(_may_link_across, found))
+    full = alike.join(sets, F.col("node") == F.col("of")).select("band", "i", "j", "mine", "node", "n", "root", "signature", "members")
+    return full.groupBy("band", "i", "j").applyInPandas(_links_across, "u binary, v binary").distinct()
+
+
+def _grouped(docs: DataFrame, *, text: str, doc_id: str) -> tuple[DataFrame, DataFrame]:
+    """Every document's (doc_id, row_key, n_shingles, set_id), and for the sets that several documents have or that
+    are linked (of_set, component_id, kept_row): the row with the component's smallest doc_id, then smallest key."""
     base = cut(sketches(docs, text=text, doc_id=doc_id))
-    classes = cut(base.filter("set_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("any_id"), F.first("n_shingles").alias("n"), F.first("signature").alias("signature")))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row_key")).alias("best")
+    classes = base.filter("set_id is not null").groupBy("set_id").agg(first, F.count(F.lit(1)).alias("copies"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"))
+    classes = cut(classes.withColumn("any_row", F.col("best.row_key")))
     shared = cut(_shared_buckets(classes))
     sets = cut(_full_sets(shared.select("node").distinct(), classes, docs, text=text, doc_id=doc_id))
     links = cut(_pivot_links(shared, sets))
-    roots = cut(components(links))
-    across = cut(_cross_links(shared, classes, sets, roots.select(F.col("node").alias("in_root"), "root")))
-    named = classes.select("set_id", "any_id").join(roots, F.col("set_id") == F.col("node"), "left").select("set_id", "any_id", F.coalesce("root", "set_id").alias("root"))
+    roots = components(links).select(F.col("node").alias("in_root"), "root")
+    across = cut(_cross_links(shared, sets, roots))
+    plain = classes.select("set_id", "best", "copies")
+    nodes = plain.join(roots, F.col("set_id") == F.col("in_root"), "left").select(F.col("set_id").alias("node"), "copies", "best", "root")
     if across.take(1):
         joined = components(across).select(F.col("node").alias("was"), F.col("root").alias("now"))
-        named = named.join(joined, F.col("root") == F.col("was"), "left").select("set_id", "any_id", F.coalesce("now", "root").alias("root"))
-    names = named.groupBy(F.col("root").alias("r")).agg(F.min("any_id").alias("component_id"))
-    labels = cut(named.join(names, F.col("root") == F.col("r")).select(F.col("set_id").alias("of_set"), "component_id"))
+        nodes = nodes.join(joined, F.coalesce("root", "node") == F.col("was"), "left").select("node", "copies", "best", F.coalesce("now", "root").alias("root"))
+    lone = nodes.filter("root is null and copies > 1").select("node", "best")
+    labels = lone.union(named(nodes.filter("root is not null").select("node", "root", "best"), "best").select("node", "best"))
+    return base, cut(labels.select(F.col("node").alias("of_set"), F.col("best.doc_id").alias("component_id"), F.col("best.row_key").alias("kept_row")))
+
+
+def near_duplicates(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """One row a document: doc_id, n_shingles, component_id (the smallest doc_id reachable by links) and kept."""
+    base, labels = _grouped(docs, text=text, doc_id=doc_id)
     out = base.select("doc_id", "n_shingles", "set_id").join(labels, F.col("set_id") == F.col("of_set"), "left")
-    own = F.when(F.col("set_id").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
+    own = F.when(F.col("of_set").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     return out.select("doc_id", "n_shingles", own.alias("component_id"), F.col("doc_id").eqNullSafe(own).alias("kept"))
 
 
 def keep_one(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """The rows of docs that stay: one document of each component. Repeated rows of one doc_id and text stay once."""
-    marked = cut(near_duplicates(docs, text=text, doc_id=doc_id))
-    dropped = marked.filter("not kept").select(F.col("doc_id").alias("gone")).distinct()
-    kept = docs.join(dropped, F.col(doc_id) == F.col("gone"), "left_anti")
-    again = marked.filter("kept and n_shingles > 0").groupBy("doc_id").count().filter("count > 1")
-    if again.take(1):
-        turn = F.row_number().over(W.partitionBy(doc_id, text).orderBy(doc_id))
-        kept = kept.withColumn("turn of row", turn).filter(F.col("turn of row") == 1).drop("turn of row")
-    return kept
+    """The rows of docs that stay: one row of each component, with the smallest doc_id (null comes last), and of rows
+    that share it the one whose text has the smallest digest. Rows are told apart by id and text together, so
+    one id with two texts loses neither unless the texts are alike. Rows without words stay."""
+    base, labels = _grouped(docs, text=text, doc_id=doc_id)
+    marked = base.filter("set_id is not null").join(labels, F.col("set_id") == F.col("of_set"))
+    counted = cut(marked.groupBy("row_key", "kept_row").agg(F.count(F.lit(1)).alias("rows")))
+    gone = small(cut(counted.filter("row_key <> kept_row").select(F.col("row_key").alias("in_row"))))
+    again = counted.filter("row_key = kept_row and rows > 1").select(F.col("row_key").alias("in_row"))
+    key = row_key(doc_id, text)
+    kept = docs.join(gone, key == gone["in_row"], "left_anti")
+    if not again.take(1):
+        return kept
+    again = small(cut(again))
+    return kept.join(again, key == again["in_row"], "left_anti").union(kept.join(again, key == again["in_row"], "left_semi").dropDuplicates([doc_id, text]))

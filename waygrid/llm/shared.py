@@ -12,6 +12,10 @@ from pyspark.sql import types as T
 from waygrid.llm.text import runs
 
 DOCUMENTS, EMBEDDINGS, LABELS = "documents", "embeddings", "labels"
+#: Bytes of rows that Spark sends to Python at once.
+BATCH_CONF, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 2 << 20
+#: Rows of a few short columns that may be sent to all tasks: some 20 MB.
+SENT_ROWS = 200_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -43,18 +47,35 @@ def whole_row(keep: Sequence[str] | None = None) -> Column:
     return F.struct("*" if keep is None else F.col(keep[0]), *map(F.col, keep[1:] if keep else ())).alias("doc")
 
 
+def arrow_batches(spark: SparkSession) -> None:
+    """Has Spark cut the batches that it sends to Python by bytes and not by rows alone, unless the session already does."""
+    if spark.conf.get(BATCH_CONF, "1b") == "1b":  # unset
+        spark.conf.set(BATCH_CONF, BATCH_BYTES)
+
+
+def small(df: DataFrame, most: int = SENT_ROWS) -> DataFrame:
+    """df, marked to be sent to all tasks if a count finds it small enough; else joins deal it out. For tables that are
+    cheap to count (written ones) and have short rows."""
+    return F.broadcast(df) if df.count() <= most else df
+
+
 def map_texts(df: DataFrame, compute: Callable[[pa.RecordBatch, dict], list], fields: str, *, keep: Sequence[str] | None = None, text: str = "text", more: Sequence[Column] = ()) -> DataFrame:
     """Adds columns that follow from each row's text: rows stay where they are, nothing is shuffled.
 
-    compute(batch, state) gets ``text`` and the ``more`` columns of rows with about RUN_BYTES of text and returns
-    one array for each of ``fields`` (a DDL list). state is a dict of the task's own. The result has the columns
-    ``keep`` (None: all) in the struct ``doc``, then the fields.
+    compute(batch, state) gets a batch of rows with about RUN_BYTES of text: the kept struct, the text, then the
+    ``more`` columns. It returns one array for each of ``fields`` (a DDL list). state is a dict of the task's own. The
+    result has the columns ``keep`` (None: all) in the struct ``doc``, then the fields. A text that is among the kept
+    columns is sent once.
     """
-    return map_rows(df.select(whole_row(keep), F.col(text).cast("string").alias("text"), *more), compute, fields)
+    inside = keep is None and df.schema[text].dataType == T.StringType()
+    own = [] if inside else [F.col(text).cast("string").alias("text")]
+    return map_rows(df.select(whole_row(keep), *own, *more), compute, fields, df.columns.index(text) if inside else None)
 
 
-def map_rows(rows: DataFrame, compute: Callable[[pa.RecordBatch, dict], list], fields: str) -> DataFrame:
-    """map_texts of rows that have the columns ``doc`` and ``text`` first and then any others."""
+def map_rows(rows: DataFrame, compute: Callable[[pa.RecordBatch, dict], list], fields: str, inside: int | None = None) -> DataFrame:
+    """map_texts of rows that have the columns ``doc`` and ``text`` first and then any others; with ``inside``, the text
+    is that column of doc instead."""
+    arrow_batches(rows.sparkSession)
     added = T.StructType.fromDDL(fields)
     schema = T.StructType([rows.schema["doc"], *added.fields])
     names = schema.names
@@ -62,8 +83,15 @@ def map_rows(rows: DataFrame, compute: Callable[[pa.RecordBatch, dict], list], f
     def run(batches):
         state: dict = {}
         for batch in batches:
-            for begin, end in runs(batch.column(1)):
-                part = batch.slice(begin, end - begin)
+            columns = list(batch.columns)
+            if inside is not None:
+                columns.insert(1, columns[0].field(inside))
+            labels = [str(i) for i in range(len(columns))]
+            for begin, end in runs(columns[1]):
+                part = pa.RecordBatch.from_arrays([c.slice(begin, end - begin) for c in columns], labels)
                 yield pa.RecordBatch.from_arrays([part.column(0), *compute(part, state)], names)
+            del batch, columns
+        state.clear()
+        pa.default_memory_pool().release_unused()
 
     return rows.mapInArrow(run, schema)

@@ -13,7 +13,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Texts are handled in runs of about so many bytes; a longer text is a run of its own.
-RUN_BYTES = 2 << 20
+RUN_BYTES = 512 << 10
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -40,19 +40,18 @@ _powers = np.ones(1, np.uint64), np.ones(1, np.uint64)
 
 
 def _powers_to(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers 0..n of the base and of its inverse; kept while they are of an ordinary run's length."""
+    """Powers 0..n of the base and of its inverse; kept for runs of ordinary length, made anew for a longer text."""
     global _powers
-    if len(_powers[0]) <= n:
-        size = max(n, RUN_BYTES * 2) + 1
-        made = []
-        for b in (_BASE, pow(_BASE, -1, 1 << 64)):
-            p = np.full(size, b, np.uint64)
-            p[0] = 1
-            made.append(np.multiply.accumulate(p))
-        if size > 8 * RUN_BYTES:
-            return tuple(made)
+    if len(_powers[0]) > n:
+        return _powers
+    made = []
+    for b in (_BASE, pow(_BASE, -1, 1 << 64)):
+        p = np.full(max(n, RUN_BYTES) + 1, b, np.uint64)
+        p[0] = 1
+        made.append(np.multiply.accumulate(p))
+    if n <= RUN_BYTES:
         _powers = tuple(made)
-    return _powers
+    return tuple(made)
 
 
 class Texts:
