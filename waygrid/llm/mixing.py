@@ -11,7 +11,8 @@
 
 Documents are laid out by ranges of a seeded hash: a range has an equal share of any source, a hot one too, and
 places follow from sums of the ranges before. So no task holds a source. Only sums by source, one row each, pass
-through one task, and sums by range, ``ranges`` rows a source.
+through one task, and sums by range, a row for each ``range_rows`` rows of the input or ``ranges`` a source.
+Rows that agree in id and size are told apart by a hash of their text, so reruns agree in texts as well.
 
 Null sources are a source of their own, after all others. Null or blank texts have size 0 and give nothing. Repeated
 rows are documents of their own. An empty table gives an empty mix.
@@ -26,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from waygrid.llm.shared import cut
+from waygrid.llm.shared import cut, whole_row
 
 
 @dataclass(frozen=True)
@@ -35,7 +36,8 @@ class Mix:
     block: int = 32  # words
     shards: int = 16  # output shards, each with its integer quotas
     most_repeats: int = 3
-    ranges: int = 1024  # ranges of the seeded order in each source
+    ranges: int = 1024  # ranges of the seeded order in each source, at least
+    range_rows: int = 65_536  # and as many as give this number of rows a range when one source holds all
     seed: int = 20
 
 
@@ -111,10 +113,13 @@ def mix_documents(docs: DataFrame, mix: Mix = Mix(), *, size: Column | None = No
     counted), place (words of its source before it), n_blocks, quota (the source's blocks in the mix), turn (the seed
     of its block choice) and quotas (the source's blocks by output shard).
     """
-    kept = F.struct("*" if keep is None else F.col(keep[0]), *map(F.col, keep[1:] if keep else ())).alias("doc")
-    span = -(-(1 << 32) // mix.ranges)
-    rows = docs.select(kept, F.col(source).cast("string").alias("source"), F.col(doc_id).alias("id"), (word_count(F.col(text)) if size is None else F.coalesce(size, F.lit(0)).cast("long")).alias("size"))
-    rows = rows.withColumn("order", F.xxhash64(F.lit(mix.seed), F.col("id"), F.col("size"))).withColumn("range", F.floor(F.pmod("order", F.lit(1 << 32)) / span).cast("int"))
+    kept = whole_row(keep)
+    span = -(-(1 << 32) // max(mix.ranges, docs.count() // mix.range_rows))
+    words = word_count(F.col(text)) if size is None else F.coalesce(size, F.lit(0)).cast("long")
+    content = F.xxhash64(F.col(text).cast("string") if text in docs.columns else F.lit(None))
+    rows = docs.select(kept, F.col(source).cast("string").alias("source"), F.col(doc_id).alias("id"), words.alias("size"), content.alias("content"))
+    rows = rows.withColumn("order", F.xxhash64(F.lit(mix.seed), F.col("id"), F.col("size")))
+    rows = rows.withColumn("range", F.floor(F.pmod("order", F.lit(1 << 32)) / span).cast("int"))
     sums = cut(rows.groupBy("source", "range").agg(F.sum("size").alias("range_size")))
     sizes = sums.groupBy("source").agg(F.sum("range_size").alias("source_size"))
     plan = cut(apportion(source_targets(sizes, mix), mix))
@@ -130,16 +135,21 @@ def mix_documents(docs: DataFrame, mix: Mix = Mix(), *, size: Column | None = No
         )
     )
     placed = rows.join(ranges, F.col("source").eqNullSafe(F.col("of")) & (F.col("range") == F.col("in_range")))
-    in_range = W.partitionBy("source", "range").orderBy("order", "id", "size").rowsBetween(W.unboundedPreceding, -1)
+    in_range = W.partitionBy("source", "range").orderBy("order", "id", "size", "content").rowsBetween(W.unboundedPreceding, -1)
     placed = placed.withColumn("place", F.col("range_place") + F.coalesce(F.sum("size").over(in_range), F.lit(0)))
     taken = taken_before(F.col("place") + F.col("size"), mix) - taken_before(F.col("place"), mix)
     return placed.withColumn("taken", F.when(F.col("size") > 0, taken).otherwise(F.lit(0)).cast("long")).select("doc", "size", "source_size", "target", "taken", "place", "n_blocks", "quota", "turn", "quotas")
 
 
 def picks_before(block: Column) -> Column:
-    """How often blocks before this one are taken, all together. The product may pass 2^63, so it is a decimal."""
-    product = block.cast("decimal(20,0)") * F.col("quota").cast("decimal(17,0)") + F.col("turn").cast("decimal(20,0)")
-    return F.floor((product - F.pmod(product, F.greatest("n_blocks", F.lit(1)).cast("decimal(20,0)"))) / F.greatest("n_blocks", F.lit(1)).cast("decimal(20,0)") + F.lit(0.5).cast("decimal(2,1)")).cast("long")
+    """How often blocks before this one are taken, all together. Whole numbers of 64 bits do while blocks times quota stay
+    below 2^62; sources beyond that take decimals."""
+    n, quota, turn = F.greatest("n_blocks", F.lit(1)), F.col("quota"), F.col("turn")
+    product = block * quota + turn
+    fits = (n.cast("double") + 1) * (F.greatest(quota, F.lit(1)).cast("double") + 1) < 2.0**62
+    wide = block.cast("decimal(20,0)") * quota.cast("decimal(17,0)") + turn.cast("decimal(20,0)")
+    exact = F.floor((wide - F.pmod(wide, n.cast("decimal(20,0)"))) / n.cast("decimal(20,0)") + F.lit(0.5).cast("decimal(2,1)")).cast("long")
+    return F.when(fits, F.call_function("div", product, n)).otherwise(exact)
 
 
 def taken_before(place: Column, mix: Mix) -> Column:

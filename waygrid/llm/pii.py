@@ -214,17 +214,17 @@ def redact(text: str, spans: list[Span]) -> str:
 
 def find_pii(docs: DataFrame, *, text: str = "text", keep: Sequence[str] | None = None, redacted: bool = True) -> DataFrame:
     """The columns ``keep`` (None: all) in the struct doc, then n_email, n_ip, n_card, n_phone and base_sha256 of the
-    base spans, n_added, spans (base and added) and, if asked for, the text with all spans replaced."""
+    base spans, n_added, spans (base and added) and, if asked for, the text with all spans replaced (null for null)."""
 
     def compute(batch, _):
-        texts = [t or "" for t in batch.column(1).to_pylist()]
-        found = [find(t) for t in texts]
+        texts = batch.column(1).to_pylist()
+        found = [find(t or "") for t in texts]
         out = [pa.array([sum(s[0] == kind for s in base) for base, _ in found], pa.int64()) for kind in KINDS]
         out.append(pa.array([len(added) for _, added in found], pa.int64()))
         out.append(pa.array([hashlib.sha256(joined(base).encode()).hexdigest() for base, _ in found]))
         out.append(pa.array([joined(base + added) for base, added in found]))
         if redacted:
-            out.append(pa.array([redact(t, base + added) for t, (base, added) in zip(texts, found)], pa.string()))
+            out.append(pa.array([t and redact(t, base + added) for t, (base, added) in zip(texts, found)], pa.string()))
         return out
 
     fields = "".join(f"n_{k} bigint, " for k in KINDS) + "n_added bigint, base_sha256 string, spans string" + ", redacted string" * redacted
@@ -233,6 +233,6 @@ def find_pii(docs: DataFrame, *, text: str = "text", keep: Sequence[str] | None
 
 def redact_documents(docs: DataFrame, *, text: str = "text") -> DataFrame:
     """The same rows and columns, with personal data replaced in the text; a null text stays null."""
-    found = find_pii(docs, text=text)
-    new = F.when(F.col(f"doc.`{text}`").isNotNull(), F.col("redacted")).alias(text)
-    return found.select(*[new if c == text else F.col(f"doc.`{c}`").alias(c) for c in docs.columns])
+    others = [c for c in docs.columns if c != text]
+    found = find_pii(docs, text=text, keep=others or None)
+    return found.select(*[F.col("redacted").alias(text) if c == text else F.col(f"doc.`{c}`").alias(c) for c in docs.columns])

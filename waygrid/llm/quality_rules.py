@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from waygrid.llm.shared import cut, map_rows, whole_row
+from waygrid.llm.shared import arrow_batches, cut, map_rows, map_texts, whole_row
 from waygrid.llm.text import Texts, keyed, mix, runs, windows
 
 #: Very common words of the languages that the histograms tell apart.
@@ -142,9 +142,9 @@ def references(docs: DataFrame, rules: Rules = Rules(), *, text: str = "text", l
             for begin, end in runs(batch.column(1)):
                 t = Texts(batch.column(1).slice(begin, end - begin))
                 both = np.hstack(histograms(t))
-                names, which = np.unique(np.array([x or "" for x in batch.column(0).slice(begin, end - begin).to_pylist()], object), return_inverse=True)
-                for i, name in enumerate(names):
-                    total[name] = total.get(name, 0) + both[which == i].sum(0)
+                langs = batch.column(0).slice(begin, end - begin).to_pylist()
+                for name in set(langs):
+                    total[name] = total.get(name, 0) + both[[x == name for x in langs]].sum(0)
             yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array([list(map(int, x)) for x in total.values()], pa.list_(pa.int64()))], ["lang", "bins"])
 
     parts = docs.select(F.col(lang).cast("string").alias("lang"), F.col(text).cast("string").alias("text")).mapInArrow(sums, "lang string, bins array<bigint>")
@@ -152,7 +152,7 @@ def references(docs: DataFrame, rules: Rules = Rules(), *, text: str = "text", l
     by_lang = cut(by_lang)
     total = by_lang.agg(F.sum("words")).first()[0] or 0
     enough = by_lang.filter(F.col("words") >= rules.guard_reference_words)
-    sent = (F.col("words") >= rules.reference_share * total) | F.col("lang").isin(*COMMON)
+    sent = (F.col("words") >= rules.reference_share * total) | F.coalesce(F.col("lang").isin(*COMMON), F.lit(False))
     rare = enough.filter(~sent).select("lang", "bins")
     return {r["lang"]: np.array(r["bins"], float) for r in enough.filter(sent).collect()}, rare if rare.take(1) else None
 
@@ -161,6 +161,7 @@ def quality_rules(docs: DataFrame, rules: Rules = Rules(), *, text: str = "text"
     """Counts, distances and verdict of each document: the columns ``keep`` (None: all) in the struct doc, then
     n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, class_distance and word_distance (null where a
     guard holds), base_failed and kept."""
+    arrow_batches(docs.sparkSession)
     refs, rare = references(docs, rules, text=text, lang=lang)
 
     def judge(batch, state):
@@ -175,7 +176,7 @@ def quality_rules(docs: DataFrame, rules: Rules = Rules(), *, text: str = "text"
         far = {"class": np.full(t.n, np.nan), "word": np.full(t.n, np.nan)}
         nearest = np.min([np.ones(t.n), *(distance(words, refs[x][None, N_CLASSES:]) for x in COMMON if x in refs)], axis=0)
         for name in set(names):
-            if (ref := own.get(name or "")) is not None:
+            if (ref := own.get(name)) is not None:
                 mine = np.array([x == name for x in names])
                 far["class"][mine] = distance(chars[mine], ref[None, :N_CLASSES])
                 far["word"][mine] = distance(words[mine], ref[None, N_CLASSES:])
@@ -187,9 +188,10 @@ def quality_rules(docs: DataFrame, rules: Rules = Rules(), *, text: str = "text"
         return [*(pa.array(x, pa.int64()) for x in base.values()), *(pa.array(x, pa.float64(), mask=np.isnan(x)) for x in far.values()), pa.array(failed), pa.array(~failed & ~odd)]
 
     fields = "n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, class_distance double, word_distance double, base_failed boolean, kept boolean"
-    rows = docs.select(whole_row(keep), F.col(text).cast("string").alias("text"), F.coalesce(F.col(lang).cast("string"), F.lit("")).alias("lang"))
+    own_text, language = F.col(text).cast("string").alias("text"), F.col(lang).cast("string").alias("lang")
     if rare is None:
-        return map_rows(rows, judge, fields)
-    here = F.col("lang").isin(*refs) if refs else F.lit(False)
-    joined = rows.filter(~here).join(rare, "lang", "left").select("doc", "text", "lang", "bins")
+        return map_texts(docs, judge, fields, keep=keep, text=text, more=[language])
+    rows = docs.select(whole_row(keep), own_text, language)
+    here = F.when(F.col("lang").isNull(), F.lit(None in refs)).otherwise(F.col("lang").isin([x for x in refs if x is not None]))
+    joined = rows.filter(~here).join(rare.withColumnRenamed("lang", "of_lang"), F.col("lang").eqNullSafe(F.col("of_lang")), "left").select("doc", "text", "lang", "bins")
     return map_rows(rows.filter(here), judge, fields).unionByName(map_rows(joined, judge, fields))

@@ -44,7 +44,7 @@ def cut(df: DataFrame) -> DataFrame:
 
 def whole_row(keep: Sequence[str] | None = None) -> Column:
     """Columns as one struct ``doc``, so that columns that an operator adds can't clash with them."""
-    return F.struct("*" if keep is None else F.col(keep[0]), *map(F.col, keep[1:] if keep else ())).alias("doc")
+    return F.struct(*(["*"] if keep is None else [F.col(f"`{c}`") for c in keep])).alias("doc")
 
 
 def arrow_batches(spark: SparkSession) -> None:
