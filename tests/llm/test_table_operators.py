@@ -134,7 +134,8 @@ def brute_vectors(rows, cosine=0.95):
 
 def test_near_vectors(spark, sf_dir, monkeypatch):
     monkeypatch.setattr(embedding_join, "BLOCK", 32)
-    monkeypatch.setattr(embedding_join, "CELL_VECTORS", 40)
+    monkeypatch.setattr(embedding_join, "STRIP", 10)
+    monkeypatch.setattr(embedding_join, "CELLS_ROOT", 2)
     rng = np.random.default_rng(3)
     centre = rng.normal(size=(6, 16))
     rows = [(i, (centre[i % 6] + rng.normal(size=16) * (0.02 if i % 2 else 0.35)).tolist()) for i in range(240)]
@@ -145,6 +146,12 @@ def test_near_vectors(spark, sf_dir, monkeypatch):
     assert embedding_join.near_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
+def test_near_vectors_of_extreme_size(spark):
+    rows = [(1, [1e-200, 1e-200]), (2, [1.0, 0.2]), (3, [1e200, 1e200]), (4, [2e200, 2e200]), (5, [1.0, 1.0]), (6, [5e-324, 5e-324]), (7, [1.7e308, -1.7e308])]
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in embedding_join.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert got == {1: (4, 1), 2: (0, 2), 3: (4, 1), 4: (4, 1), 5: (4, 1), 6: (4, 1), 7: (0, 7)}
+
+
 def test_near_vectors_query(spark, sf_dir):
     rows = [(r["vec_id"], list(r["embedding"])) for r in spark.read.parquet(f"{sf_dir}/embeddings.parquet").orderBy("vec_id").collect()]
     assert {r["vec_id"]: (r["n_links"], r["component_id"]) for r in QUERIES["op3_embedding_join"](spark, sf_dir).collect()} == brute_vectors(rows)

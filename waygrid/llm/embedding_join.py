@@ -30,28 +30,39 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from waygrid.llm.components import components
-from waygrid.llm.shared import cut
+from waygrid.llm.components import components, named
+from waygrid.llm.shared import arrow_batches, cut, small
 
 COSINE = 0.95
-BLOCK = 2048
-#: Residents a cell should have, and the most cells: pivots are sent to all tasks, so their number is bounded.
-CELL_VECTORS, MOST_CELLS = 4096, 256
+#: Vectors of a block, and rows of it that a product takes at once.
+BLOCK, STRIP = 8192, 512
+#: Cells are as many as the root of the number of vectors over this: pivots and their sample grow slower than the data,
+#: and both the vectors of a cell and the cells of a vector grow evenly.
+CELLS_ROOT = 32
 
 
-def _pivots(classes: DataFrame, n_cells: int) -> np.ndarray:
+def n_cells(n: int) -> int:
+    return max(1, math.isqrt(n) // CELLS_ROOT)
+
+
+def _unit(x: np.ndarray) -> np.ndarray:
+    """Rows of length 1. Each is divided by its largest component first: squares of very large or small ones are no numbers."""
+    x = x / np.maximum(np.abs(x).max(1, keepdims=True), np.finfo(float).tiny)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+def _pivots(classes: DataFrame, cells: int) -> np.ndarray:
     """Unit vectors far from one another, out of a seeded sample of at most 8 a cell."""
-    sample = classes.orderBy(F.xxhash64("cid"), "cid").limit(8 * n_cells).select("x").collect()
+    sample = classes.orderBy(F.xxhash64("cid"), "cid").limit(8 * cells).select("x").collect()
     by_length: dict[int, list] = {}
     for r in sample:
         by_length.setdefault(len(r["x"]), []).append(r["x"])
     if not by_length:
         return np.zeros((0, 1))
-    x = np.array(max(by_length.values(), key=len), float)
-    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    x = _unit(np.array(max(by_length.values(), key=len), float))
     chosen = [0]
     far = 2 - 2 * x @ x[0]
-    while len(chosen) < min(n_cells, len(x)) and far.max() > 1e-6:
+    while len(chosen) < min(cells, len(x)) and far.max() > 1e-6:
         chosen.append(int(far.argmax()))
         far = np.minimum(far, 2 - 2 * x @ x[chosen[-1]])
     return x[chosen]
@@ -63,8 +74,7 @@ def _matrix(column: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
     fits = np.array([len(v) == width for v in lists], bool)
     x = np.zeros((len(lists), width))
     if fits.any():
-        x[fits] = np.array([v for v, f in zip(lists, fits) if f], float)
-        x[fits] /= np.linalg.norm(x[fits], axis=1, keepdims=True)
+        x[fits] = _unit(np.array([v for v, f in zip(lists, fits) if f], float))
     return x, fits
 
 
@@ -141,9 +151,8 @@ def _compare(cosine: float):
         empty = pd.DataFrame({"u": [], "v": [], "links": []})
         if left.empty or right.empty:
             return empty
-        unit = [np.array(f["x"].tolist(), float) for f in (left, right)]
-        unit = [m / np.linalg.norm(m, axis=1, keepdims=True) for m in unit]
-        linked = unit[0] @ unit[1].T >= cosine
+        unit = [_unit(np.array(f["x"].tolist(), float)) for f in (left, right)]
+        linked = np.concatenate([unit[0][k : k + STRIP] @ unit[1].T >= cosine for k in range(0, len(left), STRIP)])
         ids = [f["cid"].to_numpy() for f in (left, right)]
         place = {c: k for k, c in enumerate(ids[1])}
         for k, c in enumerate(ids[0]):
@@ -160,21 +169,19 @@ def _compare(cosine: float):
 
 def near_vectors(vectors: DataFrame, cosine: float = COSINE, *, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
     """One row a vector: vec_id, n_links (other vectors linked directly), component_id and kept."""
+    arrow_batches(vectors.sparkSession)
     r = math.sqrt(max(0.0, 2 - 2 * cosine))
     x = F.col("x")
     finite = F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))) & F.exists(x, lambda v: v != 0)
     rows = vectors.select(F.col(vec_id).alias("vec_id"), F.col(embedding).cast("array<double>").alias("x"))
     rows = rows.withColumn("cid", F.when(F.coalesce(finite, F.lit(False)), F.unhex(F.md5(F.array_join(F.transform("x", lambda v: (v + F.lit(0.0)).cast("string")), ",")))))
     classes = cut(rows.filter("cid is not null").groupBy("cid").agg(F.first("x").alias("x"), F.count(F.lit(1)).alias("held"), F.min("vec_id").alias("any_id")))
-    n = classes.count()
-    pivots = _pivots(classes, max(1, min(MOST_CELLS, -(-n // CELL_VECTORS))))
+    pivots = _pivots(classes, n_cells(classes.count()))
     radius = {q["home"]: q["radius"] for q in _homes(classes, pivots).filter("home >= 0").groupBy("home").agg(F.max("far").alias("radius")).collect()}
     dealt = _dealt(classes, pivots, radius, r)
     sizes = dealt.groupBy("cell").agg(F.count_if(~F.col("guest")).alias("live"), F.count(F.lit(1)).alias("all"))
-    sizes = cut(sizes.select(F.col("cell").alias("of_cell"), F.ceil(F.col("live") / BLOCK).cast("int").alias("rows"), F.ceil(F.col("all") / BLOCK).cast("int").alias("cols")).filter("rows > 0"))
-    bounds = {c["of_cell"]: (c["rows"], c["cols"]) for c in sizes.collect()}  # a row a cell; vectors' widths add few
-    lookup = F.create_map(*[x for c, (a, b) in bounds.items() for x in (F.lit(c), F.struct(F.lit(a).alias("rows"), F.lit(b).alias("cols")))]) if bounds else F.lit(None).cast("map<int, struct<rows: int, cols: int>>")
-    placed = dealt.withColumn("b", lookup[F.col("cell")]).filter("b is not null")
+    sizes = sizes.filter("live > 0").select(F.col("cell").alias("of_cell"), F.struct(F.ceil(F.col("live") / BLOCK).cast("int").alias("rows"), F.ceil(F.col("all") / BLOCK).cast("int").alias("cols")).alias("b"))
+    placed = dealt.join(small(cut(sizes)), F.col("cell") == F.col("of_cell"))
     row_part, col_part = F.pmod(F.xxhash64("cid"), F.col("b.rows")).cast("int"), F.pmod(F.xxhash64("cid"), F.col("b.cols")).cast("int")
     asking = placed.filter("not guest").withColumn("i", row_part).withColumn("part", F.col("i")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("b.cols") - 1))).withColumn("asks", F.lit(True))
     asked = placed.withColumn("j", col_part).withColumn("part", F.col("j")).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("b.rows") - 1))).withColumn("asks", F.lit(False))
@@ -183,9 +190,10 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE, *, vec_id: str = "v
     found = cut(blocks.groupBy("cell", "i", "j").applyInPandas(_compare(cosine), "u binary, v binary, links bigint"))
     counts = found.groupBy(F.col("u").alias("c")).agg(F.sum("links").alias("others"))
     roots = components(found.filter("v is not null").select("u", "v"))
-    named = classes.select("cid", "held", "any_id").join(roots, F.col("cid") == F.col("node"), "left").withColumn("root", F.coalesce("root", "cid"))
-    names = named.groupBy(F.col("root").alias("of_root")).agg(F.min("any_id").alias("component_id"))
-    labels = named.join(names, F.col("root") == F.col("of_root")).join(counts, F.col("cid") == F.col("c"), "left")
+    linked = classes.select("cid", "any_id").join(roots, F.col("cid") == F.col("node")).select("node", "root", "any_id")
+    names = named(linked, "any_id").select(F.col("node").alias("linked"), F.col("any_id").alias("component_id"))
+    labels = classes.select("cid", "held", "any_id").join(names, F.col("cid") == F.col("linked"), "left").join(counts, F.col("cid") == F.col("c"), "left")
+    labels = labels.withColumn("component_id", F.when(F.col("linked").isNull(), F.col("any_id")).otherwise(F.col("component_id")))
     labels = cut(labels.select(F.col("cid").alias("of"), (F.coalesce("others", F.lit(0)) + F.col("held") - 1).alias("n_links"), "component_id"))
     out = rows.select("vec_id", "cid").join(labels, F.col("cid") == F.col("of"), "left")
     own = F.when(F.col("cid").isNull(), F.col("vec_id")).otherwise(F.col("component_id"))
