@@ -1,5 +1,6 @@
 """Operators that relate rows to each other, against brute force on small tables and odd cases."""
 
+import random
 import re
 from collections import defaultdict
 
@@ -232,7 +233,49 @@ def test_compaction(spark, sf_dir, tmp_path):
     assert store.manifest().agg(F.sum("rows")).first()[0] == docs.count()
     with pytest.raises(Exception):
         store._commit(store.manifest(), before)  # a version is taken once
-    assert store.vacuum() > 0 and store.read().count() == docs.count()
+    assert store.vacuum() == 0 and store.read(before).count() == docs.count()  # all files are young
+    kept = compaction.ShardStore(spark, store.root, compaction.Tiers(grace_s=0))
+    assert kept.vacuum() > 0 and store.read().count() == docs.count()
+
+
+def test_compaction_merges_tiers(spark, tmp_path):
+    """Which shards merge: four or more of a tier, the smallest tier first, never those above half the target."""
+    rng = random.Random(3)
+    sizes = [200, 200, 200, 3000, 3000, 90_000]
+    store = compaction.ShardStore(spark, f"file://{tmp_path}/store", compaction.Tiers(target_bytes=100_000, fanout=4))
+    letters = "".join(chr(c) for c in range(33, 120))
+    for i, n in enumerate(sizes):
+        store.append(spark.createDataFrame([(i, "".join(rng.choices(letters, k=n)))], "doc_id long, text string").coalesce(1))
+    assert store.compact() == 6  # three, two and one shard in a tier: nothing to merge
+    store.append(spark.createDataFrame([(6, "".join(rng.choices(letters, k=200)))], "doc_id long, text string").coalesce(1))
+    assert store.compact() == 8
+    rows = {(r["rows"], r["level"]) for r in store.manifest().collect()}
+    assert rows == {(4, 1), (1, 0)} and store.manifest().count() == 4
+    assert store.read().count() == 7
+
+
+def test_compaction_keeps_columns(spark, tmp_path):
+    store = compaction.ShardStore(spark, f"file://{tmp_path}/store", compaction.Tiers(fanout=2, grace_s=0))
+    store.append(spark.createDataFrame([(1, "x")], "a long, b string"))
+    store.append(spark.createDataFrame([(2, "y", 7)], "a long, b string, c int"))
+    store.append(spark.createDataFrame([(3, 8)], "a long, c int"))
+    want = [(1, "x", None), (2, "y", 7), (3, None, 8)]
+    assert sorted(map(tuple, store.read().collect())) == want
+    store.compact()
+    store.vacuum()
+    assert sorted(map(tuple, store.read().collect())) == want
+    with pytest.raises(ValueError):
+        store.append(spark.createDataFrame([("z",)], "a string"))
+
+
+def test_vacuum_leaves_an_append_in_flight(spark, tmp_path):
+    rows = spark.createDataFrame([(1, "x")], "doc_id long, text string")
+    store = compaction.ShardStore(spark, f"file://{tmp_path}/store")
+    store.append(rows)
+    written = store._write(rows, 0, 2)  # another writer, before its commit
+    store.vacuum()
+    store._commit(store.manifest(1).unionByName(written), 1)
+    assert store.read().count() == 2
 
 
 def test_compaction_odd_rows(spark, tmp_path):

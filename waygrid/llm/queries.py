@@ -45,7 +45,7 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_compaction(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = compaction.compacted(table(spark, sf_dir, DOCUMENTS), f"{shared_folder(spark)}/shards-{uuid4().hex}")
-    return out.select("doc.doc_id", F.sha2("doc.text", 256).alias("text_sha256"), "shard", "shard_rows", "level", "version")
+    return out.select("doc.doc_id", F.sha2("doc.text", 256).alias("text_sha256"), "shard", "shard_rows", "shard_bytes", "level", "version")
 
 
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
