@@ -39,6 +39,8 @@ SHINGLE, PERCENT = 5, 75
 ROWS, BANDS = 5, 45
 HASHES = ROWS * BANDS
 MARGIN = 0.16
+#: Equal minima of a pair that is looked at.
+LEAST_ALIKE = (PERCENT / 100 - MARGIN) * HASHES
 TURNS = 4
 BLOCK, BLOCK_SHINGLES = 512, 1 << 21
 
@@ -184,10 +186,11 @@ def _may_link_across(pdf: pd.DataFrame) -> pd.DataFrame:
     mine, others = root[: len(left)], root[len(left) :]
     found = np.zeros(len(left), bool), np.zeros(len(right), bool)
     for k in range(len(left)):
-        at = np.flatnonzero((others != mine[k]) & (100 * np.minimum(n[1], n[0][k]) >= PERCENT * np.maximum(n[1], n[0][k])))
-        at = at[(sig[1][at] == sig[0][k]).mean(1) >= PERCENT / 100 - MARGIN] if len(at) else at
-        found[0][k] |= len(at) > 0
-        found[1][at] = True
+        ok = (others != mine[k]) & (100 * np.minimum(n[1], n[0][k]) >= PERCENT * np.maximum(n[1], n[0][k]))
+        if ok.any():
+            ok &= np.count_nonzero(sig[1] == sig[0][k], axis=1) >= LEAST_ALIKE
+            found[0][k] |= ok.any()
+            found[1][ok] = True
     keep = pd.concat([left[found[0]], right[found[1]]]).drop_duplicates("node")
     return keep[["band", "i", "j", "mine", "node", "root"]]
 
@@ -197,7 +200,7 @@ def _links_across(pdf: pd.DataFrame) -> pd.DataFrame:
     not compared again, so a block returns fewer pairs than it has classes."""
     left, right, both = _sides(pdf)
     sig, n = [_signatures(x) for x in (left, right)], [x["n"].to_numpy() for x in (left, right)]
-    members = [[np.sort(m) for m in x["members"]] for x in (left, right)]
+    members = [[m.view(np.uint64) for m in x["members"]] for x in (left, right)]  # sorted as they were built
     name = left["root"].to_numpy(), right["root"].to_numpy()
     root = pd.factorize(pd.concat([left["root"], right["root"]]))[0].copy()
     mine, others = root[: len(left)], root[len(left) :]  # views, so that a join shows in both
@@ -211,9 +214,9 @@ def _links_across(pdf: pd.DataFrame) -> pd.DataFrame:
         at = np.flatnonzero(ok)
         if not len(at):
             continue
-        alike = (sig[1][at] == sig[0][k]).mean(1)
+        alike = np.count_nonzero(sig[1] == sig[0][k], axis=1)[at]
         x = members[0][k]
-        for i in at[np.argsort(-alike, kind="stable")[: int((alike >= PERCENT / 100 - MARGIN).sum())]]:
+        for i in at[np.argsort(-alike, kind="stable")[: int((alike >= LEAST_ALIKE).sum())]]:
             if others[i] == mine[k]:
                 continue
             y = members[1][i]

@@ -167,9 +167,12 @@ def mixed_texts(docs: DataFrame, mix: Mix = Mix(), *, text: str = "text") -> Dat
     m = mix_documents(docs, mix, text=text)
     first, final = F.floor(F.col("place") / mix.block), F.floor((F.col("place") + F.col("size") - 1) / mix.block)
     blocks = F.transform(F.sequence(first, final), lambda b: F.struct(b.alias("b"), (picks_before(b + 1) - picks_before(b)).alias("times")))
-    passes = m.filter("taken > 0").withColumn("blocks", blocks).withColumn("pass", F.explode(F.sequence(F.lit(1), F.array_max(F.transform("blocks", lambda x: x["times"])))))
-    passes = passes.withColumn("parts", F.filter("blocks", lambda x: x["times"] >= F.col("pass"))).withColumn("all", F.size("parts") == F.size("blocks"))
-    words = F.regexp_extract_all(F.col(f"doc.`{text}`"), F.lit("[^\\x20\\x09-\\x0D]+"), F.lit(0))
+    times = F.transform("blocks", lambda x: x["times"])
+    words = F.when(F.col("least") < F.col("most"), F.regexp_extract_all(F.col(f"doc.`{text}`"), F.lit("[^\\x20\\x09-\\x0D]+"), F.lit(0)))
+    taken = m.filter("taken > 0").withColumn("blocks", blocks).withColumn("most", F.array_max(times)).withColumn("least", F.array_min(times))
+    # The words are cut below the explosion, so that Spark can't move the cutting into the loop over blocks.
+    passes = taken.withColumn("words", words).withColumn("pass", F.explode(F.sequence(F.lit(1), F.col("most"))))
+    passes = passes.withColumn("parts", F.filter("blocks", lambda x: x["times"] >= F.col("pass")))
 
     def slice_of(b):
         begin = F.greatest(b["b"] * mix.block - F.col("place"), F.lit(0))
@@ -177,5 +180,5 @@ def mixed_texts(docs: DataFrame, mix: Mix = Mix(), *, text: str = "text") -> Dat
         return F.slice("words", (begin + 1).cast("int"), (end - begin).cast("int"))
 
     some = F.array_join(F.flatten(F.transform("parts", slice_of)), " ")
-    new = F.when(F.col("all"), F.col(f"doc.`{text}`")).otherwise(some).alias(text)
-    return passes.withColumn("words", F.when(~F.col("all"), words)).select(*[new if c == text else F.col(f"doc.`{c}`").alias(c) for c in docs.columns])
+    new = F.when(F.col("pass") <= F.col("least"), F.col(f"doc.`{text}`")).otherwise(some).alias(text)
+    return passes.select(*[new if c == text else F.col(f"doc.`{c}`").alias(c) for c in docs.columns])
