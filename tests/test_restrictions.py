@@ -22,13 +22,14 @@ def test_resolve(spark, graph):
     relations = spark.createDataFrame(rows, "rel_id long, kind string, conditional boolean, from_way long, to_way long, via_node long, via_way long")
     verdicts, pairs, triples = restrictions.resolve(relations, *graph)
     got = {r["rel_id"]: (r["verdict"], r["reason"]) for r in verdicts.collect()}
-    assert [got[i] for i in (1, 2, 3, 4)] == [("enforced", None)] * 4
-    assert got[5] == ("ignored", "conditional") and got[6] == ("not-honoured", "malformed") and got[7] == ("ignored", "unknown-kind") and got[8] == ("not-honoured", "malformed")
-    assert got[9] == ("not-honoured", "not-an-intersection") and got[10] == ("not-honoured", "no-arriving-edge") and got[11] == ("not-honoured", "nothing-to-ban")
+    assert [got[i] for i in (1, 2, 3, 4)] == [("resolved", None)] * 4
+    ignored = {5: "conditional", 6: "malformed-roles", 7: "unknown-restriction-value", 8: "malformed-roles", 9: "via-node-not-an-intersection"}
+    assert {i: got[i] for i in ignored} == {i: ("correctly-ignored", why) for i, why in ignored.items()}
+    assert got[10] == got[11] == ("not-honoured", "member-way-wrong-direction-at-via")
     assert {tuple(r) for r in pairs.collect()} == {(10, 30)}  # only straight on leaves the same turn banned
     assert {tuple(r) for r in triples.collect()} == {(10, 20, 40), (10, 20, 50)}
     report = {(r["verdict"], r["reason"], r["overall"]): r["relations"] for r in restrictions.verdict_report(verdicts).collect()}
-    assert report[("enforced", None, 1)] == 4 and report[("not-honoured", "malformed", 0)] == 2
+    assert report[("resolved", None, 1)] == 4 and report[("correctly-ignored", "malformed-roles", 0)] == 2
 
 
 def test_attribute_ramps(spark):

@@ -204,19 +204,61 @@ def test_tiles(spark):
 def test_judge_fixes():
     cfg = Tracking()
     last = (28.5, 77.5, 5.0, 1000)
-    assert tracking.judge_fix(None, (28.5, 77.5, 41.0, 0), cfg) == "inaccurate"
-    assert tracking.judge_fix(None, (28.5, 77.5, float("nan"), 0), cfg) == "inaccurate"
+    assert tracking.judge_fix(None, (28.5, 77.5, 41.0, 0), cfg) == "accuracy"
+    assert tracking.judge_fix(None, (28.5, 77.5, float("nan"), 0), cfg) == "accuracy"
     assert tracking.judge_fix(last, (28.5, 77.5, 5.0, 1000), cfg) == "out-of-order"
-    assert tracking.judge_fix(last, (28.51, 77.5, 5.0, 2000), cfg) == "implausible-speed"
+    assert tracking.judge_fix(last, (28.51, 77.5, 5.0, 2000), cfg) == "implied-speed"
     assert tracking.judge_fix(last, (28.5001, 77.5, 5.0, 2000), cfg) == "ok"
 
 
 def test_match_on_a_divided_road(spark):
-    """Two carriageways 18 m apart; headings decide, whichever is nearer."""
-    fixes = spark.createDataFrame([(1, i, i * 1000, 28.5 + i * 1e-4, 77.50008, 5.0, 0.0) for i in range(6)], "device_id long, fix_id long, ts long, lat double, lon double, accuracy_m double, heading_deg double")
+    """Two carriageways 18 m apart; headings decide, whichever is nearer, but only of a vehicle that moves."""
+    columns = "device_id long, fix_id long, ts long, lat double, lon double, accuracy_m double, heading_deg double, speed_mps double"
     near = spark.createDataFrame([(i, e, d, 28.5 + i * 1e-4, lon, b) for i in range(6) for e, d, lon, b in ((10, 8.0, 77.5, 0.0), (11, 10.0, 77.50018, 180.0), (12, 30.0, 77.5004, 5.0))], "fix_id long, edge_id long, distance_m double, flat double, flon double, edge_bearing double")
-    row = tracking.match_traces(fixes, near).first()
-    assert row["edge_id"] == 10 and row["probability"] > 0.9
+    for heading, speed, edge in ((0.0, 10.0, 10), (180.0, 10.0, 11), (180.0, 1.0, 10), (None, 10.0, 10)):
+        fixes = spark.createDataFrame([(1, i, i * 1000, 28.5 + i * 1e-4, 77.50008, 5.0, heading, speed) for i in range(6)], columns)
+        row = tracking.match_traces(fixes, near).first()
+        assert row["edge_id"] == edge and (speed < 2 or heading is None or row["probability"] > 0.9)
+    assert tracking.match_traces(spark.createDataFrame([(1, 0, 0, 28.5, 77.5, 5.0, 90.0, 9.0)], columns), near).count() == 0
+
+
+def test_match_in_windows(spark):
+    """A window of twelve fixes is matched by itself."""
+    fixes = spark.createDataFrame([(1, i, i * 1000, 28.5 + i * 1e-4, 77.5, 5.0, 0.0, 9.0) for i in range(30)], "device_id long, fix_id long, ts long, lat double, lon double, accuracy_m double, heading_deg double, speed_mps double")
+    near = spark.createDataFrame([(i, 10 + i // 12, 1.0, 28.5 + i * 1e-4, 77.5, 0.0) for i in range(30)], "fix_id long, edge_id long, distance_m double, flat double, flon double, edge_bearing double")
+    assert sorted((r["window"], r["edge_id"], r["probability"]) for r in tracking.match_traces(fixes, near).collect()) == [(0, 10, 1.0), (1, 11, 1.0), (2, 12, 1.0)]
+
+
+def test_match_to_route_on_a_divided_road(spark):
+    """East along one carriageway, back along the other 19 m south: the nearest point is on the wrong leg, the heading on the right one."""
+    lats = [28.4712, 28.4712, 28.4712, 28.4712 - 19.39 / 111320, 28.4712 - 19.39 / 111320]
+    lons = [77.5031, 77.5081, 77.5131, 77.5131, 77.5031]
+    segments = spark.createDataFrame([(1, i, lats[i], lons[i], lats[i + 1], lons[i + 1]) for i in range(4)], "route_id long, seq long, alat double, alon double, blat double, blon double")
+    at = 28.4712 - 12 / 111320, 77.5051
+    rows = [(1, 1, *at, None, None), (2, 1, *at, 90.0, None), (3, 1, *at, 0.0, 10.0), (4, 1, *at, None, 150.0)]
+    got = {r["fix_id"]: r for r in tracking.match_to_route(spark.createDataFrame(rows, "fix_id long, route_id long, lat double, lon double, heading double, last_m double"), segments).collect()}
+    assert got[1]["seq"] == 3 and got[2]["seq"] == 0 and got[3]["seq"] is None and got[4]["seq"] == 0
+    assert abs(got[2]["route_m"] - tracking.metres(28.4712, 77.5031, 28.4712, 77.5051)) < 0.1 and abs(got[2]["offset_m"] - 12) < 0.1
+
+
+def test_smoothed_speed_of_a_long_trace(spark):
+    speeds = [float(i * 37 % 29) for i in range(700)]
+    fixes = spark.createDataFrame([(1, i, i, x) for i, x in enumerate(speeds)], "device_id long, fix_id long, ts long, speed_mps double")
+    want, state = [], None
+    for x in speeds:
+        state = x if state is None else state * 0.7 + x * 0.3
+        want.append(state)
+    assert max(abs(r["speed"] - want[r["fix_id"]]) for r in tracking.smoothed_speed(fixes).collect()) < 1e-9
+
+
+def test_build_again_after_a_write_that_died(spark, tmp_path):
+    from waygrid.sinks import tables
+
+    half = tmp_path / "t" / "key=k"
+    half.mkdir(parents=True)
+    (half / "part-0.parquet").write_bytes(b"half")
+    for _ in range(2):
+        assert tables.load_or_build(spark, str(tmp_path / "t"), "k", lambda: spark.range(3)).count() == 3
 
 
 def test_instructions(spark):
@@ -230,7 +272,7 @@ def test_places(spark):
     elements = spark.createDataFrame([(1, {"place": "town", "name": " Big  Town "}), (2, {"amenity": "hospital", "name:en": "H"}), (3, {"place": "unknown", "shop": "mall", "name": "M"}), (4, {"shop": "x"})], "id long, tags map<string,string>")
     points = spark.createDataFrame([(1, 1.0, 2.0), (1, 3.0, 4.0), (2, 5.0, 5.0), (3, 6.0, 6.0), (4, 7.0, 7.0)], "id long, lat double, lon double")
     got = {r["place_id"]: (r["name"], r["kind"], r["importance"], r["lat"]) for r in places.build_places(elements, points).collect()}
-    assert got == {1: ("Big Town", "locality", 90, 2.0), 2: ("H", "amenity", 48, 5.0), 3: ("M", "shop", 43, 6.0)}
+    assert got == {1: ("Big Town", "place", 90, 2.0), 2: ("H", "amenity", 48, 5.0), 3: ("M", "shop", 26, 6.0)}
     roads = spark.createDataFrame([(1, "a", 5, 28.0, 77.0), (2, "a", 9, 28.01, 77.0), (3, "a", 1, 28.9, 77.0), (4, "b", 1, 28.0, 77.0)], "way_id long, norm string, rank int, lat double, lon double")
     assert sorted((r["norm"], r["way_id"], r["rank"], r["ways"]) for r in places.cluster_roads(roads).collect()) == [("a", 1, 9, 2), ("a", 3, 1, 1), ("b", 4, 1, 1)]
 

@@ -22,10 +22,15 @@ RANK_SPEED = (90, 70, 50, 40, 35, 30, 25, 15)
 #: Place ranks.
 PLACE_RANK = {"city": 100, "town": 90, "suburb": 80, "village": 72, "quarter": 66, "neighbourhood": 62, "hamlet": 55, "locality": 50, "isolated_dwelling": 40}
 AMENITY_RANK = {"hospital": 48, "university": 47, "college": 44, "bus_station": 44, "marketplace": 42, "townhall": 42, "police": 40, "fire_station": 40}
+STATION_RANK, AERODROME_RANK, OTHER_AMENITY_RANK = 46, 49, 30
+KIND_RANK = {"shop": 26, "tourism": 28, "leisure": 24, "office": 22}
 #: Plaza chainages (km) along the matrix-priced expressway.
 PLAZA_KM = (5.5, 15.36, 23.002, 44.512, 49.96, 52.192, 72.724, 83.005, 108.57, 126.137, 132.085)
 
 
+# The defaults of the four classes below.
+
+
 @dataclass(frozen=True)
 class TurnCost:
     straight_deg: float = 25.0
@@ -58,6 +63,9 @@ class Tracking:
     candidates: int = 8
     heading_window_m: float = 25.0
     history: int = 15
+    heading_min_mps: float = 2.0
+    match_fixes: int = 12
+    route_window_m: float = 250.0
 
 
 @dataclass(frozen=True)

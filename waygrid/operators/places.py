@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from waygrid.config import AMENITY_RANK, PLACE_RANK
+from waygrid.config import AERODROME_RANK, AMENITY_RANK, KIND_RANK, OTHER_AMENITY_RANK, PLACE_RANK, STATION_RANK
 from waygrid.operators.profile import lookup, tag
 from waygrid.operators.tracking import metres
 
@@ -16,16 +16,13 @@ def kind_of(tags: str = "tags") -> Column:
     t = lambda k: tag(k, tags)
     made = lambda kind, category, rank: F.struct(F.lit(kind).alias("kind"), category.alias("category"), rank.cast("int").alias("rank"))
     ranked = lookup(PLACE_RANK, t("place"))
-    return (
-        F.when(t("place").isNotNull() & ranked.isNotNull(), made("locality", t("place"), ranked))
-        .when(t("railway") == "station", made("station", t("railway"), F.lit(46)))
-        .when(t("amenity").isNotNull(), made("amenity", t("amenity"), F.coalesce(lookup(AMENITY_RANK, t("amenity")), F.lit(30))))
-        .when(t("shop").isNotNull(), made("shop", t("shop"), F.when(t("shop") == "mall", 43).otherwise(26)))
-        .when(t("tourism").isNotNull(), made("tourism", t("tourism"), F.lit(28)))
-        .when(t("leisure").isNotNull(), made("leisure", t("leisure"), F.when(t("leisure") == "stadium", 41).otherwise(24)))
-        .when(t("office").isNotNull(), made("office", t("office"), F.lit(22)))
-        .when(t("aeroway") == "aerodrome", made("aerodrome", t("aeroway"), F.lit(49)))
-    )
+    by_rank = [("amenity", t("amenity"), F.coalesce(lookup(AMENITY_RANK, t("amenity")), F.lit(OTHER_AMENITY_RANK)))]
+    by_rank += [(kind, t(kind), F.lit(rank)) for kind, rank in KIND_RANK.items()]
+    out = F.when(t("place").isNotNull() & ranked.isNotNull(), made("place", t("place"), ranked))
+    out = out.when(t("railway").isin("station", "halt"), made("railway", t("railway"), F.lit(STATION_RANK)))
+    for kind, category, rank in by_rank:
+        out = out.when(category.isNotNull(), made(kind, category, rank))
+    return out.when(t("aeroway") == "aerodrome", made("amenity", t("aeroway"), F.lit(AERODROME_RANK)))
 
 
 def display_name(tags: str = "tags") -> Column:

@@ -19,10 +19,10 @@ def _judged(relations: DataFrame, vertices: DataFrame) -> DataFrame:
     r = relations.join(is_vertex, F.col("via_node") == F.col("via_vertex"), "left")
     reason = (
         F.when(F.col("conditional"), "conditional")
-        .when(F.coalesce(F.trim("kind"), F.lit("")) == "", "malformed")
-        .when(~F.col("kind").isin(*KINDS), "unknown-kind")
-        .when(F.col("from_way").isNull() | F.col("to_way").isNull() | (F.col("via_node").isNull() & F.col("via_way").isNull()), "malformed")
-        .when(F.col("via_node").isNotNull() & F.col("via_vertex").isNull(), "not-an-intersection")
+        .when(F.coalesce(F.trim("kind"), F.lit("")) == "", "malformed-roles")
+        .when(~F.col("kind").isin(*KINDS), "unknown-restriction-value")
+        .when(F.col("from_way").isNull() | F.col("to_way").isNull() | (F.col("via_node").isNull() & F.col("via_way").isNull()), "malformed-roles")
+        .when(F.col("via_node").isNotNull() & F.col("via_vertex").isNull(), "via-node-not-an-intersection")
     )
     return r.withColumn("reason", reason)
 
@@ -32,28 +32,34 @@ def resolve(relations: DataFrame, edges: DataFrame, vertices: DataFrame) -> tupl
 
     relations: rel_id, kind, conditional, from_way, to_way, via_node or via_way. edges: edge_id, way_id, edge_from,
     edge_to. no_* bans the named turn; only_* bans all others, but not back along the way one came by. The first
-    check that fails names the reason."""
+    check that fails names the reason; what the profile leaves out on purpose is correctly ignored, and a relation whose
+    ways do not lead through its via member is not honoured."""
     judged = _judged(relations, vertices)
     open_ = judged.filter("reason is null").select("rel_id", F.col("kind").startswith("no_").alias("forbids"), "from_way", "to_way", "via_node", "via_way")
     into = edges.select(F.col("edge_id").alias("from_edge"), F.col("way_id").alias("in_way"), F.col("edge_to").alias("at"))
     out = edges.select(F.col("edge_id").alias("to_edge"), F.col("way_id").alias("out_way"), F.col("edge_from").alias("leaves"))
     wanted = (F.col("forbids") & (F.col("out_way") == F.col("to_way"))) | (~F.col("forbids") & (F.col("out_way") != F.col("to_way")) & (F.col("out_way") != F.coalesce("via_way", "from_way")))
 
+    named = F.col("out_way") == F.col("to_way")
+
     by_node = open_.filter("via_node is not null")
     arriving = by_node.join(into, (F.col("from_way") == F.col("in_way")) & (F.col("via_node") == F.col("at")))
-    turns = arriving.join(out, (F.col("via_node") == F.col("leaves")) & wanted).select("rel_id", "from_edge", F.lit(None).cast("long").alias("via_edge"), "to_edge")
+    at_node = F.col("via_node") == F.col("leaves")
+    turns = arriving.join(out, at_node & wanted).select("rel_id", "from_edge", F.lit(None).cast("long").alias("via_edge"), "to_edge")
 
     via = edges.select(F.col("edge_id").alias("via_edge"), F.col("way_id").alias("mid_way"), F.col("edge_from").alias("mid_from"), F.col("edge_to").alias("mid_to"))
     by_way = open_.filter("via_node is null").join(via, F.col("via_way") == F.col("mid_way"))
     along = by_way.join(into, (F.col("from_way") == F.col("in_way")) & (F.col("mid_from") == F.col("at")))
-    spans = along.join(out, (F.col("mid_to") == F.col("leaves")) & wanted).select("rel_id", "from_edge", "via_edge", "to_edge")
-
-    bans = cut(turns.unionByName(spans).distinct())
-    met = arriving.select("rel_id").union(along.select("rel_id")).distinct().withColumn("arrives", F.lit(True))
-    kept = bans.select("rel_id").distinct().withColumn("bans", F.lit(True))
-    j = judged.join(met, "rel_id", "left").join(kept, "rel_id", "left")
-    reason = F.coalesce("reason", F.when(F.col("arrives").isNull(), "no-arriving-edge").when(F.col("bans").isNull(), "nothing-to-ban"))
-    verdicts = j.select("rel_id", F.when(reason.isNull(), "enforced").when(F.col("reason").isin("conditional", "unknown-kind"), "ignored").otherwise("not-honoured").alias("verdict"), reason.alias("reason"))
+    at_end = F.col("mid_to") == F.col("leaves")
+    spans = along.join(out, at_end & wanted).select("rel_id", "from_edge", "via_edge", "to_edge")
+
+    led = arriving.join(out, at_node & named).select("rel_id").union(along.join(out, at_end & named).select("rel_id"))
+    led = cut(led.distinct())
+    bans = cut(turns.unionByName(spans).distinct().join(led, "rel_id", "left_semi"))
+    j = judged.join(led.withColumn("leads", F.lit(True)), "rel_id", "left")
+    reason = F.coalesce("reason", F.when(F.col("leads").isNull(), "member-way-wrong-direction-at-via"))
+    verdict = F.when(reason.isNull(), "resolved").when(F.col("reason").isNotNull(), "correctly-ignored").otherwise("not-honoured")
+    verdicts = j.select("rel_id", verdict.alias("verdict"), reason.alias("reason"))
     pairs = bans.filter("via_edge is null").select("from_edge", "to_edge").distinct()
     triples = bans.filter("via_edge is not null").select("from_edge", "via_edge", "to_edge").distinct()
     return verdicts, pairs, triples

@@ -1,7 +1,9 @@
 """Spatial joins as equi-joins on grid cells.
 
 Points look into the cells around their own; segments are registered in all cells that their bounding box touches.
-The side that is looked up is grouped by cell, not broadcast: it grows with the data.
+The side that is looked up is grouped by cell, not broadcast: it grows with the data. Cells follow the radius, so a join
+within a short radius meets few segments, and a nearest segment is looked for in rings of growing cells: most points end
+in the first ring, where a cell holds few segments, and only the others go on.
 """
 
 from __future__ import annotations
@@ -12,9 +14,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from waygrid.config import CELL_DEG, M_PER_DEG_LON
+from waygrid.config import M_PER_DEG_LON
 from waygrid.functions.geo import haversine, project
 
+#: Smallest cell in degrees (some 110 m): smaller ones would register a segment of ordinary length in many.
+LEAST_CELL_DEG = 0.001
+#: Radii of the rings as shares of the whole radius; the last is the radius itself.
+RINGS = (0.25, 1.0)
+
 
 def cell_of(deg: Column, size: float) -> Column:
     return F.floor(deg / F.lit(size)).cast("long")
@@ -26,43 +33,56 @@ def cell_key(row: Column, col: Column) -> Column:
 
 def cell_size(radius_m: float, lat: float = 30.0) -> float:
     """Degrees of a cell in which points within a radius are in one of the 3 x 3 cells, up to latitude ``lat``."""
-    return max(CELL_DEG, radius_m / (M_PER_DEG_LON * math.cos(math.radians(lat))) * 1.01)
+    return max(LEAST_CELL_DEG, radius_m / (M_PER_DEG_LON * math.cos(math.radians(lat))) * 1.01)
 
 
 def register(segments: DataFrame, size: float) -> DataFrame:
     """Adds a row for each cell that a segment's box touches (alat, alon, blat, blon)."""
     rows = F.sequence(cell_of(F.least("alat", "blat"), size), cell_of(F.greatest("alat", "blat"), size))
     cols = F.sequence(cell_of(F.least("alon", "blon"), size), cell_of(F.greatest("alon", "blon"), size))
-    return segments.withColumn("cell_row", F.explode(rows)).withColumn("cell_col", F.explode(cols)).withColumn("cell", cell_key(F.col("cell_row"), F.col("cell_col"))).drop("cell_row", "cell_col")
+    placed = segments.withColumn("cell_row", F.explode(rows)).withColumn("cell_col", F.explode(cols))
+    return placed.withColumn("cell", cell_key(F.col("cell_row"), F.col("cell_col"))).drop("cell_row", "cell_col")
 
 
 def around(points: DataFrame, size: float) -> DataFrame:
     """Adds a row for each of the 3 x 3 cells around a point (lat, lon)."""
     near = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
-    return points.withColumn("near", F.explode(near)).withColumn("cell", cell_key(cell_of(F.col("lat"), size) + F.col("near.i"), cell_of(F.col("lon"), size) + F.col("near.j"))).drop("near")
+    cell = cell_key(cell_of(F.col("lat"), size) + F.col("near.i"), cell_of(F.col("lon"), size) + F.col("near.j"))
+    return points.withColumn("near", F.explode(near)).withColumn("cell", cell).drop("near")
+
+
+def _cell_within(foot: Column, a: str, b: str, size: float) -> Column:
+    """The cell of a foot, kept among those that its segment is registered in, whatever the rounding of the foot."""
+    return F.greatest(cell_of(F.least(a, b), size), F.least(cell_of(F.greatest(a, b), size), cell_of(foot, size)))
 
 
 def pairs_within(points: DataFrame, segments: DataFrame, radius_m: float, point_key: str, segment_key: str) -> DataFrame:
-    """Point and segment pairs at most radius_m apart, each once: adds t (share along the segment) and distance_m."""
+    """Point and segment pairs at most radius_m apart, each once: adds t (share along the segment) and distance_m.
+
+    A pair meets in every cell that both are registered in; it counts in the cell of the segment's nearest point alone, so
+    that no pair has to be told from its copies by a shuffle."""
     size = cell_size(radius_m)
-    joined = around(points, size).join(register(segments, size), "cell").dropDuplicates([point_key, segment_key])
+    joined = around(points, size).join(register(segments, size), "cell")
     t = project(F.col("lat"), F.col("lon"), F.col("alat"), F.col("alon"), F.col("blat"), F.col("blon"), F.col("lat"))
     joined = joined.withColumn("t", t)
     foot_lat, foot_lon = F.col("alat") + F.col("t") * (F.col("blat") - F.col("alat")), F.col("alon") + F.col("t") * (F.col("blon") - F.col("alon"))
-    return joined.withColumn("distance_m", haversine(F.col("lat"), F.col("lon"), foot_lat, foot_lon)).filter(F.col("distance_m") <= radius_m).drop("cell")
+    own = joined.filter(F.col("cell") == cell_key(_cell_within(foot_lat, "alat", "blat", size), _cell_within(foot_lon, "alon", "blon", size)))
+    return own.withColumn("distance_m", haversine(F.col("lat"), F.col("lon"), foot_lat, foot_lon)).filter(F.col("distance_m") <= radius_m).drop("cell")
 
 
 def nearest(points: DataFrame, segments: DataFrame, radius_m: float, point_key: str, segment_key: str) -> DataFrame:
-    """Each point's nearest segment within the radius; of equal distances the lowest segment. An aggregate, so that
-    only the best of each task is shuffled; the cells' duplicates of a pair need no extra pass."""
-    size = cell_size(radius_m)
-    joined = around(points, size).join(register(segments, size), "cell")
-    t = project(F.col("lat"), F.col("lon"), F.col("alat"), F.col("alon"), F.col("blat"), F.col("blon"), F.col("lat"))
-    joined = joined.withColumn("t", t)
-    foot_lat, foot_lon = F.col("alat") + F.col("t") * (F.col("blat") - F.col("alat")), F.col("alon") + F.col("t") * (F.col("blon") - F.col("alon"))
-    d = joined.withColumn("distance_m", haversine(F.col("lat"), F.col("lon"), foot_lat, foot_lon)).filter(F.col("distance_m") <= radius_m)
-    best = d.groupBy(point_key).agg(F.min(F.struct("distance_m", F.col(segment_key), "t")).alias("best"))
-    return best.select(point_key, F.col(f"best.{segment_key}").alias(segment_key), F.col("best.t").alias("t"), F.col("best.distance_m").alias("distance_m"))
+    """Each point's nearest segment within the radius; of equal distances the lowest segment.
+
+    A ring finds all segments within its radius, so its best one can't be beaten further out; points without one go on to
+    the next ring. An aggregate, so that only the best of each task is shuffled."""
+    found, left = None, points
+    for share in RINGS:
+        pairs = pairs_within(left, segments, radius_m * share, point_key, segment_key)
+        best = pairs.groupBy(point_key).agg(F.min(F.struct("distance_m", F.col(segment_key), "t")).alias("best"))
+        best = best.select(point_key, F.col(f"best.{segment_key}").alias(segment_key), F.col("best.t").alias("t"), F.col("best.distance_m").alias("distance_m"))
+        found = best if found is None else found.unionByName(best)
+        left = left.join(best.select(point_key), point_key, "left_anti")
+    return found
 
 
 def candidates(points: DataFrame, segments: DataFrame, radius_m: float, k: int, point_key: str, segment_key: str) -> DataFrame:
@@ -72,6 +92,10 @@ def candidates(points: DataFrame, segments: DataFrame, radius_m: float, k: int,
     return ranked.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
-def prefer(first: DataFrame, second: DataFrame, key: str) -> DataFrame:
-    """Rows of the first join, and of the second where the first found nothing."""
-    return first.unionByName(second.join(first.select(key), key, "left_anti"))
+def nearest_preferred(points: DataFrame, segments: DataFrame, radius_m: float, point_key: str, segment_key: str, second: Column) -> DataFrame:
+    """Each point's nearest segment among those that are not ``second``; where there is none, among those that are.
+    Adds the column second. Only points that the first choice left over are joined again."""
+    first = nearest(points, segments.filter(~second), radius_m, point_key, segment_key)
+    left = points.join(first.select(point_key), point_key, "left_anti")
+    other = nearest(left, segments.filter(second), radius_m, point_key, segment_key)
+    return first.withColumn("second", F.lit(False)).unionByName(other.withColumn("second", F.lit(True)))

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import math
-from itertools import groupby
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -11,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from waygrid.config import EARTH_M, Tracking
-from waygrid.functions.geo import haversine
+from waygrid.functions.geo import bearing, bearing_gap, haversine, project
 
 
 def metres(lat1: float, lon1: float, lat2: float, lon2: float) -> float:
@@ -26,11 +25,11 @@ def judge_fix(last: tuple | None, fix: tuple, cfg: Tracking) -> str:
     if last is not None and fix[3] <= last[3]:
         return "out-of-order"
     if not fix[2] <= cfg.accuracy_m:
-        return "inaccurate"
+        return "accuracy"
     if last is not None:
         moved = max(0.0, metres(last[0], last[1], fix[0], fix[1]) - (last[2] + fix[2]))
         if moved / ((fix[3] - last[3]) / 1000) * 3.6 > cfg.max_speed_kmh:
-            return "implausible-speed"
+            return "implied-speed"
     return "ok"
 
 
@@ -39,19 +38,23 @@ FIX_COLUMNS = "device_id bigint, fix_id bigint, t_ms bigint, lat double, lon dou
 
 def judge_fixes(fixes: DataFrame, cfg: Tracking = Tracking()) -> DataFrame:
     """Verdict of every fix. A fix is compared with the last accepted one of its device, which no window function
-    expresses: an ordered fold over each device's rows, in its own group."""
+    expresses: devices are dealt out, sorted, and streamed through a fold that keeps one fix, so a device with very many
+    fixes takes time in its task and no memory."""
     rows = fixes.select("device_id", "fix_id", (F.unix_micros(F.col("ts").cast("timestamp")) / 1000).cast("long").alias("t_ms"), "lat", "lon", "accuracy_m")
 
-    def fold(f: pd.DataFrame) -> pd.DataFrame:
-        f = f.sort_values(["t_ms", "fix_id"])
-        last, verdicts = None, []
-        for fix in zip(f["lat"], f["lon"], f["accuracy_m"], f["t_ms"]):
-            verdicts.append(judge_fix(last, fix, cfg))
-            if verdicts[-1] == "ok":
-                last = fix
-        return f.assign(verdict=verdicts)
+    def fold(frames):
+        device, last = None, None
+        for f in frames:
+            verdicts = []
+            for who, *fix in zip(f["device_id"], f["lat"], f["lon"], f["accuracy_m"], f["t_ms"]):
+                if who != device:
+                    device, last = who, None
+                verdicts.append(judge_fix(last, fix, cfg))
+                if verdicts[-1] == "ok":
+                    last = fix
+            yield f.assign(verdict=verdicts)
 
-    return rows.groupBy("device_id").applyInPandas(fold, FIX_COLUMNS)
+    return rows.repartition("device_id").sortWithinPartitions("device_id", "t_ms", "fix_id").mapInPandas(fold, FIX_COLUMNS)
 
 
 def headings(fixes: DataFrame, cfg: Tracking = Tracking()) -> DataFrame:
@@ -62,9 +65,13 @@ def headings(fixes: DataFrame, cfg: Tracking = Tracking()) -> DataFrame:
     return past.withColumn("origin", F.try_element_at(far, F.lit(-1))).select("device_id", "fix_id", F.col("origin.fix_id").alias("from_fix"), "lat", "lon", F.col("origin.lat").alias("from_lat"), F.col("origin.lon").alias("from_lon"))
 
 
+#: Fixes back from which on a speed has a weight below a double's precision (0.7 to the power of 127 is 2e-20).
+SPEED_FIXES = 128
+
+
 def smoothed_speed(fixes: DataFrame, keep: float = 0.7) -> DataFrame:
-    """Exponential mean of speeds in order; the first passes. An ordered fold in the JVM."""
-    w = W.partitionBy("device_id").orderBy("ts", "fix_id").rowsBetween(W.unboundedPreceding, 0)
+    """Exponential mean of speeds in order; the first passes. A fold over the last fixes that still count, in the JVM."""
+    w = W.partitionBy("device_id").orderBy("ts", "fix_id").rowsBetween(1 - SPEED_FIXES, 0)
     listed = fixes.withColumn("speeds", F.collect_list("speed_mps").over(w))
     fold = F.aggregate("speeds", F.lit(None).cast("double"), lambda acc, x: F.when(acc.isNull(), x).otherwise(acc * keep + x * (1 - keep)))
     return listed.select("device_id", "fix_id", fold.alias("speed"))
@@ -94,35 +101,83 @@ def merged_intervals(rows: DataFrame, key: str, begin: str, end: str) -> DataFra
     return marked.groupBy(key, "run").agg(F.min(begin).alias(begin), F.max(end).alias(end)).drop("run")
 
 
+def windows_of(fixes: DataFrame, size: int) -> DataFrame:
+    """Adds window: the number of each device's run of ``size`` fixes in order."""
+    turn = F.row_number().over(W.partitionBy("device_id").orderBy("ts", "fix_id"))
+    return fixes.withColumn("window", F.floor((turn - 1) / size).cast("long"))
+
+
 def match_traces(fixes: DataFrame, candidates: DataFrame, cfg: Tracking = Tracking()) -> DataFrame:
-    """Probabilistic map matching of each device's window of fixes: (device_id, edge_id, probability).
-
-    candidates: (fix_id, edge_id, distance_m, flat, flon, edge_bearing) from the spatial join. Emission is Gaussian in
-    the distance, transitions compare straight distances, a fix without candidates is skipped."""
-    rows = fixes.select("device_id", "fix_id", "ts", "lat", "lon", "accuracy_m", "heading_deg").join(candidates, "fix_id")
-
-    def viterbi(f: pd.DataFrame) -> pd.DataFrame:
-        f = f.sort_values(["ts", "fix_id", "distance_m", "edge_id"])
-        columns = [f[c].tolist() for c in ("fix_id", "lat", "lon", "accuracy_m", "heading_deg", "edge_id", "distance_m", "flat", "flon", "edge_bearing")]
-        before, at = [], None  # the last layer's (edge, log probability, foot), and its fix
-        for _, layer in groupby(zip(*columns), key=lambda r: r[0]):
-            now = []
-            for _, lat, lon, accuracy, heading, edge, distance, flat, flon, edge_bearing in layer:
-                if heading is not None and not math.isnan(heading):
-                    gap = abs(heading - edge_bearing) % 360
-                    if min(gap, 360 - gap) > cfg.heading_gate_deg:
-                        continue
-                log_p = -0.5 * (distance / max(cfg.sigma_floor_m, accuracy)) ** 2
-                if before:
-                    moved = metres(*at, lat, lon)
-                    log_p += max(p - abs(metres(x, y, flat, flon) - moved) / cfg.transition_m for _, p, x, y in before)
-                now.append((edge, log_p, flat, flon))
-                here = lat, lon
-            if now:
-                before, at = now, here
-        if not before:
-            return pd.DataFrame({"device_id": [], "edge_id": [], "probability": []})
-        edge, best = max(((e, p) for e, p, _, _ in before), key=lambda x: x[1])
-        return pd.DataFrame({"device_id": [f["device_id"].iat[0]], "edge_id": [edge], "probability": [1 / sum(math.exp(p - best) for _, p, _, _ in before)]})
-
-    return rows.groupBy("device_id").applyInPandas(viterbi, "device_id bigint, edge_id bigint, probability double")
+    """Probabilistic map matching of each window of a device's fixes: (device_id, window, edge_id, offset_m, probability)
+    of the last fix that has a candidate.
+
+    candidates: (fix_id, edge_id, distance_m, flat, flon, edge_bearing) from the spatial join, directed edges with the
+    bearing of travel. A fix's heading counts from a speed on; edges that disagree with it are no candidates, before any
+    score. Emission is Gaussian in the distance, transitions compare straight distances, a fix without candidates is
+    skipped. A window is a group of its own, so no task holds a device's history."""
+    moving = F.when(F.col("speed_mps") >= cfg.heading_min_mps, F.col("heading_deg"))
+    rows = windows_of(fixes, cfg.match_fixes).select("device_id", "window", "fix_id", "ts", "lat", "lon", "accuracy_m", moving.alias("heading")).join(candidates, "fix_id")
+    rows = rows.filter(F.col("heading").isNull() | F.isnan("heading") | (bearing_gap(F.col("heading"), F.col("edge_bearing")) <= cfg.heading_gate_deg))
+    layer = F.array_sort(F.collect_list(F.struct("distance_m", "edge_id", "flat", "flon")))
+    layers = rows.groupBy("device_id", "window", "fix_id", "ts", "lat", "lon", "accuracy_m").agg(layer.alias("layer"))
+    traces = layers.groupBy("device_id", "window").agg(F.array_sort(F.collect_list(F.struct("ts", "fix_id", "lat", "lon", "accuracy_m", "layer"))).alias("fixes"))
+
+    def viterbi(frames):
+        for f in frames:
+            out = []
+            for fixes_ in f["fixes"]:
+                before, at = [], None  # the last layer's (edge, log probability, foot, distance), and its fix
+                for x in fixes_:
+                    now = []
+                    moved = metres(*at, x["lat"], x["lon"]) if before else 0.0
+                    for c in x["layer"]:
+                        log_p = -0.5 * (c["distance_m"] / max(cfg.sigma_floor_m, x["accuracy_m"])) ** 2
+                        if before:
+                            log_p += max(p - abs(metres(a, b, c["flat"], c["flon"]) - moved) / cfg.transition_m for _, p, a, b, _ in before)
+                        now.append((c["edge_id"], log_p, c["flat"], c["flon"], c["distance_m"]))
+                    before, at = now, (x["lat"], x["lon"])
+                best = max(before, key=lambda c: c[1])
+                out.append((best[0], best[4], 1 / sum(math.exp(c[1] - best[1]) for c in before)))
+            yield pd.DataFrame({"device_id": f["device_id"], "window": f["window"], "edge_id": [x[0] for x in out], "offset_m": [x[1] for x in out], "probability": [x[2] for x in out]})
+
+    return traces.mapInPandas(viterbi, "device_id bigint, window bigint, edge_id bigint, offset_m double, probability double")
+
+
+def match_to_route(fixes: DataFrame, segments: DataFrame, cfg: Tracking = Tracking()) -> DataFrame:
+    """Fixes (fix_id, route_id, lat, lon, heading, last_m) on their active route, whose segments are (route_id, seq, alat,
+    alon, blat, blon): adds offset_m, route_m (metres along the route) and seq of the nearest segment; null where none is left.
+
+    Segments that disagree with a known heading are no candidates; nor are those outside the window around last_m, the
+    metres where the vehicle was last seen (null: the whole route). Of equal offsets the first segment along the route."""
+    w = W.partitionBy("route_id").orderBy("seq").rowsBetween(W.unboundedPreceding, 0)
+    length = haversine(F.col("alat"), F.col("alon"), F.col("blat"), F.col("blon"))
+    s = segments.withColumn("length_m", length).withColumn("to_m", F.sum("length_m").over(w)).withColumn("from_m", F.col("to_m") - F.col("length_m"))
+    s = s.withColumn("edge_bearing", bearing(F.col("alat"), F.col("alon"), F.col("blat"), F.col("blon")))
+    near = F.col("last_m").isNull() | ((F.col("to_m") >= F.col("last_m") - cfg.route_window_m) & (F.col("from_m") <= F.col("last_m") + cfg.route_window_m))
+    agrees = F.col("heading").isNull() | (bearing_gap(F.col("edge_bearing"), F.col("heading")) <= cfg.heading_gate_deg)
+    pairs = fixes.join(s, "route_id").filter(near & agrees)
+    t = project(F.col("lat"), F.col("lon"), F.col("alat"), F.col("alon"), F.col("blat"), F.col("blon"), F.col("lat"))
+    pairs = pairs.withColumn("t", t)
+    foot_lat, foot_lon = F.col("alat") + F.col("t") * (F.col("blat") - F.col("alat")), F.col("alon") + F.col("t") * (F.col("blon") - F.col("alon"))
+    pairs = pairs.withColumn("offset_m", haversine(F.col("lat"), F.col("lon"), foot_lat, foot_lon))
+    best = pairs.groupBy("fix_id").agg(F.min(F.struct("offset_m", "seq", (F.col("from_m") + F.col("t") * F.col("length_m")).alias("route_m"))).alias("best"))
+    return fixes.join(best, "fix_id", "left").select(*fixes.columns, "best.offset_m", "best.route_m", "best.seq")
+
+
+def progress(matched: DataFrame, instructions: DataFrame) -> DataFrame:
+    """What is left of the route for matched fixes (fix_id, route_id, route_m, total_m) with instructions (route_id, turn,
+    at_m, leg_m, leg_s): the current instruction is the first still ahead (else the last), adds instruction,
+    to_maneuver_m, remaining_m and remaining_s: later legs, and the part of the current leg that is not driven."""
+    w = W.partitionBy("route_id").orderBy(F.desc("turn")).rowsBetween(W.unboundedPreceding, -1)
+    legs = instructions.withColumn("later_s", F.coalesce(F.sum("leg_s").over(w), F.lit(0.0)))
+    ahead = F.col("at_m") >= F.col("route_m") - 1e-6
+    j = matched.join(legs, "route_id", "left")
+    best = j.groupBy("fix_id", "route_id", "route_m", "total_m").agg(
+        F.min(F.when(ahead, F.struct("turn", "at_m", "leg_m", "leg_s", "later_s"))).alias("next"), F.max(F.struct("turn", F.col("total_m").alias("at_m"), "leg_m", "leg_s", "later_s")).alias("last")
+    )
+    best = best.withColumn("now", F.coalesce("next", "last"))
+    part = F.when(F.col("now.leg_m") > 0, F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.col("now.at_m") - F.col("route_m")) / F.col("now.leg_m")))).otherwise(0.0)
+    return best.select(
+        "fix_id", "route_id", F.col("now.turn").alias("instruction"), F.greatest(F.lit(0.0), F.col("now.at_m") - F.col("route_m")).alias("to_maneuver_m"),
+        F.greatest(F.lit(0.0), F.col("total_m") - F.col("route_m")).alias("remaining_m"), (F.col("now.later_s") + part * F.col("now.leg_s")).alias("remaining_s"),
+    )

@@ -65,9 +65,9 @@ def snap_distribution(spark, sf_dir):
 def snap_prefer_public(spark, sf_dir):
     edges = road.edges(spark, sf_dir)
     kind = edges.groupBy("shape_id").agg(F.bool_and("private").alias("private"))
-    shapes, fixes = road.shapes(edges).join(kind, "shape_id"), road.fixes(spark, sf_dir)
-    public, private = (spatial.nearest(fixes, shapes.filter(F.col("private") == p), SNAP_M, "fix_id", "edge_id").withColumn("private", F.lit(p)) for p in (False, True))
-    return spatial.prefer(public, private, "fix_id").select("fix_id", "edge_id", "private", F.round("distance_m", 4).alias("distance_m"))
+    shapes = road.shapes(edges).join(kind, "shape_id").select("edge_id", "private", "alat", "alon", "blat", "blon")
+    found = spatial.nearest_preferred(road.fixes(spark, sf_dir).select("fix_id", "lat", "lon"), shapes, SNAP_M, "fix_id", "edge_id", F.col("private"))
+    return found.select("fix_id", "edge_id", F.col("second").alias("private"), F.round("distance_m", 4).alias("distance_m"))
 
 
 @query(
@@ -435,11 +435,11 @@ def glyph_coverage(spark, sf_dir):
 _RN = f"{sql.FIX}, f AS (SELECT *, (epoch_us(ts) // 1000) AS t_ms, row_number() OVER (PARTITION BY device_id ORDER BY (epoch_us(ts) // 1000), fix_id) AS rn FROM v_fix)"
 _LATE = "f.t_ms <= r.last_t"
 _FAST = f"greatest(0, {sql.haversine('r.la', 'r.lo', 'f.lat', 'f.lon')} - (r.acc + f.accuracy_m)) / ((f.t_ms - r.last_t) / 1000) * 3.6::DOUBLE > 150"
-_VERDICT = f"CASE WHEN r.last_t IS NOT NULL AND {_LATE} THEN 'out-of-order' WHEN NOT f.accuracy_m <= 40 THEN 'inaccurate' WHEN r.last_t IS NOT NULL AND {_FAST} THEN 'implausible-speed' ELSE 'ok' END"
+_VERDICT = f"CASE WHEN r.last_t IS NOT NULL AND {_LATE} THEN 'out-of-order' WHEN NOT f.accuracy_m <= 40 THEN 'accuracy' WHEN r.last_t IS NOT NULL AND {_FAST} THEN 'implied-speed' ELSE 'ok' END"
 
 
 @query(
-    f"WITH RECURSIVE {_RN}, r AS (SELECT device_id, fix_id, rn, v AS verdict, CASE WHEN v = 'ok' THEN t_ms END AS last_t, CASE WHEN v = 'ok' THEN lat END AS la, CASE WHEN v = 'ok' THEN lon END AS lo, CASE WHEN v = 'ok' THEN accuracy_m END AS acc FROM (SELECT *, CASE WHEN accuracy_m <= 40 THEN 'ok' ELSE 'inaccurate' END AS v FROM f WHERE rn = 1) "
+    f"WITH RECURSIVE {_RN}, r AS (SELECT device_id, fix_id, rn, v AS verdict, CASE WHEN v = 'ok' THEN t_ms END AS last_t, CASE WHEN v = 'ok' THEN lat END AS la, CASE WHEN v = 'ok' THEN lon END AS lo, CASE WHEN v = 'ok' THEN accuracy_m END AS acc FROM (SELECT *, CASE WHEN accuracy_m <= 40 THEN 'ok' ELSE 'accuracy' END AS v FROM f WHERE rn = 1) "
     f"UNION ALL SELECT device_id, fix_id, rn, v, CASE WHEN v = 'ok' THEN t_ms ELSE last_t END, CASE WHEN v = 'ok' THEN lat ELSE la END, CASE WHEN v = 'ok' THEN lon ELSE lo END, CASE WHEN v = 'ok' THEN accuracy_m ELSE acc END FROM (SELECT f.*, r.last_t, r.la, r.lo, r.acc, {_VERDICT} AS v FROM r JOIN f ON f.device_id = r.device_id AND f.rn = r.rn + 1)) SELECT device_id, fix_id, verdict FROM r"
 )
 def judge_fixes(spark, sf_dir):
@@ -469,12 +469,97 @@ def off_route_alarms(spark, sf_dir):
     return tracking.off_route(f)
 
 
+def _directed_candidates(fixes, edges, k=8):
+    """The k nearest directed edges of each fix: both directions of a segment, each with its own bearing of travel."""
+    shapes = road.shapes(edges).drop("edge_id")
+    near = spatial.pairs_within(fixes.select("fix_id", "lat", "lon"), shapes, MATCH_M, "fix_id", "shape_id")
+    forward = geo.bearing(F.col("alat"), F.col("alon"), F.col("blat"), F.col("blon"))
+    foot = [(F.col(f"a{c}") + F.col("t") * (F.col(f"b{c}") - F.col(f"a{c}"))).alias(f"f{c}") for c in ("lat", "lon")]
+    near = near.select("fix_id", "shape_id", "distance_m", *foot, forward.alias("forward"))
+    both = near.join(edges.select("shape_id", "edge_id", "reversed"), "shape_id")
+    ranked = both.withColumn("rank", F.row_number().over(W.partitionBy("fix_id").orderBy("distance_m", "edge_id"))).filter(F.col("rank") <= k)
+    return ranked.withColumn("edge_bearing", (F.col("forward") + F.col("reversed") * 180) % 360)
+
+
 @query()
 def match_traces(spark, sf_dir):
+    """Each window of twelve fixes of a device matched to the network."""
     fixes, edges = road.fixes(spark, sf_dir), road.edges(spark, sf_dir)
-    shapes = road.shapes(edges).withColumn("edge_bearing", geo.bearing(F.col("alat"), F.col("alon"), F.col("blat"), F.col("blon")))
-    near = spatial.candidates(fixes, shapes, MATCH_M, 8, "fix_id", "edge_id").select("fix_id", "edge_id", "distance_m", (F.col("alat") + F.col("t") * (F.col("blat") - F.col("alat"))).alias("flat"), (F.col("alon") + F.col("t") * (F.col("blon") - F.col("alon"))).alias("flon"), "edge_bearing")
-    return tracking.match_traces(fixes, near).withColumn("probability", F.round("probability", 6))
+    near = _directed_candidates(fixes, edges).select("fix_id", "edge_id", "distance_m", "flat", "flon", "edge_bearing")
+    return tracking.match_traces(fixes, near).withColumns({"offset_m": F.round("offset_m", 4), "probability": F.round("probability", 6)})
+
+
+_V_NEAR = sql.near(MATCH_M)
+_CAND = (
+    f"v_cand AS (SELECT n.fix_id, e.edge_id, n.distance_m, fmod({sql.bearing('s.alat', 's.alon', 's.blat', 's.blon')} + e.reversed * 180, 360) AS edge_bearing "
+    "FROM v_near n JOIN v_seg s USING (shape_id) JOIN v_edge e USING (shape_id) QUALIFY row_number() OVER (PARTITION BY n.fix_id ORDER BY n.distance_m, e.edge_id) <= 8)"
+)
+
+
+@query(
+    f"WITH {sql.EDGE}, {sql.FIX}, {_V_NEAR}, {_CAND}, g AS (SELECT fix_id, edge_id, distance_m, fmod(abs(heading_deg - edge_bearing), 360) AS gap, speed_mps FROM v_cand JOIN v_fix USING (fix_id)) "
+    "SELECT fix_id, count(*) AS candidates, count(*) FILTER (speed_mps < 2 OR least(gap, 360 - gap) <= 60) AS agreeing FROM g GROUP BY fix_id"
+)
+def heading_gate(spark, sf_dir):
+    """Candidate edges of each fix, and those whose bearing of travel agrees with the fix's heading."""
+    fixes = road.fixes(spark, sf_dir)
+    near = _directed_candidates(fixes, road.edges(spark, sf_dir)).join(fixes.select("fix_id", "heading_deg", "speed_mps"), "fix_id")
+    agrees = (F.col("speed_mps") < 2) | (geo.bearing_gap(F.col("heading_deg"), F.col("edge_bearing")) <= 60)
+    return near.groupBy("fix_id").agg(F.count(F.lit(1)).alias("candidates"), F.count_if(agrees).alias("agreeing"))
+
+
+_ROUTE = f"""
+v_vx AS (SELECT c_custkey AS k, {sql.lat('c_custkey')} / 1e7 AS lat, {sql.lon('c_custkey')} / 1e7 AS lon FROM customer),
+v_rs0 AS (SELECT a.k // 40 AS route_id, a.k % 40 AS seq, a.lat AS alat, a.lon AS alon, b.lat AS blat, b.lon AS blon FROM v_vx a JOIN v_vx b ON b.k = a.k + 1 WHERE a.k % 40 < 39),
+v_rs1 AS (SELECT *, {sql.haversine('alat', 'alon', 'blat', 'blon')} AS length_m, {sql.bearing('alat', 'alon', 'blat', 'blon')} AS bearing FROM v_rs0),
+v_rs AS (SELECT *, sum(length_m) OVER (PARTITION BY route_id ORDER BY seq ROWS UNBOUNDED PRECEDING) AS to_m FROM v_rs1),
+v_rf AS (SELECT fix_id, device_id % 37 AS route_id, lat, lon, CASE WHEN speed_mps >= 2 THEN heading_deg END AS heading, CASE WHEN fix_id % 3 > 0 THEN (fix_id * 131 % 5000)::DOUBLE END AS last_m FROM v_fix),
+v_rp AS (SELECT f.*, s.*, greatest(0.0, least(1.0, ((lon - alon) * cos(radians(lat)) * (blon - alon) * cos(radians(lat)) + (lat - alat) * (blat - alat)) / (pow((blon - alon) * cos(radians(lat)), 2) + pow(blat - alat, 2)))) AS t,
+  fmod(abs(bearing - heading), 360) AS gap FROM v_rf f JOIN v_rs s USING (route_id)),
+v_rq AS (SELECT *, {sql.haversine('lat', 'lon', 'alat + t * (blat - alat)', 'alon + t * (blon - alon)')} AS off FROM v_rp
+  WHERE (heading IS NULL OR least(gap, 360 - gap) <= 60) AND (last_m IS NULL OR (to_m >= last_m - 250 AND to_m - length_m <= last_m + 250))),
+v_rm AS (SELECT fix_id, route_id, off AS offset_m, to_m - length_m + t * length_m AS route_m FROM v_rq QUALIFY row_number() OVER (PARTITION BY fix_id ORDER BY off, seq) = 1)
+"""
+
+
+def _route_segments(spark, sf_dir):
+    """Each row of the lattice as a route, from west to east."""
+    v = road.vertices(spark, sf_dir).select(F.col("vertex_id").alias("k"), "lat", "lon")
+    b = v.select((F.col("k") - 1).alias("k"), F.col("lat").alias("blat"), F.col("lon").alias("blon"))
+    joined = v.withColumnsRenamed({"lat": "alat", "lon": "alon"}).join(b, "k").filter("k % 40 < 39")
+    return joined.select(F.floor(F.col("k") / 40).alias("route_id"), (F.col("k") % 40).alias("seq"), "alat", "alon", "blat", "blon")
+
+
+def _on_route(spark, sf_dir):
+    f = road.fixes(spark, sf_dir)
+    heading = F.when(F.col("speed_mps") >= 2, F.col("heading_deg"))
+    last = F.when(F.col("fix_id") % 3 > 0, (F.col("fix_id") * 131 % 5000).cast("double"))
+    asked = f.select("fix_id", (F.col("device_id") % 37).alias("route_id"), "lat", "lon", heading.alias("heading"), last.alias("last_m"))
+    return tracking.match_to_route(asked, _route_segments(spark, sf_dir))
+
+
+@query(f"WITH {sql.FIX}, {_ROUTE} SELECT f.fix_id, f.route_id, round(m.offset_m, 4) AS offset_m, round(m.route_m, 3) AS route_m FROM v_rf f LEFT JOIN v_rm m ON f.fix_id = m.fix_id")
+def route_matches(spark, sf_dir):
+    """Fixes on their active route, behind the heading gate and within the window around where they were last seen."""
+    return _on_route(spark, sf_dir).select("fix_id", "route_id", F.round("offset_m", 4).alias("offset_m"), F.round("route_m", 3).alias("route_m"))
+
+
+@query(
+    f"WITH {sql.FIX}, {_ROUTE}, k AS (SELECT route_id, seq AS turn, to_m AS at_m FROM v_rs WHERE seq % 5 = 4), i AS (SELECT *, at_m - coalesce(lag(at_m) OVER (PARTITION BY route_id ORDER BY turn), 0) AS leg_m FROM k), z AS (SELECT route_id, max(to_m) AS total_m, max(seq) AS top FROM v_rs GROUP BY route_id), "
+    "a AS (SELECT m.fix_id, m.route_m, total_m, i.turn, i.at_m, i.leg_m, leg_m / 10 AS leg_s FROM v_rm m JOIN z USING (route_id) JOIN i USING (route_id)), c AS (SELECT fix_id, min(turn) FILTER (at_m >= route_m - 1e-6) AS ahead, max(turn) AS final FROM a GROUP BY fix_id), "
+    "n AS (SELECT a.*, c.ahead, coalesce(ahead, final) AS now FROM a JOIN c USING (fix_id)), o AS (SELECT fix_id, any_value(now) AS instruction, any_value(total_m) - any_value(route_m) AS left_m, any_value(ahead IS NULL) AS past, any_value(total_m) AS total_m, any_value(route_m) AS route_m, sum(leg_s) FILTER (turn > now) AS later, max(at_m) FILTER (turn = now) AS at_m, max(leg_m) FILTER (turn = now) AS leg_m, max(leg_s) FILTER (turn = now) AS leg_s FROM n GROUP BY fix_id), "
+    "p AS (SELECT *, CASE WHEN past THEN total_m ELSE at_m END AS target FROM o) SELECT fix_id, instruction, round(greatest(0, target - route_m), 3) AS to_maneuver_m, round(greatest(0, left_m), 3) AS remaining_m, round(coalesce(later, 0) + greatest(0, least(1, (target - route_m) / leg_m)) * leg_s, 3) AS remaining_s FROM p"
+)
+def route_progress(spark, sf_dir):
+    """The current instruction, and metres and seconds left, of every matched fix."""
+    w = W.partitionBy("route_id").orderBy("seq")
+    s = _route_segments(spark, sf_dir).withColumn("length_m", geo.haversine(F.col("alat"), F.col("alon"), F.col("blat"), F.col("blon")))
+    s = s.withColumn("to_m", F.sum("length_m").over(w.rowsBetween(W.unboundedPreceding, 0)))
+    turns = s.filter("seq % 5 = 4").withColumn("leg_m", F.col("to_m") - F.coalesce(F.lag("to_m").over(w), F.lit(0.0)))
+    turns = turns.select("route_id", F.col("seq").alias("turn"), F.col("to_m").alias("at_m"), "leg_m", (F.col("leg_m") / 10).alias("leg_s"))
+    total = s.groupBy("route_id").agg(F.max("to_m").alias("total_m"))
+    p = tracking.progress(_on_route(spark, sf_dir).filter("route_m is not null").join(total, "route_id"), turns)
+    return p.filter("instruction is not null").select("fix_id", "instruction", *[F.round(c, 3).alias(c) for c in ("to_maneuver_m", "remaining_m", "remaining_s")])
 
 
 @query(
@@ -586,9 +671,11 @@ _ALL_KINDS = [*restrictions.KINDS, "", "no_parking"]
 RELATIONS = f"""
 v_we AS (SELECT edge_id, edge_id // 2 AS way_id, edge_from, edge_to FROM v_edge), v_first AS (SELECT edge_from AS v, min(edge_id) // 2 AS next_way FROM v_edge GROUP BY edge_from),
 v_rel AS (SELECT edge_id AS rel_id, {_ALL_KINDS}[edge_id % 12 + 1] AS kind, edge_id % 17 = 0 AS conditional, way_id AS from_way, next_way AS to_way, CASE WHEN edge_id % 13 <> 0 THEN edge_to + CASE WHEN edge_id % 19 = 0 THEN 1000000 ELSE 0 END END AS via_node FROM v_we LEFT JOIN v_first ON v = edge_to),
-v_rj AS (SELECT r.*, CASE WHEN conditional THEN 'conditional' WHEN kind = '' THEN 'malformed' WHEN kind = 'no_parking' THEN 'unknown-kind' WHEN to_way IS NULL OR via_node IS NULL THEN 'malformed' WHEN via_node NOT IN (SELECT c_custkey FROM customer) THEN 'not-an-intersection' END AS why FROM v_rel r),
+v_rj AS (SELECT r.*, CASE WHEN conditional THEN 'conditional' WHEN kind = '' THEN 'malformed-roles' WHEN kind = 'no_parking' THEN 'unknown-restriction-value' WHEN to_way IS NULL OR via_node IS NULL THEN 'malformed-roles'
+  WHEN via_node NOT IN (SELECT c_custkey FROM customer) THEN 'via-node-not-an-intersection' END AS why FROM v_rel r),
+v_led AS (SELECT DISTINCT rel_id FROM v_rj JOIN v_we i ON i.way_id = from_way AND i.edge_to = via_node JOIN v_we o ON o.edge_from = via_node AND o.way_id = to_way WHERE why IS NULL),
 v_rb AS (SELECT DISTINCT rel_id, i.edge_id AS from_edge, o.edge_id AS to_edge FROM v_rj r JOIN v_we i ON i.way_id = from_way AND i.edge_to = via_node JOIN v_we o ON o.edge_from = via_node
-  AND CASE WHEN starts_with(kind, 'no_') THEN o.way_id = to_way ELSE o.way_id <> to_way AND o.way_id <> from_way END WHERE why IS NULL)
+  AND CASE WHEN starts_with(kind, 'no_') THEN o.way_id = to_way ELSE o.way_id <> to_way AND o.way_id <> from_way END WHERE why IS NULL AND rel_id IN (SELECT rel_id FROM v_led))
 """
 
 
@@ -610,14 +697,32 @@ def restriction_pairs(spark, sf_dir):
 
 
 @query(
-    f"WITH {sql.EDGE}, {RELATIONS}, a AS (SELECT DISTINCT rel_id FROM v_rj JOIN v_we i ON i.way_id = from_way AND i.edge_to = via_node WHERE why IS NULL), v AS (SELECT coalesce(why, CASE WHEN r.rel_id NOT IN (SELECT rel_id FROM a) THEN 'no-arriving-edge' WHEN r.rel_id NOT IN (SELECT rel_id FROM v_rb) THEN 'nothing-to-ban' END) AS reason, why FROM v_rj r), "
-    "w AS (SELECT CASE WHEN reason IS NULL THEN 'enforced' WHEN why IN ('conditional', 'unknown-kind') THEN 'ignored' ELSE 'not-honoured' END AS verdict, reason FROM v) SELECT verdict, reason, count(*) AS relations, grouping(reason) AS overall FROM w GROUP BY GROUPING SETS ((verdict), (verdict, reason))"
+    f"WITH {sql.EDGE}, {RELATIONS}, v AS (SELECT coalesce(why, CASE WHEN r.rel_id NOT IN (SELECT rel_id FROM v_led) THEN 'member-way-wrong-direction-at-via' END) AS reason, why FROM v_rj r), "
+    "w AS (SELECT CASE WHEN reason IS NULL THEN 'resolved' WHEN why IS NOT NULL THEN 'correctly-ignored' ELSE 'not-honoured' END AS verdict, reason FROM v) "
+    "SELECT verdict, reason, count(*) AS relations, grouping(reason) AS overall FROM w GROUP BY GROUPING SETS ((verdict), (verdict, reason))"
 )
 def restriction_verdicts(spark, sf_dir):
     rel, edges = _relations(spark, sf_dir)
     return restrictions.verdict_report(restrictions.resolve(rel, edges, road.vertices(spark, sf_dir))[0])
 
 
+@query(
+    f"WITH {sql.EDGE}, {RELATIONS}, v AS (SELECT i.edge_id AS rel_id, i.way_id AS from_way, f.next_way AS via_way, g.next_way AS to_way, i.edge_id % 2 = 0 AS forbids FROM v_we i JOIN v_first f ON f.v = i.edge_to JOIN v_we m ON m.edge_id = (f.next_way * 2) JOIN v_first g ON g.v = m.edge_to WHERE i.edge_id % 5 = 0), "
+    "x AS (SELECT v.*, i.edge_id AS from_edge, m.edge_id AS via_edge, m.edge_to AS ends FROM v JOIN v_we m ON m.way_id = via_way JOIN v_we i ON i.way_id = from_way AND i.edge_to = m.edge_from), led AS (SELECT DISTINCT rel_id FROM x JOIN v_we o ON o.edge_from = ends AND o.way_id = to_way) "
+    "SELECT DISTINCT from_edge, via_edge, o.edge_id AS to_edge FROM x JOIN v_we o ON o.edge_from = ends AND CASE WHEN forbids THEN o.way_id = to_way ELSE o.way_id <> to_way AND o.way_id <> via_way END WHERE rel_id IN (SELECT rel_id FROM led)"
+)
+def restriction_triples(spark, sf_dir):
+    """Bans that span a via way: from every fifth edge's way along the lowest way on, to the lowest way beyond."""
+    _, edges = _relations(spark, sf_dir)
+    first = edges.groupBy(F.col("edge_from").alias("v")).agg(F.floor(F.min("edge_id") / 2).alias("next_way"))
+    via = edges.join(first, F.col("edge_to") == F.col("v")).filter("edge_id % 5 = 0").select(F.col("edge_id").alias("rel_id"), F.col("way_id").alias("from_way"), F.col("next_way").alias("via_way"))
+    beyond = edges.join(first, F.col("edge_to") == F.col("v")).select(F.col("edge_id").alias("mid"), F.col("next_way").alias("to_way"))
+    rel = via.join(beyond, F.col("via_way") * 2 == F.col("mid"))
+    kind = F.when(F.col("rel_id") % 2 == 0, "no_entry").otherwise("only_straight_on")
+    rel = rel.select("rel_id", kind.alias("kind"), F.lit(False).alias("conditional"), "from_way", "to_way", F.lit(None).cast("long").alias("via_node"), "via_way")
+    return restrictions.resolve(rel, edges, road.vertices(spark, sf_dir))[2]
+
+
 _CLAIM = "".join(
     f", h{k} AS (SELECT DISTINCT node_id, road FROM t JOIN c{k - 1} USING (way_id)), c{k} AS (SELECT * FROM c{k - 1} UNION ALL (SELECT way_id, road FROM (SELECT way_id, road, count(*) AS n FROM t JOIN h{k} USING (node_id) WHERE way_id NOT IN (SELECT way_id FROM c{k - 1}) GROUP BY way_id, road) QUALIFY row_number() OVER (PARTITION BY way_id ORDER BY n DESC, road) = 1))"
     for k in (1, 2)
@@ -673,6 +778,24 @@ def parallel_roads(spark, sf_dir):
     return best.select("shape_id", "best.other", F.round("best.d", 4).alias("distance_m"))
 
 
+@query(
+    f"WITH {sql.EDGE}, b AS (SELECT edge_id, shape_id, (lat1 + lat2) / 2 AS lat, (lon1 + lon2) / 2 AS lon, {sql.bearing('lat1', 'lon1', 'lat2', 'lon2')} AS bearing FROM v_edge), "
+    f"p AS (SELECT x.edge_id, y.edge_id AS other, {sql.haversine('x.lat', 'x.lon', 'y.lat', 'y.lon')} AS d, fmod(abs(x.bearing - y.bearing), 360) AS g FROM b x JOIN b y ON x.shape_id <> y.shape_id AND y.lat BETWEEN x.lat - 0.0025 AND x.lat + 0.0025 AND y.lon BETWEEN x.lon - 0.0025 AND x.lon + 0.0025) "
+    "SELECT edge_id, other, round(d, 4) AS distance_m FROM p WHERE d <= 150 AND abs(180 - least(g, 360 - g)) <= 30 QUALIFY row_number() OVER (PARTITION BY edge_id ORDER BY d, other) = 1"
+)
+def opposing_roads(spark, sf_dir):
+    """The nearest edge of another segment that runs against an edge's direction: who may be taken for the other side."""
+    e = road.edges(spark, sf_dir)
+    b = e.select("edge_id", "shape_id", ((F.col("lat1") + F.col("lat2")) / 2).alias("lat"), ((F.col("lon1") + F.col("lon2")) / 2).alias("lon"), geo.bearing(F.col("lat1"), F.col("lon1"), F.col("lat2"), F.col("lon2")).alias("bearing"))
+    size = spatial.cell_size(150)
+    other = b.select(F.col("edge_id").alias("other"), F.col("shape_id").alias("oshape"), F.col("lat").alias("olat"), F.col("lon").alias("olon"), F.col("bearing").alias("obearing"))
+    other = other.withColumn("cell", spatial.cell_key(spatial.cell_of(F.col("olat"), size), spatial.cell_of(F.col("olon"), size)))
+    pairs = spatial.around(b, size).join(other, "cell").filter("shape_id <> oshape").withColumn("d", geo.haversine(F.col("lat"), F.col("lon"), F.col("olat"), F.col("olon")))
+    near = pairs.filter((F.col("d") <= 150) & (F.abs(180 - geo.bearing_gap(F.col("bearing"), F.col("obearing"))) <= 30))
+    best = near.groupBy("edge_id").agg(F.min(F.struct("d", "other")).alias("best"))
+    return best.select("edge_id", "best.other", F.round("best.d", 4).alias("distance_m"))
+
+
 _TOLLED_NEAR = sql.near(150).replace("f.fix_id, f.lat, f.lon", "f.shape_id AS fix_id, f.lat, f.lon").replace("FROM v_fix f JOIN v_seg s", "FROM v_mid f JOIN v_free s")
 
 

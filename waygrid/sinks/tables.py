@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,15 +17,14 @@ def cache_key(spark: SparkSession, area: dict, extracts: Sequence[tuple[str, str
 
 
 def load_or_build(spark: SparkSession, path: str, key: str, build: Callable[[], DataFrame]) -> DataFrame:
-    """The table at a path if it carries the key, else built and written anew. A read that fails means a rebuild.
-
-    The key is the name of a folder below the path, so a table of another key is never read or overwritten."""
+    """The table at a path if it carries the key, else built and written anew. The key is the name of a folder below the
+    path, so a table of another key is never read or overwritten. A folder without the mark of a finished write is what
+    a job that died left, and is built again."""
     folder = f"{path}/key={key}"
-    try:
-        return spark.read.parquet(folder)
-    except AnalysisException:
+    done = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/_SUCCESS")
+    if not done.getFileSystem(spark._jsc.hadoopConfiguration()).exists(done):
         build().write.mode("overwrite").parquet(folder)
-        return spark.read.parquet(folder)
+    return spark.read.parquet(folder)
 
 
 def read_places(spark: SparkSession, path: str) -> DataFrame:
