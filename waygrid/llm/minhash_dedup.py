@@ -42,7 +42,7 @@ MARGIN = 0.16
 #: Equal minima of a pair that is looked at.
 LEAST_ALIKE = (PERCENT / 100 - MARGIN) * HASHES
 TURNS = 4
-BLOCK, BLOCK_SHINGLES = 512, 1 << 21
+BLOCK, BLOCK_SHINGLES, BUNDLE = 512, 1 << 21, 1024
 
 _A, _B = keyed(HASHES, 11) | np.uint64(1), keyed(HASHES, 12)
 _PER_BAND = keyed(BANDS, 14)
@@ -168,83 +168,90 @@ def _pivot_links(shared: DataFrame, sets: DataFrame) -> DataFrame:
     return both.filter(100 * F.col("shared") >= PERCENT * (F.size("a") + F.size("b") - F.col("shared"))).select("u", "v")
 
 
-def _signatures(rows: pd.DataFrame) -> np.ndarray:
-    return np.frombuffer(b"".join(rows["signature"]), np.uint32).reshape(-1, HASHES)
+def _block_pairs(pdf: pd.DataFrame):
+    """The pairs of blocks that a group holds, as places in it: (left, right), which are one array on the diagonal. A
+    group is one pair of blocks of a large bucket, or a bundle of small buckets."""
+    band = pdf["band"].to_numpy()
+    order = np.argsort(band, kind="stable")
+    mine, i, j = (pdf[c].to_numpy() for c in ("mine", "i", "j"))
+    for at in np.split(order, np.flatnonzero(np.diff(band[order])) + 1):
+        if i[at[0]] == j[at[0]]:
+            yield at, at
+        else:
+            yield at[mine[at] == i[at]], at[mine[at] == j[at]]
 
 
-def _sides(pdf: pd.DataFrame) -> tuple[pd.DataFrame, pd.DataFrame, bool]:
-    """The two blocks of a group, which are one block on the diagonal."""
-    both = bool(pdf["i"].iat[0] == pdf["j"].iat[0])
-    return (pdf, pdf, both) if both else (pdf[pdf["mine"] == pdf["i"]], pdf[pdf["mine"] == pdf["j"]], both)
+def _arrays(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Signatures, sizes and numbered components of a group's rows."""
+    return np.frombuffer(b"".join(pdf["signature"]), np.uint32).reshape(-1, HASHES), pdf["n"].to_numpy(), pd.factorize(pdf["root"])[0].copy()
+
+
+def _fits(n: int, others: np.ndarray) -> np.ndarray:
+    return 100 * np.minimum(others, n) >= PERCENT * np.maximum(others, n)
 
 
 def _may_link_across(pdf: pd.DataFrame) -> pd.DataFrame:
-    """The classes of two blocks of one bucket that may have a link to another component, by size and signature."""
-    left, right, _ = _sides(pdf)
-    sig, n = [_signatures(x) for x in (left, right)], [x["n"].to_numpy() for x in (left, right)]
-    root = pd.factorize(pd.concat([left["root"], right["root"]]))[0]
-    mine, others = root[: len(left)], root[len(left) :]
-    found = np.zeros(len(left), bool), np.zeros(len(right), bool)
-    for k in range(len(left)):
-        ok = (others != mine[k]) & (100 * np.minimum(n[1], n[0][k]) >= PERCENT * np.maximum(n[1], n[0][k]))
-        if ok.any():
-            ok &= np.count_nonzero(sig[1] == sig[0][k], axis=1) >= LEAST_ALIKE
-            found[0][k] |= ok.any()
-            found[1][ok] = True
-    keep = pd.concat([left[found[0]], right[found[1]]]).drop_duplicates("node")
-    return keep[["band", "i", "j", "mine", "node", "root"]]
+    """The classes of a group that may have a link to another component, by size and signature."""
+    sig, n, root = _arrays(pdf)
+    found = np.zeros(len(pdf), bool)
+    for left, right in _block_pairs(pdf):
+        if left is right and (root[left] == root[left[0]]).all():
+            continue
+        sig_r, n_r, root_r = sig[right], n[right], root[right]
+        for k in left:
+            ok = (root_r != root[k]) & _fits(n[k], n_r)
+            if ok.any():
+                ok &= np.count_nonzero(sig_r == sig[k], axis=1) >= LEAST_ALIKE
+                found[right[ok]] = True
+                found[k] |= ok.any()
+    return pdf.loc[found, ["bundle", "band", "i", "j", "mine", "node", "root"]]
 
 
 def _links_across(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Pairs of components that a confirmed link joins, from two blocks of one bucket. Components that are joined are
-    not compared again, so a block returns fewer pairs than it has classes."""
-    left, right, both = _sides(pdf)
-    sig, n = [_signatures(x) for x in (left, right)], [x["n"].to_numpy() for x in (left, right)]
-    members = [[m.view(np.uint64) for m in x["members"]] for x in (left, right)]  # sorted as they were built
-    name = left["root"].to_numpy(), right["root"].to_numpy()
-    root = pd.factorize(pd.concat([left["root"], right["root"]]))[0].copy()
-    mine, others = root[: len(left)], root[len(left) :]  # views, so that a join shows in both
-    if both:
-        others = mine
+    """Pairs of components that a confirmed link joins. Components that are joined are not compared again, so a group
+    returns fewer pairs than it has classes."""
+    sig, n, root = _arrays(pdf)
+    members = [m.view(np.uint64) for m in pdf["members"]]  # sorted as they were built
+    name = pdf["root"].to_numpy()
     u, v = [], []
-    for k in range(len(left)):
-        ok = (others != mine[k]) & (100 * np.minimum(n[1], n[0][k]) >= PERCENT * np.maximum(n[1], n[0][k]))
-        if both:
-            ok[: k + 1] = False
-        at = np.flatnonzero(ok)
-        if not len(at):
-            continue
-        alike = np.count_nonzero(sig[1] == sig[0][k], axis=1)[at]
-        x = members[0][k]
-        for i in at[np.argsort(-alike, kind="stable")[: int((alike >= LEAST_ALIKE).sum())]]:
-            if others[i] == mine[k]:
-                continue
-            y = members[1][i]
-            place = np.minimum(np.searchsorted(x, y), len(x) - 1)
-            common = int((x[place] == y).sum())
-            if 100 * common >= PERCENT * (len(x) + len(y) - common):
-                u.append(max(name[0][k], name[1][i]))
-                v.append(min(name[0][k], name[1][i]))
-                root[root == others[i]] = mine[k]
+    for left, right in _block_pairs(pdf):
+        for place, k in enumerate(left):
+            others = right[place + 1 :] if left is right else right
+            others = others[(root[others] != root[k]) & _fits(n[k], n[others])]
+            alike = np.count_nonzero(sig[others] == sig[k], axis=1)
+            x = members[k]
+            for i in others[np.argsort(-alike, kind="stable")[: int((alike >= LEAST_ALIKE).sum())]]:
+                if root[i] == root[k]:
+                    continue
+                y = members[i]
+                common = int((x[np.minimum(np.searchsorted(x, y), len(x) - 1)] == y).sum())
+                if 100 * common >= PERCENT * (len(x) + len(y) - common):
+                    u.append(max(name[k], name[i]))
+                    v.append(min(name[k], name[i]))
+                    root[root == root[i]] = root[k]
     return pd.DataFrame({"u": u, "v": v})
 
 
 def _cross_links(shared: DataFrame, sets: DataFrame, roots: DataFrame) -> DataFrame:
-    """Pairs of components with a confirmed link between them, from blocks of bounded numbers and bytes."""
+    """Pairs of components with a confirmed link between them, from blocks of bounded numbers and bytes. Buckets of one
+    block are bundled, some BUNDLE memberships together, so that few groups go to Python."""
     arrow_batches(shared.sparkSession)
     placed = cut(shared.join(roots, F.col("node") == F.col("in_root"), "left").select("band", "node", "n", F.coalesce("root", "node").alias("root")))
     mixed = placed.groupBy("band").agg(F.count(F.lit(1)).alias("held"), F.sum("n").alias("total"), F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi")
     blocks = F.greatest(F.ceil(F.col("held") / BLOCK), F.ceil(F.col("total") / BLOCK_SHINGLES)).cast("int")
-    mixed = small(cut(mixed.select(F.col("band").alias("in_band"), blocks.alias("blocks"))))
-    members = placed.join(mixed, F.col("band") == F.col("in_band")).withColumn("mine", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    mixed = cut(mixed.select(F.col("band").alias("in_band"), blocks.alias("blocks"), "held", "total"))
+    few = mixed.filter("blocks = 1").agg(F.sum("held"), F.sum("total")).first()
+    bundles = max(1, (few[0] or 0) // BUNDLE, (few[1] or 0) // BLOCK_SHINGLES)
+    members = placed.join(small(mixed.select("in_band", "blocks")), F.col("band") == F.col("in_band")).withColumn("mine", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     pair = F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: F.struct(F.least(x, F.col("mine")).alias("i"), F.greatest(x, F.col("mine")).alias("j")))).alias("pair")
-    signed = members.join(sets.select("of", "signature"), F.col("node") == F.col("of")).select("band", "mine", "node", "n", "root", "signature", pair)
-    signed = signed.select("band", "pair.i", "pair.j", "mine", "node", "n", "root", "signature")
+    bundle = F.when(F.col("blocks") > 1, F.col("band")).otherwise(F.pmod("band", F.lit(bundles))).alias("bundle")
+    signed = members.join(sets.select("of", "signature"), F.col("node") == F.col("of")).select(bundle, "band", "mine", "node", "n", "root", "signature", pair)
+    signed = signed.select("bundle", "band", "pair.i", "pair.j", "mine", "node", "n", "root", "signature")
     kind = dict(signed.dtypes)
-    found = ", ".join(f"{c} {kind[c]}" for c in ("band", "i", "j", "mine", "node", "root"))
-    alike = cut(signed.groupBy("band", "i", "j").applyInPandas(_may_link_across, found))
-    full = alike.join(sets, F.col("node") == F.col("of")).select("band", "i", "j", "mine", "node", "n", "root", "signature", "members")
-    return full.groupBy("band", "i", "j").applyInPandas(_links_across, "u binary, v binary").distinct()
+    found = ", ".join(f"{c} {kind[c]}" for c in ("bundle", "band", "i", "j", "mine", "node", "root"))
+    alike = cut(signed.groupBy("bundle", "i", "j").applyInPandas(_may_link_across, found))
+    full = alike.join(sets, F.col("node") == F.col("of")).select("bundle", "band", "i", "j", "mine", "node", "n", "root", "signature", "members")
+    return full.groupBy("bundle", "i", "j").applyInPandas(_links_across, "u binary, v binary").distinct()
 
 
 def _grouped(docs: DataFrame, *, text: str, doc_id: str) -> tuple[DataFrame, DataFrame]:
