@@ -1,6 +1,8 @@
 """Operators that look at one text at a time, against plain Python on whole small tables and odd cases."""
 
 import hashlib
+import math
+import os
 import random
 import re
 import zlib
@@ -118,6 +120,43 @@ def test_pii_leaves_clean_texts(text):
     assert pii.find(text) == ([], [])
 
 
+def test_pii_generated_disguises():
+    """Addresses, numbers and cards put in among words, disguised at random: each is found at its own offsets."""
+    rng = random.Random(11)
+    digits = "zero one two three four five six seven eight nine".split()
+    alike = str.maketrans({"a": "а", "e": "е", "o": "о", "c": "с", "p": "р"})
+
+    def email():
+        name, host, end = ("".join(rng.choices("bdfghklmnrstuvz", k=rng.randint(3, 7))) for _ in range(3))
+        at, dot = rng.choice([(" (at) ", " (dot) "), (" [at] ", " [dot] "), ("{at}", "{dot}"), (" at ", " dot "), ("＠", ".")])
+        return "email", f"{name}{at}{host}{dot}{end[:3]}"
+
+    def homoglyph():
+        name = "".join(rng.choices("aeocp", k=5))
+        return "email", f"x{name.translate(alike)}@{name}.com"
+
+    def ip():
+        return "ip", " dot ".join(rng.choice([str, lambda n: " ".join(digits[int(c)] for c in str(n))])(rng.randint(0, 255)) for _ in range(3)) + " dot " + digits[rng.randint(0, 9)]
+
+    def phone():
+        return "phone", "plus " + " ".join(digits[rng.randint(0, 9)] for _ in range(rng.randint(9, 15)))
+
+    def card():
+        body = [rng.randint(0, 9) for _ in range(15)]
+        total = sum(d if i % 2 else sum(divmod(2 * d, 10)) for i, d in enumerate(body))
+        return "card", " ".join(digits[d] for d in [*body, -total % 10])
+
+    words = ["river", "über", "漢字", "stone", "ñandú", "😀", "plain"]
+    for _ in range(2000):
+        kind, disguise = rng.choice([email, homoglyph, ip, phone, card])()
+        lead, tail = ("".join(rng.choice(words) + ", " for _ in range(rng.randint(0, 4))) for _ in range(2))
+        text = f"{lead}; {disguise} ; {tail}"
+        base, added = pii.find(text)
+        found = [(k, text[b:e]) for k, b, e in added]
+        assert (kind, disguise) in found and not base, (text, base, found)
+        assert disguise not in pii.redact(text, added)
+
+
 def test_pii_odd_rows_and_linear_time(odd):
     assert odd.count() == pii.redact_documents(odd).count()
     assert pii.redact_documents(odd).columns == odd.columns
@@ -145,6 +184,76 @@ def test_quality_rules(spark, sf_dir, documents, odd):
         assert tuple(r)[1:] == brute_rules(r["text"])
 
 
+def brute_distances(rows, rules):
+    """(class distance, word distance, kept) of each (lang, text), in plain Python."""
+
+    def classes(text):
+        c = Counter()
+        for ch in text:
+            name = next((n for n, chars in CLASS_CHARS if ch in chars), None)
+            o = ord(ch)
+            lead = ch.encode()[0]
+            c[name or ("other" if o < 128 else "latin" if lead in (0xC2, 0xC3, 0xC5) else "two" if o < 0x800 else "three" if o < 0x10000 else "four")] += 1
+        return c
+
+    def commons(text):
+        return Counter(w if w in quality_rules._WORDS else "" for w in (x.translate(LOWERED) for x in WORDS(text)))
+
+    def js(p, q):
+        a, b = max(1, sum(p.values())), max(1, sum(q.values()))
+        total = 0.0
+        for k in set(p) | set(q):
+            x, y = p[k] / a, q[k] / b
+            m = (x + y) / 2
+            total += (x * math.log2(x / m) if x else 0) / 2 + (y * math.log2(y / m) if y else 0) / 2
+        return math.sqrt(min(1, max(0, total)))
+
+    refs = {}
+    for lang, text in rows:
+        c, w = refs.setdefault(lang, (Counter(), Counter()))
+        c.update(classes(text or ""))
+        w.update(commons(text or ""))
+    refs = {k: v for k, v in refs.items() if sum(v[1].values()) >= rules.guard_reference_words}
+    out = []
+    for lang, text in rows:
+        text = text or ""
+        n, failed = len(WORDS(text)), brute_rules(text)[-1]
+        ref = refs.get(lang)
+        c = js(classes(text), ref[0]) if ref and len(text) >= rules.guard_chars else None
+        w = js(commons(text), ref[1]) if ref and n >= rules.guard_words else None
+        odd = c is not None and c > rules.most_class_distance
+        if w is not None:
+            nearest = min([w, 1.0, *(js(commons(text), refs[x][1]) for x in quality_rules.COMMON if x in refs)])
+            odd |= nearest > math.sqrt(rules.most_word_distance**2 + rules.word_noise / max(n, 1))
+        out.append((c, w, not failed and not odd))
+    return out
+
+
+CLASS_CHARS = [
+    ("vowel", "aeiou"), ("consonant", "bcdfghjklmnpqrstvwxyz"), ("upper", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"), ("digit", "0123456789"), ("stop", ".,;:?"), ("quote", "'\"()-"),
+    ("symbol", "#*$%&|<>!=_/\\{}[]@^~`+"), ("blank", " \t"), ("line", "\n\r"),
+]
+LOWERED = {c: c + 32 for c in range(65, 91)}
+
+
+def test_quality_rules_distances_and_verdict(spark, sf_dir):
+    """Both distances, the guards and the verdict of every document against plain Python."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    rows = [(r["doc_id"], r["lang"], r["text"]) for r in docs.collect()]
+    want = dict(zip((i for i, _, _ in rows), brute_distances([(x, t) for _, x, t in rows], quality_rules.Rules())))
+    for r in QUERIES["op9_quality_rules"](spark, sf_dir).collect():
+        c, w, kept = want[r["doc_id"]]
+        assert r["kept"] == kept
+        for got, expected in ((r["class_distance"], c), (r["word_distance"], w)):
+            assert (got is None) == (expected is None) and (got is None or abs(got - expected) < 1e-6)
+
+
+def test_quality_rules_tell_null_from_empty_language(spark):
+    rows = [(1, "the cat of " * 100, None), (2, "zu und der " * 100, "")]
+    got = quality_rules.quality_rules(spark.createDataFrame(rows, "doc_id long, text string, lang string"), quality_rules.Rules(guard_reference_words=1)).collect()
+    assert all(r["class_distance"] < 1e-6 and r["word_distance"] < 1e-6 for r in got)
+
+
 def test_quality_rules_keep_clean_and_drop_junk(spark, sf_dir):
     rules = QUERIES["op9_quality_rules"](spark, sf_dir.replace("0.001", "0.01"))
     labels = spark.read.parquet(f"{sf_dir.replace('0.001', '0.01')}/labels.parquet")
@@ -214,21 +323,30 @@ def test_token_counts(spark, sf_dir, documents, odd):
     counts = {}
     for r in QUERIES["op7_token_counts"](spark, sf_dir).collect():
         words = WORDS(documents[r["doc_id"]] or "")
-        if r["doc_id"] % 10 == 0:
-            for w in words:
-                counts.setdefault(w, None)
-                if counts[w] is None:
-                    counts[w] = brute(w)
-            assert r["n_tokens"] == sum(counts[w] for w in words)
-        assert r["n_pretokens"] == len(words)
+        for w in words:
+            if w not in counts:
+                counts[w] = brute(w)
+        assert (r["n_pretokens"], r["n_tokens"]) == (len(words), sum(counts[w] for w in words))
     assert token_counts.count_tokens(odd, PIECE_MODEL).count() == len(ODD)
 
 
+#: Full texts where this machine has them.
+FULL_TEXTS = {n: f"/usr/share/common-licenses/{f}" for n, f in (
+    ("Apache-2.0", "Apache-2.0"), ("Artistic-1.0-Perl", "Artistic"), ("CC0-1.0", "CC0-1.0"), ("GFDL-1.2", "GFDL-1.2"), ("GFDL-1.3", "GFDL-1.3"), ("GPL-1.0", "GPL-1"), ("GPL-2.0", "GPL-2"),
+    ("GPL-3.0", "GPL-3"), ("LGPL-2.0", "LGPL-2"), ("LGPL-2.1", "LGPL-2.1"), ("LGPL-3.0", "LGPL-3"), ("MPL-1.1", "MPL-1.1"), ("MPL-2.0", "MPL-2.0"),
+)}
+
+
 def test_license_scan(spark, sf_dir, odd):
     texts = [(i, t.upper().replace("LICENSE", "Licence").replace("\n\n", "\n * ") if i % 2 else "Copyright (c) 2020 A B\n" + t) for i, (_, t) in enumerate(license_scan.KNOWN)]
     docs = spark.createDataFrame([*texts, (100, "MIT License and more words"), (101, None)], "doc_id long, text string")
     found = {r["doc_id"]: r["license_id"] for r in license_scan.scan_licenses(docs, license_scan.known_digests(spark), keep=["doc_id"]).select("doc.doc_id", "license_id").collect()}
     assert found == {**{i: name for i, (name, _) in enumerate(license_scan.KNOWN)}, 100: None, 101: None}
+    full = [(n, open(path).read()) for n, path in FULL_TEXTS.items() if os.path.exists(path)]
+    wrapped = license_scan.KNOWN[7][1].replace("above copyright", "above\ncopyright")
+    planted = spark.createDataFrame([*enumerate(t for _, t in full), (200, wrapped)], "doc_id long, text string")
+    found = {r["doc_id"]: r["license_id"] for r in license_scan.scan_licenses(planted, license_scan.known_digests(spark)).select("doc.doc_id", "license_id").collect()}
+    assert found == {**{i: n for i, (n, _) in enumerate(full)}, 200: "ISC"}
     con = duckdb.connect()
     con.sql(f"CREATE VIEW documents AS SELECT * FROM '{sf_dir}/documents.parquet'")
     assert sorted(con.sql(license_scan.oracle_sql()).fetchall()) == sorted(map(tuple, QUERIES["op10_license_scan"](spark, sf_dir).collect()))
