@@ -50,7 +50,11 @@ def flat_metres(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Colum
 
 def project(lat: Column, lon: Column, alat: Column, alon: Column, blat: Column, blon: Column, at_lat: Column) -> Column:
     """Share t in [0, 1] of the foot of a point on segment a-b, in a plane at latitude at_lat."""
-    k = F.cos(F.radians(at_lat))
+    return project_at(lat, lon, alat, alon, blat, blon, F.cos(F.radians(at_lat)))
+
+
+def project_at(lat: Column, lon: Column, alat: Column, alon: Column, blat: Column, blon: Column, k: Column) -> Column:
+    """The same with the cosine of the latitude, for joins that have it as a column: no cosine for each pair."""
     bx, by = (blon - alon) * k, blat - alat
     px, py = (lon - alon) * k, lat - alat
     length2 = bx * bx + by * by

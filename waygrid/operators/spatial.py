@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from waygrid.config import M_PER_DEG_LON
-from waygrid.functions.geo import haversine, project
+from waygrid.functions.geo import haversine, project_at
 
 #: Smallest cell in degrees (some 110 m): smaller ones would register a segment of ordinary length in many.
 LEAST_CELL_DEG = 0.001
@@ -62,12 +62,13 @@ def pairs_within(points: DataFrame, segments: DataFrame, radius_m: float, point_
     A pair meets in every cell that both are registered in; it counts in the cell of the segment's nearest point alone, so
     that no pair has to be told from its copies by a shuffle."""
     size = cell_size(radius_m)
-    joined = around(points, size).join(register(segments, size), "cell")
-    t = project(F.col("lat"), F.col("lon"), F.col("alat"), F.col("alon"), F.col("blat"), F.col("blon"), F.col("lat"))
+    located = points.withColumn("cos_lat", F.cos(F.radians("lat")))
+    joined = around(located, size).join(register(segments, size), "cell")
+    t = project_at(F.col("lat"), F.col("lon"), F.col("alat"), F.col("alon"), F.col("blat"), F.col("blon"), F.col("cos_lat"))
     joined = joined.withColumn("t", t)
     foot_lat, foot_lon = F.col("alat") + F.col("t") * (F.col("blat") - F.col("alat")), F.col("alon") + F.col("t") * (F.col("blon") - F.col("alon"))
     own = joined.filter(F.col("cell") == cell_key(_cell_within(foot_lat, "alat", "blat", size), _cell_within(foot_lon, "alon", "blon", size)))
-    return own.withColumn("distance_m", haversine(F.col("lat"), F.col("lon"), foot_lat, foot_lon)).filter(F.col("distance_m") <= radius_m).drop("cell")
+    return own.withColumn("distance_m", haversine(F.col("lat"), F.col("lon"), foot_lat, foot_lon)).filter(F.col("distance_m") <= radius_m).drop("cell", "cos_lat")
 
 
 def nearest(points: DataFrame, segments: DataFrame, radius_m: float, point_key: str, segment_key: str) -> DataFrame:
