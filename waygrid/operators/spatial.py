@@ -19,6 +19,9 @@ from waygrid.functions.geo import haversine, project_at
 
 #: Smallest cell in degrees (some 110 m): smaller ones would register a segment of ordinary length in many.
 LEAST_CELL_DEG = 0.001
+#: A cell's points are dealt over so many tasks, its segments sent to each: rows are short and pairs many, so the partitions
+#: are asked for by number, as adaptive execution would otherwise put all of them in one task by their bytes.
+PARTS = 4
 #: Radii of the rings as shares of the whole radius; the last is the radius itself.
 RINGS = (0.25, 1.0)
 
@@ -63,12 +66,15 @@ def pairs_within(points: DataFrame, segments: DataFrame, radius_m: float, point_
     that no pair has to be told from its copies by a shuffle."""
     size = cell_size(radius_m)
     located = points.withColumn("cos_lat", F.cos(F.radians("lat")))
-    joined = around(located, size).join(register(segments, size), "cell")
+    n = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    located = around(located, size).withColumn("part", F.pmod(F.xxhash64(point_key), F.lit(PARTS))).repartition(n, "cell", "part")
+    parts = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(PARTS - 1).cast("long")))
+    joined = located.join(register(segments, size).withColumn("part", parts).repartition(n, "cell", "part"), ["cell", "part"])
     t = project_at(F.col("lat"), F.col("lon"), F.col("alat"), F.col("alon"), F.col("blat"), F.col("blon"), F.col("cos_lat"))
     joined = joined.withColumn("t", t)
     foot_lat, foot_lon = F.col("alat") + F.col("t") * (F.col("blat") - F.col("alat")), F.col("alon") + F.col("t") * (F.col("blon") - F.col("alon"))
     own = joined.filter(F.col("cell") == cell_key(_cell_within(foot_lat, "alat", "blat", size), _cell_within(foot_lon, "alon", "blon", size)))
-    return own.withColumn("distance_m", haversine(F.col("lat"), F.col("lon"), foot_lat, foot_lon)).filter(F.col("distance_m") <= radius_m).drop("cell", "cos_lat")
+    return own.withColumn("distance_m", haversine(F.col("lat"), F.col("lon"), foot_lat, foot_lon)).filter(F.col("distance_m") <= radius_m).drop("cell", "part", "cos_lat")
 
 
 def nearest(points: DataFrame, segments: DataFrame, radius_m: float, point_key: str, segment_key: str) -> DataFrame:
