@@ -26,6 +26,42 @@ STATION_RANK, AERODROME_RANK, OTHER_AMENITY_RANK = 46, 49, 30
 KIND_RANK = {"shop": 26, "tourism": 28, "leisure": 24, "office": 22}
 #: Plaza chainages (km) along the matrix-priced expressway.
 PLAZA_KM = (5.5, 15.36, 23.002, 44.512, 49.96, 52.192, 72.724, 83.005, 108.57, 126.137, 132.085)
+#: Chargeable kilometres between those plazas.
+TOLLABLE_KM = (
+    (0.0, 19.76, 28.032, 52.26, 58.608, 61.967, 83.147, 94.779, 126.824, 144.391, 156.09),
+    (19.76, 0.0, 8.272, 32.5, 38.848, 42.207, 63.387, 75.019, 107.064, 124.631, 136.33),
+    (28.032, 8.272, 0.0, 24.228, 30.576, 33.935, 55.115, 66.747, 98.792, 116.359, 128.058),
+    (52.26, 32.5, 24.228, 0.0, 6.348, 9.707, 30.887, 42.519, 74.564, 92.131, 103.83),
+    (58.608, 38.848, 30.576, 6.348, 0.0, 3.359, 24.539, 36.171, 68.216, 85.783, 97.482),
+    (61.967, 42.207, 33.935, 9.707, 3.359, 0.0, 21.18, 32.813, 64.858, 82.425, 94.124),
+    (83.147, 63.387, 55.115, 30.887, 24.539, 21.18, 0.0, 11.633, 43.678, 61.245, 72.944),
+    (94.779, 75.019, 66.747, 42.519, 36.171, 32.813, 11.633, 0.0, 32.045, 49.612, 61.311),
+    (126.824, 107.064, 98.792, 74.564, 68.216, 64.858, 43.678, 32.045, 0.0, 17.567, 29.266),
+    (144.391, 124.631, 116.359, 92.131, 85.783, 82.425, 61.245, 49.612, 17.567, 0.0, 11.699),
+    (156.09, 136.33, 128.058, 103.83, 97.482, 94.124, 72.944, 61.311, 29.266, 11.699, 0.0),
+)
+#: Gates this close together are one plaza; longest span of a circle that is a roundabout; how far ahead a name is looked for.
+SAME_PLAZA_M, CIRCLE_M, NAME_AHEAD_M = 2000.0, 180.0, 800.0
+
+
+@dataclass(frozen=True)
+class TollRoad:
+    """How a road is paid for: by gates and ramps (gate-hybrid), by entry and exit (matrix) or by distance (per-km)."""
+
+    mechanism: str
+    rate_per_km: float
+    fee: float = 0.0
+    step: float = 1.0
+    confidence: str = "verified"
+    with_ramp: str = "verified"
+
+
+#: The toll roads by number.
+TOLL_ROADS = {
+    1: TollRoad("gate-hybrid", 2.95, fee=140.0, with_ramp="approximated"),
+    2: TollRoad("matrix", 1.95, step=5.0),
+    3: TollRoad("per-km", 1.95, confidence="unpriced", with_ramp="unpriced"),
+}
 
 
 # The defaults of the four classes below.

@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from waygrid.config import Objective, TurnCost
-from waygrid.functions.geo import bearing, bearing_delta, manoeuvre_seconds
+from waygrid.config import CIRCLE_M, EARTH_M, Objective, TurnCost
+from waygrid.functions.geo import bearing, bearing_delta, haversine, manoeuvre_seconds
 from waygrid.plans.lineage import cut
 
 
@@ -29,6 +29,27 @@ def split_ways(way_nodes: DataFrame, vertices: DataFrame) -> DataFrame:
     return pieces.select("way_id", "piece", F.col("head.node_id").alias("node_from"), "node_to", (F.col("held") + 1).alias("n_nodes")).filter("node_from <> node_to")
 
 
+def untagged_circles(way_nodes: DataFrame, ways: DataFrame) -> DataFrame:
+    """(way_id, span_m, connections) of closed one-way ways that are roundabouts without being tagged so.
+
+    way_nodes: way_id, pos, node_id, lat, lon; ways: way_id, oneway, junction (has the tag), service. Such a way has four
+    references or more, the same node at both ends, no pair of nodes further apart than CIRCLE_M, and three nodes or more
+    that other references use too. Candidates are taken first, so that pairs are only formed within small circles."""
+    uses = way_nodes.groupBy("node_id").agg(F.count(F.lit(1)).alias("uses"))
+    ends = way_nodes.groupBy("way_id").agg(F.count(F.lit(1)).alias("refs"), F.min(F.struct("pos", "node_id"))["node_id"].alias("head"), F.max(F.struct("pos", "node_id"))["node_id"].alias("tail"),
+                                           F.min("lat").alias("south"), F.max("lat").alias("north"), F.min("lon").alias("west"), F.max("lon").alias("east"))
+    high, wide = (F.lit(EARTH_M) * F.radians(b - a) for a, b in ((F.col("south"), F.col("north")), (F.col("west"), F.col("east"))))
+    wide = wide * F.least(F.cos(F.radians("south")), F.cos(F.radians("north")))
+    closed = ends.filter((F.col("refs") >= 4) & (F.col("head") == F.col("tail")) & (high <= CIRCLE_M + 1) & (wide <= CIRCLE_M + 1))
+    closed = closed.join(ways.filter("oneway and not junction and not service").select("way_id"), "way_id", "left_semi").select("way_id")
+    nodes = way_nodes.join(closed, "way_id", "left_semi").select("way_id", "node_id", "lat", "lon").distinct().join(uses, "node_id")
+    here = nodes.groupBy("way_id").agg(F.count_if(F.col("uses") >= 2).alias("connections"))
+    other = nodes.select("way_id", F.col("node_id").alias("other"), F.col("lat").alias("olat"), F.col("lon").alias("olon"))
+    busy = nodes.join(here.filter("connections >= 3"), "way_id")
+    apart = busy.join(other, "way_id").filter("node_id < other").groupBy("way_id").agg(F.max(haversine(F.col("lat"), F.col("lon"), F.col("olat"), F.col("olon"))).alias("span_m"), F.first("connections").alias("connections"))
+    return apart.filter(F.col("span_m") <= CIRCLE_M).select("way_id", "span_m", "connections")
+
+
 def costs(edges: DataFrame, cfg: Objective = Objective()) -> DataFrame:
     """Seconds of each edge: driving, distance weighed by road quality (and privacy), and a proxy for tolls."""
     quality = F.coalesce(F.element_at(F.array(*map(F.lit, cfg.quality)), F.col("class_rank") + 1), F.lit(1.0))

@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from waygrid.config import AREA_E7, MATCH_M, PLAZA_KM, SNAP_M
+from waygrid.config import AREA_E7, MATCH_M, PLAZA_KM, SNAP_M, TOLLABLE_KM
 from waygrid.functions import geo, strings, tiles
-from waygrid.operators import analytics, graph, ingest, instructions, profile, restrictions, routing, search, spatial, tracking
+from waygrid.operators import analytics, graph, ingest, instructions, profile, restrictions, routing, search, spatial, tolls, tracking
 from waygrid.plans import sql
 from waygrid.sources import projection as road
 
@@ -349,6 +349,141 @@ def best_routes(spark, sf_dir):
     return routing.assemble(found, edges, turns).select("query_id", "n_edges", *[F.round(c, 4).alias(c) for c in ("seconds", "length_m", "drive_s", "distance_s", "toll_s", "turn_s")])
 
 
+def _places_on_edges(spark, sf_dir, edges):
+    """For every vertex a place on an edge that leaves it, and one on an edge that leaves a vertex two rows on."""
+    leaving = edges.groupBy(F.col("edge_from").alias("v")).agg(F.min("edge_id").alias("start_edge"))
+    last = road.read(spark, sf_dir, "customer").agg((F.count(F.lit(1)) - 1).alias("last"))
+    k = F.col("v")
+    asked = leaving.crossJoin(F.broadcast(last)).withColumn("target", F.when(k + 82 <= F.col("last"), k + 82).otherwise(F.greatest(k - 82, F.lit(0))))
+    there = leaving.select(F.col("v").alias("target"), F.col("start_edge").alias("end_edge"))
+    return asked.join(there, "target").select(k.alias("query_id"), "start_edge", (k % 10 / 10.0).alias("start_fraction"), "end_edge", (k % 7 / 7.0).alias("end_fraction"))
+
+
+@query()
+def point_routes(spark, sf_dir):
+    """Routes between places on edges, which may be left and reached in both directions, with their cost parts."""
+    edges = graph.costs(road.edges(spark, sf_dir))
+    turns = graph.turn_costs(edges)
+    found = routing.point_routes(_places_on_edges(spark, sf_dir, edges), edges, turns, _bans(edges), _triples(edges))
+    return routing.assemble(found, edges, turns).select("query_id", "n_edges", *[F.round(c, 4).alias(c) for c in ("seconds", "length_m", "drive_s", "distance_s", "toll_s", "turn_s")])
+
+
+@query()
+def route_lines(spark, sf_dir):
+    """The same places without toll roads: the line of each route, cut where it starts and ends."""
+    edges = graph.costs(road.edges(spark, sf_dir))
+    found = routing.point_routes(_places_on_edges(spark, sf_dir, edges), edges, graph.turn_costs(edges), _bans(edges), _triples(edges), avoid_tolls=True)
+    shapes = edges.select("edge_id", F.expr("array(struct(lat1 AS lat, lon1 AS lon), struct(lat2 AS lat, lon2 AS lon))").alias("points"))
+    rounded = F.transform("points", lambda p: F.struct(F.round(p["lat"], 7).alias("lat"), F.round(p["lon"], 7).alias("lon")))
+    return routing.geometry(found, shapes).select("query_id", F.size("points").alias("n_points"), rounded.alias("points"))
+
+
+_BENT = (
+    "v_bent AS (SELECT edge_id, lat1, lon1, (lat1 + lat2) / 2 + 0.0002 AS lat3, (lon1 + lon2) / 2 AS lon3, lat2, lon2, (edge_id % 10) / 20.0::DOUBLE AS f, 1 - (edge_id % 7) / 20.0::DOUBLE AS t FROM v_edge), "
+    f"v_legs AS (SELECT *, {sql.haversine('lat1', 'lon1', 'lat3', 'lon3')} AS a, {sql.haversine('lat3', 'lon3', 'lat2', 'lon2')} AS b FROM v_bent)"
+)
+
+
+def _bent_at(share: str, c: str) -> str:
+    """Coordinate of the place at a share of a line of two legs."""
+    m = f"{share} * (a + b)"
+    return f"CASE WHEN {m} <= a THEN {c}1 + {m} / a * ({c}3 - {c}1) ELSE {c}3 + ({m} - a) / b * ({c}2 - {c}3) END"
+
+
+@query(
+    f"WITH {sql.EDGE}, {_BENT} SELECT edge_id, 2 + (a > f * (a + b) AND a < t * (a + b))::INT AS n_points, round({_bent_at('f', 'lat')}, 7) AS lat_first, round({_bent_at('f', 'lon')}, 7) AS lon_first, "
+    f"round({_bent_at('t', 'lat')}, 7) AS lat_last, round({_bent_at('t', 'lon')}, 7) AS lon_last FROM v_legs"
+)
+def clipped_lines(spark, sf_dir):
+    """Every edge, bent at its middle, cut at two shares of its length."""
+    points = F.expr("array(struct(lat1 AS lat, lon1 AS lon), struct((lat1 + lat2) / 2 + 0.0002D AS lat, (lon1 + lon2) / 2 AS lon), struct(lat2 AS lat, lon2 AS lon))")
+    line = geo.clip_polyline(points, F.col("edge_id") % 10 / 20.0, 1 - F.col("edge_id") % 7 / 20.0)
+    ends = [F.round(F.element_at("line", i)[c], 7).alias(f"{c}_{n}") for i, n in ((1, "first"), (-1, "last")) for c in ("lat", "lon")]
+    return road.edges(spark, sf_dir).select("edge_id", line.alias("line")).select("edge_id", F.size("line").alias("n_points"), *ends)
+
+
+_GATED = (
+    "v_g0 AS (SELECT edge_from // 20 AS query_id, row_number() OVER (PARTITION BY edge_from // 20 ORDER BY edge_id) AS i, edge_id, length_m * 8 AS metres FROM v_edge), "
+    "v_g1 AS (SELECT *, (i // 30) % 4 AS toll_road, CASE WHEN edge_id % 5 = 0 THEN 1 WHEN edge_id % 7 = 0 THEN 2 ELSE 0 END AS gate FROM v_g0), "
+    "v_g2 AS (SELECT *, CASE WHEN toll_road = 2 AND edge_id % 9 = 0 THEN i % 10 END AS span, CASE WHEN lag(toll_road) OVER w = toll_road THEN 0 ELSE 1 END AS fresh FROM v_g1 WINDOW w AS (PARTITION BY query_id ORDER BY i)), "
+    "v_g3 AS (SELECT *, sum(fresh) OVER (PARTITION BY query_id ORDER BY i) AS run FROM v_g2), "
+    "v_g4 AS (SELECT *, sum(metres) OVER (PARTITION BY query_id, run ORDER BY i) AS at_m FROM v_g3 WHERE toll_road <> 0), "
+    "v_g5 AS (SELECT *, max(CASE WHEN gate = 1 THEN at_m END) OVER (PARTITION BY query_id, run ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS past FROM v_g4), "
+    "v_g6 AS (SELECT query_id, run, toll_road, sum(metres) AS metres, count(*) FILTER (gate = 1 AND (past IS NULL OR at_m - past > 2000)) AS plazas, count(*) FILTER (gate = 2) AS ramp_booths, "
+    "sum(metres) - coalesce(max(CASE WHEN gate = 1 THEN at_m END), 0) AS after_m, min(span) AS entry, max(span) + 1 AS exit FROM v_g5 GROUP BY ALL), "
+    f"v_g7 AS (SELECT *, CASE WHEN toll_road = 3 THEN metres / 1000 * 1.95::DOUBLE WHEN toll_road = 2 THEN coalesce(5 * floor(1.95::DOUBLE * ({[list(r) for r in TOLLABLE_KM]}::DOUBLE[][])[entry + 1][exit + 1] / 5 + 0.5), 0) "
+    "WHEN plazas > 0 THEN plazas * 140.0::DOUBLE + after_m / 1000 * 2.95::DOUBLE ELSE metres / 1000 * 2.95::DOUBLE END AS fare, "
+    "CASE WHEN toll_road = 3 THEN 3 WHEN toll_road = 1 AND (ramp_booths > 0 OR plazas = 0) THEN 2 ELSE 1 END AS unsure FROM v_g6)"
+)
+
+
+def _gated_runs(spark, sf_dir):
+    e = road.edges(spark, sf_dir).withColumn("query_id", F.floor(F.col("edge_from") / 20))
+    e = e.withColumn("i", F.row_number().over(W.partitionBy("query_id").orderBy("edge_id")).cast("long")).withColumn("toll_road", (F.floor(F.col("i") / 30) % 4).cast("int"))
+    gate = F.when(F.col("edge_id") % 5 == 0, tolls.MAINLINE).when(F.col("edge_id") % 7 == 0, tolls.RAMP).otherwise(tolls.NO_GATE)
+    span = F.when((F.col("toll_road") == 2) & (F.col("edge_id") % 9 == 0), F.col("i") % 10)
+    return tolls.price(tolls.runs(e.select("query_id", "i", "toll_road", gate.alias("gate"), span.alias("span"), (F.col("length_m") * 8).alias("metres"))))
+
+
+@query(f"WITH {sql.EDGE}, {_GATED} SELECT query_id, toll_road, run::BIGINT AS run, round(metres, 3) AS metres, plazas, ramp_booths, round(after_m, 3) AS after_m, entry, exit, round(fare, 4) AS fare, ['verified', 'approximated', 'unpriced'][unsure] AS confidence FROM v_g7")
+def toll_runs(spark, sf_dir):
+    """Runs of toll road with gates, plazas and fares by each road's own rule."""
+    r = _gated_runs(spark, sf_dir)
+    return r.select("query_id", "toll_road", "run", *[F.round(c, 3).alias(c) for c in ("metres", "after_m")], "plazas", "ramp_booths", "entry", "exit", F.round("fare", 4).alias("fare"), "confidence")
+
+
+@query(f"WITH {sql.EDGE}, {_GATED} SELECT query_id, round(sum(fare), 4) AS fare, ['verified', 'approximated', 'unpriced'][max(unsure)] AS confidence, count(*) AS runs FROM v_g7 GROUP BY query_id")
+def route_tolls(spark, sf_dir):
+    return tolls.route_tolls(_gated_runs(spark, sf_dir)).withColumn("fare", F.round("fare", 4))
+
+
+@query(f"WITH {RAW}, p AS (SELECT way_id, pos // 2 AS piece, way_id % 4 = 0 AS mainline FROM v_way WHERE way_id % 3 = 0 AND node_id % 5 = 0) SELECT way_id, piece, max(CASE WHEN mainline THEN 1 ELSE 2 END) AS gate FROM p GROUP BY ALL")
+def edge_gates(spark, sf_dir):
+    """Gates on pieces of tolled ways."""
+    pieces = _way_nodes(spark, sf_dir).select("way_id", F.floor(F.col("pos") / 2).alias("piece"), "node_id", (F.col("way_id") % 3 == 0).alias("tolled"), (F.col("way_id") % 4 == 0).alias("mainline"))
+    gates = _way_nodes(spark, sf_dir).select("node_id").filter("node_id % 5 = 0")
+    return tolls.edge_gates(pieces, gates)
+
+
+_ROUND = (
+    f"v_ring AS (SELECT way_id, pos, node_id FROM v_way UNION ALL SELECT way_id, 100, arg_min(node_id, pos * 1000000 + node_id) FROM v_way GROUP BY way_id HAVING count(*) >= 3), "
+    f"v_at AS (SELECT *, 28.1 + ({sql.lat('node_id')} / 1e7 - 28.1) * 0.03 AS lat, 77.4 + ({sql.lon('node_id')} / 1e7 - 77.4) * 0.03 AS lon, count(*) OVER (PARTITION BY node_id) AS uses FROM v_ring), "
+    "v_kept AS (SELECT * FROM v_at WHERE way_id % 3 <> 0 AND way_id % 10 NOT IN (1, 2)), "
+    "v_closed AS (SELECT way_id, count(DISTINCT CASE WHEN uses >= 2 THEN node_id END) AS connections FROM v_kept GROUP BY way_id HAVING count(*) >= 4 AND arg_min(node_id, pos * 1000000 + node_id) = arg_max(node_id, pos * 1000000 + node_id))"
+)
+
+
+@query(
+    f"WITH {RAW}, {_ROUND}, p AS (SELECT a.way_id, max({sql.haversine('a.lat', 'a.lon', 'b.lat', 'b.lon')}) AS span_m FROM v_kept a JOIN v_kept b ON a.way_id = b.way_id AND a.node_id <= b.node_id GROUP BY a.way_id) "
+    "SELECT way_id, round(span_m, 4) AS span_m, connections FROM p JOIN v_closed USING (way_id) WHERE span_m <= 180 AND connections >= 3"
+)
+def untagged_circles(spark, sf_dir):
+    """Ways that end where they begin, on a lattice drawn close together, as roundabouts nobody tagged."""
+    ways = _way_nodes(spark, sf_dir)
+    back = ways.groupBy("way_id").agg(F.min(F.struct("pos", "node_id"))["node_id"].alias("node_id"), F.count(F.lit(1)).alias("n")).filter("n >= 3").select("way_id", F.lit(100).alias("pos"), "node_id")
+    ring = ways.select("way_id", "pos", "node_id").unionByName(back)
+    near = ring.withColumn("lat", 28.1 + (road.lattice_lat(F.col("node_id")) / 1e7 - 28.1) * 0.03).withColumn("lon", 77.4 + (road.lattice_lon(F.col("node_id")) / 1e7 - 77.4) * 0.03)
+    k = F.col("way_id")
+    kinds = ways.select("way_id").distinct().select("way_id", (k % 3 != 0).alias("oneway"), (k % 10 == 1).alias("junction"), (k % 10 == 2).alias("service"))
+    return graph.untagged_circles(near, kinds).withColumn("span_m", F.round("span_m", 4))
+
+
+_CALLED = "v_called AS (SELECT edge_from AS query_id, row_number() OVER (PARTITION BY edge_from ORDER BY edge_id) AS i, CASE edge_id % 3 WHEN 1 THEN name || ' Flyover' WHEN 2 THEN CASE WHEN edge_id % 4 < 2 THEN name END END AS name, length_m * 2 AS length_m FROM v_edge)"
+
+
+@query(
+    f"WITH {sql.EDGE}, {_CALLED}, s AS (SELECT *, coalesce(sum(length_m) OVER (PARTITION BY query_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start_m FROM v_called) "
+    "SELECT query_id, i, coalesce(first_value(CASE WHEN name NOT LIKE '% Flyover' THEN name END IGNORE NULLS) OVER w, first_value(name IGNORE NULLS) OVER w) AS ahead FROM s WINDOW w AS (PARTITION BY query_id ORDER BY start_m RANGE BETWEEN CURRENT ROW AND 800 FOLLOWING)"
+)
+def names_ahead(spark, sf_dir):
+    """The name that a driver is told at each step of a route."""
+    k = F.col("edge_id")
+    name = F.when(k % 3 == 1, F.concat("name", F.lit(" Flyover"))).when((k % 3 == 2) & (k % 4 < 2), F.col("name"))
+    steps = road.edges(spark, sf_dir).select(F.col("edge_from").alias("query_id"), F.row_number().over(W.partitionBy("edge_from").orderBy("edge_id")).cast("long").alias("i"), name.alias("name"), (F.col("length_m") * 2).alias("length_m"))
+    return instructions.name_ahead(steps).select("query_id", "i", "ahead")
+
+
+
 _STEPS = "v_step AS (SELECT edge_from AS query_id, row_number() OVER (PARTITION BY edge_from ORDER BY edge_id) AS i, toll_road, length_m FROM v_edge)"
 
 
