@@ -261,11 +261,35 @@ def test_build_again_after_a_write_that_died(spark, tmp_path):
         assert tables.load_or_build(spark, str(tmp_path / "t"), "k", lambda: spark.range(3)).count() == 3
 
 
+STEP = "query_id long, i long, name string, class_rank int, roundabout boolean, length_m double, bearing_in double, bearing_out double, speed_kmh int, choices int, exit_lat double, exit_lon double, exit_bearing double"
+
+
+def told(spark, *steps):
+    rows = [(1, i, name, rank, ring, m, into, out, 36, choices, *(off or (None,) * 3)) for i, (name, rank, ring, m, into, out, choices, off) in enumerate(steps)]
+    return instructions.build(spark.createDataFrame(rows, STEP)).orderBy("n").collect()
+
+
 def test_instructions(spark):
-    steps = [(1, 0, "A", 4, False, 300.0, 0.0, 0.0), (1, 1, "A", 4, False, 300.0, 2.0, 2.0), (1, 2, "B", 4, False, 200.0, 92.0, 92.0), (1, 3, "C", 1, False, 900.0, 92.0, 92.0), (1, 4, "R", 4, True, 20.0, 60.0, 120.0), (1, 5, "D", 4, False, 400.0, 130.0, 130.0)]
-    got = instructions.build(spark.createDataFrame(steps, "query_id long, i long, name string, class_rank int, roundabout boolean, length_m double, bearing_in double, bearing_out double")).orderBy("i").collect()
-    assert [r["kind"] for r in got] == ["depart", "turn-right", "merge", "roundabout", "roundabout-exit", "arrive"]
-    assert [r["metres"] for r in got] == [600.0, 200.0, 900.0, 20.0, 400.0, 0.0]
+    got = told(
+        spark, ("A", 4, False, 300.0, 0.0, 0.0, 2, None), ("A", 4, False, 300.0, 2.0, 2.0, 2, None), ("B", 4, False, 200.0, 92.0, 92.0, 2, None), (None, 1, False, 500.0, 92.0, 92.0, 2, None), ("C Flyover", 1, False, 200.0, 92.0, 92.0, 1, None),
+        ("C", 1, False, 700.0, 92.0, 92.0, 2, None), ("R", 4, True, 20.0, 60.0, 120.0, 2, (28.0, 77.0, 90.0)), ("R", 4, True, 20.0, 120.0, 180.0, 2, (28.0, 77.001, 180.0)), ("D", 4, False, 400.0, 130.0, 130.0, 0, None),
+    )
+    assert [(r["kind"], r["name"], r["exit_number"]) for r in got] == [("depart", "A", None), ("turn-right", "B", None), ("merge", "C", None), ("roundabout-exit", "D", 2), ("arrive", "D", None)]
+    assert [r["distance_m"] for r in got] == [0.0, 600.0, 200.0, 1400.0, 440.0] and got[1]["duration_s"] == 60.0
+    assert [r["kind"] for r in told(spark, ("A", 4, False, 9.0, 0.0, 0.0, 2, None))] == ["depart", "arrive"]
+
+
+def test_instructions_left_out(spark):
+    near = ("X", 4, False, 8.0, 90.0, 90.0, 2, None), ("Y", 4, False, 30.0, 180.0, 180.0, 2, None), ("Z", 4, False, 90.0, 270.0, 270.0, 2, None)
+    got = told(spark, ("A", 4, False, 100.0, 0.0, 0.0, 2, None), *near)
+    # Y begins 8 m after X; Z is a right turn 38 m after the right turn into X.
+    assert [r["kind"] for r in got] == ["depart", "turn-right", "arrive"]
+    bend = told(spark, ("A", 4, False, 100.0, 0.0, 0.0, 2, None), ("A Bridge", 4, False, 100.0, 60.0, 60.0, 3, None), ("A", 4, False, 100.0, 130.0, 130.0, 3, None), ("A", 4, False, 10.0, 160.0, 160.0, 2, None))
+    assert [r["kind"] for r in bend] == ["depart", "turn-right", "arrive"] and bend[1]["i"] == 2
+    fork = told(spark, ("A", 4, False, 300.0, 0.0, 0.0, 3, None), ("B", 4, False, 300.0, 330.0, 330.0, 2, None), ("C", 4, False, 300.0, 330.0, 330.0, 2, None))
+    assert [(r["kind"], r["name"]) for r in fork] == [("depart", "A"), ("fork-left", "B"), ("straight", "C"), ("arrive", "C")]
+    ring = told(spark, ("A", 4, False, 300.0, 0.0, 0.0, 3, None), ("R", 4, True, 30.0, 330.0, 330.0, 2, None))
+    assert [r["kind"] for r in ring] == ["depart", "roundabout-enter", "arrive"]
 
 
 def test_places(spark):

@@ -337,18 +337,32 @@ def largest_component(spark, sf_dir):
     return graph.largest_component(graph.strong_components(road.edges(spark, sf_dir)))
 
 
+def _vertex_pairs(spark, sf_dir):
+    """Every vertex with the one two rows and two columns on."""
+    last = road.read(spark, sf_dir, "customer").agg((F.count(F.lit(1)) - 1).alias("last"))
+    k = F.col("c_custkey")
+    return road.read(spark, sf_dir, "customer").crossJoin(F.broadcast(last)).select(k.alias("query_id"), k.alias("origin"), F.when(k + 82 <= F.col("last"), k + 82).otherwise(F.greatest(k - 82, F.lit(0))).alias("target")).filter("origin <> target")
+
+
 @query()
 def best_routes(spark, sf_dir):
     """A route for every vertex, to the vertex two rows and two columns on, with its cost parts."""
     edges = graph.costs(road.edges(spark, sf_dir))
     turns = graph.turn_costs(edges)
-    last = road.read(spark, sf_dir, "customer").agg((F.count(F.lit(1)) - 1).alias("last"))
-    k = F.col("c_custkey")
-    pairs = road.read(spark, sf_dir, "customer").crossJoin(F.broadcast(last)).select(k.alias("query_id"), k.alias("origin"), F.when(k + 82 <= F.col("last"), k + 82).otherwise(F.greatest(k - 82, F.lit(0))).alias("target")).filter("origin <> target")
+    pairs = _vertex_pairs(spark, sf_dir)
     found = routing.routes(pairs, edges, turns, _bans(edges), _triples(edges))
     return routing.assemble(found, edges, turns).select("query_id", "n_edges", *[F.round(c, 4).alias(c) for c in ("seconds", "length_m", "drive_s", "distance_s", "toll_s", "turn_s")])
 
 
+@query()
+def route_instructions(spark, sf_dir):
+    """What a driver is told along the route of every vertex."""
+    edges = graph.costs(road.edges(spark, sf_dir))
+    found = routing.routes(_vertex_pairs(spark, sf_dir), edges, graph.turn_costs(edges), _bans(edges), _triples(edges))
+    told = instructions.build(instructions.route_steps(found, edges))
+    return told.select("query_id", "n", "i", "kind", "name", "exit_number", F.round("distance_m", 4).alias("distance_m"), F.round("duration_s", 4).alias("duration_s"))
+
+
 def _places_on_edges(spark, sf_dir, edges):
     """For every vertex a place on an edge that leaves it, and one on an edge that leaves a vertex two rows on."""
     leaving = edges.groupBy(F.col("edge_from").alias("v")).agg(F.min("edge_id").alias("start_edge"))
