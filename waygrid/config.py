@@ -26,6 +26,23 @@ STATION_RANK, AERODROME_RANK, OTHER_AMENITY_RANK = 46, 49, 30
 KIND_RANK = {"shop": 26, "tourism": 28, "leisure": 24, "office": 22}
 #: Plaza chainages (km) along the matrix-priced expressway.
 PLAZA_KM = (5.5, 15.36, 23.002, 44.512, 49.96, 52.192, 72.724, 83.005, 108.57, 126.137, 132.085)
+#: Chainage (km) of that expressway's southern end, how far from a prediction a plaza may lie, how close
+#: attachments are one interchange, and the anchors a fit tries (first, last, steps per km).
+CHAINAGE_SOUTH_KM, PLAZA_CAP_KM, INTERCHANGE_KM, ANCHORS_KM = 134.548, 3.0, 2.0, (125, 150, 1000)
+#: A segment's middle is covered by a road this near; metres that may lie beyond; speed of an uncovered metre.
+COVERED_M, UNCOVERED_MOST_M, UNCOVERED_KMH = 25.0, 200.0, 10.0
+#: Gaps to the road below this are not shown; least time between matching calls and between arrival times,
+#: the change an arrival time must make, and the metres after which a driven line is drawn anew.
+APPROACH_M, MATCH_EVERY_MS, ETA_EVERY_MS, ETA_CHANGE_S, REDRAW_M = 20.0, 1000, 1000, 30.0, 3.0
+#: Zoom and rank of place classes in tiles, and amenities that are points of interest.
+PLACE_ZOOM = {"city": 6, "town": 8, "suburb": 10, "village": 10, "neighbourhood": 12, "quarter": 12, "hamlet": 12, "locality": 13, "isolated_dwelling": 14}
+PLACE_ORDER = {"city": 1, "town": 2, "suburb": 3, "village": 4, "neighbourhood": 5, "quarter": 5, "hamlet": 6, "locality": 7, "isolated_dwelling": 8}
+POI_AMENITIES = (
+    "hospital", "clinic", "doctors", "pharmacy", "school", "college", "university", "bank", "atm", "fuel", "police", "fire_station", "post_office",
+    "place_of_worship", "restaurant", "cafe", "fast_food", "bus_station", "marketplace", "townhall", "library", "parking",
+)
+#: Code points of the scripts that maps can write.
+SCRIPTS = {"Latin and common": ((0x0, 0x24F), (0x2000, 0x206F)), "Devanagari": ((0x900, 0x97F),), "Arabic (Urdu)": ((0x600, 0x6FF), (0x750, 0x77F))}
 #: Chargeable kilometres between those plazas.
 TOLLABLE_KM = (
     (0.0, 19.76, 28.032, 52.26, 58.608, 61.967, 83.147, 94.779, 126.824, 144.391, 156.09),

@@ -68,15 +68,29 @@ def adjacency(edges: DataFrame, *columns: str) -> DataFrame:
     return a.join(b, F.col("edge_to_in") == F.col("edge_from_out"))
 
 
-def turn_costs(edges: DataFrame, cfg: TurnCost = TurnCost()) -> DataFrame:
-    """(edge_in, edge_out, seconds, is_uturn): seconds in single precision. Bearings are taken once an edge."""
+def _turns(edges: DataFrame) -> DataFrame:
+    """Pairs of edges with what a turn's cost depends on. Bearings are taken once an edge."""
     e = edges.withColumn("bearing", bearing(F.col("lat1"), F.col("lon1"), F.col("lat2"), F.col("lon2")))
     degree = edges.groupBy(F.col("edge_from").alias("vertex")).agg(F.count(F.lit(1)).alias("ways_on"))
     pairs = adjacency(e, "edge_id", "edge_from", "edge_to", "shape_id", "reversed", "bearing", "class_rank").join(degree, F.col("edge_to_in") == F.col("vertex"))
     uturn = (F.col("shape_id_in") == F.col("shape_id_out")) & (F.col("reversed_in") != F.col("reversed_out"))
-    delta = bearing_delta(F.col("bearing_in"), F.col("bearing_out"))
-    seconds = F.when(uturn, F.when(F.col("ways_on") <= 1, 0.0).otherwise(cfg.uturn_s)).otherwise(manoeuvre_seconds(delta, F.col("class_rank_in"), F.col("class_rank_out"), cfg))
-    return pairs.select(F.col("edge_id_in").alias("edge_in"), F.col("edge_id_out").alias("edge_out"), seconds.cast("float").alias("seconds"), uturn.alias("is_uturn"))
+    return pairs.withColumns({"is_uturn": uturn, "delta": bearing_delta(F.col("bearing_in"), F.col("bearing_out"))})
+
+
+def turn_costs(edges: DataFrame, cfg: TurnCost = TurnCost()) -> DataFrame:
+    """(edge_in, edge_out, seconds, is_uturn): seconds in single precision."""
+    around = F.when(F.col("ways_on") <= 1, 0.0).otherwise(cfg.uturn_s)
+    seconds = F.when(F.col("is_uturn"), around).otherwise(manoeuvre_seconds(F.col("delta"), F.col("class_rank_in"), F.col("class_rank_out"), cfg))
+    return _turns(edges).select(F.col("edge_id_in").alias("edge_in"), F.col("edge_id_out").alias("edge_out"), seconds.cast("float").alias("seconds"), "is_uturn")
+
+
+def turn_census(edges: DataFrame, cfg: TurnCost = TurnCost()) -> DataFrame:
+    """One row: u-turns that cost, those at dead ends, turns across the oncoming lane, and turns onto a lower class."""
+    back, on = F.col("is_uturn"), ~F.col("is_uturn")
+    return _turns(edges).agg(
+        F.count_if(back & (F.col("ways_on") > 1)).alias("uturns"), F.count_if(back & (F.col("ways_on") <= 1)).alias("exempt"),
+        F.count_if(on & (F.col("delta") >= cfg.cross_deg)).alias("crossing"), F.count_if(on & (F.col("class_rank_out") > F.col("class_rank_in"))).alias("class_drop"),
+    )
 
 
 def turn_stats(turns: DataFrame) -> DataFrame:

@@ -999,3 +999,6 @@ def tile_order(spark, sf_dir):
 @query(f"WITH {sql.EDGE} SELECT CASE WHEN length_m < 950 THEN (floor(length_m / 10 + 0.5) * 10)::INT::VARCHAR || ' m' ELSE printf('%.1f km', length_m / 1000) END AS spoken, count(*) AS edges FROM v_edge GROUP BY ALL")
 def spoken_distances(spark, sf_dir):
     return road.edges(spark, sf_dir).groupBy(instructions.spoken_distance(F.col("length_m")).alias("spoken")).agg(F.count(F.lit(1)).alias("edges"))
+
+
+from waygrid.plans import audits as _audits  # noqa: E402, F401 - registers its queries here
