@@ -423,7 +423,7 @@ def fix_windows(spark, sf_dir):
 
 
 _SHOWN = (
-    f"{sql.FIX}, f AS (SELECT device_id, fix_id, epoch_us(ts) // 1000 // 20000000 * 300 AS t_ms, fix_id % 10 = 0 AS on_route, (fix_id * 131 % 5000) * 0.02::DOUBLE AS remaining_s, (fix_id % 4 = 0)::INT AS at, "
+    f"{sql.FIX}, f AS (SELECT device_id, fix_id, epoch_us(ts) // 1000 // 20000000 * 300 AS t_ms, fix_id % 10 = 0 AS on_route, (fix_id * 131 % 5000) * 0.02::DOUBLE AS remaining_s, (fix_id % 4 = 0)::INT AS pt, "
     "28.1::DOUBLE + (fix_id * 37 % 7) * 0.00001::DOUBLE AS la, 77.4::DOUBLE AS lo, row_number() OVER (PARTITION BY device_id ORDER BY epoch_us(ts) // 1000 // 20000000, fix_id) AS rn FROM v_fix)"
 )
 
@@ -462,11 +462,11 @@ def shown_arrival(spark, sf_dir):
     return shown.shown_arrival(_shown(spark, sf_dir)).select("device_id", "fix_id", F.round("shown_s", 4).alias("shown_s"))
 
 
-_AGAIN = f"(f.at <> r.at OR {sql.haversine('r.la', 'r.lo', 'f.la', 'f.lo')} > 3)"
+_AGAIN = f"(f.pt <> r.pt OR {sql.haversine('r.la', 'r.lo', 'f.la', 'f.lo')} > 3)"
 
 
 @query(
-    f"WITH RECURSIVE {_SHOWN}, r AS (SELECT device_id, fix_id, rn, true AS redraw, at, la, lo FROM f WHERE rn = 1 UNION ALL SELECT f.device_id, f.fix_id, f.rn, {_AGAIN}, CASE WHEN {_AGAIN} THEN f.at ELSE r.at END, "
+    f"WITH RECURSIVE {_SHOWN}, r AS (SELECT device_id, fix_id, rn, true AS redraw, pt, la, lo FROM f WHERE rn = 1 UNION ALL SELECT f.device_id, f.fix_id, f.rn, {_AGAIN}, CASE WHEN {_AGAIN} THEN f.pt ELSE r.pt END, "
     f"CASE WHEN {_AGAIN} THEN f.la ELSE r.la END, CASE WHEN {_AGAIN} THEN f.lo ELSE r.lo END FROM r JOIN f ON f.device_id = r.device_id AND f.rn = r.rn + 1) SELECT device_id, fix_id, redraw FROM r"
 )
 def redraws(spark, sf_dir):

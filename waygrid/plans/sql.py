@@ -14,7 +14,8 @@ def lon(k: str) -> str:
 
 
 def haversine(a1: str, o1: str, a2: str, o2: str) -> str:
-    return f"({2 * EARTH_M} * asin(least(1.0, sqrt(pow(sin(radians({a2} - {a1}) / 2), 2) + cos(radians({a1})) * cos(radians({a2})) * pow(sin(radians({o2} - {o1}) / 2), 2)))))"
+    x = f"(pow(sin(radians({a2} - {a1}) / 2), 2) + cos(radians({a1})) * cos(radians({a2})) * pow(sin(radians({o2} - {o1}) / 2), 2))"
+    return f"({2 * EARTH_M} * asin(CASE WHEN {x} > 1 THEN 1.0 ELSE sqrt{x} END))"
 
 
 def bearing(a1: str, o1: str, a2: str, o2: str) -> str:
