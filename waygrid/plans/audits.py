@@ -191,11 +191,11 @@ def line_roads(spark, sf_dir):
 
 @query(
     f"WITH {sql.EDGE}, {_LINES}, t AS (" + " UNION ALL ".join(f"SELECT line_id, '{t}' AS term, {t} AS x FROM v_cost" for t in _TERMS) + ") "
-    "SELECT a.line_id, a.term, round(a.x, 3) AS ours, round(b.x, 3) AS theirs, round(b.x - a.x, 3) AS gap FROM t a JOIN t b ON b.line_id = a.line_id + 1 AND a.term = b.term"
+    "SELECT a.line_id, a.term, round(a.x, 3) AS ours, round(b.x, 3) AS theirs, round(round(b.x, 3) - round(a.x, 3), 3) AS gap FROM t a JOIN t b ON b.line_id = a.line_id + 1 AND a.term = b.term"
 )
 def line_terms(spark, sf_dir):
     """Each line against its northern neighbour, term by term."""
-    p = _priced(spark, sf_dir)
+    p = _priced(spark, sf_dir).select("line_id", *[F.round(t, 3).alias(t) for t in _TERMS])
     theirs = p.withColumn("line_id", F.col("line_id") - 1)
     c = audits.compare_terms(p, theirs, "line_id", _TERMS)
     return c.select("line_id", "term", *[F.round(x, 3).alias(x) for x in ("ours", "theirs", "gap")])
