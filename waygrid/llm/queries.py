@@ -9,11 +9,12 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from waygrid.llm import compaction, embedding_join, license_scan, minhash_dedup, mixing, pii, quality_classifier, quality_rules, sentencepiece_codec, token_counts
+from waygrid.llm import compaction, embedding_join, license_scan, minhash_dedup, mixing, pii, quality_classifier, quality_rules, secret_scan, sentencepiece_codec, spelling, token_alignment, token_counts
 from waygrid.llm.shared import DOCUMENTS, EMBEDDINGS, LABELS, shared_folder, table
 
 #: The tokenizer's place is a parameter; its file stays where it is.
 PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
+BYTE_FILE = public_tokenizers.path("byte_bpe_50k.json")
 
 
 def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,8 +68,22 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc.doc_id", "digest", "license_id", "is_license")
 
 
+def op11_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = secret_scan.find_secrets(table(spark, sf_dir, DOCUMENTS), keep=["doc_id"], redacted=False)
+    return out.select("doc.doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_added", "n_tried")
+
+
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(table(spark, sf_dir, DOCUMENTS))
+
+
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = token_alignment.align_tokenizers(table(spark, sf_dir, DOCUMENTS), BYTE_FILE, PIECE_MODEL, pattern_a=public_tokenizers.PATTERN, keep=["doc_id"])
+    return out.select("doc.doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     q.__name__: q
-    for q in (op1_sentencepiece, op2_quality_classifier, op3_embedding_join, op4_mixing, op5_pii, op6_compaction, op7_token_counts, op8_minhash, op9_quality_rules, op10_license_scan)
+    for q in (op1_sentencepiece, op2_quality_classifier, op3_embedding_join, op4_mixing, op5_pii, op6_compaction, op7_token_counts, op8_minhash, op9_quality_rules, op10_license_scan, op11_secrets, op12_spelling, op13_token_alignment)
 }
 ORACLES: dict[str, str] = {"op10_license_scan": license_scan.oracle_sql()}
