@@ -8,9 +8,10 @@ nothing is shuffled, and no task holds more than its output file's rows, one bat
 The manifest of a version is a Parquet table with a row for each live shard: its folder, file, bytes, rows, level, the
 version that added it and its columns. A version exists from the moment its pointer file, written aside, is renamed to
 ``versions/<number>``; renaming never overwrites, so of two writers that build on one version one fails and nothing is
-half visible. Shards that a version no longer lists stay for its older readers until ``vacuum``, which leaves alone
-whatever is younger than a grace period: a writer that has not committed yet owns files that no version lists. A job
-that dies, or an executor that is lost, leaves files that no version lists either.
+half visible. A version can be read for a grace period after the next one was made, and its shards stay as long:
+``vacuum`` first drops the pointers of versions that are out of it, then the shards and manifests that none of the others lists.
+It leaves alone whatever is younger than the grace period itself, as a writer that has not committed yet owns files that
+no version lists. A job that dies, or an executor that is lost, leaves files that no version lists either.
 
 Rows come back as they were put in: nulls, empty texts, repeated rows and any columns. An arrival may have columns that
 earlier ones lack, or lack some; rows without a column have null there. A column of another type than before is refused
@@ -151,24 +152,41 @@ class ShardStore:
             raise ValueError("the store has no rows, and so no columns")
         return self._rows(manifest)
 
+    def _versions(self) -> list[tuple[int, int, str]]:
+        """(version, when its pointer was written, its manifest's name) of all versions that can be read, in order."""
+        folder = self._path("versions")
+        files = [f for f in (self._fs.listStatus(folder) if self._fs.exists(folder) else []) if f.getPath().getName().isdigit()]
+        if not files:
+            return []
+        rows = self.spark.read.text([f.getPath().toString() for f in files]).select(F.regexp_extract("_metadata.file_name", "[0-9]+", 0).cast("long"), "value").collect()
+        name = dict(map(tuple, rows))
+        return sorted((v, f.getModificationTime(), name[v]) for f in files for v in [int(f.getPath().getName())])
+
     def vacuum(self) -> int:
-        """Deletes shards and manifests that only older versions list and that are older than the grace period, folder by
-        folder. Returns how many files went."""
-        newest, before = self.version(), (time.time() - self.tiers.grace_s) * 1000
-        live = self.manifest(newest).groupBy("folder").agg(F.count(F.lit(1)).alias("held"), F.max("written").alias("written"))
-        whole = {r["folder"]: r["held"] == r["written"] for r in live.collect()}
+        """Drops versions whose next one is older than the grace period, then the shards and manifests that no version is
+        left to list, if they are older than that themselves. Returns how many shards went. The driver sees a row for
+        each version and for each folder of shards."""
+        before = (time.time() - self.tiers.grace_s) * 1000
+        versions = self._versions()
+        out = [v for (v, _, _), (_, since, _) in zip(versions, versions[1:]) if since <= before]
+        for v in out:
+            self._fs.delete(self._path(f"versions/{v:08d}"), False)
+        names = [name for v, _, name in versions if v not in out]
+        listed = self.spark.read.schema(MANIFEST).parquet(*[f"{self.root}/manifests/{n}" for n in names]) if names else self.manifest(0)
+        listed = listed.select("folder", "file", "written").distinct()
+        whole = {r["folder"]: r["held"] == r["written"] for r in listed.groupBy("folder").agg(F.count(F.lit(1)).alias("held"), F.max("written").alias("written")).collect()}
         gone = 0
         for folder in self._fs.listStatus(self._path("data")) if self._fs.exists(self._path("data")) else []:
             name = folder.getPath().getName()
             if whole.get(name) or folder.getModificationTime() > before:
                 continue
-            kept = {r["file"] for r in self.manifest(newest).filter(F.col("folder") == name).select("file").collect()} if name in whole else set()
+            kept = {r["file"] for r in listed.filter(F.col("folder") == name).select("file").collect()} if name in whole else set()
             for f in self._fs.listStatus(folder.getPath()):
                 if f.getPath().getName().startswith("part-") and f.getPath().getName() not in kept and f.getModificationTime() <= before:
                     gone += self._fs.delete(f.getPath(), False)
-        for f in self._fs.listStatus(self._path("versions")):
-            if f.getPath().getName().isdigit() and int(f.getPath().getName()) < newest and f.getModificationTime() <= before:
-                self._fs.delete(f.getPath(), False)
+        for f in self._fs.listStatus(self._path("manifests")) if self._fs.exists(self._path("manifests")) else []:
+            if f.getPath().getName() not in names and f.getModificationTime() <= before:
+                self._fs.delete(f.getPath(), True)
         return gone
 
 

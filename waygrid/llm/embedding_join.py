@@ -158,7 +158,8 @@ def _compare(cosine: float):
         for k, c in enumerate(ids[0]):
             if c in place:
                 linked[k, place[c]] = False
-        links = linked @ right["held"].to_numpy()
+        held = right["held"].to_numpy()
+        links = np.concatenate([linked[k : k + STRIP] @ held for k in range(0, len(left), STRIP)])  # a whole block as numbers would be 8 times as large
         has = np.flatnonzero(links)
         counts = pd.DataFrame({"u": ids[0][has], "v": None, "links": links[has]})
         edges = _forest(linked)

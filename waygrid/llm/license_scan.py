@@ -16,6 +16,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from waygrid.llm.shared import whole_row
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: A line that is a notice: a year, a sign or a place for one follows. A sentence that is wrapped before "copyright" stays.
 COPYRIGHT_LINE = r"(^|\n)[ \t>*#/;-]*(copyright[ \t]*(\(c\)|©|[0-9<\[{])|(\(c\)|©)[ \t]*(copyright|[0-9<\[{])|all rights reserved)[^\n]*"
@@ -71,12 +73,21 @@ KNOWN_DIGESTS: list[tuple[str, str]] = [
 ]
 
 
+#: What stands between words while spellings are replaced: a blank for each of them, so that a word that is replaced takes
+#: none from its neighbours.
+APART = "  "
+
+
+def _spellings() -> list[tuple[str, str]]:
+    return [tuple(f" {x.replace(' ', APART)} " for x in pair) for pair in EQUIVALENT.items()]
+
+
 def canonical(text: Column) -> Column:
     t = F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER)
     t = F.regexp_replace(t, COPYRIGHT_LINE, "\n")
-    t = F.concat(F.lit(" "), F.regexp_replace(t, PUNCTUATION, " "), F.lit(" "))
-    for spelling, one in EQUIVALENT.items():
-        t = F.replace(t, F.lit(f" {spelling} "), F.lit(f" {one} "))
+    t = F.concat(F.lit(" "), F.regexp_replace(t, PUNCTUATION, APART), F.lit(" "))
+    for spelling, one in _spellings():
+        t = F.replace(t, F.lit(spelling), F.lit(one))
     return F.trim(F.regexp_replace(t, " +", " "))
 
 
@@ -95,17 +106,16 @@ def known_digests(spark: SparkSession, known: Sequence[tuple[str, str]] = KNOWN,
 
 def scan_licenses(docs: DataFrame, known: DataFrame, *, text: str = "text", keep: Sequence[str] | None = None) -> DataFrame:
     """The columns ``keep`` (None: all) in the struct doc, then digest, license_id (null: no known licence) and is_license."""
-    kept = F.struct("*" if keep is None else F.col(keep[0]), *map(F.col, keep[1:] if keep else ())).alias("doc")
-    rows = docs.select(kept, digest(F.col(text)).alias("digest"))
+    rows = docs.select(whole_row(keep), digest(F.col(text)).alias("digest"))
     return rows.join(known, F.col("digest") == F.col("known_digest"), "left").select("doc", "digest", "license_id", F.col("license_id").isNotNull().alias("is_license"))
 
 
 def _sql(text: str) -> str:
     quoted = lambda s: "'" + s.replace("'", "''") + "'"
     t = f"regexp_replace(translate(coalesce({text}, ''), '{UPPER}', '{LOWER}'), {quoted(COPYRIGHT_LINE)}, chr(10), 'g')"
-    t = f"' ' || regexp_replace({t}, {quoted(PUNCTUATION)}, ' ', 'g') || ' '"
-    for spelling, one in EQUIVALENT.items():
-        t = f"replace({t}, ' {spelling} ', ' {one} ')"
+    t = f"' ' || regexp_replace({t}, {quoted(PUNCTUATION)}, '{APART}', 'g') || ' '"
+    for spelling, one in _spellings():
+        t = f"replace({t}, '{spelling}', '{one}')"
     return f"sha256(trim(regexp_replace({t}, ' +', ' ', 'g')))"
 
 

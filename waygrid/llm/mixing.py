@@ -4,7 +4,8 @@
    the excess is shared again by weight among the others until nothing is above its cap.
 2. The mix has ``total / block`` blocks. Highest quotients (target / 1, 3, 5, ...) give them to sources. The method
    adds one block at a time without ever taking one back, so the blocks of output shard h are those between the
-   allocations of h and h + 1 shards' worth: integer quotas for each shard that add up to the whole allocation.
+   allocations of h and h + 1 shards' worth: integer quotas for each shard that add up to the whole allocation. A block
+   has ``block`` words, or less where the smallest source would have fewer than ``least_blocks`` of them.
 3. Each source's documents are laid end to end in a seeded order and cut into blocks. A source with q blocks to give
    out of n takes block j as often as floor((j + 1) q / n + u) - floor(j q / n + u), u seeded: exactly q in all, at
    most ceil(q / n) times one. What a document gives follows from its place by arithmetic; no block becomes a row.
@@ -21,7 +22,7 @@ rows are documents of their own. An empty table gives an empty mix.
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -34,6 +35,7 @@ from waygrid.llm.shared import cut, whole_row
 class Mix:
     weights: Sequence[float] = (5, 2, 1)  # of sources in code point order, repeating
     block: int = 32  # words
+    least_blocks: int = 16  # of the smallest source: blocks are shorter where it would have fewer
     shards: int = 16  # output shards, each with its integer quotas
     most_repeats: int = 3
     ranges: int = 1024  # ranges of the seeded order in each source, at least
@@ -111,17 +113,19 @@ def mix_documents(docs: DataFrame, mix: Mix = Mix(), *, size: Column | None = No
 
     The columns ``keep`` (None: all) in the struct doc, then size, source_size, target, taken (words, repeats
     counted), place (words of its source before it), n_blocks, quota (the source's blocks in the mix), turn (the seed
-    of its block choice) and quotas (the source's blocks by output shard).
+    of its block choice), quotas (the source's blocks by output shard) and block (the words of a block).
     """
     kept = whole_row(keep)
     span = -(-(1 << 32) // max(mix.ranges, docs.count() // mix.range_rows))
     words = word_count(F.col(text)) if size is None else F.coalesce(size, F.lit(0)).cast("long")
     content = F.xxhash64(F.col(text).cast("string") if text in docs.columns else F.lit(None))
     rows = docs.select(kept, F.col(source).cast("string").alias("source"), F.col(doc_id).alias("id"), words.alias("size"), content.alias("content"))
-    rows = rows.withColumn("order", F.xxhash64(F.lit(mix.seed), F.col("id"), F.col("size")))
+    rows = rows.withColumn("order", F.xxhash64(F.lit(mix.seed), F.col("id"), F.col("size"), F.col("content")))
     rows = rows.withColumn("range", F.floor(F.pmod("order", F.lit(1 << 32)) / span).cast("int"))
     sums = cut(rows.groupBy("source", "range").agg(F.sum("size").alias("range_size")))
     sizes = sums.groupBy("source").agg(F.sum("range_size").alias("source_size"))
+    least = sizes.filter("source_size > 0").agg(F.min("source_size")).first()[0] or 0
+    mix = replace(mix, block=max(1, min(mix.block, least // mix.least_blocks)))
     plan = cut(apportion(source_targets(sizes, mix), mix))
     before = W.partitionBy("s.source").orderBy("s.range").rowsBetween(W.unboundedPreceding, -1)
     last = F.element_at("seats", -1)
@@ -138,7 +142,7 @@ def mix_documents(docs: DataFrame, mix: Mix = Mix(), *, size: Column | None = No
     in_range = W.partitionBy("source", "range").orderBy("order", "id", "size", "content").rowsBetween(W.unboundedPreceding, -1)
     placed = placed.withColumn("place", F.col("range_place") + F.coalesce(F.sum("size").over(in_range), F.lit(0)))
     taken = taken_before(F.col("place") + F.col("size"), mix) - taken_before(F.col("place"), mix)
-    return placed.withColumn("taken", F.when(F.col("size") > 0, taken).otherwise(F.lit(0)).cast("long")).select("doc", "size", "source_size", "target", "taken", "place", "n_blocks", "quota", "turn", "quotas")
+    return placed.withColumn("taken", F.when(F.col("size") > 0, taken).otherwise(F.lit(0)).cast("long")).select("doc", "size", "source_size", "target", "taken", "place", "n_blocks", "quota", "turn", "quotas", F.lit(mix.block).alias("block"))
 
 
 def picks_before(block: Column) -> Column:
@@ -162,23 +166,24 @@ def taken_before(place: Column, mix: Mix) -> Column:
 
 def mixed_texts(docs: DataFrame, mix: Mix = Mix(), *, text: str = "text") -> DataFrame:
     """The mix itself, in the columns of docs: a document comes once for each time that all of it is taken, and a
-    document of which the mix takes some blocks once more comes once again with the words of these blocks. A document
-    of size 0 is never taken."""
+    document of which the mix takes some blocks once more comes once again with these blocks, each as it stands in the text:
+    its words with the blanks and line breaks behind them. A document of size 0 is never taken."""
     m = mix_documents(docs, mix, text=text)
-    first, final = F.floor(F.col("place") / mix.block), F.floor((F.col("place") + F.col("size") - 1) / mix.block)
+    size = F.col("block")
+    first, final = F.floor(F.col("place") / size), F.floor((F.col("place") + F.col("size") - 1) / size)
     blocks = F.transform(F.sequence(first, final), lambda b: F.struct(b.alias("b"), (picks_before(b + 1) - picks_before(b)).alias("times")))
     times = F.transform("blocks", lambda x: x["times"])
-    words = F.when(F.col("least") < F.col("most"), F.regexp_extract_all(F.col(f"doc.`{text}`"), F.lit("[^\\x20\\x09-\\x0D]+"), F.lit(0)))
+    words = F.when(F.col("least") < F.col("most"), F.regexp_extract_all(F.col(f"doc.`{text}`"), F.lit("[^\\x20\\x09-\\x0D]+[\\x20\\x09-\\x0D]*"), F.lit(0)))
     taken = m.filter("taken > 0").withColumn("blocks", blocks).withColumn("most", F.array_max(times)).withColumn("least", F.array_min(times))
     # The words are cut below the explosion, so that Spark can't move the cutting into the loop over blocks.
     passes = taken.withColumn("words", words).withColumn("pass", F.explode(F.sequence(F.lit(1), F.col("most"))))
     passes = passes.withColumn("parts", F.filter("blocks", lambda x: x["times"] >= F.col("pass")))
 
     def slice_of(b):
-        begin = F.greatest(b["b"] * mix.block - F.col("place"), F.lit(0))
-        end = F.least((b["b"] + 1) * mix.block - F.col("place"), F.col("size"))
+        begin = F.greatest(b["b"] * size - F.col("place"), F.lit(0))
+        end = F.least((b["b"] + 1) * size - F.col("place"), F.col("size"))
         return F.slice("words", (begin + 1).cast("int"), (end - begin).cast("int"))
 
-    some = F.array_join(F.flatten(F.transform("parts", slice_of)), " ")
+    some = F.array_join(F.flatten(F.transform("parts", slice_of)), "")
     new = F.when(F.col("pass") <= F.col("least"), F.col(f"doc.`{text}`")).otherwise(some).alias(text)
     return passes.select(*[new if c == text else F.col(f"doc.`{c}`").alias(c) for c in docs.columns])

@@ -11,7 +11,7 @@ that bound is a parameter and holds at any size. Scoring covers every text as a
 languages, sources and ids are no features.
 
 A null or empty text has the structure features alone and gets a score like others. Labels without quality are left
-out; of several labels of one document the highest counts. Without labels of both kinds all scores are the share of
+out; of several labels of one document the highest counts, and of several rows of a labelled id the fit reads one. Without labels of both kinds all scores are the share of
 label 1, or 0.5 without any. Repeated rows get repeated scores.
 """
 
@@ -161,7 +161,10 @@ def train(docs: DataFrame, labels: DataFrame, m: Machine = Machine(), *, text: s
     """Fits the machine on a bounded sample of labelled documents; labels has doc_id and the label."""
     ids = labels.filter(F.col(label).isNotNull()).groupBy(F.col(doc_id).alias("labelled")).agg(F.max(F.col(label)).cast("double").alias("label"))
     ids = ids.orderBy(F.xxhash64(F.lit(m.seed), "labelled"), "labelled").limit(m.sample)  # a proven bound for the broadcast
-    rows = docs.select(F.col(doc_id).alias("labelled"), F.col(text).cast("string").alias("text")).join(F.broadcast(ids), "labelled").select("labelled", "label", "text")
+    rows = docs.select(F.col(doc_id).alias("labelled"), F.col(text).cast("string").alias("text")).join(F.broadcast(ids), "labelled")
+    # One row an id, whatever rows there are: that with the smallest digest of its text, found inside the tasks first.
+    first = F.min(F.struct(F.xxhash64("text").alias("digest"), "text")).alias("first")
+    rows = rows.groupBy("labelled").agg(F.first("label").alias("label"), first).select("labelled", "label", "first.text")
 
     def extract(batches):
         for batch in batches:
