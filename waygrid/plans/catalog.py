@@ -919,10 +919,9 @@ def nearby_roads(spark, sf_dir):
 def parallel_roads(spark, sf_dir):
     """The nearest other segment with about the same direction: a band join on cells, then a minimum."""
     b = _shapes(spark, sf_dir).select("shape_id", ((F.col("alat") + F.col("blat")) / 2).alias("lat"), ((F.col("alon") + F.col("blon")) / 2).alias("lon"), geo.bearing(F.col("alat"), F.col("alon"), F.col("blat"), F.col("blon")).alias("bearing"))
-    size = spatial.cell_size(120)
-    other = b.select(F.col("shape_id").alias("other"), F.col("lat").alias("olat"), F.col("lon").alias("olon"), F.col("bearing").alias("obearing")).withColumn("cell", spatial.cell_key(spatial.cell_of(F.col("olat"), size), spatial.cell_of(F.col("olon"), size)))
-    pairs = spatial.around(b, size).join(other, "cell").filter("shape_id <> other").withColumn("d", geo.haversine(F.col("lat"), F.col("lon"), F.col("olat"), F.col("olon")))
-    near = pairs.filter((F.col("d") <= 120) & (geo.bearing_gap(F.col("bearing"), F.col("obearing")) <= 30))
+    other = b.select(F.col("shape_id").alias("other"), F.col("lat").alias("olat"), F.col("lon").alias("olon"), F.col("bearing").alias("obearing"))
+    pairs = spatial.point_pairs(b, other, 120, "shape_id").filter("shape_id <> other").withColumnRenamed("distance_m", "d")
+    near = pairs.filter(geo.bearing_gap(F.col("bearing"), F.col("obearing")) <= 30)
     best = near.groupBy("shape_id").agg(F.min(F.struct("d", "other")).alias("best"))
     return best.select("shape_id", "best.other", F.round("best.d", 4).alias("distance_m"))
 
@@ -936,11 +935,9 @@ def opposing_roads(spark, sf_dir):
     """The nearest edge of another segment that runs against an edge's direction: who may be taken for the other side."""
     e = road.edges(spark, sf_dir)
     b = e.select("edge_id", "shape_id", ((F.col("lat1") + F.col("lat2")) / 2).alias("lat"), ((F.col("lon1") + F.col("lon2")) / 2).alias("lon"), geo.bearing(F.col("lat1"), F.col("lon1"), F.col("lat2"), F.col("lon2")).alias("bearing"))
-    size = spatial.cell_size(150)
     other = b.select(F.col("edge_id").alias("other"), F.col("shape_id").alias("oshape"), F.col("lat").alias("olat"), F.col("lon").alias("olon"), F.col("bearing").alias("obearing"))
-    other = other.withColumn("cell", spatial.cell_key(spatial.cell_of(F.col("olat"), size), spatial.cell_of(F.col("olon"), size)))
-    pairs = spatial.around(b, size).join(other, "cell").filter("shape_id <> oshape").withColumn("d", geo.haversine(F.col("lat"), F.col("lon"), F.col("olat"), F.col("olon")))
-    near = pairs.filter((F.col("d") <= 150) & (F.abs(180 - geo.bearing_gap(F.col("bearing"), F.col("obearing"))) <= 30))
+    pairs = spatial.point_pairs(b, other, 150, "edge_id").filter("shape_id <> oshape").withColumnRenamed("distance_m", "d")
+    near = pairs.filter(F.abs(180 - geo.bearing_gap(F.col("bearing"), F.col("obearing"))) <= 30)
     best = near.groupBy("edge_id").agg(F.min(F.struct("d", "other")).alias("best"))
     return best.select("edge_id", "best.other", F.round("best.d", 4).alias("distance_m"))
 
