@@ -345,10 +345,15 @@ def test_the_fast_encoder_agrees_with_the_library(libraries):
 
     side = token_alignment.SideA(open(BYTE_FILE, encoding="utf-8").read(), public_tokenizers.PATTERN)
     rng = random.Random(10)
-    chars = [chr(c) for c in range(0x250)]
+    chars = [chr(c) for c in range(0x240)]
     texts = [f"{x}{c}{y}" for c in chars for x in ("", " ", "a", "1", ".", "  ", "'") for y in ("", " ", "a", "2", "!", "\n ")]
     texts += ["".join(rng.choice(chars) for _ in range(rng.randint(1, 50))) for _ in range(5000)]
-    assert [list(x) for x in side.encode(texts)] == [e.ids for e in libraries[0].encode_batch(texts, add_special_tokens=False)]
+    coded = [t.encode() for t in texts]
+    odd = token_alignment.unusual(np.frombuffer(b"".join(coded), np.uint8), np.cumsum([0, *map(len, coded)]))
+    want = [e.ids for e in libraries[0].encode_batch(texts, add_special_tokens=False)]
+    assert not odd.any() and [list(x) for x in side.encode(texts, odd)] == want == [list(x) for x in side.encode(texts)]
+    coded = [b" plain text", b" " * 400, b" " + b"x" * 400, " \u0250".encode(), b" x" * 400, b""]
+    assert token_alignment.unusual(np.frombuffer(b"".join(coded), np.uint8), np.cumsum([0, *map(len, coded)])).tolist() == [False, True, True, True, False, False]
 
 
 def test_lanes_split_long_texts_only_where_both_sides_end():

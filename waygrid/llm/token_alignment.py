@@ -18,7 +18,7 @@ have no tokens: zeros and ''. Rows are told apart by a number of their own, so r
 of their own; an empty table gives an empty result.
 
 A's ids come from a fast encoder made of A's own file where a text's characters are ones that both encoders split alike
-(below U+0250, in runs of bounded length); other texts go through A's library itself.
+(below U+0240, in runs of bounded length); other texts go through A's library itself.
 """
 
 from __future__ import annotations
@@ -43,8 +43,25 @@ LANE_BYTES = 2048
 SENT_PAIRS = 400_000
 #: Links that a task sums before it passes the sums on.
 TASK_LINKS = 4_000_000
-#: Characters and runs of them that the fast encoder is trusted with.
-_unusual = re.compile("[^\\x00-ɏ]|\\S{400}|\\s{400}").search
+#: The fast encoder is trusted with bytes below ODD_LEAD, the first byte of U+0240 and beyond, and with runs of blanks or of
+#: other bytes that are shorter than LONG_RUN.
+ODD_LEAD, LONG_RUN = 0xC9, 400
+_BLANK = np.zeros(256, bool)
+_BLANK[[0x20, *range(0x09, 0x0E)]] = True
+
+
+def unusual(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Which texts of a run the fast encoder is not trusted with."""
+    blank = _BLANK[data]
+    marked = np.zeros(len(data) + 1, bool)
+    marked[1:-1] = blank[1:] != blank[:-1]
+    marked[offsets] = True
+    edges = np.flatnonzero(marked)
+    long = edges[:-1][np.diff(edges) >= LONG_RUN]
+    at = np.concatenate([np.flatnonzero(data >= ODD_LEAD), long])
+    out = np.zeros(len(offsets) - 1, bool)
+    out[np.searchsorted(offsets, at, "right") - 1] = True
+    return out
 
 
 def byte_of_char() -> dict[str, int]:
@@ -76,8 +93,9 @@ class SideA:
 
             self.fast = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks={b: i for i, b in coded.items()}, special_tokens={}).encode_ordinary
 
-    def encode(self, texts: Sequence[str]) -> list[list[int]]:
-        plain = [self.fast is not None and not _unusual(t) for t in texts]
+    def encode(self, texts: Sequence[str], odd: Sequence[bool] | None = None) -> list[list[int]]:
+        """Ids of each text; ``odd`` texts (None: all) go through the library."""
+        plain = [self.fast is not None and odd is not None and not odd[k] for k in range(len(texts))]
         others = iter(self.library.encode_batch_fast([t for t, p in zip(texts, plain) if not p], add_special_tokens=False))
         return [self.fast(t) if p else next(others).ids for t, p in zip(texts, plain)]
 
@@ -119,8 +137,13 @@ def lanes(a: Tokens, b: Tokens, data: np.ndarray, offsets: np.ndarray) -> np.nda
     wanted = np.concatenate([np.arange(offsets[d] + LANE_BYTES, offsets[d + 1], LANE_BYTES) for d in long])
     at = np.searchsorted(blanks, wanted)
     places = blanks[at[at < len(blanks)]]
-    ends_both = [np.isin(places, side.ends, assume_unique=False) for side in (a, b)]
-    return np.unique(np.concatenate([starts, places[ends_both[0] & ends_both[1]]]))
+    chosen = np.zeros(len(data) + 1, np.int8)
+    for side in (a, b):
+        chosen[side.ends] += 1
+    marked = np.zeros(len(data), bool)
+    marked[places[chosen[places] == 2]] = True
+    marked[starts] = True
+    return np.flatnonzero(marked)
 
 
 def merge(a: Tokens, b: Tokens, starts: np.ndarray, total: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -148,23 +171,15 @@ def merge(a: Tokens, b: Tokens, starts: np.ndarray, total: int) -> tuple[np.ndar
     return tuple(np.concatenate(x or none) for x in (links_a, links_b, cuts_a, cuts_b))
 
 
-_DIGITS = 10
+def written_ids(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The decimal digits of the numbers below n, from the left, with room for a sign behind them; and how many they are."""
+    digits = [str(i).encode() for i in range(n)]
+    width = max(map(len, digits), default=1)
+    cells = np.frombuffer(b"".join(d.ljust(width + 1) for d in digits), np.uint8).reshape(n, width + 1)
+    return cells, np.array([len(d) for d in digits])
 
 
-def _written(ids: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Ids as decimal digits, each followed by its sign, as one array of bytes, and each id's number of bytes."""
-    powers = 10 ** np.arange(_DIGITS - 1, -1, -1, dtype=np.int64)
-    width = max(1, len(str(int(ids.max(initial=0)))))
-    cells = np.empty((len(ids), width + 1), np.uint8)
-    cells[:, :width] = ids[:, None] // powers[-width:] % 10 + ord("0")
-    cells[:, width] = ends
-    shown = np.ones(cells.shape, bool)
-    for k in range(width - 1):
-        shown[:, k] = ids >= powers[-width + k]
-    return cells[shown], shown.sum(axis=1)
-
-
-def group_texts(a: Tokens, b: Tokens, last_a: np.ndarray, last_b: np.ndarray) -> list[bytes]:
+def group_texts(a: Tokens, b: Tokens, last_a: np.ndarray, last_b: np.ndarray, digits: tuple[np.ndarray, np.ndarray]) -> list[bytes]:
     """``a1,a2|b1;a3|b2,b3`` of each text: its groups in order, A's ids before B's."""
     cut_a, cut_b = np.zeros(len(a.ids), bool), np.zeros(len(b.ids), bool)
     cut_a[last_a], cut_b[last_b] = True, True
@@ -175,9 +190,10 @@ def group_texts(a: Tokens, b: Tokens, last_a: np.ndarray, last_b: np.ndarray) ->
     ids, signs = np.empty(len(a.ids) + len(b.ids), np.int64), np.empty(len(a.ids) + len(b.ids), np.uint8)
     ids[place_a], ids[place_b] = a.ids, b.ids
     signs[place_a], signs[place_b] = np.where(cut_a, ord("|"), ord(",")), np.where(cut_b, ord(";"), ord(","))
-    data, sizes = _written(ids, signs)
-    ends = np.concatenate([[0], np.cumsum(sizes)])[a.first + b.first]
-    flat = data.tobytes()
+    cells, sizes = digits[0][ids], digits[1][ids]
+    cells[np.arange(len(ids)), sizes] = signs
+    flat = cells[np.arange(cells.shape[1]) <= sizes[:, None]].tobytes()
+    ends = np.concatenate([[0], np.cumsum(sizes + 1)])[a.first + b.first]
     return [flat[s : max(s, e - 1)] for s, e in zip(ends[:-1].tolist(), ends[1:].tolist())]  # without the last sign
 
 
@@ -187,18 +203,19 @@ class Aligner:
     def __init__(self, file: str, pattern: str | None, model: bytes):
         self.a, self.b = SideA(file, pattern), SideB(model)
         self.lengths = [np.array([len(x) for x in side.bytes], np.int64) for side in (self.a, self.b)]
+        self.digits = written_ids(max(map(len, self.lengths)))
 
     def align(self, column: pa.Array) -> dict[str, list | np.ndarray]:
         """By text: n_a, n_b, n_groups, n_links, groups (bytes) and the id pairs of its links, a * (B's size) + b."""
         texts = [t or "" for t in column.to_pylist()]
         spaced = [" " + t for t in texts]
-        ids_a, ids_b = self.a.encode(spaced), self.b.encode(texts)
-        coded = []
-        for k, t in enumerate(spaced):
-            data = t.encode("utf-8", "replace")
-            if not texts[k] or any(b"".join(map(side.bytes.__getitem__, own)) != data for side, own in ((self.a, ids_a[k]), (self.b, ids_b[k].tolist()))):
-                ids_a[k], ids_b[k], data = [], ids_b[k][:0], b""
-            coded.append(data)
+        coded = [t.encode("utf-8", "replace") for t in spaced]
+        odd = unusual(np.frombuffer(b"".join(coded), np.uint8), np.cumsum([0, *map(len, coded)]))
+        ids_a, ids_b = self.a.encode(spaced, odd), self.b.encode(texts)
+        for k, data in enumerate(coded):
+            sides = ((self.a, ids_a[k]), (self.b, ids_b[k].tolist())) if texts[k] else ()
+            if not sides or any(b"".join(map(side.bytes.__getitem__, own)) != data for side, own in sides):
+                ids_a[k], ids_b[k], coded[k] = [], ids_b[k][:0], b""
         a, b = Tokens([np.array(x, np.int64) for x in ids_a], self.lengths[0]), Tokens(ids_b, self.lengths[1])
         offsets = np.cumsum([0, *map(len, coded)])
         starts = lanes(a, b, np.frombuffer(b"".join(coded), np.uint8), offsets)
@@ -210,7 +227,7 @@ class Aligner:
         keys = (a.ids[at_a] * len(self.b.bytes) + b.ids[at_b])[order]
         return {
             "n_a": np.diff(a.first), "n_b": np.diff(b.first), "n_groups": np.bincount(np.searchsorted(a.first, last_a, "right") - 1, minlength=n), "n_links": n_links,
-            "groups": group_texts(a, b, last_a, last_b), "keys": np.split(keys, np.cumsum(n_links)[:-1]) if n else [],
+            "groups": group_texts(a, b, last_a, last_b, self.digits), "keys": np.split(keys, np.cumsum(n_links)[:-1]) if n else [],
         }
 
 
