@@ -161,3 +161,12 @@ def exposure(distances: DataFrame, by: str, x: str, within: float) -> DataFrame:
 
     near = distances.groupBy(by).agg(F.count(F.lit(1)).alias("n"), (F.count_if(F.col(x) <= within) / F.count(F.lit(1))).alias("share"))
     return quantile_floor(distances, [by], x, (0.05, 0.5, 0.95)).join(near, by)
+
+
+def end_pairs(ends: DataFrame, booths: DataFrame, key: Sequence[str]) -> DataFrame:
+    """The booths (booth, olat, olon) nearest to both ends of stretches (key, side 1 and 2, lat, lon), as an unordered pair
+    (one <= other) with the metres that the ends are off, together."""
+    placed = ends.withColumn("end", F.struct(*key, "side"))
+    near = spatial.k_nearest(placed, booths, 1, "end", "booth").select(*key, "side", "booth", "distance_m")
+    both = near.groupBy(*key).agg(F.min("booth").alias("one"), F.max("booth").alias("other"), F.sum("distance_m").alias("off_m"), F.count(F.lit(1)).alias("ends"))
+    return both.filter("ends = 2").drop("ends")

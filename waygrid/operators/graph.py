@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from waygrid.config import CIRCLE_M, EARTH_M, Objective, TurnCost
+from waygrid.functions import lines
 from waygrid.functions.geo import bearing, bearing_delta, haversine, manoeuvre_seconds
 from waygrid.plans.lineage import cut
 
@@ -68,20 +69,26 @@ def adjacency(edges: DataFrame, *columns: str) -> DataFrame:
     return a.join(b, F.col("edge_to_in") == F.col("edge_from_out"))
 
 
-def _turns(edges: DataFrame) -> DataFrame:
-    """Pairs of edges with what a turn's cost depends on. Bearings are taken once an edge."""
-    e = edges.withColumn("bearing", bearing(F.col("lat1"), F.col("lon1"), F.col("lat2"), F.col("lon2")))
+def _turns(edges: DataFrame, shapes: DataFrame | None = None) -> DataFrame:
+    """Pairs of edges with what a turn's cost depends on. Bearings are taken once an edge: where it arrives and where it
+    departs, over EDGE_WINDOW_M of its shape (edge_id, points in travel order); without shapes edges are straight."""
+    straight = bearing(F.col("lat1"), F.col("lon1"), F.col("lat2"), F.col("lon2"))
+    if shapes is None:
+        e = edges.withColumn("arrives", straight).withColumn("departs", F.col("arrives"))
+    else:
+        own = shapes.select("edge_id", lines.bearing_in(F.col("points"), bearing=bearing).alias("into"), lines.bearing_out(F.col("points"), bearing=bearing).alias("out"))
+        e = edges.join(own, "edge_id", "left").withColumn("arrives", F.coalesce("into", straight)).withColumn("departs", F.coalesce("out", straight))
     degree = edges.groupBy(F.col("edge_from").alias("vertex")).agg(F.count(F.lit(1)).alias("ways_on"))
-    pairs = adjacency(e, "edge_id", "edge_from", "edge_to", "shape_id", "reversed", "bearing", "class_rank").join(degree, F.col("edge_to_in") == F.col("vertex"))
+    pairs = adjacency(e, "edge_id", "edge_from", "edge_to", "shape_id", "reversed", "arrives", "departs", "class_rank").join(degree, F.col("edge_to_in") == F.col("vertex"))
     uturn = (F.col("shape_id_in") == F.col("shape_id_out")) & (F.col("reversed_in") != F.col("reversed_out"))
-    return pairs.withColumns({"is_uturn": uturn, "delta": bearing_delta(F.col("bearing_in"), F.col("bearing_out"))})
+    return pairs.withColumns({"is_uturn": uturn, "delta": bearing_delta(F.col("arrives_in"), F.col("departs_out"))})
 
 
-def turn_costs(edges: DataFrame, cfg: TurnCost = TurnCost()) -> DataFrame:
-    """(edge_in, edge_out, seconds, is_uturn): seconds in single precision."""
+def turn_costs(edges: DataFrame, cfg: TurnCost = TurnCost(), shapes: DataFrame | None = None) -> DataFrame:
+    """(edge_in, edge_out, seconds, is_uturn): seconds in single precision. Shapes as for _turns."""
     around = F.when(F.col("ways_on") <= 1, 0.0).otherwise(cfg.uturn_s)
     seconds = F.when(F.col("is_uturn"), around).otherwise(manoeuvre_seconds(F.col("delta"), F.col("class_rank_in"), F.col("class_rank_out"), cfg))
-    return _turns(edges).select(F.col("edge_id_in").alias("edge_in"), F.col("edge_id_out").alias("edge_out"), seconds.cast("float").alias("seconds"), "is_uturn")
+    return _turns(edges, shapes).select(F.col("edge_id_in").alias("edge_in"), F.col("edge_id_out").alias("edge_out"), seconds.cast("float").alias("seconds"), "is_uturn")
 
 
 def turn_census(edges: DataFrame, cfg: TurnCost = TurnCost()) -> DataFrame:
