@@ -20,14 +20,21 @@ def _names(index: DataFrame) -> DataFrame:
     return index.select("norm", "toks").distinct()
 
 
+#: Letters of a token that it is found by, at most.
+LEAD = 4
+
+
 def strong_matches(index: DataFrame, queries: DataFrame, cfg: SearchRanks = SearchRanks()) -> DataFrame:
     """Pairs of queries (query_id, q, and qlat, qlon that may be null) and names with the bonus of their first match:
-    equal, prefix, prefix of a token, every query token a prefix of some token. The join is on the first letter of
-    query tokens and of name tokens, never on all pairs; every kind of match implies such a pair."""
-    lead = F.explode(F.array_distinct(F.transform("toks", lambda t: F.substring(t, 1, 1)))).alias("lead")
-    names = _names(index).select("norm", "toks", lead)
-    asked = queries.select("query_id", "q").withColumn("qtoks", tokens(F.col("q"))).withColumn("lead", F.substring("q", 1, 1)).filter("q <> ''")
-    pairs = asked.join(names, "lead")
+    equal, prefix, prefix of a token, every query token a prefix of some token.
+
+    Every kind of match implies that each token of the query is a prefix of some token of the name. So names are found by the
+    first letters of their tokens, one to LEAD of them, and a query asks with as many letters as its longest token has."""
+    leads = F.flatten(F.transform("toks", lambda t: F.transform(F.sequence(F.lit(1), F.least(F.length(t), F.lit(LEAD))), lambda n: F.substr(t, F.lit(1), n))))
+    names = _names(index).select("norm", "toks", F.explode(F.array_distinct(leads)).alias("lead"))
+    asked = queries.select("query_id", "q").filter("q <> ''").withColumn("qtoks", tokens(F.col("q")))
+    longest = F.element_at(F.array_sort(F.transform("qtoks", lambda t: F.struct(F.length(t).alias("n"), t.alias("t")))), -1)["t"]
+    pairs = asked.withColumn("lead", F.substring(longest, 1, LEAD)).join(names, "lead")
     bonus = (
         F.when(F.col("norm") == F.col("q"), cfg.exact)
         .when(F.col("norm").startswith(F.col("q")), cfg.prefix)
@@ -37,14 +44,73 @@ def strong_matches(index: DataFrame, queries: DataFrame, cfg: SearchRanks = Sear
     return pairs.withColumn("bonus", bonus).filter("bonus is not null").select("query_id", "norm", "bonus")
 
 
+#: Most edits of a match; up to so many characters a part is found by what deletions leave of it, beyond by its segments. Edits
+#: of two neighbours that are swapped may lie in two segments, so one more than twice the edits are made.
+MOST_EDITS, SHORT = 2, 15
+SEGMENTS = 2 * MOST_EDITS + 1
+
+
+def _without_one(s: Column) -> Column:
+    return F.transform(F.sequence(F.lit(1), F.length(s)), lambda i: F.concat(F.substr(s, F.lit(1), i - 1), F.substr(s, i + 1)))
+
+
+def deletions(s: Column) -> Column:
+    """A string and what is left of it without one and without two of its characters. Strings within two edits, swapped
+    neighbours counting one, have one of these in common."""
+    once = F.when(F.length(s) > 0, F.array_distinct(_without_one(s))).otherwise(F.array().cast("array<string>"))
+    twice = F.flatten(F.transform(once, lambda t: F.when(F.length(t) > 0, _without_one(t)).otherwise(F.array().cast("array<string>"))))
+    return F.array_distinct(F.concat(F.array(s), once, twice))
+
+
+def _segment(length: Column, k: Column) -> tuple[Column, Column]:
+    """Where segment k (from 0) of a string of a length begins, and how long it is."""
+    begin = F.floor(length * k / SEGMENTS).cast("int")
+    return begin, F.floor(length * (k + 1) / SEGMENTS).cast("int") - begin
+
+
+def _posted(parts: DataFrame) -> DataFrame:
+    """(key, part, name_digits): what parts of names are found by."""
+    short = parts.filter(F.length("part") <= SHORT).select(F.explode(deletions(F.col("part"))).alias("key"), "part", "name_digits")
+    n = F.length("part")
+
+    def segment(k):
+        begin, size = _segment(n, k)
+        return F.concat_ws(" ", n, k, F.substr(F.col("part"), begin + 1, size))
+
+    segments = F.transform(F.sequence(F.lit(0), F.lit(SEGMENTS - 1)), segment)
+    return short.unionByName(parts.filter(n > SHORT).select(F.explode(segments).alias("key"), "part", "name_digits"))
+
+
+def _asked(asked: DataFrame) -> DataFrame:
+    """Adds the keys that a query looks under: its own deletions for short parts, and for each length that a longer part may
+    have, each segment wherever up to MOST_EDITS edits may have moved it to."""
+    n = F.length("q")
+    short = F.when(n - MOST_EDITS <= SHORT, deletions(F.col("q"))).otherwise(F.array().cast("array<string>"))
+
+    def of_length(length):
+        def of_segment(k):
+            begin, size = _segment(length, k)
+            return F.transform(F.sequence(F.lit(-MOST_EDITS), F.lit(MOST_EDITS)), lambda d: F.when((begin + d >= 0) & (begin + d + size <= n), F.concat_ws(" ", length, k, F.substr(F.col("q"), begin + d + 1, size))))
+
+        return F.flatten(F.transform(F.sequence(F.lit(0), F.lit(SEGMENTS - 1)), of_segment))
+
+    lengths = F.filter(F.sequence(n - MOST_EDITS, n + MOST_EDITS), lambda x: x > SHORT)
+    keys = F.array_distinct(F.filter(F.concat(short, F.flatten(F.transform(lengths, of_length))), lambda k: k.isNotNull()))
+    return asked.withColumn("key", F.explode(keys))
+
+
 def fuzzy_matches(index: DataFrame, queries: DataFrame) -> DataFrame:
     """(query_id, norm, edits): names within the edit budget of queries, as a whole or by a token. Digits must agree.
-    Distances are taken once for each distinct name."""
+
+    The parts of names, each once whatever number of names has it, are posted under what two deletions leave of them, or,
+    if they are long, under their segments, one of which two edits must leave as it is. A query meets the parts that share
+    a key and the digits; distances decide."""
     asked = queries.select("query_id", "q").filter("q <> ''").withColumn("most", F.when(F.length("q") <= 4, 1).otherwise(2)).withColumn("digits", digits_of(F.col("q")))
     names = _names(index).withColumn("name_digits", digits_of(F.col("norm"))).withColumn("part", F.explode(F.array_distinct(F.concat(F.array("norm"), F.col("toks")))))
-    near = asked.join(names, (F.col("digits") == F.col("name_digits")) & F.length("part").between(F.length("q") - F.col("most"), F.length("q") + F.col("most")))
+    met = _asked(asked).join(_posted(names.select("part", "name_digits").distinct()), "key").filter((F.col("digits") == F.col("name_digits")) & (F.abs(F.length("part") - F.length("q")) <= F.col("most")))
+    near = met.select("query_id", "q", "most", "part", "name_digits").distinct()
     scored = near.withColumn("edits", edit_distance_column(F.col("q"), F.col("part"), 2)).filter(F.col("edits") <= F.least(F.col("most"), fuzzy_budget(F.greatest(F.length("q"), F.length("part")), 2)))
-    return scored.groupBy("query_id", "norm").agg(F.min("edits").alias("edits"))
+    return scored.select("query_id", "part", "name_digits", "edits").join(names.select("norm", "part", "name_digits"), ["part", "name_digits"]).groupBy("query_id", "norm").agg(F.min("edits").alias("edits"))
 
 
 def search(index: DataFrame, queries: DataFrame, cfg: SearchRanks = SearchRanks(), *, fuzzy: bool = True, limit: int | None = None) -> DataFrame:
