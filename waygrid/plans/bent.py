@@ -10,9 +10,9 @@ from pyspark.sql.window import Window as W
 
 from waygrid.config import M_PER_DEG_LAT, M_PER_DEG_LON, MATCH_M
 from waygrid.functions import lines
-from waygrid.operators import audits, graph, instructions, routing, spatial
+from waygrid.operators import audits, graph, instructions, routing, spatial, states
 from waygrid.plans import sql
-from waygrid.plans.catalog import _bans, _places_on_edges, _shapes, _triples, query
+from waygrid.plans.catalog import ORACLES, _bans, _places_on_edges, _shapes, _triples, query
 from waygrid.sources import projection as road
 
 BEND = 0.0002
@@ -194,3 +194,57 @@ def toll_infrastructure(spark, sf_dir):
     shapes = _shapes(spark, sf_dir).join(tolled, "shape_id").select("edge_id", "alat", "alon", "blat", "blon")
     near = spatial.nearest(_booths(spark, sf_dir).select("booth", F.col("olat").alias("lat"), F.col("olon").alias("lon")), shapes, 2000, "booth", "edge_id")
     return near.select("booth", F.round("distance_m", 4).alias("distance_m"), (F.col("distance_m") <= 50).alias("on_road"))
+
+
+# --- states of tracked devices ----------------------------------------------------------------------------------
+
+#: Verdicts as the twin of judge_fixes gives them, with the fixes' times.
+_JUDGED = ORACLES["judge_fixes"].replace("SELECT device_id, fix_id, verdict FROM r", "")
+
+
+def _state_fixes(spark, sf_dir):
+    """Fixes with a distance from a route and metres left of it, by their number."""
+    f = road.fixes(spark, sf_dir).withColumn("t_ms", (F.unix_micros(F.col("ts").cast("timestamp")) / 1000).cast("long"))
+    return f.withColumn("offset_m", (F.col("fix_id") * 31 % 40).cast("double")).withColumn("left_m", (3000 - F.col("fix_id") * 29 % 3001).cast("double"))
+
+
+@query(f"""
+{_JUDGED}
+SELECT device_id, count(*) FILTER (verdict = 'ok') AS accepted, count(*) FILTER (verdict = 'accuracy') AS rejected_accuracy,
+  count(*) FILTER (verdict = 'implied-speed') AS rejected_speed, count(*) FILTER (verdict = 'out-of-order') AS rejected_order
+FROM r GROUP BY device_id
+""")
+def rejection_counts(spark, sf_dir):
+    """What each device's last row has counted: fixes accepted, and rejected by reason."""
+    rows = states.device_states(_state_fixes(spark, sf_dir)).filter("kind = 'fix'")
+    counts = ["accepted", "rejected_accuracy", "rejected_speed", "rejected_order"]
+    last = rows.groupBy("device_id").agg(*[F.max(c).alias(c) for c in counts])
+    return last.select("device_id", *counts)
+
+
+@query(f"""
+{_JUDGED},
+v_ok AS (SELECT r.device_id, r.fix_id, f.t_ms, lead(f.t_ms) OVER (PARTITION BY r.device_id ORDER BY f.rn) AS next_ms, max(f.t_ms) OVER (PARTITION BY r.device_id) AS last_ok
+  FROM r JOIN f ON r.device_id = f.device_id AND r.rn = f.rn WHERE verdict = 'ok'),
+v_end AS (SELECT device_id, max(t_ms) AS end_ms FROM f GROUP BY device_id)
+SELECT device_id, t_ms + 5000 AS lost_ms FROM v_ok JOIN v_end USING (device_id) WHERE end_ms > t_ms + 5000 AND (next_ms IS NULL OR next_ms > t_ms + 5000)
+""")
+def signal_losses(spark, sf_dir):
+    """When devices were lost: five seconds after an accepted fix that no other one followed in time."""
+    return states.device_states(_state_fixes(spark, sf_dir)).filter("kind = 'lost'").select("device_id", F.col("t_ms").alias("lost_ms"))
+
+
+@query(f"""
+{_JUDGED},
+v_s AS (SELECT device_id, r.rn, r.fix_id, r.last_t, r.acc, f.t_ms, verdict, max(CASE WHEN verdict = 'ok' THEN r.rn END) OVER (PARTITION BY device_id ORDER BY r.rn) AS ok_rn,
+  max(CASE WHEN verdict = 'ok' AND 3000 - r.fix_id * 29 % 3001 <= 25 THEN 1 ELSE 0 END) OVER (PARTITION BY device_id ORDER BY r.rn) AS arrived
+  FROM r JOIN f USING (device_id, rn)),
+v_q AS (SELECT s.*, o.fix_id * 31 % 40 AS offset_m FROM v_s s LEFT JOIN f o ON s.device_id = o.device_id AND s.ok_rn = o.rn)
+SELECT device_id, CASE WHEN arrived = 1 THEN true ELSE false END AS arrived,
+  CASE WHEN last_t IS NULL OR t_ms - last_t > 5000 THEN 'lost' WHEN acc > 20 OR offset_m > 30 THEN 'poor' ELSE 'good' END AS quality, count(*) AS fixes
+FROM v_q GROUP BY ALL
+""")
+def signal_quality(spark, sf_dir):
+    """Fixes by device, by the quality of its signal when they came and by whether it had arrived."""
+    rows = states.device_states(_state_fixes(spark, sf_dir)).filter("kind = 'fix'")
+    return rows.groupBy("device_id", (F.col("phase") == "arrived").alias("arrived"), "quality").agg(F.count(F.lit(1)).alias("fixes"))

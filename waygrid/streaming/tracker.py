@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from waygrid.config import Tracking
+from waygrid.operators import states
 from waygrid.operators.tracking import judge_fix, metres
 
 FIX_SCHEMA = "device_id long, fix_id long, t_ms long, lat double, lon double, accuracy_m double, offset_m double, speed_mps double"
@@ -63,6 +64,35 @@ def track(fixes: DataFrame, cfg: Tracking = Tracking(), *, ttl_ms: int = 3_600_0
     return fixes.groupBy("device_id").applyInPandasWithState(step, OUT_SCHEMA, STATE_SCHEMA, "append", GroupStateTimeout.ProcessingTimeTimeout)
 
 
+def track_states(fixes: DataFrame, cfg: Tracking = Tracking(), *, delay: str = "2 seconds", ttl_ms: int = 3_600_000) -> DataFrame:
+    """The rows of ``states.device_states`` as fixes (states.FIX_SCHEMA) come, and losses as event time passes.
+
+    Each device has one timer in event time: at first for the loss, dropout_ms behind its last accepted fix, then for the
+    end of its state, ttl_ms behind it, which a row of kind "idle" tells of. Event time is the newest fix's of any device, less the
+    delay. Fixes of one micro-batch are put in order; a fix that is late beyond that is judged as it comes."""
+
+    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        device = states.Device(cfg, state.get if state.exists else states.BEGUN)
+        now, who = state.getCurrentWatermarkMs(), int(key[0])
+        if state.hasTimedOut:
+            rows = device.lose(max(now, (device.t or 0) + cfg.dropout_ms + 1)) if not device.lost else []
+            if not rows:
+                state.remove()
+                yield states.frame([(who, (device.t or 0) + ttl_ms, "idle", None, None, "idle", "lost", *device.counts)])
+                return
+        else:
+            fixes_now = pd.concat(list(frames)).sort_values(["t_ms", "fix_id"])
+            columns = ["fix_id", "t_ms", "lat", "lon", "accuracy_m", "offset_m", "left_m"]
+            rows = [row for fix in fixes_now[columns].itertuples(index=False, name=None) for row in device.fix(*fix)]
+        state.update(device.state())
+        wanted = now + ttl_ms if device.t is None else device.t + (ttl_ms if device.lost else cfg.dropout_ms + 1)
+        state.setTimeoutTimestamp(max(wanted, now + 1))
+        yield states.frame([(who, *row) for row in rows])
+
+    timed = fixes.withColumn("ts", F.timestamp_millis("t_ms")).withWatermark("ts", delay)
+    return timed.groupBy("device_id").applyInPandasWithState(step, states.OUT_SCHEMA, states.STATE_SCHEMA, "append", GroupStateTimeout.EventTimeTimeout)
+
+
 def dropouts(fixes: DataFrame, cfg: Tracking = Tracking()) -> DataFrame:
     """Gaps longer than the dropout limit, as session windows in event time: a session ends where a gap begins."""
     timed = fixes.withColumn("ts", F.timestamp_millis("t_ms")).withWatermark("ts", "1 minute")
