@@ -32,6 +32,24 @@ def test_resolve(spark, graph):
     assert report[("resolved", None, 1)] == 4 and report[("correctly-ignored", "malformed-roles", 0)] == 2
 
 
+def test_reasons_name_the_stage_that_removed_a_member(spark, graph):
+    """The via member's reason comes before those of the ways; the way one comes from before the way one goes to."""
+    edges, vertices = graph
+    ids = lambda name, *values: spark.createDataFrame([(v,) for v in values], f"{name} long")
+    stages = restrictions.Stages(ids("node_id", *range(6), 20, 21), ids("way_id", 1, 2, 3, 4, 5, 7, 8), ids("way_id", 1, 2, 3, 4, 5, 8), ids("vertex_id", *range(6), 21))
+    rows = [
+        (1, 1, 3, 99, None, 0, "via-node-outside-clip"), (2, 1, 3, 20, None, 0, "via-node-not-an-intersection"), (3, 1, 3, 21, None, 0, "via-node-dropped-by-scc"), (4, 1, 4, None, 2, 2, "via-way-chain-unsupported"),
+        (5, 6, 3, 1, None, 0, "member-way-outside-clip"), (6, 1, 7, 1, None, 0, "member-way-not-drivable"), (7, 8, 3, 1, None, 0, "member-way-dropped-by-scc"), (8, 1, 4, None, 8, 1, "member-way-dropped-by-scc"),
+        (9, 7, 6, 1, None, 0, "member-way-not-drivable"), (10, 6, 7, None, 8, 1, "member-way-dropped-by-scc"), (11, 6, 7, 99, None, 0, "via-node-outside-clip"), (12, 1, 3, 1, None, 0, None), (13, 4, 3, 1, None, 0, "member-way-wrong-direction-at-via"),
+    ]
+    relations = spark.createDataFrame([(i, "no_left_turn", False, a, b, n, w, k) for i, a, b, n, w, k, _ in rows], "rel_id long, kind string, conditional boolean, from_way long, to_way long, via_node long, via_way long, n_via int")
+    verdicts, pairs, _ = restrictions.resolve(relations, edges, vertices, stages)
+    got = {r["rel_id"]: (r["reason"], r["verdict"]) for r in verdicts.collect()}
+    assert {i: got[i][0] for i in got} == {r[0]: r[-1] for r in rows}
+    assert all((v == "not-honoured") == (why in restrictions.NOT_HONOURED) and (v == "resolved") == (why is None) for why, v in got.values())
+    assert {tuple(r) for r in pairs.collect()} == {(10, 30)}
+
+
 def test_attribute_ramps(spark):
     nodes = spark.createDataFrame([(1, 1), (1, 2), (2, 2), (2, 3), (3, 3), (3, 4), (4, 9), (5, 1), (5, 2), (5, 7), (6, 7)], "way_id long, node_id long")
     roads = spark.createDataFrame([(1, 1), (6, 2)], "way_id long, road long")

@@ -3,6 +3,8 @@ toll ramps attributed to the roads they touch."""
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -13,28 +15,76 @@ from waygrid.plans.lineage import cut
 KINDS = ("no_right_turn", "no_left_turn", "no_u_turn", "no_straight_on", "no_entry", "no_exit", "only_right_turn", "only_left_turn", "only_straight_on", "only_u_turn")
 
 
-def _judged(relations: DataFrame, vertices: DataFrame) -> DataFrame:
-    """Adds the first reason, if any, that needs no edges."""
+#: Reasons that leave a turn open which should be closed; all others are ignored rightly.
+NOT_HONOURED = ("via-way-chain-unsupported", "via-node-dropped-by-scc", "member-way-dropped-by-scc", "member-way-wrong-direction-at-via")
+
+
+@dataclass(frozen=True)
+class Stages:
+    """What each stage of a build still held: nodes (node_id) and ways (way_id) of the clip, ways that cars may use
+    (way_id), and vertices (vertex_id) before the largest component was taken."""
+
+    clip_nodes: DataFrame
+    clip_ways: DataFrame
+    drivable_ways: DataFrame
+    vertices_before: DataFrame
+
+
+def removed_ways(ways: DataFrame, edges: DataFrame, stages: Stages) -> DataFrame:
+    """(way_id, removed_by) of the ways that have no edges: the first stage that does not hold them any more."""
+    marks = [("has_edges", edges), ("in_clip", stages.clip_ways), ("drivable", stages.drivable_ways)]
+    out = ways.distinct()
+    for name, table in marks:
+        out = out.join(table.select("way_id", F.lit(True).alias(name)).distinct(), "way_id", "left")
+    stage = F.when(F.col("in_clip").isNull(), "outside-clip").when(F.col("drivable").isNull(), "not-drivable").otherwise("dropped-by-scc")
+    return out.filter("has_edges is null").select("way_id", stage.alias("removed_by"))
+
+
+def removed_nodes(nodes: DataFrame, vertices: DataFrame, stages: Stages) -> DataFrame:
+    """(node_id, removed_by) of the nodes that are no vertices: not in the clip, never one, or one of another component."""
+    out = nodes.distinct().join(vertices.select(F.col("vertex_id").alias("node_id")).distinct(), "node_id", "left_anti")
+    out = out.join(stages.clip_nodes.select("node_id", F.lit(True).alias("in_clip")).distinct(), "node_id", "left")
+    out = out.join(stages.vertices_before.select(F.col("vertex_id").alias("node_id"), F.lit(True).alias("was_vertex")).distinct(), "node_id", "left")
+    stage = F.when(F.col("in_clip").isNull(), "outside-clip").when(F.col("was_vertex").isNull(), "not-an-intersection").otherwise("dropped-by-scc")
+    return out.select("node_id", stage.alias("removed_by"))
+
+
+def _judged(relations: DataFrame, vertices: DataFrame, edges: DataFrame, stages: Stages | None) -> DataFrame:
+    """Adds the first reason, if any, that shows before edges are joined: the relation's own, then its via member's, then
+    those of the ways it comes from and goes to."""
     is_vertex = vertices.select(F.col("vertex_id").alias("via_vertex")).distinct()
     r = relations.join(is_vertex, F.col("via_node") == F.col("via_vertex"), "left")
+    at_node = F.col("via_node").isNotNull()
+    no_vertex = at_node & F.col("via_vertex").isNull()
     reason = (
         F.when(F.col("conditional"), "conditional")
         .when(F.coalesce(F.trim("kind"), F.lit("")) == "", "malformed-roles")
         .when(~F.col("kind").isin(*KINDS), "unknown-restriction-value")
         .when(F.col("from_way").isNull() | F.col("to_way").isNull() | (F.col("via_node").isNull() & F.col("via_way").isNull()), "malformed-roles")
-        .when(F.col("via_node").isNotNull() & F.col("via_vertex").isNull(), "via-node-not-an-intersection")
     )
-    return r.withColumn("reason", reason)
-
-
-def resolve(relations: DataFrame, edges: DataFrame, vertices: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    if "n_via" in relations.columns:
+        reason = reason.when(~at_node & (F.col("n_via") > 1), "via-way-chain-unsupported")
+    if stages is None:
+        return r.withColumn("reason", reason.when(no_vertex, "via-node-not-an-intersection"))
+    ways = cut(removed_ways(relations.select(F.explode(F.array("from_way", "to_way", "via_way")).alias("way_id")).filter("way_id is not null"), edges, stages))
+    nodes = removed_nodes(relations.select(F.col("via_node").alias("node_id")).filter("node_id is not null"), vertices, stages)
+    for name in ("from", "to", "via"):
+        own = ways.select(F.col("way_id").alias(f"{name}_gone"), F.col("removed_by").alias(f"{name}_by"))
+        r = r.join(own, F.col(f"{name}_way") == F.col(f"{name}_gone"), "left")
+    r = r.join(nodes.select(F.col("node_id").alias("node_gone"), F.col("removed_by").alias("node_by")), F.col("via_node") == F.col("node_gone"), "left")
+    member = F.when(~at_node & F.col("via_by").isNotNull(), F.col("via_by")).otherwise(F.coalesce("from_by", "to_by"))
+    reason = reason.when(no_vertex, F.concat(F.lit("via-node-"), "node_by")).when(member.isNotNull(), F.concat(F.lit("member-way-"), member))
+    return r.select(*relations.columns, "via_vertex", reason.alias("reason"))
+
+
+def resolve(relations: DataFrame, edges: DataFrame, vertices: DataFrame, stages: Stages | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Verdicts (rel_id, verdict, reason), banned pairs and banned triples.
 
-    relations: rel_id, kind, conditional, from_way, to_way, via_node or via_way. edges: edge_id, way_id, edge_from,
-    edge_to. no_* bans the named turn; only_* bans all others, but not back along the way one came by. The first
+    relations: rel_id, kind, conditional, from_way, to_way, via_node or via_way, and n_via (how many via ways) if there may
+    be several. edges: edge_id, way_id, edge_from, edge_to. With stages, members that the build removed name the stage. no_* bans the named turn; only_* bans all others, but not back along the way one came by. The first
     check that fails names the reason; what the profile leaves out on purpose is correctly ignored, and a relation whose
     ways do not lead through its via member is not honoured."""
-    judged = _judged(relations, vertices)
+    judged = cut(_judged(relations, vertices, edges, stages))
     open_ = judged.filter("reason is null").select("rel_id", F.col("kind").startswith("no_").alias("forbids"), "from_way", "to_way", "via_node", "via_way")
     into = edges.select(F.col("edge_id").alias("from_edge"), F.col("way_id").alias("in_way"), F.col("edge_to").alias("at"))
     out = edges.select(F.col("edge_id").alias("to_edge"), F.col("way_id").alias("out_way"), F.col("edge_from").alias("leaves"))
@@ -58,7 +108,7 @@ def resolve(relations: DataFrame, edges: DataFrame, vertices: DataFrame) -> tupl
     bans = cut(turns.unionByName(spans).distinct().join(led, "rel_id", "left_semi"))
     j = judged.join(led.withColumn("leads", F.lit(True)), "rel_id", "left")
     reason = F.coalesce("reason", F.when(F.col("leads").isNull(), "member-way-wrong-direction-at-via"))
-    verdict = F.when(reason.isNull(), "resolved").when(F.col("reason").isNotNull(), "correctly-ignored").otherwise("not-honoured")
+    verdict = F.when(reason.isNull(), "resolved").when(reason.isin(*NOT_HONOURED), "not-honoured").otherwise("correctly-ignored")
     verdicts = j.select("rel_id", verdict.alias("verdict"), reason.alias("reason"))
     pairs = bans.filter("via_edge is null").select("from_edge", "to_edge").distinct()
     triples = bans.filter("via_edge is not null").select("from_edge", "via_edge", "to_edge").distinct()

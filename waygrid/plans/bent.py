@@ -10,9 +10,9 @@ from pyspark.sql.window import Window as W
 
 from waygrid.config import M_PER_DEG_LAT, M_PER_DEG_LON, MATCH_M
 from waygrid.functions import lines
-from waygrid.operators import audits, graph, instructions, routing, spatial, states
+from waygrid.operators import audits, graph, instructions, restrictions, routing, spatial, states
 from waygrid.plans import sql
-from waygrid.plans.catalog import ORACLES, _bans, _places_on_edges, _shapes, _triples, query
+from waygrid.plans.catalog import _ALL_KINDS, ORACLES, _bans, _places_on_edges, _shapes, _triples, query
 from waygrid.sources import projection as road
 
 BEND = 0.0002
@@ -248,3 +248,59 @@ def signal_quality(spark, sf_dir):
     """Fixes by device, by the quality of its signal when they came and by whether it had arrived."""
     rows = states.device_states(_state_fixes(spark, sf_dir)).filter("kind = 'fix'")
     return rows.groupBy("device_id", (F.col("phase") == "arrived").alias("arrived"), "quality").agg(F.count(F.lit(1)).alias("fixes"))
+
+
+# --- why restrictions are not honoured --------------------------------------------------------------------------
+
+
+def _stage_of(way: str) -> str:
+    """What removed a way, as SQL: null where it has edges."""
+    return (
+        f"CASE WHEN {way} IS NULL OR {way} IN (SELECT way_id FROM v_kept) THEN NULL WHEN {way} NOT IN (SELECT way_id FROM v_clip) THEN 'member-way-outside-clip' "
+        f"WHEN {way} NOT IN (SELECT way_id FROM v_drive) THEN 'member-way-not-drivable' ELSE 'member-way-dropped-by-scc' END"
+    )
+
+
+_REASONS = f"""
+v_we AS (SELECT edge_id, edge_id // 2 AS way_id, edge_from, edge_to FROM v_edge),
+v_clip AS (SELECT DISTINCT way_id FROM v_we WHERE way_id % 23 <> 0), v_drive AS (SELECT way_id FROM v_clip WHERE way_id % 19 <> 0),
+v_kept AS (SELECT * FROM v_we WHERE way_id IN (SELECT way_id FROM v_drive) AND way_id % 17 <> 0),
+v_nclip AS (SELECT c_custkey AS v FROM customer WHERE c_custkey % 23 <> 0), v_nwas AS (SELECT v FROM v_nclip WHERE v % 19 <> 0), v_now AS (SELECT v FROM v_nwas WHERE v % 17 <> 0),
+v_first AS (SELECT edge_from AS v, min(edge_id) // 2 AS next_way FROM v_edge GROUP BY edge_from),
+v_rel AS (SELECT edge_id AS rel_id, {_ALL_KINDS}[edge_id % 12 + 1] AS kind, edge_id % 37 = 0 AS conditional, way_id AS from_way, next_way AS to_way,
+  CASE WHEN edge_id % 5 <> 0 THEN edge_to END AS via_node, CASE WHEN edge_id % 5 = 0 AND edge_id % 3 <> 0 THEN next_way END AS via_way, 1 + (edge_id % 7 = 0)::INT AS n_via
+  FROM v_we LEFT JOIN v_first ON v = edge_to),
+v_why AS (SELECT *, CASE WHEN conditional THEN 'conditional' WHEN kind = '' THEN 'malformed-roles' WHEN kind = 'no_parking' THEN 'unknown-restriction-value'
+  WHEN to_way IS NULL OR (via_node IS NULL AND via_way IS NULL) THEN 'malformed-roles' WHEN via_node IS NULL AND n_via > 1 THEN 'via-way-chain-unsupported'
+  WHEN via_node IS NULL THEN coalesce({_stage_of("via_way")}, {_stage_of("from_way")}, {_stage_of("to_way")})
+  WHEN via_node NOT IN (SELECT v FROM v_now) THEN CASE WHEN via_node NOT IN (SELECT v FROM v_nclip) THEN 'via-node-outside-clip' WHEN via_node NOT IN (SELECT v FROM v_nwas) THEN 'via-node-not-an-intersection' ELSE 'via-node-dropped-by-scc' END
+  ELSE coalesce({_stage_of("from_way")}, {_stage_of("to_way")}) END AS why FROM v_rel),
+v_led AS (
+  SELECT DISTINCT rel_id FROM v_why JOIN v_kept i ON i.way_id = from_way AND i.edge_to = via_node JOIN v_kept o ON o.edge_from = via_node AND o.way_id = to_way WHERE why IS NULL
+  UNION SELECT DISTINCT rel_id FROM v_why JOIN v_kept m ON via_node IS NULL AND m.way_id = via_way JOIN v_kept i ON i.way_id = from_way AND i.edge_to = m.edge_from JOIN v_kept o ON o.edge_from = m.edge_to AND o.way_id = to_way WHERE why IS NULL),
+v_said AS (SELECT rel_id, coalesce(why, CASE WHEN rel_id NOT IN (SELECT rel_id FROM v_led) THEN 'member-way-wrong-direction-at-via' END) AS reason FROM v_why)
+"""
+
+
+@query(f"""
+WITH {sql.EDGE}, {_REASONS}
+SELECT CASE WHEN reason IS NULL THEN 'resolved' WHEN reason IN {restrictions.NOT_HONOURED} THEN 'not-honoured' ELSE 'correctly-ignored' END AS verdict, reason, count(*) AS relations FROM v_said GROUP BY ALL
+""")
+def restriction_reasons(spark, sf_dir):
+    """Relations by verdict and reason where a build has removed members in all of its stages: ways outside the clip, closed
+    to cars, or in another component (by their numbers), and nodes likewise."""
+    edges = road.edges(spark, sf_dir).select("edge_id", F.floor(F.col("edge_id") / 2).alias("way_id"), "edge_from", "edge_to")
+    first = edges.groupBy(F.col("edge_from").alias("v")).agg(F.floor(F.min("edge_id") / 2).alias("next_way"))
+    e = F.col("edge_id")
+    relations = edges.join(first, F.col("edge_to") == F.col("v"), "left").select(
+        e.alias("rel_id"), F.element_at(F.array(*map(F.lit, _ALL_KINDS)), (e % 12 + 1).cast("int")).alias("kind"), (e % 37 == 0).alias("conditional"), F.col("way_id").alias("from_way"), F.col("next_way").alias("to_way"),
+        F.when(e % 5 != 0, F.col("edge_to")).alias("via_node"), F.when((e % 5 == 0) & (e % 3 != 0), F.col("next_way")).alias("via_way"), (1 + (e % 7 == 0).cast("int")).alias("n_via"),
+    )
+    clip = edges.select("way_id").distinct().filter("way_id % 23 <> 0")
+    drivable = clip.filter("way_id % 19 <> 0")
+    nodes = road.read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("node_id")).filter("node_id % 23 <> 0")
+    before = nodes.filter("node_id % 19 <> 0").select(F.col("node_id").alias("vertex_id"))
+    kept = edges.join(drivable.filter("way_id % 17 <> 0"), "way_id", "left_semi")
+    stages = restrictions.Stages(nodes, clip, drivable, before)
+    verdicts = restrictions.resolve(relations, kept, before.filter("vertex_id % 17 <> 0"), stages)[0]
+    return verdicts.groupBy("verdict", "reason").agg(F.count(F.lit(1)).alias("relations"))
