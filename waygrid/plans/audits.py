@@ -9,8 +9,10 @@ from waygrid.config import COVERED_M, PLACE_ORDER, PLACE_ZOOM, PLAZA_KM, POI_AME
 from waygrid.functions import display, geo, strings
 from waygrid.operators import audits, graph, network, shown, spatial, tolls
 from waygrid.plans import sql
+from waygrid.plans.lineage import shared_folder
 from waygrid.plans.catalog import _BOX, _GATED, IN_BOX, NODES, ORACLES, RAW, RESOLVED, TAGS, VERTEX
 from waygrid.plans.catalog import _gated_runs, _in_box, _route_segments, _shapes, _way_nodes, clip_ways, opposing_roads, query
+from waygrid.sinks import artifact
 from waygrid.sources import projection as road
 
 # --- the built network ------------------------------------------------------------------------------------------
@@ -41,8 +43,15 @@ v_ge AS (SELECT row_number() OVER (ORDER BY way_id, piece, reversed) - 1 AS edge
 
 
 def _built(spark, sf_dir):
-    nodes = road.vertices(spark, sf_dir).select(F.col("vertex_id").alias("node_id"), "lat", "lon")
-    return network.build(_way_nodes(spark, sf_dir), road.tagged_ways(spark, sf_dir), nodes)
+    """The network, built once for all queries on the same tables and read from then on."""
+    inputs = [f"{sf_dir}/{t}.parquet" for t in ("orders", "lineitem", "customer", "part", "supplier")]
+    store = artifact.ArtifactStore(spark, f"{shared_folder(spark)}/networks")
+
+    def build():
+        nodes = road.vertices(spark, sf_dir).select(F.col("vertex_id").alias("node_id"), "lat", "lon")
+        return network.build(_way_nodes(spark, sf_dir), road.tagged_ways(spark, sf_dir), nodes)
+
+    return store.load_or_build(artifact.inputs_key(spark, inputs, "built"), build, ("vertices", "edges", "names", "all_edges"))
 
 
 @query(
