@@ -19,7 +19,7 @@ from pyspark.sql.window import Window as W
 
 from waygrid.config import M_PER_DEG_LAT
 from waygrid.functions.geo import haversine, project_at
-from waygrid.plans.lineage import cut
+from waygrid.plans.lineage import cut, unioned
 
 #: Smallest cell in degrees (some 110 m): smaller ones would register a segment of ordinary length in many.
 LEAST_CELL_DEG = 0.001
@@ -133,7 +133,7 @@ def nearest(points: DataFrame, segments: DataFrame, radius_m: float, point_key:
         if share != RINGS[-1]:
             best = cut(best)
             left = left.join(best.select(point_key), point_key, "left_anti")
-        found = best if found is None else found.unionByName(best)
+        found = best if found is None else unioned(found, best, number="distance_m")
     return found
 
 
@@ -158,7 +158,7 @@ def k_nearest(points: DataFrame, others: DataFrame, k: int, point_key: str, othe
         ranked = point_pairs(left, others, radius, point_key).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= most)
         whole = ranked.withColumn("held", F.count(F.lit(1)).over(W.partitionBy(point_key))).filter(F.col("held") == most).drop("held")
         done = cut(whole)
-        found = done if found is None else found.unionByName(done)
+        found = done if found is None else unioned(found, done, number="distance_m")
         left = cut(left.join(done.select(point_key).distinct(), point_key, "left_anti"))
         if all_round or not left.take(1):
             return found
@@ -172,4 +172,4 @@ def nearest_preferred(points: DataFrame, segments: DataFrame, radius_m: float, p
     first = cut(nearest(points, segments.filter(~second), radius_m, point_key, segment_key))
     left = points.join(first.select(point_key), point_key, "left_anti")
     other = nearest(left, segments.filter(second), radius_m, point_key, segment_key)
-    return first.withColumn("second", F.lit(False)).unionByName(other.withColumn("second", F.lit(True)))
+    return unioned(first.withColumn("second", F.lit(False)), other.withColumn("second", F.lit(True)), number="distance_m")

@@ -10,7 +10,7 @@ from pyspark.sql.window import Window as W
 
 from waygrid.config import M_PER_DEG_LAT, M_PER_DEG_LON, MATCH_M
 from waygrid.functions import lines
-from waygrid.operators import audits, graph, instructions, restrictions, routing, spatial, states
+from waygrid.operators import audits, graph, instructions, restrictions, routing, scenarios, spatial, states
 from waygrid.plans import sql
 from waygrid.plans.catalog import _ALL_KINDS, ORACLES, _bans, _places_on_edges, _shapes, _triples, query
 from waygrid.sources import projection as road
@@ -304,3 +304,25 @@ def restriction_reasons(spark, sf_dir):
     stages = restrictions.Stages(nodes, clip, drivable, before)
     verdicts = restrictions.resolve(relations, kept, before.filter("vertex_id % 17 <> 0"), stages)[0]
     return verdicts.groupBy("verdict", "reason").agg(F.count(F.lit(1)).alias("relations"))
+
+
+# --- scenarios --------------------------------------------------------------------------------------------------
+
+
+@query()
+def turn_sweep(spark, sf_dir):
+    """Routes between places on edges with turn costs as they are, without them, and doubled."""
+    edges = graph.costs(road.edges(spark, sf_dir))
+    turns = graph.turn_costs(edges)
+    cases = {"base": F.col("seconds"), "none": F.lit(0.0).cast("float"), "double": (F.col("seconds") * 2).cast("float")}
+    variants = [scenarios.Scenario(name, edges, turns.withColumn("seconds", s), _bans(edges), _triples(edges)) for name, s in cases.items()]
+    found = scenarios.routes(_places_on_edges(spark, sf_dir, edges), variants)
+    told = scenarios.outcome(found, edges, "base")
+    return told.select("scenario", "routes", "moved", "improved", "worsened", *[F.round(c, 4).alias(c) for c in ("median_s", "p95_s", "overlap")])
+
+
+@query()
+def ban_enforcement(spark, sf_dir):
+    """Every ban of the network: what the route does without and with bans, from one end of it to the other."""
+    edges = graph.costs(road.edges(spark, sf_dir))
+    return scenarios.enforcement(edges, graph.turn_costs(edges), _bans(edges), _triples(edges)).drop("ban_id")
