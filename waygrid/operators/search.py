@@ -9,6 +9,7 @@ from pyspark.sql.window import Window as W
 from waygrid.config import SearchRanks
 from waygrid.functions.geo import haversine
 from waygrid.functions.strings import digits_of, edit_distance_column, fuzzy_budget, normalise, tokens
+from waygrid.plans.lineage import cut
 
 
 def build_index(places: DataFrame, norm: Column | None = None) -> DataFrame:
@@ -107,8 +108,9 @@ def fuzzy_matches(index: DataFrame, queries: DataFrame) -> DataFrame:
     a key and the digits; distances decide."""
     asked = queries.select("query_id", "q").filter("q <> ''").withColumn("most", F.when(F.length("q") <= 4, 1).otherwise(2)).withColumn("digits", digits_of(F.col("q")))
     names = _names(index).withColumn("name_digits", digits_of(F.col("norm"))).withColumn("part", F.explode(F.array_distinct(F.concat(F.array("norm"), F.col("toks")))))
-    met = _asked(asked).join(_posted(names.select("part", "name_digits").distinct()), "key").filter((F.col("digits") == F.col("name_digits")) & (F.abs(F.length("part") - F.length("q")) <= F.col("most")))
-    near = met.select("query_id", "q", "most", "part", "name_digits").distinct()
+    names = cut(names.select("norm", "part", "name_digits"))  # posted by part, and joined back to their names
+    met = _asked(cut(asked)).join(_posted(names.select("part", "name_digits").distinct()), "key").filter((F.col("digits") == F.col("name_digits")) & (F.abs(F.length("part") - F.length("q")) <= F.col("most")))
+    near = cut(met.select("query_id", "q", "most", "part", "name_digits").distinct())
     scored = near.withColumn("edits", edit_distance_column(F.col("q"), F.col("part"), 2)).filter(F.col("edits") <= F.least(F.col("most"), fuzzy_budget(F.greatest(F.length("q"), F.length("part")), 2)))
     return scored.select("query_id", "part", "name_digits", "edits").join(names.select("norm", "part", "name_digits"), ["part", "name_digits"]).groupBy("query_id", "norm").agg(F.min("edits").alias("edits"))
 
