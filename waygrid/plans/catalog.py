@@ -363,14 +363,6 @@ def route_instructions(spark, sf_dir):
     return told.select("query_id", "n", "i", "kind", "name", "exit_number", F.round("distance_m", 4).alias("distance_m"), F.round("duration_s", 4).alias("duration_s"))
 
 
-@query()
-def routes_both_ways(spark, sf_dir):
-    """The routes of best_routes by the search from both ends, on joins alone: no network goes through the driver."""
-    edges = graph.costs(road.edges(spark, sf_dir))
-    found = routing.routes(_vertex_pairs(spark, sf_dir), edges, graph.turn_costs(edges), _bans(edges), _triples(edges), most_sent=0)
-    return found.select("query_id", F.round("seconds", 4).alias("seconds"), F.size("path").alias("n_edges"))
-
-
 def _places_on_edges(spark, sf_dir, edges):
     """For every vertex a place on an edge that leaves it, and one on an edge that leaves a vertex two rows on."""
     leaving = edges.groupBy(F.col("edge_from").alias("v")).agg(F.min("edge_id").alias("start_edge"))
