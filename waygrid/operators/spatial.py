@@ -81,8 +81,8 @@ class Grid:
         return rows.withColumn("cell_col", F.explode(cols)).withColumn("cell", cell_key(F.col("cell_row"), F.col("cell_col"))).drop("cell_row", "cell_col")
 
 
-def _met(points: DataFrame, registered: DataFrame, point_key: str) -> DataFrame:
-    """Rows of both sides that share a cell. Cells with many points are counted first and dealt by their own numbers; the
+def met(points: DataFrame, registered: DataFrame, point_key: str) -> DataFrame:
+    """Rows of both sides that share a ``cell``. Cells with many points are counted first and dealt by their own numbers; the
     partitions are asked for by number, as rows are short and pairs many, and adaptive execution goes by their bytes."""
     n = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     held = points.groupBy(F.col("cell").alias("hot_cell")).agg(F.count(F.lit(1)).alias("held"))
@@ -95,12 +95,18 @@ def _met(points: DataFrame, registered: DataFrame, point_key: str) -> DataFrame:
     return left.repartition(n, "cell", "part").join(right.repartition(n, "cell", "part"), ["cell", "part"]).drop("part")
 
 
-def pairs_within(points: DataFrame, segments: DataFrame, radius_m: float, point_key: str, segment_key: str) -> DataFrame:
-    """Point and segment pairs at most radius_m apart, each once: adds t (share along the segment) and distance_m."""
+def pairs_within(points: DataFrame, segments: DataFrame, radius_m: float, point_key: str, segment_key: str, same: str | None = None) -> DataFrame:
+    """Point and segment pairs at most radius_m apart, each once: adds t (share along the segment) and distance_m. With
+    ``same``, a column of both sides, only pairs that agree in it: it is part of the cell that they meet in."""
     grid = Grid(radius_m)
     located = grid.placed(points.filter("lat is not null and lon is not null")).withColumn("cos_lat", F.cos(F.radians("lat")))
     box = [(F.least(f"a{c}", f"b{c}"), F.greatest(f"a{c}", f"b{c}")) for c in ("lat", "lon")]
-    joined = _met(located, grid.reached(segments, *box), point_key)
+    registered = grid.reached(segments, *box)
+    if same:
+        located, registered = (t.withColumn("cell", F.xxhash64("cell", same)) for t in (located, registered))
+        joined = met(located, registered.withColumnRenamed(same, "of_segment"), point_key).filter(F.col(same) == F.col("of_segment")).drop("of_segment")
+    else:
+        joined = met(located, registered, point_key)
     t = project_at(F.col("lat"), F.col("lon"), F.col("alat"), F.col("alon"), F.col("blat"), F.col("blon"), F.col("cos_lat"))
     joined = joined.withColumn("t", t)
     foot_lat, foot_lon = F.col("alat") + F.col("t") * (F.col("blat") - F.col("alat")), F.col("alon") + F.col("t") * (F.col("blon") - F.col("alon"))
@@ -114,7 +120,7 @@ def point_pairs(points: DataFrame, others: DataFrame, radius_m: float, point_key
     grid = Grid(radius_m)
     located = grid.placed(points.filter("lat is not null and lon is not null"))
     at = [(F.col(c), F.col(c)) for c in ("olat", "olon")]
-    joined = _met(located, grid.reached(others.filter("olat is not null and olon is not null"), *at), point_key)
+    joined = met(located, grid.reached(others.filter("olat is not null and olon is not null"), *at), point_key)
     close = joined.filter(F.abs(F.col("lat") - F.col("olat")) <= F.lit(grid.reach))
     return close.withColumn("distance_m", haversine(F.col("lat"), F.col("lon"), F.col("olat"), F.col("olon"))).filter(F.col("distance_m") <= radius_m).drop("cell")
 

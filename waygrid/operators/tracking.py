@@ -5,12 +5,14 @@ from __future__ import annotations
 import math
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from waygrid.config import EARTH_M, Tracking
+from waygrid.config import EARTH_M, M_PER_DEG_LAT, Tracking
 from waygrid.functions.geo import bearing, bearing_gap, haversine, project
+from waygrid.operators import spatial
+from waygrid.plans.lineage import cut, unioned
 
 
 def metres(lat1: float, lon1: float, lat2: float, lon2: float) -> float:
@@ -143,25 +145,75 @@ def match_traces(fixes: DataFrame, candidates: DataFrame, cfg: Tracking = Tracki
     return traces.mapInPandas(viterbi, "device_id bigint, window bigint, edge_id bigint, offset_m double, probability double")
 
 
+#: Metres of a route in one bucket of its range key, the first ring around a fix that is looked for on its whole route, and
+#: how rings grow.
+ROUTE_BUCKET_M, FIRST_RING_M, RING_GROWTH = 500.0, 250.0, 8.0
+
+
+def _agrees(heading: Column, direction: Column, cfg: Tracking) -> Column:
+    return heading.isNull() | (bearing_gap(direction, heading) <= cfg.heading_gate_deg)
+
+
+def _nearest_of(pairs: DataFrame) -> DataFrame:
+    best = pairs.groupBy("fix_id").agg(F.min(F.struct("offset_m", "seq", (F.col("from_m") + F.col("t") * F.col("length_m")).alias("route_m"))).alias("best"))
+    return best.select("fix_id", "best.offset_m", "best.route_m", "best.seq")
+
+
+def _in_window(fixes: DataFrame, segments: DataFrame, cfg: Tracking) -> DataFrame:
+    """A segment is registered in each bucket of its route from which the window reaches it; a fix looks into its own."""
+    bucket = lambda m: F.floor(m / F.lit(ROUTE_BUCKET_M))
+    window = F.lit(cfg.route_window_m)
+    buckets = F.sequence(bucket(F.col("from_m") - window), bucket(F.col("to_m") + window))
+    s = segments.withColumn("bucket", F.explode(buckets)).withColumn("cell", F.xxhash64("route_id", "bucket")).drop("bucket").withColumnRenamed("route_id", "of_segment")
+    pairs = spatial.met(fixes.withColumn("cell", F.xxhash64("route_id", bucket(F.col("last_m")))), s, "fix_id")
+    near = (F.col("to_m") >= F.col("last_m") - window) & (F.col("from_m") <= F.col("last_m") + window)
+    pairs = pairs.filter((F.col("route_id") == F.col("of_segment")) & near & _agrees(F.col("heading"), F.col("edge_bearing"), cfg))
+    pairs = pairs.withColumn("t", project(F.col("lat"), F.col("lon"), F.col("alat"), F.col("alon"), F.col("blat"), F.col("blon"), F.col("lat")))
+    foot_lat, foot_lon = F.col("alat") + F.col("t") * (F.col("blat") - F.col("alat")), F.col("alon") + F.col("t") * (F.col("blon") - F.col("alon"))
+    return _nearest_of(pairs.withColumn("offset_m", haversine(F.col("lat"), F.col("lon"), foot_lat, foot_lon)))
+
+
+def _with_a_way(fixes: DataFrame, segments: DataFrame, cfg: Tracking) -> DataFrame:
+    """Fixes whose route has a segment that agrees with their heading. A route's bearings are kept as the lowest and highest
+    of each degree, 360 rows at most: the gate is wider than a degree, so if any bearing of one agrees, its lowest or highest does."""
+    degrees = segments.groupBy("route_id", F.floor("edge_bearing").alias("degree")).agg(F.min("edge_bearing").alias("low"), F.max("edge_bearing").alias("high"))
+    held = degrees.groupBy("route_id").agg(F.collect_list(F.struct("low", "high")).alias("bearings"))
+    some = F.exists("bearings", lambda b: _agrees(F.col("heading"), b["low"], cfg) | _agrees(F.col("heading"), b["high"], cfg))
+    return fixes.join(held, "route_id").filter(some).drop("bearings")
+
+
+def _anywhere(fixes: DataFrame, segments: DataFrame, cfg: Tracking) -> DataFrame:
+    """Rings that grow until each fix has a segment: what lies within a ring is met in full, so its nearest can't be beaten."""
+    found, left, radius = None, cut(_with_a_way(fixes.filter("lat is not null and lon is not null"), segments, cfg)), FIRST_RING_M
+    while True:
+        all_round = radius >= M_PER_DEG_LAT * 180
+        pairs = spatial.pairs_within(left, segments, radius, "fix_id", "seq", same="route_id").withColumnRenamed("distance_m", "offset_m")
+        done = cut(_nearest_of(pairs.filter(_agrees(F.col("heading"), F.col("edge_bearing"), cfg))))
+        found = done if found is None else unioned(found, done, number="offset_m")
+        left = cut(left.join(done.select("fix_id"), "fix_id", "left_anti"))
+        if all_round or not left.take(1):
+            return found
+        radius *= RING_GROWTH
+
+
 def match_to_route(fixes: DataFrame, segments: DataFrame, cfg: Tracking = Tracking()) -> DataFrame:
     """Fixes (fix_id, route_id, lat, lon, heading, last_m) on their active route, whose segments are (route_id, seq, alat,
-    alon, blat, blon): adds offset_m, route_m (metres along the route) and seq of the nearest segment; null where none is left.
+    alon, blat, blon): adds offset_m, route_m (metres along the route) and seq of the nearest segment; null where none is left,
+    or where a fix has no coordinates.
 
     Segments that disagree with a known heading are no candidates; nor are those outside the window around last_m, the
-    metres where the vehicle was last seen (null: the whole route). Of equal offsets the first segment along the route."""
+    metres where the vehicle was last seen (null: the whole route). Of equal offsets the first segment along the route.
+
+    No fix meets its whole route: where the vehicle was last seen is a range key, and a fix without it looks around itself
+    in rings of its route's own cells. Hot buckets and cells are dealt by their fixes, so a popular route is many tasks."""
     w = W.partitionBy("route_id").orderBy("seq").rowsBetween(W.unboundedPreceding, 0)
     length = haversine(F.col("alat"), F.col("alon"), F.col("blat"), F.col("blon"))
-    s = segments.withColumn("length_m", length).withColumn("to_m", F.sum("length_m").over(w)).withColumn("from_m", F.col("to_m") - F.col("length_m"))
-    s = s.withColumn("edge_bearing", bearing(F.col("alat"), F.col("alon"), F.col("blat"), F.col("blon")))
-    near = F.col("last_m").isNull() | ((F.col("to_m") >= F.col("last_m") - cfg.route_window_m) & (F.col("from_m") <= F.col("last_m") + cfg.route_window_m))
-    agrees = F.col("heading").isNull() | (bearing_gap(F.col("edge_bearing"), F.col("heading")) <= cfg.heading_gate_deg)
-    pairs = fixes.join(s, "route_id").filter(near & agrees)
-    t = project(F.col("lat"), F.col("lon"), F.col("alat"), F.col("alon"), F.col("blat"), F.col("blon"), F.col("lat"))
-    pairs = pairs.withColumn("t", t)
-    foot_lat, foot_lon = F.col("alat") + F.col("t") * (F.col("blat") - F.col("alat")), F.col("alon") + F.col("t") * (F.col("blon") - F.col("alon"))
-    pairs = pairs.withColumn("offset_m", haversine(F.col("lat"), F.col("lon"), foot_lat, foot_lon))
-    best = pairs.groupBy("fix_id").agg(F.min(F.struct("offset_m", "seq", (F.col("from_m") + F.col("t") * F.col("length_m")).alias("route_m"))).alias("best"))
-    return fixes.join(best, "fix_id", "left").select(*fixes.columns, "best.offset_m", "best.route_m", "best.seq")
+    s = segments.select("route_id", "seq", "alat", "alon", "blat", "blon").withColumn("length_m", length).withColumn("to_m", F.sum("length_m").over(w)).withColumn("from_m", F.col("to_m") - F.col("length_m"))
+    s = cut(s.withColumn("edge_bearing", bearing(F.col("alat"), F.col("alon"), F.col("blat"), F.col("blon"))))
+    asked = fixes.select("fix_id", "route_id", "lat", "lon", "heading", "last_m")
+    seen = _in_window(asked.filter("last_m is not null and lat is not null and lon is not null"), s, cfg)
+    best = unioned(seen, _anywhere(asked.filter("last_m is null"), s, cfg), number="offset_m")
+    return fixes.join(best, "fix_id", "left").select(*fixes.columns, "offset_m", "route_m", "seq")
 
 
 def progress(matched: DataFrame, instructions: DataFrame) -> DataFrame:
