@@ -137,3 +137,5 @@ class SearchRanks:
 CELL_DEG = 0.0045
 SNAP_M = 500.0
 MATCH_M = 40.0
+#: Metres within which roads of one name are one place, and the seed of sampled pairs.
+ROAD_CLUSTER_M, SAMPLE_SEED = 6000.0, 20260731

@@ -5,8 +5,11 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
-from waygrid.config import AERODROME_RANK, AMENITY_RANK, KIND_RANK, OTHER_AMENITY_RANK, PLACE_RANK, STATION_RANK
+from waygrid.config import AERODROME_RANK, AMENITY_RANK, EARTH_M, KIND_RANK, M_PER_DEG_LAT, OTHER_AMENITY_RANK, PLACE_RANK, ROAD_CLUSTER_M, STATION_RANK
+from waygrid.functions.strings import collated
+from waygrid.operators.network import numbered
 from waygrid.operators.profile import lookup, tag
 from waygrid.operators.tracking import metres
 
@@ -38,18 +41,63 @@ def build_places(elements: DataFrame, points: DataFrame) -> DataFrame:
     return named.join(centre, "id").select(F.col("id").alias("place_id"), "name", "k.kind", "k.category", F.col("k.rank").alias("importance"), "lat", "lon")
 
 
-def cluster_roads(roads: DataFrame, within_m: float = 6000.0) -> DataFrame:
-    """Ways (way_id, norm, rank, lat, lon) of one name near each other as one place. The first cluster whose running
-    mean is near absorbs a way, in the order of ids: an ordered fold in each name's own group."""
+def build_order(places: DataFrame) -> DataFrame:
+    """Adds place: the number, from 0, in the order that an index of places (place_id, name, importance) is written in, by
+    falling importance, then name as locales order it, then code points, then place_id."""
+    keyed = places.withColumn("falling", -F.col("importance")).withColumn("by_name", collated(F.col("name")))
+    return numbered(keyed, ["falling", "by_name", "name", "place_id"], "order").withColumnRenamed("order", "place").drop("falling", "by_name")
 
-    def fold(f: pd.DataFrame) -> pd.DataFrame:
-        held: list[list] = []  # id, rank, lat sum, lon sum, count
-        for r in f.sort_values("way_id").itertuples():
-            near = next((c for c in held if metres(c[2] / c[4], c[3] / c[4], r.lat, r.lon) <= within_m), None)
-            if near is None:
-                held.append([r.way_id, r.rank, r.lat, r.lon, 1])
-            else:
-                near[1:] = [max(near[1], r.rank), near[2] + r.lat, near[3] + r.lon, near[4] + 1]
-        return pd.DataFrame([(f["norm"].iat[0], c[0], c[1], c[2] / c[4], c[3] / c[4], c[4]) for c in held], columns=["norm", "way_id", "rank", "lat", "lon", "ways"])
 
-    return roads.groupBy("norm").applyInPandas(fold, "norm string, way_id bigint, rank int, lat double, lon double, ways bigint")
+def _parted(roads: DataFrame, within_m: float) -> DataFrame:
+    """Adds part: ways of one name in two parts can share no cluster, as boxes around the parts lie further apart than a
+    cluster reaches. A mean of ways lies in their box.
+
+    Names are cut where rows of cells, then columns, are empty; only the distinct cells of a name meet in the window."""
+    rows_deg = within_m / M_PER_DEG_LAT * 1.01
+    row = F.floor(F.col("lat") / F.lit(rows_deg)).cast("long")
+    placed = roads.withColumn("cell_row", row)
+    w = W.partitionBy("norm").orderBy("cell_row")
+    rows = placed.select("norm", "cell_row").distinct()
+    rows = rows.withColumn("apart", F.coalesce((F.col("cell_row") - F.lag("cell_row").over(w) >= 2).cast("int"), F.lit(0))).withColumn("band", F.sum("apart").over(w)).drop("apart")
+    widest = F.max(F.greatest(F.abs("cell_row"), F.abs(F.col("cell_row") + 1))).over(W.partitionBy("norm", "band")) * F.lit(rows_deg)
+    # Points whose longitudes differ by d are at least asin(cos(highest latitude) * sin(d / 2)) * 2 radii apart.
+    sine = F.sin(F.lit(within_m * 1.01 / (2 * EARTH_M))) / F.greatest(F.lit(1e-9), F.cos(F.radians(F.least(F.lit(90.0), widest))))
+    width = F.when(sine >= 1, F.lit(360.0)).otherwise(F.degrees(2 * F.asin(F.least(F.lit(1.0), sine))))
+    placed = placed.join(rows.withColumn("width", width), ["norm", "cell_row"]).withColumn("cell_col", F.floor(F.col("lon") / F.col("width")).cast("long"))
+    w, band = W.partitionBy("norm", "band").orderBy("cell_col"), W.partitionBy("norm", "band")
+    cols = placed.select("norm", "band", "width", "cell_col").distinct()
+    cols = cols.withColumn("far", F.coalesce(F.col("cell_col") - F.lag("cell_col").over(w) >= 2, F.lit(False)))
+    # A band that comes near to going round the earth meets itself at the far side, and is left whole.
+    around = (F.max("cell_col").over(band) - F.min("cell_col").over(band) + 3) * F.col("width") >= 360
+    cols = cols.withColumn("around", around).withColumn("part", F.sum((F.col("far") & ~F.col("around")).cast("int")).over(w)).drop("width", "far", "around")
+    return placed.join(cols, ["norm", "band", "cell_col"]).drop("cell_row", "cell_col", "width")
+
+
+def cluster_roads(roads: DataFrame, within_m: float = ROAD_CLUSTER_M) -> DataFrame:
+    """Ways (way_id, norm, rank, lat, lon) of one name near each other as one place: (norm, way_id of its first, rank, lat,
+    lon, ways). The first cluster whose running mean is near absorbs a way, in the order of ids. Ways without a name or a
+    place are in none.
+
+    The order of ids is what decides, so it is a fold; but a name is cut first into parts that can't share a cluster, parts
+    are dealt over tasks, and a task streams its sorted ways and holds only the clusters of one part."""
+    ways = roads.filter("norm is not null and lat is not null and lon is not null").select("norm", "way_id", F.col("rank").cast("int").alias("rank"), "lat", "lon")
+
+    def fold(frames):
+        who, held = None, []  # id, rank, lat sum, lon sum, count
+        rows = lambda: pd.DataFrame([(who[0], c[0], c[1], c[2] / c[4], c[3] / c[4], c[4]) for c in held], columns=["norm", "way_id", "rank", "lat", "lon", "ways"])
+        for f in frames:
+            for norm, band, part, way_id, rank, lat, lon in zip(*[f[c] for c in ("norm", "band", "part", "way_id", "rank", "lat", "lon")]):
+                if (norm, band, part) != who:
+                    if held:
+                        yield rows()
+                    who, held = (norm, band, part), []
+                near = next((c for c in held if metres(c[2] / c[4], c[3] / c[4], lat, lon) <= within_m), None)
+                if near is None:
+                    held.append([way_id, rank, lat, lon, 1])
+                else:
+                    near[1:] = [max(near[1], rank), near[2] + lat, near[3] + lon, near[4] + 1]
+        if held:
+            yield rows()
+
+    dealt = _parted(ways, within_m).repartition("norm", "band", "part").sortWithinPartitions("norm", "band", "part", "way_id", "lat", "lon", "rank")
+    return dealt.mapInPandas(fold, "norm string, way_id bigint, rank int, lat double, lon double, ways bigint")

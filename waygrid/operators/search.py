@@ -8,7 +8,7 @@ from pyspark.sql.window import Window as W
 
 from waygrid.config import SearchRanks
 from waygrid.functions.geo import haversine
-from waygrid.functions.strings import digits_of, edit_distance_column, fuzzy_budget, normalise, tokens
+from waygrid.functions.strings import collated, digits_of, edit_distance_column, fuzzy_budget, normalise, tokens
 from waygrid.plans.lineage import cut
 
 
@@ -116,7 +116,7 @@ def fuzzy_matches(index: DataFrame, queries: DataFrame) -> DataFrame:
 
 
 def search(index: DataFrame, queries: DataFrame, cfg: SearchRanks = SearchRanks(), *, fuzzy: bool = True, limit: int | None = None) -> DataFrame:
-    """The best ``limit`` places of each query by score, then name, then place_id. Fuzzy matches count only for
+    """The best ``limit`` places of each query by score, then name as locales order it, then place_id. Fuzzy matches count only for
     queries without a strong one; places near a query that has coordinates get a bonus that falls with distance."""
     strong = strong_matches(index, queries, cfg).withColumn("edits", F.lit(0))
     hits = strong
@@ -127,5 +127,5 @@ def search(index: DataFrame, queries: DataFrame, cfg: SearchRanks = SearchRanks(
     near = F.coalesce(cfg.locality * F.exp(-haversine(F.col("lat"), F.col("lon"), F.col("qlat"), F.col("qlon")) / cfg.locality_m), F.lit(0.0))
     score = F.when(F.col("bonus").isNotNull(), F.col("importance") + F.col("bonus")).otherwise(cfg.fuzzy * F.col("importance") - cfg.per_edit * F.col("edits")) + near
     ranked = hits.join(index, "norm").join(where, "query_id").withColumn("score", score)
-    order = W.partitionBy("query_id").orderBy(F.desc("score"), "name", "place_id")
+    order = W.partitionBy("query_id").orderBy(F.desc("score"), collated(F.col("name")), "name", "place_id")
     return ranked.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= (limit or cfg.limit)).select("query_id", "rank", "place_id", "name", "score")

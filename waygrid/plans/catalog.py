@@ -998,4 +998,4 @@ def spoken_distances(spark, sf_dir):
     return road.edges(spark, sf_dir).groupBy(instructions.spoken_distance(F.col("length_m")).alias("spoken")).agg(F.count(F.lit(1)).alias("edges"))
 
 
-from waygrid.plans import audits as _audits, bent as _bent  # noqa: E402, F401 - register their queries here
+from waygrid.plans import audits as _audits, bent as _bent, gathered as _gathered  # noqa: E402, F401 - register their queries here

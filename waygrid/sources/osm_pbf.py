@@ -13,7 +13,7 @@ from collections.abc import Iterator
 from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from waygrid.sinks.osm_pbf import PbfWriter
+from waygrid.sinks.osm_pbf import PbfWriter, parts, placed
 
 SCHEMA = "kind string, id bigint, lat_e7 int, lon_e7 int, refs array<bigint>, members array<struct<type: string, ref: bigint, role: string>>, tags map<string, string>, ord bigint"
 #: Fixed values of the format.
@@ -68,7 +68,8 @@ def packed(data: memoryview, signed: bool = False, summed: bool = False) -> list
 
 def blobs(path: str) -> Iterator[tuple[str, int, int]]:
     """Type, place and size of each blob; bodies are skipped."""
-    with open(path, "rb") as f:
+    system, at = placed(path)
+    with system.open_input_file(at) as f:
         while head := f.read(4):
             (size,) = struct.unpack(">I", head)
             if size > MOST_HEADER:
@@ -80,11 +81,11 @@ def blobs(path: str) -> Iterator[tuple[str, int, int]]:
 
 
 def inflate(blob: bytes) -> memoryview:
-    parts = dict(fields(memoryview(blob)))
-    if 1 in parts:
-        return parts[1]
-    if 3 in parts:
-        return memoryview(zlib.decompress(parts[3]))
+    told = dict(fields(memoryview(blob)))
+    if 1 in told:
+        return told[1]
+    if 3 in told:
+        return memoryview(zlib.decompress(told[3]))
     raise ValueError("only raw and zlib blobs are read")
 
 
@@ -93,11 +94,12 @@ def header(path: str) -> dict:
     kind, place, size = next(blobs(path))
     if kind != "OSMHeader":
         raise ValueError("the file does not begin with a header")
-    with open(path, "rb") as f:
+    system, at = placed(path)
+    with system.open_input_file(at) as f:
         f.seek(place)
-        parts = list(fields(inflate(f.read(size))))
-    box = next((v for k, v in parts if k == 1), None)
-    return {"bbox": [zigzag(v) / 1e9 for _, v in sorted(fields(box))] if box is not None else None, "required": [bytes(v).decode() for k, v in parts if k == 4], "optional": [bytes(v).decode() for k, v in parts if k == 5]}
+        told = list(fields(inflate(f.read(size))))
+    box = next((v for k, v in told if k == 1), None)
+    return {"bbox": [zigzag(v) / 1e9 for _, v in sorted(fields(box))] if box is not None else None, "required": [bytes(v).decode() for k, v in told if k == 4], "optional": [bytes(v).decode() for k, v in told if k == 5]}
 
 
 def decode(block: memoryview) -> Iterator[tuple]:
@@ -142,7 +144,7 @@ def _signed(n: int) -> int:
 
 
 class BlobRange(InputPartition):
-    def __init__(self, number: int, places: list[tuple[int, int]]):
+    def __init__(self, number: int, places: list[tuple[str, int, int]]):
         super().__init__(number)
         self.number, self.places = number, places
 
@@ -152,20 +154,23 @@ class PbfReader(DataSourceReader):
         self.path, self.per = path, blobs_per_partition
 
     def partitions(self) -> list[BlobRange]:
-        found = [(place, size) for kind, place, size in blobs(self.path) if kind == "OSMData"]
+        scheme = f"{self.path.split('://')[0]}://" if "://" in self.path else ""
+        found = [(scheme + file, place, size) for file in parts(self.path) for kind, place, size in blobs(scheme + file) if kind == "OSMData"]
         return [BlobRange(i, found[i : i + self.per]) for i in range(0, len(found), self.per)] or [BlobRange(0, [])]
 
     def read(self, partition: BlobRange) -> Iterator[tuple]:
-        with open(self.path, "rb") as f:
-            for k, (place, size) in enumerate(partition.places):
+        for k, (file, place, size) in enumerate(partition.places):
+            system, at = placed(file)
+            with system.open_input_file(at) as f:
                 f.seek(place)
                 for i, row in enumerate(decode(inflate(f.read(size)))):
                     yield (*row, (partition.number + k) * 1_000_000 + i)
 
 
 class PbfSource(DataSource):
-    """spark.read.format("osm_pbf").load(file), and df.write.format("osm_pbf").save(folder), after register(spark). The
-    path is one that all executors can open."""
+    """spark.read.format("osm_pbf").load(file or folder of parts), and df.write.format("osm_pbf").save(folder), after
+    register(spark). The path is a local one that all executors can open, or the URI of a file system that Arrow knows. ``ord``
+    is an element's place in the file, or in the parts in their order."""
 
     @classmethod
     def name(cls) -> str:
@@ -178,7 +183,7 @@ class PbfSource(DataSource):
         return PbfReader(self.options["path"], int(self.options.get("blobsPerPartition", 16)))
 
     def writer(self, schema, overwrite: bool) -> PbfWriter:
-        return PbfWriter(self.options["path"], overwrite)
+        return PbfWriter(self.options["path"], overwrite, dict(self.options))
 
 
 def register(spark: SparkSession) -> None:
