@@ -89,3 +89,20 @@ def test_clusters_by_parts(spark):
     parts = places._parted(df.filter("norm = 'hot' and lat is not null"), 6000.0).select("norm", "band", "part").distinct().count()
     assert parts >= 5
     assert places.cluster_roads(df.limit(0)).count() == 0
+
+
+def test_layers_of_ways(spark):
+    from waygrid.functions import tiles
+
+    ways = [
+        (1, {"highway": "primary", "name": "A", "ref": "NE2", "oneway": "reverse", "junction": "roundabout"}, False), (2, {"highway": "proposed", "building": "yes"}, True), (3, {"waterway": "riverbank", "water": ""}, True),
+        (4, {"landuse": "reservoir", "leisure": "park", "water": "pond"}, True), (5, {"landuse": "forest", "leisure": "park", "name": ""}, True), (6, {"building": "yes"}, False), (7, {"building": "yes"}, True),
+        (8, {"boundary": "administrative", "admin_level": "6"}, False), (9, {"boundary": "administrative", "admin_level": "x"}, False), (10, {}, True), (11, None, True), (12, {"highway": "", "waterway": "river"}, False),
+    ]
+    df = spark.createDataFrame(ways, "id long, tags map<string, string>, closed boolean").select("id", F.explode(tiles.way_layers()).alias("l"))
+    got = sorted((r["id"], *r["l"]) for r in df.collect())
+    assert got == [
+        (1, "transportation", "primary", 8, -1, True, "NE2", None, None), (1, "transportation_name", "primary", 12, None, None, "NE2", "A", None), (3, "water", "lake", 8, None, None, None, None, None),
+        (4, "water", "pond", 8, None, None, None, None, None), (5, "landuse", "park", 11, None, None, None, None, None), (7, "building", None, 14, None, None, None, None, None),
+        (8, "boundary", None, 6, None, None, None, None, 6.0), (12, "waterway", "river", 8, None, None, None, None, None),
+    ]

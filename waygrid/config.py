@@ -139,3 +139,12 @@ SNAP_M = 500.0
 MATCH_M = 40.0
 #: Metres within which roads of one name are one place, and the seed of sampled pairs.
 ROAD_CLUSTER_M, SAMPLE_SEED = 6000.0, 20260731
+#: The zoom from which on road classes are in tiles, and the classes of waterways, landuse and leisure that are.
+ROAD_ZOOM = {
+    "motorway": 6, "trunk": 6, "primary": 8, "secondary": 10, "tertiary": 11, "unclassified": 12, "residential": 12, "living_street": 13, "service": 14,
+    "motorway_link": 9, "trunk_link": 9, "primary_link": 10, "secondary_link": 11, "tertiary_link": 12, "road": 13, "pedestrian": 13, "footway": 14, "path": 14,
+    "cycleway": 14, "steps": 15, "track": 14,
+}
+WATERWAYS = ("river", "stream", "canal", "drain", "ditch")
+LANDUSES = ("residential", "industrial", "commercial", "retail", "farmland", "farmyard", "orchard", "cemetery", "quarry", "military", "construction")
+LEISURE_AREAS = ("park", "garden", "playground", "pitch", "sports_centre", "stadium", "golf_course", "recreation_ground")

@@ -8,6 +8,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from waygrid.config import LANDUSES, LEISURE_AREAS, ROAD_ZOOM, WATERWAYS
+from waygrid.operators.profile import lookup
+
+LAYERS = "array<struct<layer: string, class: string, min_zoom: int, oneway: int, roundabout: boolean, ref: string, name: string, admin_level: double>>"
+
 
 @F.pandas_udf(T.LongType())
 def tile_id(z: pd.Series, x: pd.Series, y: pd.Series) -> pd.Series:
@@ -47,6 +52,39 @@ def road_layers(tags: str = "tags") -> Column:
     return F.coalesce(out, F.array().cast("array<string>"))
 
 
+def way_layers(tags: str = "tags", closed: str = "closed") -> Column:
+    """array<struct(layer, class, min_zoom, oneway, roundabout, ref, name, admin_level)>: what tiles show of a way. The first
+    kind of use that holds decides; a road of a class without a zoom is shown in no layer, nor as anything else. A road
+    with a name is labelled in a layer of its own, from zoom 12 on. Empty tags are absent ones."""
+    t = lambda k: F.nullif(F.element_at(F.col(tags), k), F.lit(""))
+    absent = F.lit(None).cast("string")
+
+    def shown(layer, kind, zoom, *, oneway=None, roundabout=None, ref=None, name=None, level=None):
+        parts = {"layer": F.lit(layer), "class": kind, "min_zoom": zoom, "oneway": F.lit(None) if oneway is None else oneway, "roundabout": F.lit(None) if roundabout is None else roundabout, "ref": absent if ref is None else ref}
+        parts |= {"name": absent if name is None else name, "admin_level": F.lit(None) if level is None else level}
+        kinds = {"min_zoom": "int", "oneway": "int", "roundabout": "boolean", "admin_level": "double"}
+        return F.struct(*[v.cast(kinds.get(k, "string")).alias(k) for k, v in parts.items()])
+
+    zoom = lookup(ROAD_ZOOM, t("highway"))
+    oneway = F.when(t("oneway").isin("yes", "1", "true"), 1).when(t("oneway").isin("-1", "reverse"), -1)
+    line = shown("transportation", t("highway"), zoom, oneway=oneway, roundabout=F.coalesce(t("junction") == "roundabout", F.lit(False)), ref=t("ref"))
+    label = shown("transportation_name", t("highway"), F.greatest(zoom, F.lit(12)), ref=t("ref"), name=t("name"))
+    road = F.when(zoom.isNotNull(), F.when(t("name").isNotNull(), F.array(line, label)).otherwise(F.array(line)))
+    level = F.expr(f"try_cast({tags}['admin_level'] as double)")
+    water = (t("natural") == "water") | (t("landuse") == "reservoir") | (t("waterway") == "riverbank")
+    out = F.when(t("highway").isNotNull(), road)
+    for holds, one in (
+        (t("waterway").isin(*WATERWAYS), shown("waterway", t("waterway"), F.when(t("waterway") == "river", 8).otherwise(12), name=t("name"))),
+        (water, shown("water", F.coalesce(t("water"), F.lit("lake")), F.lit(8), name=t("name"))),
+        (t("landuse").isin(*LANDUSES), shown("landuse", t("landuse"), F.lit(10), name=t("name"))),
+        (t("leisure").isin(*LEISURE_AREAS), shown("landuse", t("leisure"), F.lit(11), name=t("name"))),
+        (t("building").isNotNull() & F.col(closed), shown("building", absent, F.lit(14))),
+        ((t("boundary") == "administrative") & (level <= 6), shown("boundary", absent, F.lit(6), level=level)),
+    ):
+        out = out.when(holds, F.array(one))
+    return F.coalesce(out, F.array().cast(LAYERS))
+
+
 def stored_once(tiles: DataFrame) -> DataFrame:
     """Each tile (tile_id, body) with the first tile of the same content, which alone is stored."""
     keyed = tiles.select("tile_id", "body", F.sha2("body", 256).alias("content"))

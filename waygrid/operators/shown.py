@@ -12,9 +12,9 @@ from waygrid.config import ETA_CHANGE_S, ETA_EVERY_MS, MATCH_EVERY_MS, REDRAW_M
 from waygrid.operators.tracking import metres
 
 
-def changes(rows: DataFrame, key: str, order: Sequence[str], columns: Sequence[str], step: Callable, flag: str) -> DataFrame:
-    """Adds a flag to every row: step(state, *columns) gives the new state and the flag; a device starts with None."""
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema) + f", {flag} {'double' if flag.endswith('_s') else 'boolean'}"
+def changes(rows: DataFrame, key: str, order: Sequence[str], columns: Sequence[str], step: Callable, flag: str, kind: str = "boolean") -> DataFrame:
+    """Adds a flag of a kind to every row: step(state, *columns) gives the new state and the flag; a device starts with None."""
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema) + f", {flag} {kind}"
 
     def fold(frames):
         who, state = None, None
@@ -51,7 +51,7 @@ def shown_arrival(progress: DataFrame, every_ms: int = ETA_EVERY_MS, change_s: f
             return (t, left), left
         return (last_t, shown), left if shown is None else shown
 
-    return changes(progress, "device_id", ["t_ms", "fix_id"], ["t_ms", "remaining_s"], step, "shown_s")
+    return changes(progress, "device_id", ["t_ms", "fix_id"], ["t_ms", "remaining_s"], step, "shown_s", "double")
 
 
 def redraws(display: DataFrame, most_m: float = REDRAW_M) -> DataFrame:

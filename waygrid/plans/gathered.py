@@ -6,7 +6,8 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from waygrid.config import MATCH_M, ROAD_CLUSTER_M, SAMPLE_SEED
+from waygrid.config import LANDUSES, LEISURE_AREAS, MATCH_M, ROAD_CLUSTER_M, ROAD_ZOOM, SAMPLE_SEED, WATERWAYS
+from waygrid.functions import tiles
 from waygrid.operators import places, sampling
 from waygrid.plans import sql
 from waygrid.plans.catalog import _shapes, query
@@ -104,3 +105,41 @@ def seeded_pairs(spark, sf_dir):
     area = (box["s"] or 0.0, box["w"] or 0.0, box["n"] or 0.0, box["e"] or 0.0)
     found = sampling.seeded_pairs(_shapes(spark, sf_dir), area, box["wanted"], SAMPLE_SEED, MATCH_M, MOST_TRIES)
     return found.select(F.col("pair").cast("long").alias("pair"), F.col("attempt").cast("long").alias("attempt"), *[F.round(c, 7).alias(c) for c in ("alat", "alon", "blat", "blon")])
+
+
+# --- layers of ways ---------------------------------------------------------------------------------------------
+
+#: Tags of made ways: every so many-th way has the key, with one of the values in turn.
+_USES = {
+    "highway": (3, (*list(ROAD_ZOOM)[:12], "proposed")), "waterway": (4, ("river", "drain", "riverbank", "dam")), "natural": (5, ("water", "wood")), "water": (7, ("pond", "")),
+    "landuse": (4, ("residential", "reservoir", "forest", "farmland")), "leisure": (7, ("park", "marina")), "building": (6, ("yes",)), "boundary": (5, ("administrative", "parish")),
+    "admin_level": (1, ("4", "6", "8", "x", "")), "oneway": (2, ("yes", "-1", "no", "reverse")), "junction": (6, ("roundabout", "")), "ref": (9, ("NE2", "")),
+}
+_COLUMNS = ", ".join(f"nullif(CASE WHEN k % {m} = 0 THEN {list(v)}[(k // {m}) % {len(v)} + 1] END, '') AS {t}" for t, (m, v) in _USES.items())
+_ZOOMS = " ".join(f"WHEN '{c}' THEN {z}" for c, z in ROAD_ZOOM.items())
+_NONE = "NULL, NULL, NULL"
+
+
+@query(
+    f"""WITH t AS (SELECT k, CASE WHEN k % 4 <> 0 THEN p_name END AS name, k % 8 < 4 AS closed, {_COLUMNS} FROM (SELECT p_partkey AS k, p_name FROM part)),
+u AS (SELECT *, CASE highway {_ZOOMS} END AS zoom, try_cast(admin_level AS DOUBLE) AS level, CASE WHEN highway IS NOT NULL THEN 'road' WHEN waterway IN {WATERWAYS} THEN 'waterway'
+  WHEN "natural" = 'water' OR landuse = 'reservoir' OR waterway = 'riverbank' THEN 'water' WHEN landuse IN {LANDUSES} THEN 'landuse' WHEN leisure IN {LEISURE_AREAS} THEN 'leisure'
+  WHEN building IS NOT NULL AND closed THEN 'building' WHEN boundary = 'administrative' AND try_cast(admin_level AS DOUBLE) <= 6 THEN 'boundary' END AS kind FROM t)
+SELECT k AS way_id, 'transportation' AS layer, highway AS class, zoom AS min_zoom, CASE WHEN oneway = 'yes' THEN 1 WHEN oneway IN ('-1', 'reverse') THEN -1 END AS oneway, coalesce(junction = 'roundabout', false) AS roundabout, ref, NULL AS name, NULL::DOUBLE AS admin_level FROM u WHERE zoom IS NOT NULL
+UNION ALL SELECT k, 'transportation_name', highway, greatest(zoom, 12), NULL, NULL, ref, name, NULL FROM u WHERE zoom IS NOT NULL AND name IS NOT NULL
+UNION ALL SELECT k, 'waterway', waterway, CASE WHEN waterway = 'river' THEN 8 ELSE 12 END, {_NONE}, name, NULL FROM u WHERE kind = 'waterway'
+UNION ALL SELECT k, 'water', coalesce(water, 'lake'), 8, {_NONE}, name, NULL FROM u WHERE kind = 'water'
+UNION ALL SELECT k, 'landuse', CASE kind WHEN 'leisure' THEN leisure ELSE landuse END, CASE kind WHEN 'leisure' THEN 11 ELSE 10 END, {_NONE}, name, NULL FROM u WHERE kind IN ('landuse', 'leisure')
+UNION ALL SELECT k, 'building', NULL, 14, {_NONE}, NULL, NULL FROM u WHERE kind = 'building'
+UNION ALL SELECT k, 'boundary', NULL, 6, {_NONE}, NULL, level FROM u WHERE kind = 'boundary'"""
+)
+def way_layers(spark, sf_dir):
+    """Tagged ways in the layers of the tiles, with their classes and the zooms from which on they are shown."""
+    k = F.col("p_partkey")
+    pairs = [F.struct(F.lit("name").alias("key"), F.when(k % 4 != 0, F.col("p_name")).alias("value"))]
+    for t, (m, values) in _USES.items():
+        value = F.element_at(F.array(*map(F.lit, values)), (F.floor(k / m) % len(values) + 1).cast("int"))
+        pairs.append(F.struct(F.lit(t).alias("key"), F.when(k % m == 0, value).alias("value")))
+    tags = F.map_from_entries(F.filter(F.array(*pairs), lambda x: x["value"].isNotNull()))
+    ways = road.read(spark, sf_dir, "part").select(k.alias("way_id"), tags.alias("tags"), (k % 8 < 4).alias("closed"))
+    return ways.select("way_id", F.explode(tiles.way_layers()).alias("l")).select("way_id", "l.*")
