@@ -103,6 +103,41 @@ def test_near_duplicates_recall(spark, sf_dir):
     assert got == want
 
 
+def shuffled_bytes(spark):
+    executors = spark.sparkContext._jsc.sc().statusStore().executorList(False)
+    return sum(executors.apply(i).totalShuffleWrite() for i in range(executors.size()))
+
+
+@pytest.mark.parametrize("sent", [True, False])
+def test_near_duplicates_shuffle_little(spark, sf_dir, monkeypatch, sent):
+    """What is shuffled, over the bytes of the texts, with small tables sent along and without that hint."""
+    docs = spark.read.parquet(f"{sf_dir.replace('0.001', '0.01')}/documents.parquet").cache()
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0]
+    if not sent:
+        monkeypatch.setattr(minhash_dedup, "small", lambda df: df)
+    before = shuffled_bytes(spark)
+    minhash_dedup.near_duplicates(docs).write.format("noop").mode("overwrite").save()
+    moved = (shuffled_bytes(spark) - before) / size
+    print("shuffled, over the texts:", moved)
+    assert moved < 1.3
+
+
+@pytest.mark.parametrize("sent", [True, False])
+def test_near_duplicates_of_repeated_rows(spark, monkeypatch, sent):
+    """Rows that agree in id and text lie in several tasks, and their set is one of each pair that is compared."""
+    if not sent:
+        monkeypatch.setattr(minhash_dedup, "small", lambda df: df)
+    texts = [" ".join(f"t{t}w{k}" for k in range(60)) for t in range(6)]
+    rows = [(t, texts[t]) for t in range(6)] * 9 + [(10 + t, texts[t] + " end") for t in range(6)] * 5 + [(20, texts[0][:200])] * 7
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
+    want = brute_duplicates(list({i: t for i, t in rows}.items()))
+    got = minhash_dedup.near_duplicates(docs).collect()
+    assert len(got) == len(rows) and {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == want
+    classes = docs.dropDuplicates().select(minhash_dedup.row_key("doc_id", "text").alias("any_row"), F.col("doc_id").alias("node"))
+    sets = minhash_dedup._full_sets(classes.select("node"), classes, docs, text="text", doc_id="doc_id")
+    assert sorted(r["of"] for r in sets.collect()) == sorted(want)
+
+
 def test_components_both_ways(spark, monkeypatch):
     rng = np.random.default_rng(8)
     links = [(int(a), int(b)) for a, b in rng.integers(0, 300, (260, 2))] + [(500, 500 + i) for i in range(1, 60)]

@@ -16,8 +16,9 @@ words (with fewer words: all of them as one). Documents link where 100 * interse
 
 What can be lost: a link of similarity 0.75 shares no bucket with a chance of (1 - 0.75^ROWS)^BANDS, 5e-6, and one of
 0.8 with 2e-8. Signatures estimate similarity with a deviation of at most 0.029 near the threshold; pairs MARGIN (five
-and a half deviations, a chance of 2e-8) below it are not looked at further. Documents of similarity 0.2 share a bucket
-with a chance of 1.4 %, of 0.1 with 0.05 %.
+and a half deviations, a chance of 2e-8) below it are not looked at further. They are kept as one byte a minimum: equal
+minima have equal bytes, so this loses nothing. Documents of similarity 0.2 share a bucket with a chance of 1.4 %, of
+0.1 with 0.05 %.
 
 A document without words (null, empty or blank text) has no set and links with nothing. Repeated rows and null
 doc_ids are members like others; the component's id is its smallest doc_id that is not null.
@@ -135,29 +136,37 @@ def _may_link(a: str, b: str):
 def _shared_buckets(classes: DataFrame) -> DataFrame:
     """Memberships of buckets that hold two classes or more, with the bucket's pivot: (band, node, n, pivot, pn).
 
-    The pivot comes first in the bucket's order of nodes. There are TURNS orders: few, so that the buckets of one group
-    mostly agree in their pivots and a class has few pairs."""
-    bands = classes.select(F.explode("bands").alias("band"), F.col("set_id").alias("node"), "n")
+    Few buckets hold more than one class, so bare keys are counted first, and only what is left gets pivots. The pivot
+    comes first in the bucket's order of nodes. There are TURNS orders: few, so that the buckets of one group mostly
+    agree in their pivots and a class has few pairs."""
+    bands = classes.select(F.explode("bands").alias("band"), "node", "n")
+    held = bands.groupBy("band").agg(F.count(F.lit(1)).alias("held")).filter("held > 1").select(F.col("band").alias("in_band"))
+    shared = cut(bands.join(small(cut(held)), F.col("band") == F.col("in_band"), "left_semi"))
     turn = F.xxhash64(F.pmod("band", F.lit(TURNS)), "node")
     first = F.min(F.struct(turn.alias("turn"), F.col("node").alias("pivot"), F.col("n").alias("pn"))).alias("p")
-    held = bands.groupBy("band").agg(F.count(F.lit(1)).alias("held"), first).filter("held > 1").select(F.col("band").alias("in_band"), "p.pivot", "p.pn")
-    return bands.join(small(cut(held)), F.col("band") == F.col("in_band")).select("band", "node", "n", "pivot", "pn")
+    pivots = shared.groupBy("band").agg(first).select(F.col("band").alias("in_band"), "p.pivot", "p.pn")
+    return shared.join(small(cut(pivots)), F.col("band") == F.col("in_band")).select("band", "node", "n", "pivot", "pn")
 
 
 def _full_sets(nodes: DataFrame, classes: DataFrame, docs: DataFrame, *, text: str, doc_id: str) -> DataFrame:
-    """(of, n, signature, members) for the classes that share a bucket, rebuilt from one text each."""
-    wanted = small(cut(classes.join(nodes, F.col("set_id") == F.col("node")).select(F.col("any_row").alias("in_row"))))
+    """(of, n, signature, members) for the classes that share a bucket, rebuilt from one text each. Sets are not
+    shuffled: where rows that agree in id and text are repeated, each task builds the set once and one of them stays."""
+    wanted = small(cut(classes.join(nodes, "node").select(F.col("any_row").alias("in_row"), F.col("node").alias("of"))))
     texts = docs.select(F.col(text).cast("string").alias("text"), row_key(doc_id, text).alias("row_key"))
-    found = texts.join(wanted, F.col("row_key") == F.col("in_row"), "left_semi")
+    found = texts.join(wanted, F.col("row_key") == F.col("in_row")).select("of", "text")
 
-    def build(batch, _):
+    def build(batch, state):
+        seen = state.setdefault("seen", set())
+        fresh = np.array([not (of in seen or seen.add(of)) for of in batch.column(2).to_pylist()], bool)
         grams, first = shingle_sets(batch.column(1))
-        n = np.diff(first)
-        members = pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(grams.view(np.int64)))
-        return [_binary(fingerprints(grams, first), 16, n > 0), pa.array(n, pa.int64()), _binary(minima(grams, first), 4 * HASHES, n > 0), members]
+        members = pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(grams.view(np.int64)), mask=pa.array(~fresh))
+        return [pa.array(np.diff(first), pa.int64()), _binary(minima(grams, first).astype(np.uint8), HASHES, fresh), members]
 
-    sets = map_texts(found, build, "of binary, n bigint, signature binary, members array<bigint>", keep=["row_key"])
-    return sets.groupBy("of").agg(F.first("n").alias("n"), F.first("signature").alias("signature"), F.first("members").alias("members"))
+    sets = map_texts(found, build, "n bigint, signature binary, members array<bigint>", keep=["of"], more=[F.col("of")])
+    sets = cut(sets.filter("members is not null").select("doc.of", "n", "signature", "members", F.monotonically_increasing_id().alias("place")))
+    again = sets.groupBy("of").agg(F.collect_list("place").alias("places")).filter("size(places) > 1")
+    gone = cut(again.select(F.explode(F.expr("slice(places, 2, size(places) - 1)")).alias("gone")))
+    return sets.join(small(gone), F.col("place") == F.col("gone"), "left_anti").drop("place")
 
 
 def _pivot_links(shared: DataFrame, sets: DataFrame) -> DataFrame:
@@ -183,7 +192,7 @@ def _block_pairs(pdf: pd.DataFrame):
 
 def _arrays(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Signatures, sizes and numbered components of a group's rows."""
-    return np.frombuffer(b"".join(pdf["signature"]), np.uint32).reshape(-1, HASHES), pdf["n"].to_numpy(), pd.factorize(pdf["root"])[0].copy()
+    return np.frombuffer(b"".join(pdf["signature"]), np.uint8).reshape(-1, HASHES), pdf["n"].to_numpy(), pd.factorize(pdf["root"])[0].copy()
 
 
 def _fits(n: int, others: np.ndarray) -> np.ndarray:
@@ -229,15 +238,18 @@ def _links_across(pdf: pd.DataFrame) -> pd.DataFrame:
                     u.append(max(name[k], name[i]))
                     v.append(min(name[k], name[i]))
                     root[root == root[i]] = root[k]
-    return pd.DataFrame({"u": u, "v": v})
+    return pd.DataFrame({"u": np.array(u, np.int64), "v": np.array(v, np.int64)})
 
 
 def _cross_links(shared: DataFrame, sets: DataFrame, roots: DataFrame) -> DataFrame:
-    """Pairs of components with a confirmed link between them, from blocks of bounded numbers and bytes. Buckets of one
-    block are bundled, some BUNDLE memberships together, so that few groups go to Python."""
+    """Pairs of components with a confirmed link between them, from blocks of bounded numbers and bytes. Of buckets
+    with the same classes one is compared. Buckets of one block are bundled, some BUNDLE memberships together, so that few
+    groups go to Python."""
     arrow_batches(shared.sparkSession)
     placed = cut(shared.join(roots, F.col("node") == F.col("in_root"), "left").select("band", "node", "n", F.coalesce("root", "node").alias("root")))
-    mixed = placed.groupBy("band").agg(F.count(F.lit(1)).alias("held"), F.sum("n").alias("total"), F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi")
+    same = [F.bit_xor(F.xxhash64(F.lit(k), "node")).alias(f"same{k}") for k in range(2)]
+    mixed = placed.groupBy("band").agg(F.count(F.lit(1)).alias("held"), F.sum("n").alias("total"), F.min("root").alias("lo"), F.max("root").alias("hi"), *same).filter("lo <> hi")
+    mixed = mixed.groupBy("held", "total", "same0", "same1").agg(F.min("band").alias("band"))
     blocks = F.greatest(F.ceil(F.col("held") / BLOCK), F.ceil(F.col("total") / BLOCK_SHINGLES)).cast("int")
     mixed = cut(mixed.select(F.col("band").alias("in_band"), blocks.alias("blocks"), "held", "total"))
     few = mixed.filter("blocks = 1").agg(F.sum("held"), F.sum("total")).first()
@@ -251,7 +263,7 @@ def _cross_links(shared: DataFrame, sets: DataFrame, roots: DataFrame) -> DataFr
     found = ", ".join(f"{c} {kind[c]}" for c in ("bundle", "band", "i", "j", "mine", "node", "root"))
     alike = cut(signed.groupBy("bundle", "i", "j").applyInPandas(_may_link_across, found))
     full = alike.join(sets, F.col("node") == F.col("of")).select("bundle", "band", "i", "j", "mine", "node", "n", "root", "signature", "members")
-    return full.groupBy("bundle", "i", "j").applyInPandas(_links_across, "u binary, v binary").distinct()
+    return full.groupBy("bundle", "i", "j").applyInPandas(_links_across, "u bigint, v bigint").distinct()
 
 
 def _grouped(docs: DataFrame, *, text: str, doc_id: str) -> tuple[DataFrame, DataFrame]:
@@ -260,17 +272,17 @@ def _grouped(docs: DataFrame, *, text: str, doc_id: str) -> tuple[DataFrame, Dat
     base = cut(sketches(docs, text=text, doc_id=doc_id))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row_key")).alias("best")
     classes = base.filter("set_id is not null").groupBy("set_id").agg(first, F.count(F.lit(1)).alias("copies"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"))
-    classes = cut(classes.withColumn("any_row", F.col("best.row_key")))
+    classes = cut(classes.select("*", F.col("best.row_key").alias("any_row"), F.monotonically_increasing_id().alias("node")))
     shared = cut(_shared_buckets(classes))
-    sets = cut(_full_sets(shared.select("node").distinct(), classes, docs, text=text, doc_id=doc_id))
+    sets = _full_sets(shared.select("node").distinct(), classes, docs, text=text, doc_id=doc_id)
     links = cut(_pivot_links(shared, sets))
     roots = components(links).select(F.col("node").alias("in_root"), "root")
     across = cut(_cross_links(shared, sets, roots))
-    plain = classes.select("set_id", "best", "copies")
-    nodes = plain.join(roots, F.col("set_id") == F.col("in_root"), "left").select(F.col("set_id").alias("node"), "copies", "best", "root")
+    nodes = classes.join(roots, F.col("node") == F.col("in_root"), "left").select("node", "set_id", "copies", "best", "root")
     if across.take(1):
         joined = components(across).select(F.col("node").alias("was"), F.col("root").alias("now"))
-        nodes = nodes.join(joined, F.coalesce("root", "node") == F.col("was"), "left").select("node", "copies", "best", F.coalesce("now", "root").alias("root"))
+        nodes = nodes.join(joined, F.coalesce("root", "node") == F.col("was"), "left").select("node", "set_id", "copies", "best", F.coalesce("now", "root").alias("root"))
+    nodes = nodes.select(F.col("set_id").alias("node"), "copies", "best", "root")
     lone = nodes.filter("root is null and copies > 1").select("node", "best")
     labels = lone.union(named(nodes.filter("root is not null").select("node", "root", "best"), "best").select("node", "best"))
     return base, cut(labels.select(F.col("node").alias("of_set"), F.col("best.doc_id").alias("component_id"), F.col("best.row_key").alias("kept_row")))
