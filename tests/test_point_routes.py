@@ -112,3 +112,23 @@ def test_clip_polyline(spark):
     assert got[1] == line and got[4] == line[:1] and got[5] == line[:1] and got[7] == []
     assert len(got[2]) == 1 and len(got[8]) == 1 and len(got[3]) == 3 and got[3][1] == line[1]
     assert got[6][-1] == line[-1] and got[2][0][0] == 28.0 and 77.0 < got[2][0][1] < 77.01
+
+
+def test_clip_polyline_measures_once(spark):
+    """A line is measured once, whatever is made of it, and long lines are cut as a plain loop cuts them."""
+    clipped = geo.clip_polyline(F.col("points"), F.col("a"), F.col("b"))
+    assert str(clipped).lower().count("sin(") <= 3  # one distance: an arc sine and two squared sines
+    line = [(28.0 + (i * 37 % 11) / 1e3, 77.0 + i / 1e3) for i in range(120)]
+    df = spark.createDataFrame([(line, 0.123, 0.877)], "points array<struct<lat: double, lon: double>>, a double, b double")
+    got = [tuple(p) for p in df.select(clipped.alias("c")).first()["c"]]
+    pieces = [r[0] for r in spark.createDataFrame([(*p, *q) for p, q in zip(line, line[1:])], "a double, b double, c double, d double").select(geo.haversine(*map(F.col, "abcd"))).collect()]
+    reached = [sum(pieces[:i]) for i in range(len(line))]
+    low, high = 0.123 * reached[-1], 0.877 * reached[-1]
+
+    def at(m):
+        i = next(i for i in range(1, len(line)) if reached[i] >= m)
+        t = (m - reached[i - 1]) / pieces[i - 1]
+        return tuple(line[i - 1][k] + t * (line[i][k] - line[i - 1][k]) for k in (0, 1))
+
+    want = [at(low), *[p for p, m in zip(line, reached) if low < m < high], at(high)]
+    assert len(got) == len(want) and all(abs(x - y) < 1e-9 for p, q in zip(got, want) for x, y in zip(p, q))

@@ -104,34 +104,47 @@ def manoeuvre_seconds(delta: Column, rank_from: Column, rank_to: Column, cfg) ->
     return sharp + cross + F.when(rank_to > rank_from, cfg.class_drop_s * (rank_to - rank_from)).otherwise(0.0)
 
 
+def once(value: Column, then) -> Column:
+    """What ``then`` makes of a value that is worked out once: an expression named twice in another is worked out twice, and
+    inside a lambda for every element."""
+    return F.element_at(F.transform(F.array(value), then), 1)
+
+
 def clip_polyline(points: Column, start: Column, end: Column) -> Column:
     """The part of a line (array of lat, lon) between two shares of its length, with both cut points interpolated.
 
     A line of one point, or cut nowhere, stays as it is; one of no length becomes its first point; shares that leave
     nothing make the point at the first."""
+    zero = F.lit(0.0)
 
     def joined(first, second):
         return haversine(first["lat"], first["lon"], second["lat"], second["lon"])
 
-    zero = F.lit(0.0)
-    pieces = F.zip_with(F.slice(points, 1, F.size(points) - 1), F.slice(points, 2, F.size(points) - 1), joined)
-    reached = F.transform(F.sequence(F.lit(1), F.size(points)), lambda n: F.aggregate(F.slice(pieces, 1, n - 1), zero, lambda a, x: a + x))
-    placed = F.zip_with(points, reached, lambda p, m: F.struct(p["lat"].alias("lat"), p["lon"].alias("lon"), m.alias("m")))
-    total = F.aggregate(pieces, zero, lambda a, x: a + x)
-
-    def bounded(share):
+    def bounded(share, total):
         return F.greatest(zero, F.least(F.lit(1.0), share)) * total
 
-    def at(m):
-        after = F.get(F.filter(F.slice(placed, 2, F.size(points) - 1), lambda p: p["m"] >= m), F.lit(0))
+    def between(near):
+        gap = near["after"]["m"] - near["before"]["m"]
+        t = F.when(gap > 0, (near["m"] - near["before"]["m"]) / gap).otherwise(zero)
+        return F.struct(*[(near["before"][c] + t * (near["after"][c] - near["before"][c])).alias(c) for c in ("lat", "lon")])
+
+    def at(placed, m):
+        after = F.get(F.filter(F.slice(placed, 2, F.size(placed) - 1), lambda p: p["m"] >= m), F.lit(0))
         before = F.element_at(F.filter(placed, lambda p: (p["m"] < m) | (p["m"] == 0)), -1)
-        before = F.when(m <= 0, placed[0]).otherwise(before)
-        gap = after["m"] - before["m"]
-        t = F.when(gap > 0, (m - before["m"]) / gap).otherwise(zero)
-        return F.struct((before["lat"] + t * (after["lat"] - before["lat"])).alias("lat"), (before["lon"] + t * (after["lon"] - before["lon"])).alias("lon"))
-
-    first, last = bounded(start), bounded(end)
-    inner = F.transform(F.filter(placed, lambda p: (p["m"] > first) & (p["m"] < last)), lambda p: F.struct(p["lat"], p["lon"]))
-    cut = F.when(last <= first, F.array(at(first))).otherwise(F.concat(F.array(at(first)), inner, F.array(at(last))))
+        return once(F.struct(m.alias("m"), F.when(m <= 0, placed[0]).otherwise(before).alias("before"), after.alias("after")), between)
+
+    def bounds(line):
+        total = F.element_at(line, -1)["m"]
+        return F.struct(line.alias("placed"), total.alias("total"), bounded(start, total).alias("first"), bounded(end, total).alias("last"))
+
+    def cut(b):
+        placed, first, last = b["placed"], b["first"], b["last"]
+        inner = F.transform(F.filter(placed, lambda p: (p["m"] > first) & (p["m"] < last)), lambda p: F.struct(p["lat"], p["lon"]))
+        parts = F.when(last <= first, F.array(at(placed, first))).otherwise(F.concat(F.array(at(placed, first)), inner, F.array(at(placed, last))))
+        return F.when(b["total"] == 0, F.slice(points, 1, 1)).otherwise(parts)
+
+    pieces = F.zip_with(F.slice(points, 1, F.size(points) - 1), F.slice(points, 2, F.size(points) - 1), joined)
+    reached = F.aggregate(pieces, F.array(zero), lambda a, x: F.concat(a, F.array(F.element_at(a, -1) + x)))
+    placed = F.zip_with(points, reached, lambda p, m: F.struct(p["lat"].alias("lat"), p["lon"].alias("lon"), m.alias("m")))
     whole = (F.size(points) < 2) | ((start <= 0) & (end >= 1))
-    return F.when(whole, points).when(total == 0, F.slice(points, 1, 1)).otherwise(cut)
+    return F.when(whole, points).otherwise(once(placed, lambda line: once(bounds(line), cut)))
