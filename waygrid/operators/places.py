@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -73,6 +75,47 @@ def _parted(roads: DataFrame, within_m: float) -> DataFrame:
     return placed.join(cols, ["norm", "band", "cell_col"]).drop("cell_row", "cell_col", "width")
 
 
+class _Clusters:
+    """Clusters (first way, rank, sum of lat, of lon, ways) in the order of their first ways, found by the cell their mean lies
+    in. Cells are cubes around the earth's middle whose side is the reach, so that what is near lies in one of 27, at a pole and at the
+    180th meridian too."""
+
+    def __init__(self, within_m: float):
+        self.within_m, self.clusters, self.cells = within_m, [], {}
+        self.side = 2.02 * math.sin(min(within_m / (2 * EARTH_M), math.pi / 2)) + 1e-12
+
+    def _cell(self, lat: float, lon: float):
+        """None: the place is no number, and near to nothing."""
+        if not (math.isfinite(lat) and math.isfinite(lon)):
+            return None
+        lat, lon = math.radians(lat), math.radians(lon)
+        flat = math.cos(lat)
+        return math.floor(flat * math.cos(lon) / self.side), math.floor(flat * math.sin(lon) / self.side), math.floor(math.sin(lat) / self.side)
+
+    def add(self, way_id: int, rank: int, lat: float, lon: float) -> None:
+        """Into the first cluster whose mean is near, or into one of its own."""
+        at, first = self._cell(lat, lon), None
+        if at is not None:
+            x, y, z = at
+            near = [k for i in (x - 1, x, x + 1) for j in (y - 1, y, y + 1) for l in (z - 1, z, z + 1) for k in self.cells.get((i, j, l), ())]
+            for k in sorted(near):
+                c = self.clusters[k]
+                if metres(c[2] / c[4], c[3] / c[4], lat, lon) <= self.within_m:
+                    first = k
+                    break
+        if first is None:
+            self.clusters.append([way_id, rank, lat, lon, 1])
+            self.cells.setdefault(at, set()).add(len(self.clusters) - 1)
+            return
+        c = self.clusters[first]
+        was = self._cell(c[2] / c[4], c[3] / c[4])
+        c[1:] = [max(c[1], rank), c[2] + lat, c[3] + lon, c[4] + 1]
+        now = self._cell(c[2] / c[4], c[3] / c[4])
+        if now != was:
+            self.cells[was].discard(first)
+            self.cells.setdefault(now, set()).add(first)
+
+
 def cluster_roads(roads: DataFrame, within_m: float = ROAD_CLUSTER_M) -> DataFrame:
     """Ways (way_id, norm, rank, lat, lon) of one name near each other as one place: (norm, way_id of its first, rank, lat,
     lon, ways). The first cluster whose running mean is near absorbs a way, in the order of ids. Ways without a name or a
@@ -83,20 +126,16 @@ def cluster_roads(roads: DataFrame, within_m: float = ROAD_CLUSTER_M) -> DataFra
     ways = roads.filter("norm is not null and lat is not null and lon is not null").select("norm", "way_id", F.col("rank").cast("int").alias("rank"), "lat", "lon")
 
     def fold(frames):
-        who, held = None, []  # id, rank, lat sum, lon sum, count
-        rows = lambda: pd.DataFrame([(who[0], c[0], c[1], c[2] / c[4], c[3] / c[4], c[4]) for c in held], columns=["norm", "way_id", "rank", "lat", "lon", "ways"])
+        who, held = None, None
+        rows = lambda: pd.DataFrame([(who[0], c[0], c[1], c[2] / c[4], c[3] / c[4], c[4]) for c in held.clusters], columns=["norm", "way_id", "rank", "lat", "lon", "ways"])
         for f in frames:
-            for norm, band, part, way_id, rank, lat, lon in zip(*[f[c] for c in ("norm", "band", "part", "way_id", "rank", "lat", "lon")]):
+            for norm, band, part, way_id, rank, lat, lon in zip(*[f[c].tolist() for c in ("norm", "band", "part", "way_id", "rank", "lat", "lon")]):
                 if (norm, band, part) != who:
-                    if held:
+                    if who:
                         yield rows()
-                    who, held = (norm, band, part), []
-                near = next((c for c in held if metres(c[2] / c[4], c[3] / c[4], lat, lon) <= within_m), None)
-                if near is None:
-                    held.append([way_id, rank, lat, lon, 1])
-                else:
-                    near[1:] = [max(near[1], rank), near[2] + lat, near[3] + lon, near[4] + 1]
-        if held:
+                    who, held = (norm, band, part), _Clusters(within_m)
+                held.add(way_id, rank, lat, lon)
+        if who:
             yield rows()
 
     dealt = _parted(ways, within_m).repartition("norm", "band", "part").sortWithinPartitions("norm", "band", "part", "way_id", "lat", "lon", "rank")
